@@ -64,7 +64,9 @@ _powers = np.ones(1, np.uint64)
 def _powers_upto(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[1], np.full(max(n, 1024) - 1, _M2)]).astype(np.uint64), dtype=np.uint64)
+        factors = np.full(max(n, 1024), _M2)
+        factors[0] = 1
+        _powers = np.cumprod(factors, dtype=np.uint64)
     return _powers
 
 
@@ -96,7 +98,7 @@ def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(k) * _ODD)
+    out = np.full(n, k * int(_ODD) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for j in range(k):
         out = mix64(out * _ODD + hashes[j : j + n])
     return out
