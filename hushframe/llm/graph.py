@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every node to the smallest of its neighbours, first its larger neighbours, then its smaller ones, and
     stops when nothing changes; rounds grow with the logarithm of the nodes. Minima are taken by key before they are joined
-    back, so a node with many edges is never gathered. Loops and repeated edges do no harm.
+    back, so a node with many edges is never gathered. Repeated edges and loops do no harm; a node with nothing but loops is left out.
     """
     at = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None

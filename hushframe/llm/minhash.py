@@ -208,13 +208,14 @@ def _across(long_: DataFrame, far: DataFrame, sigs: DataFrame, matches: int) ->
     blocks = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     left = rest.join(counts, "key").withColumn("row", deal("rows")).withColumn("col", F.explode(blocks("cols"))).join(sigs, "cid").select("key", "row", "col", "cid", "sig")
-    right = long_.select("key", "cid").join(counts, "key").withColumn("col", deal("cols")).withColumn("row", F.explode(blocks("rows"))).join(sigs, "cid").select("key", "row", "col", "cid", "sig")
+    right = long_.select("key", "cid").join(counts, "key").withColumn("col", deal("cols")).withColumn("row", F.explode(blocks("rows"))).join(sigs, "cid")
+    right = right.select(F.col("key").alias("list"), F.col("row").alias("list_row"), F.col("col").alias("list_col"), F.col("cid").alias("member"), F.col("sig").alias("member_sig"))
 
     def compare(key, one: pa.Table, two: pa.Table) -> pa.Table:
         if not len(one) or not len(two):
             return _edges([])
-        a, b = one["cid"].to_numpy(), two["cid"].to_numpy()
-        x, y = (t["sig"].combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t in (one, two))
+        a, b = one["cid"].to_numpy(), two["member"].to_numpy()
+        x, y = (c.combine_chunks().flatten().to_numpy().reshape(len(c), -1) for c in (one["sig"], two["member_sig"]))
         out = []
         for i in range(len(a)):
             hits = np.flatnonzero(((x[i] == y).sum(axis=1) >= matches) & (b != a[i]))
@@ -225,7 +226,7 @@ def _across(long_: DataFrame, far: DataFrame, sigs: DataFrame, matches: int) ->
         forest = _forest(len(ids), np.concatenate([np.array(same, int).reshape(-1, 2), *out]))
         return _edges([(int(ids[p]), int(ids[q])) for p, q in forest if ids[p] != ids[q]])
 
-    return left.groupBy("key", "row", "col").cogroup(right.groupBy("key", "row", "col")).applyInArrow(compare, "a long, b long")
+    return left.groupBy("key", "row", "col").cogroup(right.groupBy("list", "list_row", "list_col")).applyInArrow(compare, "a long, b long")
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFrame:
