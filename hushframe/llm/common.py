@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +16,63 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on, so that its arrays stay small.
 STEP_BYTES = 1 << 20
 
+_own: list[str] = []
+_written: dict[str, SparkSession] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir, which driver and executors share.
+
+    A folder of this process's own is used only where the session names none, as in tests.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="checkpoints-"))
+        root = _own[0]
+    return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+    """Cut the lineage: write a table in the shared folder and read it back.
 
-    A folder of this process's own is set only where the session names none, as in tests.
+    A lost executor costs nothing that was written. Unlike a checkpointed plan, a table read back brings along neither the
+    constraints nor the orderings of the plan it replaces, which multiply over the rounds of a loop, and its size is known,
+    so joins choose to broadcast by it. Tables go with `release`, or with the folder when the process ends.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `checkpoint` that nothing reads any more."""
+    for df in tables:
+        _delete(getattr(df, "_table", None))
+
+
+def _delete(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _leave() -> None:
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001, S112  the session may be gone already
+            break
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint
+from hushframe.llm.common import checkpoint, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = checkpoint(large)
+        release(least)
         least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         # An edge's larger end first; a node keeps its loop out.
-        at = checkpoint(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        was, at = at, checkpoint(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(was, large, least)
     own = at.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return own.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
