@@ -18,9 +18,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from hushframe.plans import conversations, detection, evaluation, payloads, streams  # noqa: F401  they register themselves
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
