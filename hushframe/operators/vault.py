@@ -130,17 +130,18 @@ def apply_minted(docs: DataFrame, found: DataFrame, minted: DataFrame, session:
     return touched.unionByName(plain).withColumn("modified", F.coalesce(F.col("sanitized") != F.col(text), F.lit(False))).drop("_pairs")
 
 
-def restore(texts: DataFrame, vault: DataFrame, session: str, text: str = "text") -> DataFrame:
-    """Put canonical surfaces back for known tokens; unknown ones stay: adds restored. vault: (session, placeholder, canonical)."""
-    rest = [c for c in texts.columns if c not in (text, session)]
-    keyed = texts.withColumn("_row", F.monotonically_increasing_id())
-    used = keyed.select("_row", session, F.explode(grammar.tokens(F.col(text))).alias("placeholder"))
-    pairs = used.join(vault.select(session, "placeholder", "canonical"), [session, "placeholder"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "canonical"))).alias("_map"))
+def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], text: str = "text") -> DataFrame:
+    """Put canonical surfaces back for known tokens; unknown ones stay: adds restored. vault: (session, placeholder, canonical).
+
+    keys tell the texts of a session apart.
+    """
+    used = texts.select(*keys, session, F.explode(grammar.tokens(F.col(text))).alias("placeholder"))
+    pairs = used.join(vault.select(session, "placeholder", "canonical"), [session, "placeholder"]).groupBy(*keys, session).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "canonical"))).alias("_map"))
     # Pieces between tokens and the tokens themselves, in turn.
     pieces = F.split(F.regexp_replace(F.col(text), f"({grammar.PLACEHOLDER})", "\x00$1\x00"), "\x00", -1)
     back = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_map", p), p)), "")
-    joined = keyed.join(pairs, "_row", "left")
-    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).select(*rest, session, text, "restored")
+    joined = texts.join(pairs, [*keys, session], "left")
+    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).drop("_map")
 
 
 def resolve_aliases(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def event_sequence(spark, sf_dir):
 
 
 @query("event_durations", """WITH s AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN {'id': event_id, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM events)
-SELECT user_id, event_id AS end_id, st.id AS start_id, greatest(0, epoch_ms(ts) - epoch_ms(st.ts)) AS duration_ms FROM s WHERE event_type = 'purchase' AND st IS NOT NULL""")
+SELECT user_id, event_id AS end_id, st.id AS start_id, greatest(0, (epoch_us(ts) // 1000) - (epoch_us(st.ts) // 1000)) AS duration_ms FROM s WHERE event_type = 'purchase' AND st IS NOT NULL""")
 def event_durations(spark, sf_dir):
     return report.durations(_events(spark, sf_dir), "user_id", "view", "purchase", "ts", "event_id", "event_type")
 
@@ -131,13 +131,13 @@ def turn_timeline(spark, sf_dir):
 
 
 @query("stage_counts", """SELECT event_type AS stage, count(*) AS n, count(*) FILTER (value > 10) AS succeeded, min(event_id) AS first_id, max(event_id) AS last_id,
-    epoch_ms(arg_max(ts, event_id)) - epoch_ms(arg_min(ts, event_id)) AS span_ms FROM events GROUP BY event_type""")
+    (epoch_us(arg_max(ts, event_id)) // 1000) - (epoch_us(arg_min(ts, event_id)) // 1000) AS span_ms FROM events GROUP BY event_type""")
 def stage_counts(spark, sf_dir):
     span = F.unix_millis(F.max_by("ts", "event_id")) - F.unix_millis(F.min_by("ts", "event_id"))
     return _events(spark, sf_dir).groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 10).alias("succeeded"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), span.alias("span_ms"))
 
 
-@query("idle_sessions", """SELECT user_id, epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(max(ts)) AS idle_ms, count(*) AS events FROM events GROUP BY user_id HAVING epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(max(ts)) >= 240 * 60000""")
+@query("idle_sessions", """SELECT user_id, epoch_us(TIMESTAMP '2024-01-31') // 1000 - (epoch_us(max(ts)) // 1000) AS idle_ms, count(*) AS events FROM events GROUP BY user_id HAVING epoch_us(TIMESTAMP '2024-01-31') // 1000 - (epoch_us(max(ts)) // 1000) >= 240 * 60000""")
 def idle_sessions(spark, sf_dir):
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     return history.idle(_events(spark, sf_dir), "user_id", "ts", now, 240).select("user_id", "idle_ms", "events")
@@ -145,19 +145,19 @@ def idle_sessions(spark, sf_dir):
 
 @query("session_gaps", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
-SELECT user_id, epoch_ms(min(ts)) AS first_ms, epoch_ms(max(ts)) AS last_ms, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY user_id, s""")
+SELECT user_id, (epoch_us(min(ts)) // 1000) AS first_ms, (epoch_us(max(ts)) // 1000) AS last_ms, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY user_id, s""")
 def session_gaps(spark, sf_dir):
     """Sessions that end after six idle hours, by the session window of event time."""
     found = _events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.unix_millis(F.min("ts")).alias("first_ms"), F.unix_millis(F.max("ts")).alias("last_ms"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return found.drop("session_window")
 
 
-@query("cron_next_run", """WITH j AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'at' ELSE 'every' END AS kind, epoch_ms(ts) AS at_ms, (value * 1000)::BIGINT AS every_ms FROM events), n AS (SELECT epoch_ms(TIMESTAMP '2024-01-15') AS now_ms)
-SELECT event_id, CASE WHEN kind = 'at' AND at_ms > now_ms THEN at_ms WHEN kind = 'every' AND every_ms > 0 THEN now_ms + every_ms END AS next_run_ms FROM j, n""")
+@query("cron_next_run", """WITH j AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'at' ELSE 'every' END AS kind, (epoch_us(ts) // 1000) AS at_ms, (value * 1000)::BIGINT AS every_ms FROM events), n AS (SELECT epoch_us(TIMESTAMP '2024-01-15') // 1000 AS now_ms)
+SELECT event_id, CASE WHEN kind = 'at' AND at_ms > now_ms THEN at_ms WHEN kind = 'every' AND every_ms > 0 THEN now_ms + every_ms END AS next_run_ms FROM j, n WHERE (kind = 'at' AND at_ms > now_ms) OR (kind = 'every' AND every_ms > 0)""")
 def cron_next_run(spark, sf_dir):
     kind = F.when(F.col("event_id") % 2 == 0, F.lit("at")).otherwise(F.lit("every"))
     now = F.unix_millis(F.lit("2024-01-15 00:00:00").cast("timestamp"))
-    return _events(spark, sf_dir).select("event_id", history.next_run(kind, F.unix_millis("ts"), F.round(F.col("value") * 1000).cast("long"), now).alias("next_run_ms"))
+    return _events(spark, sf_dir).select("event_id", history.next_run(kind, F.unix_millis("ts"), F.round(F.col("value") * 1000).cast("long"), now).alias("next_run_ms")).filter("next_run_ms is not null")
 
 
 @query("incremental_scan", "SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")

@@ -109,7 +109,7 @@ def restore_documents(spark, sf_dir):
     """Sanitise and restore: the texts as they were."""
     docs, found, minted = _sanitized(spark, sf_dir)
     clean = vault.apply_minted(docs, found, minted, "source", "doc_id").select("doc_id", "source", F.col("sanitized").alias("text"))
-    return vault.restore(clean, minted, "source").select("doc_id", F.col("restored"))
+    return vault.restore(clean, minted, "source", ["doc_id"]).select("doc_id", F.col("restored"))
 
 
 @query("vault_turns")
