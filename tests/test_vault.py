@@ -1,0 +1,80 @@
+import json
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from hushframe.operators.vault import Vault, replace_all
+from hushframe.plans.streams import run_once
+from hushframe.streaming.chunks import HOLD, Restorer, Sanitizer, entities, sanitize_stream
+
+
+def test_apply():
+    assert Vault().sanitize("Alice alice@example.com", [("Alice", "person", None), ("alice@example.com", "email", None)]) == "<<PERSON_1>> <<EMAIL_1>>"
+    assert Vault().sanitize("张伟明和张伟", [("张伟", "person", None), ("张伟明", "person", None)]).startswith("<<PERSON_1>>和")
+    v = Vault()
+    assert v.sanitize("Hello Alice", [("Alice", "person", None)]) == "Hello <<PERSON_1>>" and v.sanitize("Alice again", []) == "<<PERSON_1>> again"
+    assert v.counters == {"PERSON": 1}
+    assert Vault().sanitize("<<PERSON_1>> has 1 cat", [("1", "amount", 1.0)]) == "<<PERSON_1>> has <<AMOUNT_1>> cat"
+    assert Vault().sanitize("Amount is $<<AMOUNT_1>>", [("$<<AMOUNT_1>>", "amount", None)]) == "Amount is $<<AMOUNT_1>>"
+
+
+def test_aliases():
+    v = Vault()
+    assert v.token("Laurie Luo", "PERSON") == v.token("Laurie", "PERSON") == "<<PERSON_1>>"
+    assert v.token("An", "PERSON") == "<<PERSON_2>>"
+    assert v.token("Café X", "ORG") == v.token("Cafe X", "ORG")
+    v.token("Laurie Smith Jones", "PERSON")
+    assert v.known("Laurie", "PERSON") == "<<PERSON_1>>"
+    strict, loose = Vault(), Vault(strict=False)
+    assert strict.token("$1,200.50", "FINANCE") != strict.token("$120,050", "FINANCE")
+    assert loose.token("$1,200.50", "FINANCE") == loose.token("$120,050", "FINANCE")
+
+
+def test_restore():
+    v = Vault(canonical={"<<PERSON_10>>": "Bob", "<<PERSON_1>>": "Alice"})
+    assert v.restore("<<PERSON_10>> and <<PERSON_1>>, PERSON_1, <<PERSON_2>>") == "Bob and Alice, PERSON_1, <<PERSON_2>>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab<>_PERSON1 ", max_size=60), st.lists(st.sampled_from(["a", "ab", "aba", "PERSON", "b a"]), max_size=4))
+def test_replacing_never_breaks_tokens(text, surfaces):
+    pairs = [(s, f"<<X_{i}>>") for i, s in enumerate(dict.fromkeys(surfaces), 1)]
+    back = replace_all(text, pairs)
+    for s, t in pairs:
+        back = back.replace(t, s)
+    assert back == replace_all(text, []) or "<<X_" in text
+
+
+def test_stream_never_shows_an_entity():
+    secret = "someone.else@example.org"
+    whole = "plain words " * 300 + secret + " and more words" * 300
+    dice = random.Random(1)
+    for _ in range(40):
+        machine, out, at = Sanitizer(), [], 0
+        while at < len(whole):
+            n = dice.choice((1, 7, 100, 4096))
+            out.append(machine.feed(whole[at : at + n], at + n >= len(whole)))
+            at += n
+        joined = "".join(out)
+        assert secret not in joined and joined.count("<<EMAIL_1>>") == 1 and machine.vault.restore(joined) == whole
+    assert len(secret) < HOLD and entities(secret)[0][:2] == (secret, "email")
+
+
+def test_stream_restores_at_every_split():
+    text, known = "a <<PERSON_1>> b <<X_2>> c < d << e", {"<<PERSON_1>>": "Alice"}
+    want = Vault(canonical=known).restore(text)
+    for i in range(len(text)):
+        r = Restorer(known)
+        assert r.feed(text[:i]) + r.feed(text[i:], True) == want
+
+
+def test_sanitize_stream_takes_chunks_in_order(spark, tmp_path):
+    parts = [("s", 1, 1, "example.com bye", True), ("s", 1, 0, "write to me@", False), ("s", 2, 0, "nothing", True)]
+    for i, p in enumerate(parts):
+        (tmp_path / f"{i}.json").write_text(json.dumps(dict(zip(("session", "stream", "seq", "chunk", "last"), p, strict=True))))
+    stream = spark.readStream.schema("session string, stream long, seq long, chunk string, last boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    out = {}
+    for r in run_once(sanitize_stream(stream)).orderBy("stream", "seq").collect():
+        out[r.stream] = out.get(r.stream, "") + r.emitted
+    assert out == {1: "write to <<EMAIL_1>> bye", 2: "nothing"}
