@@ -74,7 +74,7 @@ class Model:
         for _ in range(1, self.order):  # value of the last n characters from that of the last n-1
             power = power * int(_STEP) & 0xFFFFFFFFFFFFFFFF
             longer = last.copy()
-            longer[len(raw) :] += codes[: len(codes) - len(raw)] * np.uint64(power)
+            longer[len(raw) :] += codes[: max(0, len(codes) - len(raw))] * np.uint64(power)
             raw.append(longer)
             last = longer
         out = np.zeros((len(codes), len(self.langs)))

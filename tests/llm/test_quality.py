@@ -38,7 +38,7 @@ def test_counts_match_brute_force_on_any_text(spark, texts):
 
 
 def test_verdicts(spark):
-    clean = " ".join(f"the word{i} of plain prose" for i in range(30))
+    clean = " ".join(f"the word{i} of plain{i} prose" for i in range(30))
     junk = " ".join(f"x{i}$$$ %%% ###" for i in range(60))
     repeated = "same line of words here\n" * 40
     rows, _ = measured(spark, [clean, junk, repeated, None])
