@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from hushframe.plans import conversations, detection, evaluation, payloads, streams  # noqa: F401  they register themselves
+    from hushframe.plans import conversations, detection, evaluation, payloads, streams, turns  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
