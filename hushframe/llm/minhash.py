@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import checkpoint, mix64, sequence_hash, steps, word_hashes
 from hushframe.llm.graph import components
 
-COORDS, MATCHES = 64, 36
+COORDS, MATCHES = 48, 25
 #: Posting lists up to SHORT are compared pair by pair; blocks of a long list or a large group hold about BLOCK classes.
 SHORT, BLOCK = 32, 512
 #: Up to so many documents in groups (ids, some MB) are broadcast to pick their texts; more are picked by a shuffle.
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     without words has an empty set, is linked with nothing and is its own component. Rows with a null doc_id take part; a
     component of null ids alone has component_id null and is kept. Rows that repeat a doc_id are judged each by its text.
     An empty table gives no rows. h1, h2: hash of the set, equal for equal sets. matches: equal coordinates (of coords)
-    from which a pair is confirmed; a pair with a similarity of 0.8 has fewer than 36 of 64 in about 2 of a million cases.
+    from which a pair is confirmed; a pair with a similarity of 0.8 has fewer than 25 of 48 in 3 of a million cases.
     """
     feats = checkpoint(features(docs, k, coords))
     some = feats.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig"))
