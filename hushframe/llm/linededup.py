@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint, mix64, steps, word_hashes
+from hushframe.llm.common import checkpoint, mix64, release, steps, word_hashes
 
 WORDS = 50
 #: Up to so many documents with deleted lines (a table of some ten MB) are broadcast to the texts; more are joined by shuffle.
@@ -113,7 +113,9 @@ def repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     spans = checkpoint(rows.join(suspects, "doc_id", "left_semi").select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*"))
     first = checkpoint(spans.groupBy("run").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).filter("n > 1").select("run", "origin"))
     later = spans.join(first, "run").filter("doc_id > origin or (doc_id = origin and not fresh)")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    gone = checkpoint(later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    release(rows, twice, suspects, spans, first)
+    return gone
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -122,7 +124,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     n_lines: lines of the text, 0 for null or empty text. Deleted lines go with their newline, all else stays as it was; a
     null text stays null. A row keeps its text if none of its lines is deleted. Repeated rows, ties: see `repeated`.
     """
-    gone = checkpoint(repeated(docs, words)).withColumnRenamed("doc_id", "_gone")
+    gone = repeated(docs, words).withColumnRenamed("doc_id", "_gone")
     small = gone.count() <= BROADCAST_DOCS
     df = docs.join(F.broadcast(gone) if small else gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_gone"), "left").drop("_gone")
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint, mix64, sequence_hash, steps, word_hashes
+from hushframe.llm.common import checkpoint, mix64, release, sequence_hash, steps, word_hashes
 from hushframe.llm.graph import components
 
 COORDS, MATCHES = 48, 25
@@ -173,8 +173,8 @@ def _matching(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", (equal >= matches).alias("near"))
 
 
-def candidates(classes: DataFrame, percent: int, coords: int, matches: int) -> tuple[DataFrame, DataFrame] | None:
-    """Edges (a, b) that keep classes(cid, n, sig) connected as all pairs with `matches` equal coordinates do, and the ids posted."""
+def candidates(classes: DataFrame, percent: int, coords: int, matches: int) -> DataFrame | None:
+    """Edges (a, b) that keep classes(cid, n, sig) connected as all pairs with `matches` equal coordinates do; None without any."""
     value = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)
     posts = classes.select("cid", "n", F.posexplode("sig")).select("cid", "n", value.alias("key"))
     shared = checkpoint(posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
@@ -186,9 +186,10 @@ def candidates(classes: DataFrame, percent: int, coords: int, matches: int) -> t
     sizes = checkpoint(posts.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("centre")).filter("m > 1"))
     if sizes.isEmpty():
         return None
-    posts = posts.join(sizes, "key")
+    kept, posts = posts, posts.join(sizes, "key")
     live = checkpoint(posts.select("cid").distinct())
     sigs = checkpoint(classes.select("cid", "sig").join(live, "cid", "left_semi"))
+    release(shared, live)
     short, long_ = posts.filter(F.col("m") <= SHORT), posts.filter(F.col("m") > SHORT)
     one, two = short.select("key", F.col("cid").alias("a"), F.col("n").alias("na")), short.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"))
     pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
@@ -198,7 +199,9 @@ def candidates(classes: DataFrame, percent: int, coords: int, matches: int) -> t
     far = tested.filter("spoke and not near").select(F.col("a").alias("centre"), F.col("b").alias("cid"))
     if not far.isEmpty():
         edges = edges.unionByName(_across(long_, far, sigs, matches))
-    return checkpoint(edges.distinct()), live
+    edges = checkpoint(edges.distinct())
+    release(kept, sizes, sigs, tested)
+    return edges
 
 
 def _across(long_: DataFrame, far: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
@@ -268,7 +271,9 @@ def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, per
             return _edges([(ids[i], ids[j]) for i, j in _forest(len(ids), found)])
 
         done = done.unionByName(cells.groupBy("grp", "row", "col").applyInArrow(across, "a long, b long"))
-    return checkpoint(done)
+    done = checkpoint(done)
+    release(groups, sizes, wanted, sets)
+    return done
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
@@ -285,16 +290,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int
     feats = checkpoint(features(docs, k, coords))
     some = feats.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig"))
     classes = checkpoint(some.withColumn("cid", F.monotonically_increasing_id()))
-    found = candidates(classes.select("cid", "n", "sig"), percent, coords, matches)
+    edges = candidates(classes.select("cid", "n", "sig"), percent, coords, matches)
     heads = classes.select("h1", "h2", F.col("doc").alias("component_id"))
-    if found is not None:
-        edges, _ = found
+    if edges is not None:
         linked = components(confirmed(docs, classes, edges, k, percent))
         named = linked.join(classes.select(F.col("cid").alias("node"), "doc"), "node")
         least = checkpoint(named.groupBy("component").agg(F.min("doc").alias("least")))
         named = checkpoint(named.join(least, "component").select(F.col("node").alias("cid"), "least"))
         heads = classes.join(named, "cid", "left").select("h1", "h2", F.coalesce("least", "doc").alias("component_id"))
     heads = checkpoint(heads)
+    release(classes, edges)
     out = feats.filter("n > 0").select("doc_id", "n", "h1", "h2").join(heads, ["h1", "h2"])
     out = out.unionByName(feats.filter("n = 0").select("doc_id", "n", "h1", "h2", F.col("doc_id").alias("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
