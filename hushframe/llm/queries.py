@@ -56,7 +56,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
