@@ -98,4 +98,7 @@ def judge(docs: DataFrame, rules=RULES, base=BASE_RULES, text: str = "text") ->
     No text or a text without words fails the base rules. Repeated rows are judged alike; an empty table stays empty.
     """
     all_hold = lambda table: reduce(lambda a, b: a & b, [r.holds() for r in table], F.lit(True))
-    return measure(docs, text).withColumn("base_failed", ~all_hold(base)).withColumn("kept", ~F.col("base_failed") & all_hold(rules))
+    judged = measure(docs, text).withColumn("base_failed", ~all_hold(base))
+    # A row number, always at least 0, keeps a filter on the verdict above the projections. Pushed below them it would repeat the
+    # splitting of a text for each of its words.
+    return judged.withColumn("kept", ~F.col("base_failed") & all_hold(rules) & (F.monotonically_increasing_id() >= 0))
