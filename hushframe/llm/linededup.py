@@ -118,20 +118,32 @@ def repeated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return gone
 
 
+def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
+    removed, kept = [], []
+    for t, own in zip(text, spans, strict=True):
+        t, own = t.as_py(), own.as_py()
+        lines = t.split("\n") if t else []
+        # Rows that share a doc_id may differ in length: numbers beyond a row's own lines are not its.
+        gone = {i for s in own or () for i in range(s["first"], min(s["last"] + 1, len(lines)))}
+        removed.append(sorted(gone))
+        kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else None)
+    return pa.StructArray.from_arrays([pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["removed", "kept"])
+
+
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """`docs` with repeated passages deleted from `text`: adds n_lines, removed (array of line numbers) and kept_text.
 
     n_lines: lines of the text, 0 for null or empty text. Deleted lines go with their newline, all else stays as it was; a
     null text stays null. A row keeps its text if none of its lines is deleted. Repeated rows, ties: see `repeated`.
     """
-    gone = repeated(docs, words).withColumnRenamed("doc_id", "_gone")
+    gone = repeated(docs, words).select(F.col("doc_id").alias("_gone"), F.col("spans").alias("_spans"))
     small = gone.count() <= BROADCAST_DOCS
     df = docs.join(F.broadcast(gone) if small else gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_gone"), "left").drop("_gone")
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    numbers = F.flatten(F.transform(F.col("spans"), lambda s: F.sequence(s["first"], s["last"])))
-    df = df.withColumn("_removed", F.when(F.col("spans").isNotNull(), F.array_sort(F.array_distinct(numbers))).otherwise(F.array().cast("array<int>")))
     df = df.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    # Rows that share a doc_id may differ in length: numbers beyond a row's own lines are not its.
-    df = df.withColumn("removed", F.filter("_removed", lambda i: i < F.col("n_lines")))
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("removed", i)), "\n")
-    return df.withColumn("kept_text", F.when(F.size("removed") > 0, left).otherwise(F.col("text"))).drop("spans", "_removed")
+    # Called non-deterministic so that no filter on its result is evaluated apart from it, which would cut every text twice.
+    cut = F.arrow_udf(_without, "struct<removed:array<int>,kept:string>").asNondeterministic()
+    # Only texts that lose lines go to Python; all others are null there.
+    df = df.withColumn("_cut", cut(F.when(F.col("_spans").isNotNull(), F.col("text").cast("string")), F.col("_spans")))
+    df = df.withColumn("removed", F.coalesce(F.col("_cut.removed"), F.array().cast("array<int>")))
+    return df.withColumn("kept_text", F.when(F.size("removed") > 0, F.col("_cut.kept")).otherwise(F.col("text"))).drop("_spans", "_cut")
