@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What may be a random secret: a long token with a digit and a letter; the models decide.
+#: What may be a random secret: any long token; the models decide.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
@@ -39,17 +39,34 @@ PARTS = (
     "les des pour dans avec sur tion ment développement environnement "
     "los las para con por ción mente desarrollo comunicación"
 ).split()
+#: Parts of syllables, of which the sample's long words are made: what words of several languages begin, go on and end with.
+ONSETS = ["", *"bl br ch cl cr dr fl fr gl gr h j k kl kn kr pf ph pl pr qu rh sc sch sh sk sl sp str sw th tr v w wh y z zw".split(), *"b c d f g h l m n p r s t v w st".split() * 6]
+NUCLEI = "y ai au ea eau ee ei eu ia ie io oa oi oo ou ue ui".split() + "a e i o u e".split() * 9
+CODAS = "b c ch ck ct d f ff g gh k ld ll ls lt m mp nd ng ns nt p pf rd rm rn rs rt sch sh ss st t th ts tt tz x z".split() + "l n r s t".split() * 7 + [""] * 70
 #: Sizes of the default sample: strings of each label.
 SAMPLE = 4000
 ORDER, SYMBOLS = 2, 64
-_ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_")
+_ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+_RULERS = "=-_/+" * 8 + "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def sample(n: int = SAMPLE, seed: int = 5) -> list[tuple[str, bool]]:
-    """n random strings (True) and n identifiers (False), by rule: letters drawn evenly from an alphabet, and joined PARTS."""
+    """n random strings (True) and n others (False), by rule.
+
+    Letters drawn evenly from an alphabet; joined PARTS, words of 4 to 14 syllables in three cases, and one character repeated.
+    """
     dice, out = random.Random(seed), []
     for _ in range(n):
         out.append(("".join(dice.choices(dice.choice(_ALPHABETS), k=dice.randint(20, 48))), True))
+        kind = dice.random()
+        if kind < 0.02:
+            out.append((dice.choice(_RULERS) * dice.randint(16, 80), False))
+            continue
+        if kind < 0.1:
+            word = "".join(dice.choice(ONSETS) + dice.choice(NUCLEI) + dice.choice(CODAS) for _ in range(dice.randint(4, 14)))
+            out.append((dice.choice((str, str, str.title, str.upper))(word), False))
+            continue
         parts = [dice.choice(PARTS) for _ in range(dice.randint(2, 6))]
         style = dice.randrange(6)
         if style == 0:
@@ -136,7 +153,7 @@ def model_spans(text: str, base: list[tuple[int, int, int]], models: Models, thr
     out = []
     for m in TOKEN.finditer(text):
         token = m.group()
-        if any("0" <= c <= "9" for c in token) and any("A" <= c <= "z" for c in token) and models.score(token) > threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
+        if models.score(token) > threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
             out.append((m.start(), 3, m.end()))
     return out
 

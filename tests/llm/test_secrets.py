@@ -40,3 +40,15 @@ def test_scan(spark):
     assert [(s.kind, s.start, s.end, s.base, s.secret) for s in rows[2]] == [("random", 6, 6 + len(key), False, key)]
     assert [s.kind for s in rows[3]] == ["assign"] and [s.kind for s in rows[5]] == ["access"] and rows[6][0].secret == "secret: hunter2hunter2"
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secrets_of_letters_alone_are_found():
+    import random
+    import string
+
+    dice, models = random.Random(4), secrets.default_models()
+    found = lambda tokens: sum(len(secrets.model_spans(f"x {t} y", [], models, 0.5)) for t in tokens)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        assert found("".join(dice.choices(letters, k=24)) for _ in range(500)) >= 490
+    words = "Kraftfahrzeughaftpflichtversicherung anticonstitutionnellement incomprehensibilities internationalization XMLHttpRequestEventTarget Donaudampfschifffahrtsgesellschaft"
+    assert not found([*words.split(), "=" * 40, "-" * 16, "_" * 30, "a" * 20, "1234567890123456"])
