@@ -2,8 +2,8 @@
 
 A model covers words with a mark at both ends, lower-cased, contexts not reaching over a word's start; so a word's
 log-probability depends on the word alone, and the words of a text can be counted before they are scored. The n-grams of
-all languages lie in one sorted array of 64-bit hashes per order, with a row of log-probabilities (one column a language)
-and a row of back-off weights beside it. The language with the lowest cross-entropy per character wins; its score is
+a group of languages lie in one sorted array of 64-bit hashes per order, with a row of log-probabilities (one column a
+language) and a row of back-off weights beside it; groups are small, so memory grows in proportion to the languages. The language with the lowest cross-entropy per character wins; its score is
 calibrated on texts held back from training, and `rejected` marks those scored below the calibrated bound.
 """
 
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import mix64
+from hushframe.llm.common import checkpoint, mix64, release
 
-#: Bounds of the labelled sample a model is fitted on: texts a language, languages, and kinds of n-grams kept a language.
-MAX_DOCS, MAX_LANGS, MAX_GRAMS = 600, 200, 60_000
+#: Bounds of the labelled sample a model is fitted on: texts a language, and kinds of n-grams kept a language.
+MAX_DOCS, MAX_GRAMS = 600, 60_000
+#: Languages that share a model's arrays.
+GROUP = 4
 ORDER = 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -96,10 +98,27 @@ class Model:
         return np.add.reduceat(out, begin, axis=0) if len(words) else np.zeros((0, len(self.langs)))
 
 
-def kneser_ney(grams: dict[str, dict[str, int]], order: int, discount: float = 0.75) -> Model:
+@dataclass
+class Models:
+    """Models of groups of languages side by side."""
+
+    parts: list[Model]
+    floor: float = 0.0
+    slope: float = 1.0
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for m in self.parts for lang in m.langs]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([m.words(words) for m in self.parts], axis=1)
+
+
+def kneser_ney(grams: dict[str, dict[str, int]], order: int, discount: float = 0.75, characters: int | None = None) -> Model:
     """A model from counts of n-grams up to `order` of each language: lang -> gram -> count.
 
-    The highest order (and grams from a word's start) uses counts, the lower ones the number of different characters before.
+    characters: size of the alphabet if other groups of languages add to it; by default that of `grams`. A language's
+    probabilities don't depend on the others in its group: where it lacks an n-gram, it backs off. The highest order (and grams from a word's start) uses counts, the lower ones the number of different characters before.
     """
     langs = sorted(grams)
     effective: list[dict[str, Counter]] = []
@@ -113,8 +132,9 @@ def kneser_ney(grams: dict[str, dict[str, int]], order: int, discount: float = 0
             if g != "\x02":
                 counts.setdefault(g[:-1], Counter())[g[-1]] = c if len(g) == order or g[0] == "\x02" else max(before[g], 1)
         effective.append(counts)
-    alphabet = {g[-1] for counts in grams.values() for g in counts if g != "\x02"}
-    uniform = 1.0 / (len(alphabet) + 1)
+    if characters is None:
+        characters = len({g[-1] for counts in grams.values() for g in counts if g != "\x02"})
+    uniform = 1.0 / (characters + 1)
     everything = sorted({g for counts in grams.values() for g in counts}, key=len)
     probability = [dict() for _ in langs]
     weights = [{} for _ in langs]
@@ -154,7 +174,10 @@ def grams_of(word: str, order: int) -> Iterator[str]:
 
 
 def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 3) -> DataFrame:
-    """Up to max_docs rows of each label of docs(doc_id, text, lang), the first by a hash of the row; a documented bound."""
+    """Up to max_docs rows of each label of docs(doc_id, text, lang), the first by a hash of the row; a documented bound.
+
+    calibrates: a fifth of them, by another hash; none of a label whose texts would all be in it, so that every label is learned.
+    """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "half"))
     marked = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).withColumn("half", F.xxhash64("text", F.lit(seed + 1)))
@@ -162,17 +185,19 @@ def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 3) ->
     bins = marked.withColumn("bin", F.pmod("half", F.lit(64)))
     thin = F.row_number().over(Window.partitionBy("lang", "bin").orderBy("h", "half"))
     keys = bins.select("lang", "h", "half", "bin").withColumn("r", thin).filter(F.col("r") <= max_docs).withColumn("k", rank).filter(F.col("k") <= max_docs)
+    fifth = F.pmod("half", F.lit(5)) == 0
+    keys = keys.withColumn("calibrates", fifth & ~F.min(fifth).over(Window.partitionBy("lang")))
     # At most max_docs keys a label: a bounded table, so texts aren't shuffled to find the few that are kept.
-    return marked.join(F.broadcast(keys.select("lang", "h", "half").distinct()), ["lang", "h", "half"]).dropDuplicates(["lang", "h", "half"])
+    return marked.join(F.broadcast(keys.select("lang", "h", "half", "calibrates").distinct()), ["lang", "h", "half"]).dropDuplicates(["lang", "h", "half"])
 
 
-def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS, seed: int = 3) -> Model:
+def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, seed: int = 3) -> Models:
     """Fit on a bounded sample of docs(text, lang): whole texts of up to max_docs rows a label; a fifth calibrates the score.
 
-    Rows with a null text or label teach nothing. Of a label's n-grams the max_grams commonest are kept; with more than
-    max_langs labels the first in order are learned. Without any labelled row there is no model: ValueError.
+    Rows with a null text or label teach nothing. Of a label's n-grams the max_grams commonest are kept.
+    Every label is learned, GROUP at a time. Without any labelled row there is no model: ValueError.
     """
-    rows = labelled_sample(docs, max_docs, seed).withColumn("calibrates", F.pmod("half", F.lit(5)) == 0)
+    rows = labelled_sample(docs, max_docs, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -191,20 +216,25 @@ def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_grams
 
     counted = rows.filter("not calibrates").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.length("gram"), F.col("n").desc(), F.col("gram"))
-    langs = sorted(r[0] for r in docs.select(F.col("lang").cast("string")).filter("lang is not null").distinct().limit(max_langs + 1).collect())[:max_langs]
-    kept = counted.filter(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "gram", "n")
-    grams: dict[str, dict[str, int]] = {}
-    for lang, gram, n in kept.collect():  # at most max_langs * max_grams rows
-        grams.setdefault(lang, {})[gram] = n
-    if not grams:
+    kept = checkpoint(counted.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "gram", "n"))
+    langs = sorted(r[0] for r in kept.select("lang").distinct().collect())
+    if not langs:
         raise ValueError("no labelled text to learn from")
-    model = kneser_ney(grams, order)
+    characters = kept.filter(F.col("gram") != "\x02").select(F.right("gram", F.lit(1))).distinct().count()
+    parts = []
+    for i in range(0, len(langs), GROUP):
+        grams: dict[str, dict[str, int]] = {}
+        for lang, gram, n in kept.filter(F.col("lang").isin(langs[i : i + GROUP])).collect():  # at most GROUP labels' rows
+            grams.setdefault(lang, {})[gram] = n
+        parts.append(kneser_ney(grams, order, characters=characters))
+    release(kept)
+    model = Models(parts)
     margins = score_texts(rows.filter("calibrates").select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), model).filter(F.col("lang_pred") != UNKNOWN)
-    pairs = [(m, p == t) for m, p, t in margins.select("margin", "lang_pred", "lang").limit(max_docs * len(langs)).collect()]
+    pairs = [(m, p == t) for m, p, t in margins.select("margin", "lang_pred", "lang").collect()]  # at most max_docs rows a label
     return calibrate(model, pairs)
 
 
-def calibrate(model: Model, pairs: list[tuple[float, bool]]) -> Model:
+def calibrate(model: Models, pairs: list[tuple[float, bool]]) -> Models:
     """Set the score's slope by likelihood over (margin, right?) and the rejection bound at the best balance of both errors."""
     if not pairs:
         return model
@@ -222,12 +252,15 @@ def calibrate(model: Model, pairs: list[tuple[float, bool]]) -> Model:
     return model
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, model: Models) -> DataFrame:
     """docs(doc_id, text, lang) with lang_pred, score (0 to 1), margin (nats a character to the second best) and rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
-        table, lengths = np.zeros((0, len(model.langs))), np.zeros(0)
+        langs = model.langs
+        table, lengths = np.zeros((0, len(langs))), np.zeros(0)
+        # With many languages, fewer texts at once and fewer words in the cache.
+        step, cache = max(1, min(256, 2048 // len(langs))), _CACHE * 4 // max(4, len(langs))
 
         def judge(rows: list[int]) -> tuple:
             size = lengths[rows].sum() if rows else 0.0
@@ -236,12 +269,12 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             entropy = -table[rows].sum(axis=0) / size
             order = np.argsort(entropy, kind="stable")
             margin = float(entropy[order[1]] - entropy[order[0]]) if len(order) > 1 else 0.0
-            return model.langs[order[0]], 1 / (1 + math.exp(-min(model.slope * margin, 50.0))), margin, margin < model.floor
+            return langs[order[0]], 1 / (1 + math.exp(-min(model.slope * margin, 50.0))), margin, margin < model.floor
 
         for whole in batches:
-            for first in range(0, len(whole), 256):
-                batch = whole.slice(first, 256)
-                if len(place) > _CACHE:
+            for first in range(0, len(whole), step):
+                batch = whole.slice(first, step)
+                if len(place) > cache:
                     place, table, lengths = {}, table[:0], lengths[:0]
                 texts, new = [], []
                 for value in batch.column(1):
@@ -265,7 +298,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long{rest}, lang_pred string, score double, margin double, rejected boolean")
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Models) -> DataFrame:
     """The language of each whole text: (doc_id, lang_pred, score, margin, rejected), a row per row of docs.
 
     lang_pred is a learned label, or `und` with score 0 if the text is null or has no letter. Nothing but the text is read.

@@ -73,3 +73,22 @@ def test_no_labels(spark):
 def test_sample_is_bounded(spark):
     rows = spark.range(500).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
     assert langid.labelled_sample(rows, 50).count() == 50
+
+
+def test_no_label_is_dropped(spark):
+    # 205 labels, each with a word of two letters of its own
+    rows = [(" ".join([chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i)] * 3 + [str(k)]), f"l{i:03d}") for i in range(205) for k in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == sorted({lang for _, lang in rows})
+    docs = spark.createDataFrame([(i, rows[4 * i][0]) for i in range(205)], "doc_id long, text string")
+    assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in langid.predict(docs, model).collect())
+
+
+def test_groups_of_languages_score_like_one_model():
+    words = {"a": ["the", "cat", "then"], "b": ["der", "hund", "den"], "c": ["le", "chat", "les"]}
+    grams = {lang: counts(ws) for lang, ws in words.items()}
+    whole = langid.kneser_ney(grams, 3)
+    size = len({g[-1] for c in grams.values() for g in c if g != "\x02"})
+    parts = langid.Models([langid.kneser_ney({k: grams[k] for k in ks}, 3, characters=size) for ks in ("ab", "c")])
+    some = ["the", "hat", "lesen", "xyz", "chund"]
+    assert parts.langs == whole.langs and abs(parts.words(some) - whole.words(some)).max() < 1e-9
