@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGE = "role string, content string, timestamp string, tool_call_id string, name string, tool_calls array<struct<id:string,name:string>>"
+#: What follows the content of a cut history entry.
+CUT = "\n... (truncated)"
 METADATA = "created_at string, updated_at string, last_consolidated long"
 
 
@@ -36,11 +38,12 @@ def write_sessions(messages: DataFrame, path: str) -> None:
     messages.repartition("session").sortWithinPartitions("session", "idx").write.mode("overwrite").partitionBy("session").json(path)
 
 
-def append_history(history: DataFrame, new: DataFrame, order: str, limit: int = 16_000) -> DataFrame:
-    """New entries(content, ...) with cursors after the history's last, contents cut to `limit`."""
+def append_history(history: DataFrame, new: DataFrame, order: str, limit: int = 64_000) -> DataFrame:
+    """New entries(content, ...) with cursors after the history's last, contents cut to `limit`; cut ones end with CUT."""
     last = history.agg(F.coalesce(F.max(F.col("cursor").try_cast("long")), F.lit(0)).alias("_last"))
     number = F.row_number().over(Window.orderBy(order))
-    return new.join(F.broadcast(last)).withColumn("cursor", F.col("_last") + number).withColumn("content", F.left("content", F.lit(limit))).drop("_last")
+    content = F.when(F.length("content") > limit, F.concat(F.left("content", F.lit(limit)), F.lit(CUT))).otherwise(F.col("content"))
+    return new.join(F.broadcast(last)).withColumn("cursor", F.col("_last") + number).withColumn("content", content).drop("_last")
 
 
 def valid_entries(history: DataFrame) -> DataFrame:

@@ -21,6 +21,13 @@ def test_history_cursor(spark):
     assert [r.content for r in sessions.unread(history, 1).collect()] == ["c"]
 
 
+def test_long_history_entries(spark):
+    history = spark.createDataFrame([("1", "a")], "cursor string, content string")
+    new = spark.createDataFrame([("x" * 20_000 + "end", 1), ("y" * 64_000, 2), ("z" * 64_001, 3), (None, 4)], "content string, at int")
+    got = [r.content for r in sessions.append_history(history, new, "at").orderBy("at").collect()]
+    assert got == ["x" * 20_000 + "end", "y" * 64_000, "z" * 64_000 + sessions.CUT, None]
+
+
 def test_data_urls(spark):
     url = "data:text/plain;charset=utf-8;base64," + base64.b64encode("grüße".encode()).decode()
     df = spark.createDataFrame([(url,), ("http://x",), ("data:image/png;base64,AAAA",)], "url string")
