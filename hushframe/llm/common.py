@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,11 @@ SPACE_BYTES = (9, 10, 11, 12, 13, 32)
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on, so that its arrays stay small.
 STEP_BYTES = 1 << 20
+#: A table of decisions is broadcast up to so many bytes, estimated from its counted rows; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _own: list[str] = []
-_written: dict[str, SparkSession] = {}
+_written: dict[str, tuple[SparkSession, int]] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -27,10 +31,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which driver and executors share.
 
-    A folder of this process's own is used only where the session names none, as in tests.
+    A folder of this process's own is used only where the session names none and runs in one process, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="checkpoints-"))
         root = _own[0]
@@ -47,7 +53,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written[path] = spark
+    _written[path] = (spark, threading.get_ident())
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     return out
@@ -59,8 +65,40 @@ def release(*tables: DataFrame) -> None:
         _delete(getattr(df, "_table", None))
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """`checkpoint` of what make() returns; every other table that make wrote on the way is deleted."""
+    before = set(_written)
+    out = checkpoint(make())
+    for path, (_, thread) in list(_written.items()):
+        if path not in before and path != out._table and thread == threading.get_ident():
+            _delete(path)
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, made from `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def marks(column: str = "text") -> list:
+    """Two independent 64-bit hashes m1, m2 of a text column, computed alike wherever a row's key is needed."""
+    text = F.col(column).cast("string")
+    return [F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(7), text).alias("m2")]
+
+
+def numbered(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row `n` times (none for 0), with `name` from 0 to n - 1; made in two steps, so that no row builds an array of n values."""
+    size, block = 1 << 12, free_name(df, "_block")
+    df = df.filter(F.col(n) > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / size))))
+    count = F.least(F.lit(size).cast("long"), F.col(n) - F.col(block) * size)
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn(name, F.col(name) + F.col(block) * size).drop(block)
+
+
 def _delete(path: str | None) -> None:
-    spark = _written.pop(path, None)
+    spark, _ = _written.pop(path, (None, 0))
     if spark is not None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

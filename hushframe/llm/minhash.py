@@ -5,11 +5,15 @@
    alone holds match nothing and are skipped; a class left with fewer than `matches` postings can't reach that many
    matches and is skipped whole.
 3. Prefix: two classes with `matches` equal coordinates share one of the `coords - matches + 1` rarest postings of each.
-   Within such a posting list, short lists are compared pair by pair. Of a long list every class is compared with one
-   centre; only classes that don't match it are compared with the rest, in blocks. Either way nothing that could match is
-   left out, while a group of mutual matches costs one comparison a member instead of all pairs.
-4. Classes joined by matches form groups. Inside a group, links are confirmed on the full sets, a large group block by
-   block. A block returns a spanning forest of its links, which leaves the components as they are.
+   Only these lists are merged. The other, longer lists of a pair are skipped through: whether they hold both classes is
+   read off the two signatures at their coordinate, and the collisions of all coordinates are counted there. Within the
+   prefix, short lists are merged pair by pair. Of a long list every class is counted against one centre; only classes
+   that don't match it are counted against the rest, in blocks. Either way nothing that could match is left out, while a
+   group of mutual matches costs one count a member instead of all pairs.
+4. Classes joined by matches form groups. Inside a group, links are confirmed on the full sets. In a large group every
+   class is first confirmed against a few pivots; the classes that hang together this way are done, and only the others
+   are compared with the whole group, in blocks. A block returns a spanning forest of its links, which leaves the
+   components as they are.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint, mix64, release, sequence_hash, steps, word_hashes
+from hushframe.llm.common import BROADCAST_BYTES, checkpoint, free_name, marks, mix64, release, sequence_hash, settled, steps, word_hashes
 from hushframe.llm.graph import components
 
 COORDS, MATCHES = 48, 25
 #: Posting lists up to SHORT are compared pair by pair; blocks of a long list or a large group hold about BLOCK classes.
 SHORT, BLOCK = 32, 512
+#: Classes of a large group that all others are confirmed against first.
+PIVOTS = 4
 #: Up to so many documents in groups (ids, some MB) are broadcast to pick their texts; more are picked by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -73,11 +79,11 @@ def signature(members: np.ndarray, coords: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *marks())
 
 
 def features(docs: DataFrame, k: int, coords: int = COORDS) -> DataFrame:
-    """(doc_id, n, h1, h2, sig) of each row: size and 128-bit hash of its shingle set, and its signature (empty for an empty set)."""
+    """(doc_id, m1, m2, n, h1, h2, sig) of each row: hash of its text, size and hash of its shingle set (128 bits each), and its signature (empty for an empty set)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,10 +98,10 @@ def features(docs: DataFrame, k: int, coords: int = COORDS) -> DataFrame:
                         flat.append(signature(s, coords))
                     at.append(at[-1] + coords * bool(len(s)))
             sig = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)) for h in (h1, h2)), sig]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "sig"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), *(pa.array(np.concatenate(h) if h else np.zeros(0, np.int64)) for h in (h1, h2)), sig]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "m1", "m2", "n", "h1", "h2", "sig"])
 
-    return _texts(docs).mapInArrow(read, "doc_id long, n long, h1 long, h2 long, sig array<int>")
+    return _texts(docs).mapInArrow(read, "doc_id long, m1 long, m2 long, n long, h1 long, h2 long, sig array<int>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -255,52 +261,127 @@ def confirmed(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, per
         return _edges(out)
 
     done = small.groupBy("bin").applyInArrow(inside, "a long, b long")
-    blocks = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")
-    big = sets.filter(F.col("g") > BLOCK).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    big = sets.filter(F.col("g") > BLOCK)
     if not big.isEmpty():
-        other = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = other.withColumn("row", F.least("own", "other")).withColumn("col", F.greatest("own", "other")).select("grp", "row", "col", "own", "cid", "members")
-
-        def across(table: pa.Table) -> pa.Table:
-            table = table.sort_by("own")
-            ids, own = table["cid"].to_pylist(), table["own"].to_numpy()
-            left = int((own == own[0]).sum())
-            if left == len(own) and table["row"][0].as_py() != table["col"][0].as_py():
-                return _edges([])  # the other block is empty
-            found = links(_members(table["members"]), percent, left if left < len(own) else None)
-            return _edges([(ids[i], ids[j]) for i, j in _forest(len(ids), found)])
-
-        done = done.unionByName(cells.groupBy("grp", "row", "col").applyInArrow(across, "a long, b long"))
+        done = done.unionByName(_large(big, percent))
     done = checkpoint(done)
     release(groups, sizes, wanted, sets)
     return done
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
-    """Component of each row of docs(doc_id, text): (doc_id, n_shingles, component_id, kept, h1, h2).
+def _large(big: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets(cid, grp, g, members) that keep the classes of each group connected as all its links do."""
+    one = lambda i: F.min_by("cid", F.xxhash64("cid", F.lit(i)))
+    picked = big.groupBy("grp", "g").agg(F.array(*[one(i) for i in range(PIVOTS)]).alias("p"))
+    picked = picked.select("grp", "g", F.explode(F.array_distinct("p")).alias("cid"))
+    pivots = picked.join(big.select("cid", "members"), "cid")
+    parts = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")
+    left = big.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).select("grp", "part", "cid", "members")
+    right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("grp").alias("group"), F.col("part").alias("slot"), F.col("cid").alias("pivot"), F.col("members").alias("pivot_members"))
 
-    Texts are lower-cased (A-Z) and cut into words at space, \\t, \\n, \\v, \\f and \\r; the set of a text holds its
-    different shingles of k words, with fewer words the whole sequence as one. Texts whose sets have
-    100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable. A null text or one
-    without words has an empty set, is linked with nothing and is its own component. Rows with a null doc_id take part; a
-    component of null ids alone has component_id null and is kept. Rows that repeat a doc_id are judged each by its text.
-    An empty table gives no rows. h1, h2: hash of the set, equal for equal sets. matches: equal coordinates (of coords)
-    from which a pair is confirmed; a pair with a similarity of 0.8 has fewer than 25 of 48 in 3 of a million cases.
-    """
+    def near_pivots(key, table: pa.Table, pivots: pa.Table) -> pa.Table:
+        ids, sets = table["cid"].to_numpy(), _members(table["members"])
+        sizes = np.array([len(s) for s in sets], np.int64)
+        out = []
+        if len(ids):
+            flat, at = np.concatenate(sets), np.cumsum(sizes) - sizes
+            for pivot, own in zip(pivots["pivot"].to_pylist(), _members(pivots["pivot_members"]), strict=True):
+                same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(same.astype(np.int64), at)
+                hits = ids[100 * common >= percent * (sizes + len(own) - common)]
+                out.extend((pivot, i) for i in hits.tolist() if i != pivot)
+        return _edges(out)
+
+    stars = checkpoint(left.groupBy("grp", "part").cogroup(right.groupBy("group", "slot")).applyInArrow(near_pivots, "a long, b long"))
+    # The largest connected part of each group is its core; what isn't in it is compared with all of its group.
+    named = components(stars).select(F.col("node").alias("cid"), F.col("component").alias("star"))
+    starred = checkpoint(big.select("cid", "grp").join(named, "cid", "left").withColumn("star", F.coalesce("star", "cid")))
+    cores = starred.groupBy("grp", "star").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("star", F.struct("n", "star")).alias("core"))
+    rest = checkpoint(starred.join(cores, "grp").filter("star <> core").select("cid"))
+    if rest.isEmpty():
+        return stars
+    rows = big.join(rest, "cid", "left_semi")
+    cells = checkpoint(rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_rows"), F.max(parts).alias("n_cols")))
+    blocks = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    deal = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
+    one_side = rows.join(cells, "grp").withColumn("row", deal("n_rows", 1)).withColumn("col", F.explode(blocks("n_cols"))).select("grp", "row", "col", "cid", "members")
+    other = big.join(cells, "grp").withColumn("col", deal("n_cols", 2)).withColumn("row", F.explode(blocks("n_rows")))
+    other = other.select(F.col("grp").alias("group"), F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), F.col("cid").alias("member"), F.col("members").alias("member_set"))
+
+    def across(key, table: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(table) or not len(others):
+            return _edges([])
+        # A class may stand on both sides: it is linked with itself there, which joins its two places.
+        ids = [*table["cid"].to_pylist(), *others["member"].to_pylist()]
+        found = links(_members(table["members"]) + _members(others["member_set"]), percent, len(table))
+        return _edges([(ids[i], ids[j]) for i, j in _forest(len(ids), found) if ids[i] != ids[j]])
+
+    both = one_side.groupBy("grp", "row", "col").cogroup(other.groupBy("group", "cell_row", "cell_col"))
+    return stars.unionByName(both.applyInArrow(across, "a long, b long"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, coords: int, matches: int) -> DataFrame:
+    """(doc_id, m1, m2, n, h1, h2, component_id, cluster) of each row; cluster names its group, null for an empty set."""
     feats = checkpoint(features(docs, k, coords))
     some = feats.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig"))
     classes = checkpoint(some.withColumn("cid", F.monotonically_increasing_id()))
     edges = candidates(classes.select("cid", "n", "sig"), percent, coords, matches)
-    heads = classes.select("h1", "h2", F.col("doc").alias("component_id"))
+    heads = classes.select("h1", "h2", F.col("doc").alias("component_id"), F.col("cid").alias("cluster"))
     if edges is not None:
         linked = components(confirmed(docs, classes, edges, k, percent))
         named = linked.join(classes.select(F.col("cid").alias("node"), "doc"), "node")
         least = checkpoint(named.groupBy("component").agg(F.min("doc").alias("least")))
-        named = checkpoint(named.join(least, "component").select(F.col("node").alias("cid"), "least"))
-        heads = classes.join(named, "cid", "left").select("h1", "h2", F.coalesce("least", "doc").alias("component_id"))
+        named = checkpoint(named.join(least, "component").select(F.col("node").alias("cid"), "least", "component"))
+        heads = classes.join(named, "cid", "left")
+        heads = heads.select("h1", "h2", F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "cid").alias("cluster"))
     heads = checkpoint(heads)
     release(classes, edges)
-    out = feats.filter("n > 0").select("doc_id", "n", "h1", "h2").join(heads, ["h1", "h2"])
-    out = out.unionByName(feats.filter("n = 0").select("doc_id", "n", "h1", "h2", F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", "m1", "m2", "n", "h1", "h2"]
+    out = feats.filter("n > 0").select(columns).join(heads, ["h1", "h2"])
+    empty = feats.filter("n = 0").select(*columns, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("cluster"))
+    return out.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
+    """Component of each row of docs(doc_id, text): (doc_id, n_shingles, component_id, kept, h1, h2).
+
+    Texts are lower-cased (A-Z) and cut into words at space, \\t, \\n, \\v, \\f and \\r; the set of a text holds its
+    different shingles of k words, with fewer words the whole sequence as one. Texts whose sets have
+    100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable. A null text or one
+    without words has an empty set, is linked with nothing and is its own component. Rows with a null doc_id take part; a
+    component of null ids alone has component_id null and is kept. Rows that repeat a doc_id are judged each by its text.
+    An empty table gives no rows; other columns are ignored. h1, h2: hash of the set, equal for equal sets. matches: equal
+    coordinates (of coords) from which a pair is confirmed; a pair with a similarity of 0.8 has fewer than 25 of 48 in 3 of
+    a million cases.
+    """
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "h1", "h2")
+    return _grouped(docs, k, percent, coords, matches).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "h1", "h2")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: of its smallest doc_id (null only if all are), the text of smallest hash.
+
+    Groups as of `near_duplicates`. Rows equal in doc_id and text count as one row, of which one stays, also where the text
+    is null or has no word; other rows without words all stay. An empty table stays empty; all columns are kept as they
+    are. The decision is made on keys; texts are shuffled only if the rows to drop are too many to broadcast.
+    """
+
+    def decide() -> DataFrame:
+        rows = _grouped(docs.select("doc_id", "text"), k, percent, coords, matches)
+        unit = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m1", "m2")
+        units = rows.groupBy("doc_id", "m1", "m2", "cluster").agg(F.count("*").alias("copies"))
+        heads = units.filter("cluster is not null").groupBy("cluster").agg(F.min(unit).alias("head"))
+        judged = units.join(heads, "cluster", "left").withColumn("stays", F.col("head").isNull() | F.col("head").eqNullSafe(unit))
+        # Only rows that go, or are there more than once, need a word.
+        return judged.filter("not stays or copies > 1").select("doc_id", "m1", "m2", "stays")
+
+    decided = settled(decide)
+    doc, one, two, stays = (free_name(docs, n) for n in ("_doc", "_one", "_two", "_stays"))
+    decided = decided.select(F.col("doc_id").alias(doc), F.col("m1").alias(one), F.col("m2").alias(two), F.col("stays").alias(stays))
+    if decided.count() * 64 <= BROADCAST_BYTES:
+        decided = F.broadcast(decided)
+    m1, m2 = marks()
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (m1 == F.col(one)) & (m2 == F.col(two))
+    marked = docs.join(decided, on, "left")
+    once = marked.filter(F.col(stays)).dropDuplicates([doc, one, two]).select(*docs.columns)
+    return marked.filter(F.col(stays).isNull()).select(*docs.columns).unionByName(once)

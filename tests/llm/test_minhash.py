@@ -81,3 +81,33 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:900], dice.integers(0, 2**63, 100).astype(np.uint64)])
     same = np.mean([np.mean(minhash.signature(a ^ np.uint64(s), 64) == minhash.signature(b ^ np.uint64(s), 64)) for s in range(60)])
     assert abs(same - 900 / 1100) < 0.03
+
+
+def test_recall_at_the_threshold():
+    # pairs of word-pair sets at a similarity of just 0.8, of many sizes; a pair is found if enough coordinates match
+    dice, missed, total = np.random.default_rng(9), 0, 0
+    for n in (9, 18, 90, 450, 1800):
+        for _ in range(600):
+            words = np.unique(dice.integers(0, 2**63, n * 12 // 9 + 9).astype(np.uint64))
+            dice.shuffle(words)
+            shared, own = n * 8 // 9, n // 9
+            a, b = words[: shared + own], np.concatenate([words[:shared], words[shared + own : shared + 2 * own]])
+            assert 100 * shared >= 80 * (shared + 2 * own)
+            total += 1
+            missed += (minhash.signature(a, minhash.COORDS) == minhash.signature(b, minhash.COORDS)).sum() < minhash.MATCHES
+    assert total == 3000 and missed <= 2
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    near = a.replace("a39", "other")
+    rows = [(1, a, 0), (3, near, 1), (3, b, 2), (3, b, 3), (4, b.upper().replace("B", "b"), 4), (None, c, 5), (None, c + " ", 6), (None, c, 7), (9, "", 8), (9, "", 9), (10, None, 10), (11, " ", 11)]
+    df = spark.createDataFrame([(d, t, i, "x") for d, t, i in rows], "doc_id long, text string, m1 int, _stays string")
+    for limit in (minhash.BROADCAST_BYTES, -1):  # the decisions broadcast, and joined by shuffle
+        minhash.BROADCAST_BYTES, before = limit, minhash.BROADCAST_BYTES
+        got = minhash.keep_one(df)
+        assert got.columns == df.columns
+        out = sorted((r.doc_id or 0, r.m1) for r in got.collect())
+        minhash.BROADCAST_BYTES = before
+        assert len(out) == 6 and out[1] == (1, 0) and out[2] in ((3, 2), (3, 3)) and out[0][1] in (5, 6, 7) and [d for d, _ in out[3:]] == [9, 10, 11]
+    assert minhash.keep_one(df.limit(0)).count() == 0
