@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import linededup, minhash, mixing, packing, quality
-from hushframe.llm.common import checkpoint, table
+from hushframe.llm.common import release, settled, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,10 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id (of repeated rows, one)."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    heads = checkpoint(groups.filter("kept").select("doc_id").distinct()).withColumnRenamed("doc_id", "_kept")
-    return docs.select(*COLUMNS).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates: that of the smallest doc_id. Nulls, ties, repeated rows: see `minhash.keep_one`."""
+    return minhash.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents; between two stages the rows are checkpointed, as they would be written and reread."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = checkpoint(docs)
+        before = docs
+        docs = stage(spark, docs, sf_dir) if i + 1 == len(STAGES) else settled(lambda: stage(spark, before, sf_dir))  # noqa: B023  called at once
+        if 0 < i < len(STAGES) - 1:
+            release(before)
     return docs
