@@ -85,3 +85,17 @@ def test_runs_cover_every_passage(sizes, least):
         for b in range(a, len(sizes)):
             inside = {i for f, t in spans if a <= f and t <= b for i in range(f, t + 1)}
             assert inside == (set(range(a, b + 1)) if sum(sizes[a : b + 1]) >= least else set())
+
+
+def test_shared_and_null_ids_keep_what_occurs_once(spark):
+    passage = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    own = [(None, f"head {k}\n{passage(k)}\ntail {k}") for k in "abc"] + [(7, f"{passage('d')}\n{passage('e')}"), (7, f"one\ntwo\n{passage('f')}")]
+    rows = [*own, (None, f"late\n{passage('a')}"), (8, f"{passage('f')}\nend"), (None, f"last\n{passage('d')}")]
+    df = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, _spans int, _cut string")
+    out = {r["_spans"]: r for r in linededup.dedup(df, 50).collect()}
+    assert len(out) == len(rows) and out[0]["_cut"] == "x"
+    # rows of one id are documents of their own: only what occurred before goes
+    assert [out[i].removed for i in (1, 2, 3, 4, 6, 7)] == [[], [], [], [], [0], [1]]
+    # the passage shared by two rows with a null id stays in one of them
+    assert sorted(map(tuple, (out[0].removed, out[5].removed))) == [(), (1,)]
+    assert all((r.kept_text == rows[i][1]) == (not r.removed) for i, r in out.items())
