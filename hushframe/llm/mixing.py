@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint
+from hushframe.llm.common import BROADCAST_BYTES, checkpoint, free_name, marks, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: With at most so many sources (some MB), their table is broadcast; above, it is joined by shuffle.
@@ -86,7 +86,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float, share: float
 def _fly(block: int, seed: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-        sizes, chance = rows["unit"].to_pylist(), rows["chance"].to_pylist()
+        sizes, chance = rows["size"].to_pylist(), rows["chance"].to_pylist()
         where = f"{seed}|{rows['source'][0].as_py()}|{rows['block'][0].as_py()}|{rows['level'][0].as_py()}"
         new = flight(sizes, chance, where, rows["blocks"][0].as_py() <= 1)
         return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(new, pa.float64()))
@@ -95,16 +95,19 @@ def _fly(block: int, seed: int):
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0, block: int = 512, seed: int = 7, source: str = "source", text: str = "text") -> DataFrame:
-    """How often each document goes into the mix: (doc_id, source, mark, n_rows, size, source_size, target, copies).
-
-    size: words of the text (null: 0). mark: hash of the text; rows equal in doc_id, source and mark are one unit of n_rows
-    rows with a row for all, and share one decision. share: words of the mix as a part of all words. A source of size 0, an
-    empty table and documents without words take 0 copies or any, which are no words. Reruns agree: decisions depend on
-    the rows alone, not on their order or partitions. No document has more than cap copies (rounded up).
+    """How often each document goes into the mix: (doc_id, source, mark, m2, n_rows, size, source_size, target, whole, extra).
+
+    size: words of the text (null: 0), of texts of any length. mark, m2: hashes of the text; rows equal in doc_id, source and
+    text are one unit of n_rows rows. Each row is taken `whole` times, and `extra` of the unit's rows once more: the whole
+    part of their expected number for certain, one row by the cube method for the rest. Source and text may be null, and so
+    may doc_id; equal sizes are ties that the seed decides. share: words of the mix as a part of all words. A source of size
+    0 and documents without words take no words. An empty table gives no rows; other columns are ignored. Reruns agree:
+    decisions depend on the rows alone, not on their order or partitions. No row is taken more than cap times (rounded up).
     """
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("mark"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    units = checkpoint(keys.groupBy("doc_id", "source", "mark").agg(F.count("*").alias("n_rows"), F.max("size").alias("size")))
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count("*").alias("n_units"))
+    m1, m2 = marks(text)
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), m1.alias("mark"), m2, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    units = checkpoint(keys.groupBy("doc_id", "source", "mark", "m2").agg(F.count("*").alias("n_rows"), F.max("size").alias("size")))
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"))
     goals = checkpoint(targets(sizes, weights, cap, share))
     small = goals.count() <= BROADCAST_SOURCES
 
@@ -113,33 +116,61 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3
         return df.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    df = with_goals(units, goals).withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long")).withColumn("chance", F.col("rate") - F.col("whole")).withColumn("unit", F.col("size") * F.col("n_rows")).drop("rate")
-    certain = df.filter("chance <= 1e-9 or unit = 0").withColumn("copies", F.col("whole"))
-    keep = ["doc_id", "source", "mark", "n_rows", "size", "source_size", "target", "whole", "unit", "chance"]
-    open_, done = df.filter("chance > 1e-9 and unit > 0").select(keep), [certain.drop("chance", "whole", "n_units", "unit")]
-    schema = "doc_id long, source string, mark long, n_rows long, size long, source_size long, target double, whole long, unit long, chance double, n_open long, blocks long, block long, level long"
+    df = with_goals(units, goals).withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
+    # Of a unit's rows the whole part of the expected number is certain, so at most one row is drawn.
+    more = (F.col("rate") - F.col("whole")) * F.col("n_rows")
+    df = df.withColumn("sure", F.floor(more + 1e-9).cast("long")).withColumn("chance", F.greatest(F.lit(0.0), more - F.col("sure"))).drop("rate")
+    keep = ["doc_id", "source", "mark", "m2", "n_rows", "size", "source_size", "target", "whole", "sure", "chance"]
+    out = ["doc_id", "source", "mark", "m2", "n_rows", "size", "source_size", "target", "whole", "extra"]
+    open_, done = df.filter("chance > 1e-9 and size > 0").select(keep), [df.filter("chance <= 1e-9 or size = 0").withColumn("extra", F.col("sure")).select(out)]
+    schema = "doc_id long, source string, mark long, m2 long, n_rows long, size long, source_size long, target double, whole long, sure long, chance double, n_open long, blocks long, block long, level long"
     level = 0
     while True:
         counts = open_.groupBy("source").agg(F.count("*").alias("n_open"))
         dealt = with_goals(open_, checkpoint(counts)).withColumn("blocks", F.ceil(F.col("n_open") / F.lit(block)).cast("long"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", F.lit(level)), F.col("blocks"))).withColumn("level", F.lit(level).cast("long"))
         flown = checkpoint(dealt.groupBy("source", "block").applyInArrow(_fly(block, seed), schema))
-        done.append(flown.filter("chance = 0 or chance = 1").withColumn("copies", F.col("whole") + F.col("chance").cast("long")).select("doc_id", "source", "mark", "n_rows", "size", "source_size", "target", "copies"))
+        done.append(flown.filter("chance = 0 or chance = 1").withColumn("extra", F.col("sure") + F.col("chance").cast("long")).select(out))
         open_ = flown.filter("chance > 0 and chance < 1").select(keep)
         if open_.isEmpty():
             break
         level += 1
-    out = done[0]
+    result = done[0]
     for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        result = result.unionByName(part)
+    return result
+
+
+def rows_taken(units: DataFrame) -> DataFrame:
+    """`copies` with a row per row of the documents: adds taken, how often that row is taken."""
+    rows = numbered(units, "n_rows", "_row")
+    return rows.withColumn("taken", F.col("whole") + (F.col("_row") < F.col("extra")).cast("long")).drop("_row")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed rows: `docs` with each row as often as `copies` says, all columns as they were."""
-    picks = copies(docs, **how).filter("copies > 0")
+    """The mixed rows: `docs` with each row as often as `copies` says, all columns as they were.
+
+    Rows of one unit that differ in another column: the unit's rows are taken alike, those to be taken once more are the
+    first in the order of all their columns' hash. A decision is a few numbers; texts are shuffled to meet them only if there are too many to broadcast.
+    """
     source, text = how.get("source", "source"), how.get("text", "text")
-    right = picks.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("mark").alias("_m"), F.col("copies").alias("_copies"))
-    marked = docs.withColumn("_mark", F.xxhash64(text))
-    on = marked["doc_id"].cast("long").eqNullSafe(right["_d"]) & marked[source].cast("string").eqNullSafe(right["_s"]) & (marked["_mark"] == right["_m"])
-    return marked.join(right, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    picks = checkpoint(copies(docs, **how).filter("whole > 0 or extra > 0"))
+    doc, src, one, two, n, whole, extra, copy = names = [free_name(docs, x) for x in ("_doc", "_src", "_one", "_two", "_rows", "_whole", "_extra", "_copy")]
+    right = picks.select("doc_id", "source", "mark", "m2", "n_rows", "whole", "extra").toDF(*names[:-1])
+    if picks.count() * 96 <= BROADCAST_BYTES:
+        right = F.broadcast(right)
+    m1, m2 = marks(text)
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & docs[source].cast("string").eqNullSafe(F.col(src)) & (m1 == F.col(one)) & (m2 == F.col(two))
+    joined = docs.join(right, on)
+    # Rows that all fare alike need no order among them.
+    alike = (F.col(extra) == 0) | (F.col(extra) == F.col(n))
+    plain = joined.filter(alike).withColumn(copy, F.col(whole) + (F.col(extra) > 0).cast("long"))
+    # Equal rows of one unit are counted, so that a group of copies, however large, is a row for each different one of them.
+    mixed = joined.filter(~alike)
+    counted = mixed.groupBy(*docs.columns, doc, src, one, two, whole, extra).agg(F.count("*").alias(n))
+    order = Window.partitionBy(doc, src, one, two).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(n).over(order), F.lit(0))
+    counted = counted.withColumn(extra, F.greatest(F.lit(0).cast("long"), F.least(F.col(n), F.col(extra) - upto)))
+    some = counted.withColumn(copy, F.col(whole) * F.col(n) + F.col(extra))
+    every = plain.select(*docs.columns, copy).unionByName(some.select(*docs.columns, copy))
+    return numbered(every, copy, free_name(every, "_nth")).select(*docs.columns)

@@ -9,6 +9,8 @@ from hushframe.llm import ann, langid, linededup, minhash, mixing, packing, qual
 from hushframe.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text a shard of op6 may hold.
+SHARD_BYTES = 1 << 20
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +37,18 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mixing.copies(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0, share=1.0)
-    rows = units.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.rows_taken(units).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken")).alias("taken"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), limit_bytes=8 << 20)
+    return sharding.shard(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.filter(~held_out).select("text", "lang"))
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from hushframe.llm import mixing
+from hushframe.llm import mixing, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,8 +42,8 @@ def test_targets_sizes_and_totals(spark):
     taken = dict.fromkeys(sizes, 0)
     for u in units:
         assert u.source_size == sizes[u.source] and abs(u.target - want[u.source]) < 1e-6 * max(1, want[u.source])
-        assert 0 <= u.copies <= 3
-        taken[u.source] += u.size * u.copies * u.n_rows
+        assert 0 <= u.whole <= u.whole + (u.extra > 0) <= 3 and u.extra <= u.n_rows
+        taken[u.source] += u.size * (u.whole * u.n_rows + u.extra)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 300
     again = mixing.copies(df.repartition(5), block=64).collect()
@@ -52,7 +52,7 @@ def test_targets_sizes_and_totals(spark):
 
 def test_mixed_rows_keep_their_columns(spark):
     df = spark.createDataFrame(rows_of(5, 300), "doc_id long, text string, source string, size long")
-    want = sum(u.copies * u.n_rows for u in mixing.copies(df).collect())
+    want = sum(u.whole * u.n_rows + u.extra for u in mixing.copies(df).collect())
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and mixed.count() == want
     assert mixed.exceptAll(mixed.join(df.select("doc_id").distinct(), "doc_id", "left_semi")).filter("doc_id is not null").count() == 0
@@ -61,7 +61,23 @@ def test_mixed_rows_keep_their_columns(spark):
 def test_empty(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.copies(spark.createDataFrame([], schema)).count() == 0
-    assert [(u.copies, u.target) for u in mixing.copies(spark.createDataFrame([(1, "", "a"), (2, None, None)], schema)).collect()] == [(0, 0.0)] * 2
+    assert [(u.whole + u.extra, u.target) for u in mixing.copies(spark.createDataFrame([(1, "", "a"), (2, None, None)], schema)).collect()] == [(0, 0.0)] * 2
+
+
+def test_repeated_rows_are_split(spark):
+    rows = [(1, "w " * 10, "a", "en")] * 300 + [(1, "w " * 10, "a", "de")] * 200 + [(i + 2, "w " * (5 + i % 9), "a", "en") for i in range(50)] + [(90, "w " * 3000, "b", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy string")
+    units = mixing.copies(df).collect()
+    sizes = {"a": sum(len(t.split()) for _, t, s, _ in rows if s == "a"), "b": 3000}
+    want = brute_targets(sizes)
+    taken = sum(u.size * (u.whole * u.n_rows + u.extra) for u in units if u.source == "a")
+    assert abs(taken - want["a"]) <= 13
+    per_row = mixing.rows_taken(mixing.copies(df)).collect()
+    assert len(per_row) == len(rows) and sum(r.size * r.taken for r in per_row if r.source == "a") == taken
+    mixed = mixing.mix(df).collect()
+    assert sum(len(r.text.split()) for r in mixed if r.source == "a") == taken
+    ones = [r["_copy"] for r in mixed if r.doc_id == 1]
+    assert ones.count("en") <= 300 * 2 and abs(ones.count("en") + ones.count("de") - 500 * want["a"] / sizes["a"]) <= 1
 
 
 def test_flight_keeps_both_totals():
@@ -80,3 +96,20 @@ def test_flight_is_unbiased():
         for i, x in enumerate(mixing.flight([i + 1 for i in range(12)], [0.25] * 12, str(seed), landing=False)):
             hits[i] += x
     assert all(abs(h / 2000 - 0.25) < 0.05 for h in hits)
+
+
+def test_the_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs}
+    sizes = {}
+    for r in docs:
+        sizes[r.source] = sizes.get(r.source, 0) + size[r.doc_id]
+    want, source = brute_targets(sizes), {r.doc_id: r.source for r in docs}
+    out = queries.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in out) == sorted(size)
+    taken = dict.fromkeys(sizes, 0)
+    for r in out:
+        assert r.size == size[r.doc_id] and r.source_size == sizes[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6 * r.target
+        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= max(size[d] for d in size if source[d] == s) for s in sizes)
