@@ -1,10 +1,12 @@
 """Language identification: interpolated Kneser-Ney character models in sorted hash arrays.
 
 A model covers words with a mark at both ends, lower-cased, contexts not reaching over a word's start; so a word's
-log-probability depends on the word alone, and the words of a text can be counted before they are scored. The n-grams of
-a group of languages lie in one sorted array of 64-bit hashes per order, with a row of log-probabilities (one column a
-language) and a row of back-off weights beside it; groups are small, so memory grows in proportion to the languages. The language with the lowest cross-entropy per character wins; its score is
-calibrated on texts held back from training, and `rejected` marks those scored below the calibrated bound.
+log-probability depends on the word alone, and the words of a text can be counted before they are scored. Each language
+is fitted by a task of its own and keeps only its own n-grams: a sorted array of 64-bit hashes per order, with a
+log-probability and a back-off weight beside each. The language with the lowest cross-entropy per character wins; its
+score is calibrated on texts held back from training. `rejected` marks texts that no learned language explains: the bound
+on their cross-entropy is set where texts judged by their own language's model are best told apart from the same texts
+judged by all others, as a text of an unknown language would be.
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import checkpoint, mix64, release
+from hushframe.llm.common import BROADCAST_BYTES, checkpoint, mix64, release
 
-#: Bounds of the labelled sample a model is fitted on: texts a language, and kinds of n-grams kept a language.
-MAX_DOCS, MAX_GRAMS = 600, 60_000
-#: Languages that share a model's arrays.
-GROUP = 4
+#: Bounds of the labelled sample a model is fitted on: texts a language, and characters of all its texts (one text at least).
+MAX_DOCS, MAX_CHARS = 600, 8_000_000
 ORDER = 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -55,8 +55,6 @@ class Model:
     logp: list[np.ndarray]  # per order, (n-grams, languages)
     backoff: list[np.ndarray]  # per order, log weight when it is a context
     unseen: np.ndarray  # log-probability of a character seen in no language
-    floor: float = 0.0  # margin in nats a character below which a text is rejected
-    slope: float = 1.0  # of the score's logistic curve
 
     def _rows(self, n: int, h: np.ndarray) -> np.ndarray:
         """Rows of n-grams by hash, -1 where there is none."""
@@ -100,11 +98,11 @@ class Model:
 
 @dataclass
 class Models:
-    """Models of groups of languages side by side."""
+    """Models of languages side by side."""
 
     parts: list[Model]
-    floor: float = 0.0
-    slope: float = 1.0
+    ceiling: float = math.inf  # cross-entropy in nats a character above which a text is rejected
+    slope: float = 1.0  # of the score's logistic curve
 
     @property
     def langs(self) -> list[str]:
@@ -173,31 +171,38 @@ def grams_of(word: str, order: int) -> Iterator[str]:
             yield text[i + 1 - n : i + 1]
 
 
-def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 3) -> DataFrame:
-    """Up to max_docs rows of each label of docs(doc_id, text, lang), the first by a hash of the row; a documented bound.
+def labelled_sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, seed: int = 3) -> DataFrame:
+    """Different texts of each label of docs(text, lang): the first by a hash, up to max_docs and max_chars (whole texts, one at least).
 
     calibrates: a fifth of them, by another hash; none of a label whose texts would all be in it, so that every label is learned.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "half"))
     marked = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).withColumn("half", F.xxhash64("text", F.lit(seed + 1)))
-    # Each label's lowest hashes by bins: a bin is thin, so no task sorts a whole label.
-    bins = marked.withColumn("bin", F.pmod("half", F.lit(64)))
-    thin = F.row_number().over(Window.partitionBy("lang", "bin").orderBy("h", "half"))
-    keys = bins.select("lang", "h", "half", "bin").withColumn("r", thin).filter(F.col("r") <= max_docs).withColumn("k", rank).filter(F.col("k") <= max_docs)
+    keys = checkpoint(marked.groupBy("lang", "h", "half").agg(F.max(F.length("text")).alias("chars")))
+    # Hashes are spread evenly: the lowest share of a label's that holds four times the texts wanted is all that has to be ranked.
+    counts = checkpoint(keys.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.least(F.lit(1.0), F.lit(4.0 * max_docs) / F.col("n"))
+    low = (F.col("n") <= 8 * max_docs) | (F.col("h").cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * share)
+    first = Window.partitionBy("lang").orderBy("h", "half")
+    ranked = keys.join(counts, "lang").filter(low).withColumn("k", F.row_number().over(first)).withColumn("upto", F.sum("chars").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ranked.filter((F.col("k") <= max_docs) & ((F.col("k") == 1) | (F.col("upto") <= max_chars)))
     fifth = F.pmod("half", F.lit(5)) == 0
-    keys = keys.withColumn("calibrates", fifth & ~F.min(fifth).over(Window.partitionBy("lang")))
-    # At most max_docs keys a label: a bounded table, so texts aren't shuffled to find the few that are kept.
-    return marked.join(F.broadcast(keys.select("lang", "h", "half", "calibrates").distinct()), ["lang", "h", "half"]).dropDuplicates(["lang", "h", "half"])
+    kept = kept.withColumn("calibrates", fifth & ~F.min(fifth).over(Window.partitionBy("lang")))
+    kept = checkpoint(kept.select("lang", "h", "half", "calibrates"))
+    release(keys, counts)
+    # At most max_docs keys a label, so texts needn't be shuffled to find the few that are kept unless labels are very many.
+    picked = F.broadcast(kept) if kept.count() * 64 <= BROADCAST_BYTES else kept
+    return checkpoint(marked.join(picked, ["lang", "h", "half"]).dropDuplicates(["lang", "h", "half"]))
 
 
-def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, seed: int = 3) -> Models:
-    """Fit on a bounded sample of docs(text, lang): whole texts of up to max_docs rows a label; a fifth calibrates the score.
+def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, seed: int = 3) -> Models:
+    """Fit on a bounded sample of docs(text, lang): see `labelled_sample`. All n-grams of the sample are kept, and every label is learned.
 
-    Rows with a null text or label teach nothing. Of a label's n-grams the max_grams commonest are kept.
-    Every label is learned, GROUP at a time. Without any labelled row there is no model: ValueError.
+    Rows with a null text or label teach nothing; repeated texts of a label teach once. A label's model takes 24 bytes an
+    n-gram, at most some ten MB by the bound of its sample; the driver gathers the models, so their total grows with the
+    number of labels, not with the rows. Without any labelled row there is no model: ValueError.
     """
-    rows = labelled_sample(docs, max_docs, seed)
+    rows = labelled_sample(docs, max_docs, max_chars, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -215,45 +220,62 @@ def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_grams
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([g for g, _ in part]), pa.array([c for _, c in part], pa.int64())], names=["lang", "gram", "n"])
 
     counted = rows.filter("not calibrates").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.length("gram"), F.col("n").desc(), F.col("gram"))
-    kept = checkpoint(counted.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "gram", "n"))
-    langs = sorted(r[0] for r in kept.select("lang").distinct().collect())
-    if not langs:
-        raise ValueError("no labelled text to learn from")
-    characters = kept.filter(F.col("gram") != "\x02").select(F.right("gram", F.lit(1))).distinct().count()
+    counted = checkpoint(counted)
+    characters = counted.filter(F.col("gram") != "\x02").select(F.right("gram", F.lit(1))).distinct().count()
+
+    def train(table: pa.Table) -> pa.Table:
+        lang = table["lang"][0].as_py()
+        model = kneser_ney({lang: dict(zip(table["gram"].to_pylist(), table["n"].to_pylist(), strict=True))}, order, characters=characters)
+        arrays = [pa.array([[x.tobytes() for x in part]], pa.list_(pa.binary())) for part in (model.hashes, model.logp, model.backoff)]
+        return pa.table([pa.array([lang]), *arrays, pa.array([float(model.unseen[0])])], names=["lang", "hashes", "logp", "backoff", "unseen"])
+
+    trained = counted.groupBy("lang").applyInArrow(train, "lang string, hashes array<binary>, logp array<binary>, backoff array<binary>, unseen double")
+    array = lambda x, kind: np.frombuffer(x, kind) if x else np.zeros(0, kind)
+    column = lambda parts: [array(x, np.float64).reshape(-1, 1) for x in parts]
     parts = []
-    for i in range(0, len(langs), GROUP):
-        grams: dict[str, dict[str, int]] = {}
-        for lang, gram, n in kept.filter(F.col("lang").isin(langs[i : i + GROUP])).collect():  # at most GROUP labels' rows
-            grams.setdefault(lang, {})[gram] = n
-        parts.append(kneser_ney(grams, order, characters=characters))
-    release(kept)
+    for r in sorted(trained.collect(), key=lambda r: r.lang):  # a row per label, bounded by its sample
+        parts.append(Model([r.lang], order, [array(x, np.uint64) for x in r.hashes], column(r.logp), column(r.backoff), np.array([r.unseen])))
+    if not parts:
+        raise ValueError("no labelled text to learn from")
     model = Models(parts)
-    margins = score_texts(rows.filter("calibrates").select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), model).filter(F.col("lang_pred") != UNKNOWN)
-    pairs = [(m, p == t) for m, p, t in margins.select("margin", "lang_pred", "lang").collect()]  # at most max_docs rows a label
+    judged = score_texts(rows.filter("calibrates").select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), model).filter(F.col("lang_pred") != UNKNOWN)
+    pairs = [(r.entropy, r.margin, r.lang_pred == r.lang) for r in judged.select("entropy", "margin", "lang_pred", "lang").collect()]  # at most max_docs rows a label
+    release(rows, counted)
     return calibrate(model, pairs)
 
 
-def calibrate(model: Models, pairs: list[tuple[float, bool]]) -> Models:
-    """Set the score's slope by likelihood over (margin, right?) and the rejection bound at the best balance of both errors."""
+def calibrate(model: Models, pairs: list[tuple[float, float, bool]]) -> Models:
+    """Set slope and ceiling from texts held back: (lowest cross-entropy, margin to the second lowest, whether it is the right language).
+
+    slope: of the score, by likelihood. ceiling: a text's lowest cross-entropy is what its own language gives, the second
+    lowest what it would have if that language weren't known; the bound is the one with the fewest errors on both, in the
+    middle of the gap if there is one.
+    """
     if not pairs:
         return model
-    margin, right = np.array([m for m, _ in pairs]), np.array([r for _, r in pairs])
+    entropy, margin, right = (np.array(x) for x in zip(*pairs, strict=True))
 
     def loss(slope: float) -> float:
         p = np.clip(1 / (1 + np.exp(-np.clip(slope * margin, -50, 50))), 1e-9, 1 - 1e-9)
         return float(-(np.log(p[right]).sum() + np.log(1 - p[~right]).sum()))
 
     model.slope = min((2.0**k for k in range(-3, 9)), key=loss)
-    if (~right).any():
-        cuts = np.unique(margin)
-        wrong = [float((margin[right] < c).mean() if right.any() else 0) + float((margin[~right] >= c).mean()) for c in cuts]
-        model.floor = float(cuts[int(np.argmin(wrong))])
+    own = np.sort(entropy[right])
+    if not len(own):
+        return model
+    if len(model.parts) == 1:  # nothing to compare with: what is as far above the median as ten times the usual spread
+        model.ceiling = float(np.median(own) + 10 * (np.median(np.abs(own - np.median(own))) + 0.1))
+        return model
+    others = np.sort((entropy + margin)[right])
+    cuts = np.unique(np.concatenate([own, others]))
+    wrong = (len(own) - np.searchsorted(own, cuts, "right")) / len(own) + np.searchsorted(others, cuts, "right") / len(others)
+    best = int(np.argmin(wrong))
+    model.ceiling = float((cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2)
     return model
 
 
 def score_texts(docs: DataFrame, model: Models) -> DataFrame:
-    """docs(doc_id, text, lang) with lang_pred, score (0 to 1), margin (nats a character to the second best) and rejected."""
+    """docs(doc_id, text, ...) without text, with lang_pred, score (0 to 1), entropy (nats a character), margin (to the second best) and rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
@@ -265,11 +287,11 @@ def score_texts(docs: DataFrame, model: Models) -> DataFrame:
         def judge(rows: list[int]) -> tuple:
             size = lengths[rows].sum() if rows else 0.0
             if not size:
-                return UNKNOWN, 0.0, 0.0, True
+                return UNKNOWN, 0.0, 0.0, 0.0, True
             entropy = -table[rows].sum(axis=0) / size
             order = np.argsort(entropy, kind="stable")
             margin = float(entropy[order[1]] - entropy[order[0]]) if len(order) > 1 else 0.0
-            return langs[order[0]], 1 / (1 + math.exp(-min(model.slope * margin, 50.0))), margin, margin < model.floor
+            return langs[order[0]], 1 / (1 + math.exp(-min(model.slope * margin, 50.0))), float(entropy[order[0]]), margin, bool(entropy[order[0]] > model.ceiling)
 
         for whole in batches:
             for first in range(0, len(whole), step):
@@ -290,18 +312,19 @@ def score_texts(docs: DataFrame, model: Models) -> DataFrame:
                     table = np.concatenate([table, model.words(new)])
                     lengths = np.concatenate([lengths, [len(w) + 1.0 if any(map(str.isalpha, w)) else 0.0 for w in new]])
                 out = [judge(rows) for rows in texts]
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *batch.schema.names[2:], "lang_pred", "score", "margin", "rejected"])
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *batch.schema.names[2:], "lang_pred", "score", "entropy", "margin", "rejected"])
 
     rest = "".join(f", `{c}` {t}" for c, t in docs.dtypes[2:])
-    return docs.mapInArrow(run, f"doc_id long{rest}, lang_pred string, score double, margin double, rejected boolean")
+    return docs.mapInArrow(run, f"doc_id long{rest}, lang_pred string, score double, entropy double, margin double, rejected boolean")
 
 
 def predict(docs: DataFrame, model: Models) -> DataFrame:
-    """The language of each whole text: (doc_id, lang_pred, score, margin, rejected), a row per row of docs.
+    """The language of each whole text: (doc_id, lang_pred, score, entropy, margin, rejected), a row per row of docs.
 
-    lang_pred is a learned label, or `und` with score 0 if the text is null or has no letter. Nothing but the text is read.
+    lang_pred is a learned label, or `und` with score 0 if the text is null or has no letter. rejected: no learned language
+    explains the text. Nothing but the text is read, other columns are ignored, doc_id may be null, and texts go as a whole.
     Ties go to the label first in order; repeated rows are judged alike; an empty table gives no rows.
     """
     return score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)

@@ -29,6 +29,64 @@ def test_edges(spark, model):
     assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 400").select("doc_id", "text", "lang")
+    known = docs.filter(F.col("lang").isin("en", "de") & (F.col("doc_id") % 2 == 0))
+    fitted = langid.fit(known.select("text", "lang"))
+    strange = spark.createDataFrame([(-1, "日本語の文章をここに書きます。" * 20, "ja"), (-2, "zxqv wqkx jjxq vvkz qqpx " * 20, "zz"), (-3, "Это русский текст о погоде и людях. " * 20, "ru")], docs.schema)
+    rows = docs.filter("doc_id % 2 = 1").unionByName(strange)
+    out = langid.predict(rows, fitted).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    share = lambda langs: [r.rejected for r in out if r.lang in langs]
+    assert all(share(("ja", "zz", "ru"))) and len(share(("en", "de"))) > 50
+    assert sum(share(("en", "de"))) <= 0.05 * len(share(("en", "de")))
+    assert sum(share(("fr", "es"))) >= 0.9 * len(share(("fr", "es"))) > 0
+
+
+def brute_kneser_ney(words, order, alphabet, discount=0.75):
+    """log P(word) by the definition: raw counts at the top and from a word's start, different predecessors below."""
+    raw = counts(words, order)
+    before = {}
+    for g in raw:
+        if len(g) > 1:
+            before.setdefault(g[1:], set()).add(g[0])
+    count = {g: n if len(g) == order or g[0] == "\x02" else max(1, len(before.get(g, ()))) for g, n in raw.items() if g != "\x02"}
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / (len(alphabet) + 1)
+        nexts = {g[-1]: n for g, n in count.items() if g[:-1] == context}
+        if not nexts:
+            return lower
+        total = sum(nexts.values())
+        return max(nexts.get(c, 0) - discount, 0) / total + discount * len(nexts) / total * lower
+
+    def word(w):
+        text = f"\x02{w}\x03"
+        return sum(math.log(p(text[max(0, i - order + 1) : i], text[i])) for i in range(1, len(text)))
+
+    return word
+
+
+def test_scores_match_the_definition():
+    known = {"a": ["the", "cat", "then", "that", "hat", "a", "tent"], "b": ["der", "hund", "den", "die", "und", "rund"]}
+    alphabet = {c for ws in known.values() for w in ws for c in w} | {"\x03"}
+    for order in (2, 3, 5):
+        models = langid.Models([langid.kneser_ney({k: counts(ws, order)}, order, characters=len(alphabet)) for k, ws in known.items()])
+        asked = ["the", "hated", "hund", "x", "rundschau", "cat", "thünd"]
+        got = models.words(asked)
+        for j, ws in enumerate(known.values()):
+            exact = brute_kneser_ney(ws, order, alphabet)
+            assert max(abs(got[i, j] - exact(w)) for i, w in enumerate(asked)) < 1e-9
+
+
+def test_the_lowest_cross_entropy_wins(spark, model):
+    texts = ["the dog sat", "der hund", "and die katze the", "mat dach mat dog"]
+    out = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in out:
+        words = texts[r.doc_id].split()
+        entropy = -model.words(words).sum(axis=0) / sum(len(w) + 1 for w in words)
+        assert r.lang_pred == model.langs[int(entropy.argmin())] and abs(r.entropy - entropy.min()) < 1e-9
+
+
 def test_probabilities_of_a_context_sum_to_one(model):
     alphabet = sorted({c for c in "thecatsonmdgrukzlifw\x03"})
     plain = langid.kneser_ney({"en": {g: n for g, n in counts(["the", "cat", "then", "that", "a"]).items()}}, 3)
@@ -38,10 +96,10 @@ def test_probabilities_of_a_context_sum_to_one(model):
     assert abs(total - 1) < 1e-9 and alphabet
 
 
-def counts(words):
+def counts(words, order=3):
     out = {}
     for w in words:
-        for g in langid.grams_of(w, 3):
+        for g in langid.grams_of(w, order):
             out[g] = out.get(g, 0) + 1
     return out
 
@@ -73,6 +131,9 @@ def test_no_labels(spark):
 def test_sample_is_bounded(spark):
     rows = spark.range(500).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
     assert langid.labelled_sample(rows, 50).count() == 50
+    assert langid.labelled_sample(rows.unionByName(rows), 5).count() == 5
+    assert 1 <= langid.labelled_sample(rows, 50, max_chars=30).count() <= 5
+    assert langid.labelled_sample(rows, 500, max_chars=1).count() == 1
 
 
 def test_no_label_is_dropped(spark):
