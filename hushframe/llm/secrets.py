@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns find secrets by their surroundings or form. The models find the rest: long tokens whose character transitions
-are likelier under a model of random strings than under one of ordinary identifiers. Both models are order-2 chains with
-add-half smoothing, trained from labelled samples; the default sample is made by a fixed rule (see `sample`), so no secret
+are likelier under a model of random strings than under one of ordinary identifiers. Both models are order-2 chains,
+interpolated with the shorter contexts, trained from labelled samples; the default sample is made by a fixed rule (see `sample`), so no secret
 has to be stored here, and a table of labelled strings may be given instead.
 """
 
@@ -45,7 +45,7 @@ NUCLEI = "y ai au ea eau ee ei eu ia ie io oa oi oo ou ue ui".split() + "a e i o
 CODAS = "b c ch ck ct d f ff g gh k ld ll ls lt m mp nd ng ns nt p pf rd rm rn rs rt sch sh ss st t th ts tt tz x z".split() + "l n r s t".split() * 7 + [""] * 70
 #: Sizes of the default sample: strings of each label.
 SAMPLE = 4000
-ORDER, SYMBOLS = 2, 64
+ORDER, SYMBOLS = 2, 68
 _ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 _RULERS = "=-_/+" * 8 + "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -54,7 +54,8 @@ _RULERS = "=-_/+" * 8 + "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRS
 def sample(n: int = SAMPLE, seed: int = 5) -> list[tuple[str, bool]]:
     """n random strings (True) and n others (False), by rule.
 
-    Letters drawn evenly from an alphabet; joined PARTS, words of 4 to 14 syllables in three cases, and one character repeated.
+    Letters drawn evenly from an alphabet; joined PARTS, words of 4 to 14 syllables in three cases, one character repeated, and
+    what identifies things without being secret: UUIDs, short hashes of commits, dates with times, and numbers with separators.
     """
     dice, out = random.Random(seed), []
     for _ in range(n):
@@ -63,7 +64,10 @@ def sample(n: int = SAMPLE, seed: int = 5) -> list[tuple[str, bool]]:
         if kind < 0.02:
             out.append((dice.choice(_RULERS) * dice.randint(16, 80), False))
             continue
-        if kind < 0.1:
+        if kind < 0.07:
+            out.append((_public_id(dice), False))
+            continue
+        if kind < 0.15:
             word = "".join(dice.choice(ONSETS) + dice.choice(NUCLEI) + dice.choice(CODAS) for _ in range(dice.randint(4, 14)))
             out.append((dice.choice((str, str, str.title, str.upper))(word), False))
             continue
@@ -87,10 +91,22 @@ def sample(n: int = SAMPLE, seed: int = 5) -> list[tuple[str, bool]]:
     return out
 
 
+def _public_id(dice: random.Random) -> str:
+    hexa = lambda n: "".join(dice.choices("0123456789abcdef", k=n))
+    case = dice.choice((str, str, str.upper))
+    match dice.randrange(4):
+        case 0 | 1:
+            return case("-".join(map(hexa, (8, 4, 4, 4, 12))))
+        case 2:
+            return f"20{dice.randrange(100):02d}-{dice.randint(1, 12):02d}-{dice.randint(1, 28):02d}T{dice.randrange(24):02d}-{dice.randrange(60):02d}-{dice.randrange(60):02d}"
+        case _:
+            return dice.choice("-_/").join(str(dice.randrange(10 ** dice.randint(2, 6))) for _ in range(dice.randint(4, 7)))
+
+
 def _class_table() -> np.ndarray:
-    """Code of each byte: digits, letters of both cases, and one for all else."""
+    """Code of each byte: digits, letters of both cases, the five symbols of tokens, and one for all else."""
     codes = np.full(256, SYMBOLS - 1, np.int64)
-    for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+    for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"):
         codes[ord(c)] = i
     return codes
 

@@ -1,9 +1,10 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hushframe.llm import secrets
+from hushframe.llm import queries, secrets
 
 
 def brute(text):
@@ -52,3 +53,33 @@ def test_secrets_of_letters_alone_are_found():
         assert found("".join(dice.choices(letters, k=24)) for _ in range(500)) >= 490
     words = "Kraftfahrzeughaftpflichtversicherung anticonstitutionnellement incomprehensibilities internationalization XMLHttpRequestEventTarget Donaudampfschifffahrtsgesellschaft"
     assert not found([*words.split(), "=" * 40, "-" * 16, "_" * 30, "a" * 20, "1234567890123456"])
+
+
+def test_the_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = queries.op2_secrets(spark, "/root/testdata/sf0.01").collect()
+    joined = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        want = brute(docs[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        own = [x for x in r.spans.split(",") if x]
+        assert [x for x in own if not x.startswith("random")] == [x for x in joined(want).split(",") if x]
+        places = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in own)]
+        assert places == sorted(places)
+        for s, k, e in places:
+            assert k < 3 or (re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", docs[r.doc_id][s:e]) and secrets.default_models().score(docs[r.doc_id][s:e]) > 0.5)
+
+
+def test_public_identifiers_are_no_secrets():
+    import uuid
+
+    import numpy as np
+
+    dice = np.random.default_rng(3)
+    tokens = [str(uuid.UUID(bytes=dice.bytes(16))) for _ in range(400)]
+    tokens += [t.upper() for t in tokens[:100]] + [f"2024-{m:02d}-{d:02d}T12-30-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
+    tokens += [f"src/main/java/org/example/Module{i}/ServiceHandler" for i in range(100)] + [f"invoice-2023-{i:06d}-final" for i in range(100)]
+    models = secrets.default_models()
+    assert sum(models.score(t) > 0.5 for t in tokens) <= 0.01 * len(tokens)
