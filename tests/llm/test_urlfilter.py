@@ -27,5 +27,14 @@ def test_judge(spark):
 
 
 def test_boundaries():
-    machine = urlfilter.automaton(("bad", "bad-er"), ("mild",))
-    assert urlfilter.hits(machine, "http://BAD.com/bad-er/xbad/bad1/mild?mild") == (3, 1)
+    machine = urlfilter.automaton({"bad": 2, "bad-er": 2, "mild": 1})
+    assert urlfilter.hits(machine, "http://BAD.com/bad-er/xbad/bad1/mild?mild") == (3, 1, 5)
+
+
+def test_weights_of_different_terms_add_up(spark):
+    urls = ["http://a.org/x", "http://a.org/x/x", "http://a.org/x/y", "http://a.org/y/z", "http://a.org/zz"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = urlfilter.judge(df, vocabulary={"x": 1, "y": 2, "z": 3}, limit=4).collect()
+    assert {r.page_id: (r.weight, r.verdict) for r in judged} == {0: (1, "allow"), 1: (1, "allow"), 2: (3, "allow"), 3: (5, "block"), 4: (0, "allow")}
+    assert all(r.verdict == "allow" for r in urlfilter.judge(df, vocabulary={}).collect())
+    assert max(urlfilter.VOCABULARY.values()) == urlfilter.LIMIT and 80 <= len(urlfilter.VOCABULARY) <= 200
