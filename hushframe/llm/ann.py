@@ -83,8 +83,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
-    """Rows over their largest component, so that squares neither overflow nor vanish; a cosine stays the same."""
-    return x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows by a power of two each, so that squares neither overflow nor vanish: only exponents change, so a cosine stays the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,12 +100,14 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     return df.filter(finite).filter(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def nearest(df: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows: int = 4096, block: int = 512, leaf: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows: int = 4096, block: int = 512, tree_blocks: int = 64, leaf: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k nearest rows of each query row by cosine: (query_id, rank, vec_id, score), ties to the smaller vec_id.
 
     is_query: a condition over vec_id. Candidates are all rows but those with the query's own id; vectors of other lengths
-    are not compared. Rows that repeat an id and a vector count once. Fewer than k candidates: all. An empty table or one
-    without queries gives no rows. factor: pruning as of the module, 1 exact. Rows left out: see `vectors`.
+    are not compared. Rows that repeat an id count as one with its best vector. Fewer than k candidates: all. An empty table or one
+    without queries gives no rows; other columns are ignored. factor: pruning as of the module, 1 exact. tree_blocks: blocks
+    of queries that a tree serves; each further tree_blocks * block queries cost one more building of every tree. Rows left
+    out (nulls among them): see `vectors`.
     """
     base = checkpoint(vectors(df, vec_id, embedding))
     n = base.count()
@@ -114,9 +116,9 @@ def nearest(df: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows
     blocks = max(1, -(-queries.count() // block))
     held = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    # A block of queries, packed in one row, meets each shard; a shard's rows are dealt to groups of 16 blocks each.
+    # A block of queries, packed in one row, meets each shard; a shard's tree serves a group of blocks.
     packed = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    groups = -(-blocks // 16)
+    groups = -(-blocks // tree_blocks)
     left = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = packed.withColumn("part", F.pmod("block", F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
@@ -151,5 +153,5 @@ def nearest(df: DataFrame, is_query, k: int = 5, factor: float = 1.0, shard_rows
 
     near = left.groupBy("dim", "shard", "part").cogroup(right.select("dim", "shard", "part", "q").groupBy("dim", "shard", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    near = near.dropDuplicates(["query_id", "vec_id"])
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,3 +53,20 @@ def test_relaxed_pruning_keeps_recall():
 
 def test_no_rows(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_relaxed_search_of_the_table_keeps_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = {}
+    for factor in (1.0, 1.1):
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=5, factor=factor, leaf=32).collect():
+            found.setdefault((factor, r.query_id), set()).add(r.vec_id)
+    queries = {q for f, q in found if f == 1.0}
+    recall = sum(len(found[1.0, q] & found.get((1.1, q), set())) for q in queries) / sum(len(found[1.0, q]) for q in queries)
+    assert queries and recall >= 0.9
+
+
+def test_repeated_ids_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [4.0, 0.0]), (3, [3.0, 4.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(1, 1.0), (2, 1.0), (3, 0.6)]
