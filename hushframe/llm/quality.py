@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import words_of
+from hushframe.llm.common import free_name, words_of
 
 #: Frequent short words of the languages served (fixed values).
 STOP_WORDS = {
@@ -60,42 +60,44 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that rules may bound: COUNTS, each a long and never null.
 
     n_lines: lines with a word; n_dup_lines: those equal to an earlier one; n_repeat_words: words in three-word windows found
-    twice or more, the first included; n_stop_words: words in STOP_WORDS. A null text counts as empty. A column of `docs`
-    that has the name of a count is replaced.
+    twice or more, the first included; n_stop_words: words in STOP_WORDS. A null text counts as empty, texts of any length are
+    measured whole. A column of `docs` that has the name of a count is replaced, every other one stays.
     """
     stops = sorted({w for words in STOP_WORDS.values() for w in words})
-    n = F.size("_words")
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    words, windows, again, ordered, hashes, lines = helpers = [free_name(docs, f"_{n}") for n in ("words", "windows", "again", "ordered", "hashes", "lines")]
+    n = F.size(words)
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     starts = F.sequence(F.lit(0), n - 3)
-    df = docs.withColumn("_words", words_of(text))
-    df = df.withColumn("_windows", F.when(n >= 3, F.transform(starts, window)).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_again", F.size("_windows") > F.size(F.array_distinct("_windows")))
+    df = docs.withColumn(words, words_of(text))
+    df = df.withColumn(windows, F.when(n >= 3, F.transform(starts, window)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(again, F.size(windows) > F.size(F.array_distinct(windows)))
     # The windows in order of their hashes, with their places; only texts with a repeated window pay for the sort.
-    places = F.transform(F.col("_windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_sorted", F.when(F.col("_again"), F.array_sort(places)))
-    df = df.withColumn("_hashes", F.col("_sorted.h"))
-    twin = lambda x, k: F.coalesce(F.get("_hashes", k - 1) == x["h"], F.lit(False)) | F.coalesce(F.get("_hashes", k + 1) == x["h"], F.lit(False))
-    covered = F.array_distinct(F.flatten(F.transform(F.filter("_sorted", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines)
-    joined = F.array_join("_words", "")
+    places = F.transform(F.col(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn(ordered, F.when(F.col(again), F.array_sort(places)))
+    df = df.withColumn(hashes, F.col(ordered)["h"])
+    twin = lambda x, k: F.coalesce(F.get(hashes, k - 1) == x["h"], F.lit(False)) | F.coalesce(F.get(hashes, k + 1) == x["h"], F.lit(False))
+    covered = F.array_distinct(F.flatten(F.transform(F.filter(ordered, twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    solid = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn(lines, solid)
+    joined = F.array_join(words, "")
     return df.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(joined).cast("long"),
             "n_symbols": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_again"), F.size(covered)).otherwise(F.lit(0)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": F.when(F.col(again), F.size(covered)).otherwise(F.lit(0)).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stops))).cast("long"),
         }
-    ).drop("_words", "_windows", "_again", "_sorted", "_hashes", "_lines")
+    ).drop(*helpers)
 
 
 def judge(docs: DataFrame, rules=RULES, base=BASE_RULES, text: str = "text") -> DataFrame:
     """Add the counts, base_failed and kept (false if base_failed, else whether all rules hold).
 
-    No text or a text without words fails the base rules. Repeated rows are judged alike; an empty table stays empty.
+    No text or a text without words fails the base rules. Repeated rows are judged alike, as a text is judged by itself
+    alone; a count right at a bound holds. An empty table stays empty.
     """
     all_hold = lambda table: reduce(lambda a, b: a & b, [r.holds() for r in table], F.lit(True))
     judged = measure(docs, text).withColumn("base_failed", ~all_hold(base))

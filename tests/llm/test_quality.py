@@ -44,3 +44,9 @@ def test_verdicts(spark):
     rows, _ = measured(spark, [clean, junk, repeated, None])
     assert [(r.base_failed, r.kept) for r in rows] == [(False, True), (False, False), (True, False), (True, False)]
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_the_table_stay(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c\na b c", "keep", 7)], "doc_id long, text string, _words string, _windows int")
+    got = quality.judge(df).first()
+    assert (got["_words"], got["_windows"], got.n_repeat_words, got.n_dup_lines) == ("keep", 7, 9, 2)
