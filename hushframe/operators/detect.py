@@ -1,8 +1,8 @@
 """Deterministic detector: pattern rules as one projection, and its composition by priority.
 
 A model may stand in for the rules: any DataFrame (keys, detect_rank, text, entity_type) goes on with `by_priority`.
-Phone, address, card and credential patterns are rules of this library; patterns keep to what Java's and RE2's regular
-expressions share.
+Phone, address, card and credential patterns are rules of this library; the pattern of local paths and what is cut off
+their ends are fixed values. Patterns keep to what Java's and RE2's regular expressions share.
 """
 
 from __future__ import annotations
@@ -26,12 +26,19 @@ RULES = (
     ("local_path", r"(?:^|\s)(file://[^\s<>'\"]+|~[/\\][^\s<>'\"]+|/[^<>'\"\s]+|\.{1,2}[/\\][^\s<>'\"]+|[A-Za-z]:[\\/][^\s<>'\"]+)", 1, 2),
 )
 PATH_TRAILING = r".,;:!?)\\]}"
+#: What a text must hold for a rule to match at all: a plain search decides most texts.
+NEEDLES = {"email": "@", "phone": "+", "credential": ' = "', "url": "://", "financial": "$", "percentage": "%"}
+#: The e-mail rule for Java's expressions: a run is read once, from its start or from the end of the match before, and never
+#: given back, so a long run without an @ takes time in proportion to its length.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def matches(text: Column, entity_type: str) -> Column:
     """All matches of a type's rule in a text, in order."""
     _, pattern, group, _ = next(r for r in RULES if r[0] == entity_type)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(_EMAIL if entity_type == "email" else pattern), F.lit(group))
+    if entity_type in NEEDLES:
+        found = F.when(F.contains(text, F.lit(NEEDLES[entity_type])), found).when(text.isNotNull(), F.array().cast("array<string>"))
     if entity_type == "local_path":
         found = F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"[.,;:!?)\\\]}]+$", "")), lambda x: x != "")
     return found
@@ -43,7 +50,7 @@ def _entity(i: int, slug: str, source: int):
 
 def detect(docs: DataFrame, text: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
     """All matches: the columns of `docs` without text, with source_rank, detect_rank, entity_text and entity_type."""
-    parts = []
+    parts = []  # null texts have no matches
     for i, (slug, _, _, source) in enumerate(RULES):
         if types is None or slug in types:
             parts.append(F.transform(matches(F.col(text), slug), _entity(i, slug, source)))

@@ -116,18 +116,25 @@ def stem(key: str, other: str) -> bool:
 
 
 def apply_minted(docs: DataFrame, found: DataFrame, minted: DataFrame, session: str, turn: str, text: str = "text") -> DataFrame:
-    """Rewrite each text with its own surfaces' tokens: adds sanitized and modified. Only texts with entities go through Python."""
-    tokens = found.select(turn, session, "entity_text").join(minted.select(session, F.col("canonical").alias("entity_text"), "placeholder"), [session, "entity_text"])
-    per_text = tokens.groupBy(turn).agg(F.collect_list(F.struct("entity_text", "placeholder")).alias("_pairs"))
+    """Rewrite each text with its own surfaces' tokens: adds sanitized and modified. Only texts with entities go through Python.
+
+    A turn is one of its session: turns of the same number in other sessions, or without a session, have tokens of their own.
+    """
+    s, t, surface = "_session", "_turn", "_surface"
+    known = minted.select(F.col(session).alias(s), F.col("canonical").alias(surface), "placeholder")
+    used = found.select(F.col(session).alias("_own"), F.col(turn).alias(t), "entity_text")
+    tokens = used.join(known, F.col("_own").eqNullSafe(F.col(s)) & (F.col("entity_text") == F.col(surface)))
+    per_text = tokens.groupBy(s, t).agg(F.collect_list(F.struct("entity_text", "placeholder")).alias("_pairs"))
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, pairs: pd.Series) -> pd.Series:
-        return pd.Series([replace_all(t, [(p["entity_text"], p["placeholder"]) for p in ps]) for t, ps in zip(texts, pairs, strict=True)])
+        return pd.Series([None if ps is None else replace_all(t, [(p["entity_text"], p["placeholder"]) for p in ps]) for t, ps in zip(texts, pairs, strict=True)])
 
-    joined = docs.join(per_text, turn, "left")
-    touched = joined.filter("_pairs is not null").withColumn("sanitized", rewrite(text, "_pairs"))
-    plain = joined.filter("_pairs is null").withColumn("sanitized", F.col(text))
-    return touched.unionByName(plain).withColumn("modified", F.coalesce(F.col("sanitized") != F.col(text), F.lit(False))).drop("_pairs")
+    joined = docs.join(per_text, docs[session].eqNullSafe(F.col(s)) & docs[turn].eqNullSafe(F.col(t)), "left")
+    # Texts without entities are null on their way to Python and back.
+    rewritten = rewrite(F.when(F.col("_pairs").isNotNull(), F.col(text)), "_pairs")
+    joined = joined.withColumn("sanitized", F.coalesce(rewritten, F.col(text)))
+    return joined.withColumn("modified", F.coalesce(F.col("sanitized") != F.col(text), F.lit(False))).drop("_pairs", s, t)
 
 
 def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], text: str = "text") -> DataFrame:
@@ -144,13 +151,29 @@ def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], t
     return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).drop("_map")
 
 
+def _parts(c, least: int = 1):
+    """All beginnings and ends of a string of at least `least` characters, itself included."""
+    sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), F.length(c)))
+    return F.concat(F.transform(sizes, lambda n: F.left(c, n)), F.transform(sizes, lambda n: F.right(c, n)))
+
+
 def resolve_aliases(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """The token whose alias holds the surface as a whole word, if exactly one does. asked: (keys, session, surface); known: (session, placeholder, alias).
+    """The token that a surface is an alias of, if exactly one fits: (keys, placeholder).
 
-    Aliases are split to words, so the match is an equality join.
+    asked: (keys, session, surface); known: (session, placeholder, alias); surfaces and aliases are alias keys. A surface
+    fits an equal alias; a single word of two letters or more fits an alias that holds it as a word; several words fit an
+    alias that begins or ends with them, or that they begin or end with. Both sides are split to the strings that may be
+    equal, so the match is an equality join, whatever the number of aliases of a session.
     """
-    words = known.select("session", "placeholder", F.explode(F.array_distinct(F.split("alias", " "))).alias("surface"))
-    found = asked.join(words, ["session", "surface"], "left").groupBy(*keys)
+    wordy = lambda c: F.contains(c, F.lit(" "))
+    alias = F.col("alias")
+    inside = F.concat(F.filter(F.split(alias, " "), lambda w: F.length(w) >= 2), F.filter(_parts(alias), wordy))
+    forms = lambda side, values: F.transform(F.array_distinct(values), lambda x: F.struct(F.lit(side).alias("side"), x.alias("form")))
+    held = known.select("session", "placeholder", F.inline(F.concat(forms("part", inside), forms("whole", F.array(alias)))))
+    surface = F.col("surface")
+    around = F.when(wordy(surface), _parts(surface)).otherwise(F.array(surface))
+    said = asked.select(*keys, "session", F.inline_outer(F.concat(forms("part", F.array(surface)), forms("whole", around))))
+    found = said.join(held, ["session", "side", "form"], "left").groupBy(*keys)
     return found.agg(F.count_distinct("placeholder").alias("_n"), F.min("placeholder").alias("_p")).select(*keys, F.when(F.col("_n") == 1, F.col("_p")).alias("placeholder"))
 
 

@@ -12,39 +12,68 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.functions import taxonomy
 from hushframe.operators import detect
-from hushframe.operators.vault import Vault
+from hushframe.operators.vault import Vault, restore
 
-#: Characters held back while a stream is live; no entity is longer.
+#: Characters held back while a stream is live, so that what follows a match is seen before it is taken as final.
 HOLD = 256
+#: No rule has more characters before the last blank inside it.
+OPEN = 64
 #: Characters of an unfinished token held back by the restorer.
 TOKEN_HOLD = 128
 _PARTIAL = re.compile(r"<(?:<[A-Z0-9_]*>?)?\Z")
-_RULES = [(slug, re.compile(pattern), group) for slug, pattern, group, _ in detect.RULES]
+_RULES = [(slug, re.compile(pattern), group) for slug, pattern, group, _ in detect.RULES if slug != "email"]
+#: Rules with a blank inside: a cut at a blank may lie within one that isn't complete yet.
+_BLANK_INSIDE = [regex.compile(pattern) for _, pattern, _, _ in detect.RULES if " " in pattern]
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the e-mail rule's matches, found from their @ signs: a long run without one costs nothing."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and _LOCAL.match(text[start - 1]):
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            end = m.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
 
 
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(surface, type, start, end) of the rules' matches; of one surface the type of highest priority."""
     best: dict[str, tuple[str, str, int, int]] = {}
-    spans = []
+    spans = [(text[a:b], "email", a, b) for a, b in _emails(text)]
     for slug, pattern, group in _RULES:
         for m in pattern.finditer(text):
             surface = m.group(group)
             if slug == "local_path":
                 surface = surface.rstrip(detect.PATH_TRAILING)
-            if not surface:
-                continue
-            spans.append((surface, slug, m.start(group), m.start(group) + len(surface)))
-            if surface not in best or taxonomy.PRIORITY[slug] > taxonomy.PRIORITY[best[surface][1]]:
-                best[surface] = spans[-1]
+            if surface:
+                spans.append((surface, slug, m.start(group), m.start(group) + len(surface)))
+    for span in spans:
+        surface, slug = span[:2]
+        if surface not in best or taxonomy.PRIORITY[slug] > taxonomy.PRIORITY[best[surface][1]]:
+            best[surface] = span
     return [(s, best[s][1], a, b) for s, _, a, b in spans]
 
 
+def _open_rule(text: str) -> int:
+    """Where a rule begins that the end of `text` leaves incomplete, or len(text)."""
+    tail = text[-OPEN:]
+    starts = [m.start() for rule in _BLANK_INSIDE for m in rule.finditer(tail, partial=True) if m.partial and m.end() > m.start()]
+    return len(text) - len(tail) + min(starts, default=len(tail))
+
+
 class Sanitizer:
     """Sanitises a growing text: feed returns what can be shown so far."""
 
@@ -54,18 +83,26 @@ class Sanitizer:
     def feed(self, chunk: str, last: bool = False) -> str:
         self.raw += chunk
         found = entities(self.raw)
-        cut = len(self.raw) if last else max(0, len(self.raw) - HOLD)
-        if not last:
-            # Back to a space, and out of every match, so that what stays is seen whole later.
-            while True:
-                at = cut
-                cut = next((i for i in range(cut, 0, -1) if self.raw[i - 1].isspace()), 0)
-                cut = min([a for _, _, a, b in found if a < cut < b], default=cut)
-                if cut == at or cut == 0:
-                    break
+        cut = len(self.raw) if last else self._cut(found)
         ready, self.raw = self.raw[:cut], self.raw[cut:]
         return self.vault.sanitize(ready, [(s, t, None) for s, t, a, b in found if b <= cut]) if ready else ""
 
+    def _cut(self, found: list[tuple[str, str, int, int]]) -> int:
+        """The last place before which everything is final: after a blank, in no match, in no rule that may still be completed, in no known surface."""
+        spaced = [s for s in self.vault.by_surface if any(map(str.isspace, s))]
+        cut = max(0, len(self.raw) - HOLD)
+        while cut:
+            at = cut
+            cut = next((i for i in range(cut, 0, -1) if self.raw[i - 1].isspace()), 0)
+            cut = min([a for _, _, a, b in found if a < cut < b], default=cut)
+            cut = min(cut, _open_rule(self.raw[max(0, cut - OPEN) : cut]) + max(0, cut - OPEN))
+            for s in spaced:
+                held = self.raw.find(s, max(0, cut - len(s) + 1), cut + len(s) - 1)
+                cut = held if 0 <= held < cut else cut
+            if cut == at:
+                break
+        return cut
+
 
 class Restorer:
     """Restores a growing text: an unfinished token at its end waits."""
@@ -75,12 +112,17 @@ class Restorer:
 
     def feed(self, chunk: str, last: bool = False) -> str:
         text = self.held + chunk
-        m = None if last else _PARTIAL.search(text)
-        cut = m.start() if m and len(text) - m.start() <= TOKEN_HOLD else len(text)
+        cut = len(text) if last else _token_cut(text)
         self.held = text[cut:]
         return self.vault.restore(text[:cut])
 
 
+def _token_cut(text: str) -> int:
+    """Where an unfinished token at the end of a text begins, or its length."""
+    m = _PARTIAL.search(text)
+    return m.start() if m and len(text) - m.start() <= TOKEN_HOLD else len(text)
+
+
 def _dump(vault: Vault) -> str:
     return json.dumps([vault.by_surface, vault.by_key, vault.keys, vault.canonical, vault.counters])
 
@@ -118,6 +160,48 @@ def sanitize_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("session", "stream").applyInPandasWithState(step, schema, "following long, raw string, vault string, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
+def whole_tokens(chunks: DataFrame) -> DataFrame:
+    """Streaming chunks(session, stream, seq, chunk, last) to (session, stream, seq, piece): cut anew so that no token is split.
+
+    Only the tail of a stream that may be the start of a token waits, so state is a few characters a stream. A piece can be
+    restored on its own by `vault.restore`, as `restore_stream` does.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, held, waiting = state.get if state.exists else (0, "", "{}")
+        pending = {int(k): v for k, v in json.loads(waiting).items()}
+        for part in parts:
+            for row in part.itertuples(index=False):
+                pending.setdefault(int(row.seq), [row.chunk or "", bool(row.last)])
+        out, ended = [], False
+        while following in pending:
+            chunk, last = pending.pop(following)
+            text = held + chunk
+            cut = len(text) if last else _token_cut(text)
+            out.append((*key, following, text[:cut]))
+            held, following, ended = text[cut:], following + 1, ended or last
+        if ended:
+            state.remove()
+        else:
+            state.update((following, held, json.dumps(pending)))
+        yield pd.DataFrame(out, columns=["session", "stream", "seq", "piece"])
+
+    schema = "session string, stream long, seq long, piece string"
+    return chunks.groupBy("session", "stream").applyInPandasWithState(step, schema, "following long, held string, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
+def restore_stream(chunks: DataFrame, vault: DataFrame, write) -> DataStreamWriter:
+    """A streaming query, not started, that restores chunks with `vault`(session, placeholder, canonical).
+
+    write(batch, id) gets each micro-batch: (session, stream, seq, piece, restored).
+    """
+
+    def batch(pieces: DataFrame, number: int) -> None:
+        write(restore(pieces, vault, "session", ["stream", "seq"], text="piece"), number)
+
+    return whole_tokens(chunks).writeStream.foreachBatch(batch)
+
+
 def cut_chunks(docs: DataFrame, session: str, stream: str, text: str, size: int) -> DataFrame:
     """A text column as chunks(session, stream, seq, chunk, last) of `size` characters; an empty text is one empty chunk."""
     n = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(text, F.lit(""))) / size).cast("int"))

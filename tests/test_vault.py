@@ -4,7 +4,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hushframe.operators.vault import Vault, replace_all
+from hushframe.operators import detect
+from hushframe.operators.vault import Vault, apply_minted, replace_all, resolve_aliases, restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming.chunks import HOLD, Restorer, Sanitizer, entities, sanitize_stream
 
@@ -78,3 +79,48 @@ def test_sanitize_stream_takes_chunks_in_order(spark, tmp_path):
     for r in run_once(sanitize_stream(stream)).orderBy("stream", "seq").collect():
         out[r.stream] = out.get(r.stream, "") + r.emitted
     assert out == {1: "write to <<EMAIL_1>> bye", 2: "nothing"}
+
+
+def test_sessions_keep_their_own_tokens(spark):
+    rows = [("s1", 1, "a@b.org c@d.org"), ("s2", 1, "c@d.org"), ("s2", 2, "a@b.org and c@d.org"), (None, 1, "e@f.org c@d.org"), ("s3", 1, "nothing"), ("s3", None, "x@y.org")]
+    docs = spark.createDataFrame(rows, "session string, turn long, text string")
+    found = detect.by_priority(detect.detect(docs), ["session", "turn"])
+    minted = detect.mint(found, "session", "turn")
+    out = {(r.session, r.turn): (r.sanitized, r.modified) for r in apply_minted(docs, found, minted, "session", "turn").collect()}
+    assert out["s2", 1] == ("<<EMAIL_1>>", True) and out["s3", 1] == ("nothing", False) and out["s3", None] == ("<<EMAIL_1>>", True)
+    assert out["s1", 1][0] == "<<EMAIL_1>> <<EMAIL_2>>" and out["s2", 2][0] == "<<EMAIL_2>> and <<EMAIL_1>>" and out[None, 1][0].count("<<EMAIL_") == 2
+    clean = spark.createDataFrame([(s, t, x) for (s, t), (x, _) in out.items() if s], "session string, turn long, text string")
+    back = {(r.session, r.turn): r.restored for r in restore(clean, minted, "session", ["turn"]).collect()}
+    assert all(back[s, t] == x for s, t, x in rows if s and t)
+
+
+def test_aliases_by_join_are_those_of_the_vault(spark):
+    known = [("s", "<<ORG_1>>", "anthropic inc"), ("s", "<<ORG_2>>", "laurie luo"), ("s", "<<ORG_3>>", "laurie smith jones"), ("s", "<<ORG_4>>", "an")]
+    asked = ["anthropic", "laurie", "luo", "smith jones", "laurie smith", "anthropic inc of america", "an", "a", "new anthropic inc", "jones laurie", "thropic inc", "an apple"]
+    held = spark.createDataFrame(known, "session string, placeholder string, alias string")
+    df = spark.createDataFrame([(i, "s", a) for i, a in enumerate(asked)] + [(99, "t", "an")], "i int, session string, surface string")
+    got = {r.i: r.placeholder for r in resolve_aliases(df, held, ["i"]).collect()}
+    vault = Vault()
+    for _, token, alias in known:
+        vault.keys[token] = [alias]
+        vault.by_key.setdefault(alias, token)
+    assert got[99] is None and [got[i] for i in range(len(asked))] == [vault.known(a, "ORG") for a in asked]
+    assert got[0] == "<<ORG_1>>" and got[1] is None and got[3] == "<<ORG_3>>"
+
+
+def test_no_cut_of_a_stream_shows_a_secret():
+    secrets = ['api_key = "' + "Zk9" * 110 + '"', "+49 (151) 555-1234", "https://example.org/" + "path/" * 90, "/srv/data/" + "x" * 300, "someone@" + "sub." * 80 + "example.org", "4111111111111111"]
+    whole = " filler words here ".join(secrets) + " the end"
+    whole = whole + " " + "more text " * 80 + whole
+    surfaces = {s for s, *_ in entities(whole)}
+    assert set(secrets[:1]) <= surfaces and len(surfaces) >= 6
+    dice = random.Random(2)
+    for trial in range(30):
+        machine, out, at = Sanitizer(), [], 0
+        while at < len(whole):
+            n = dice.choice((1, 3, 50, 300, 4096)) if trial else 1
+            out.append(machine.feed(whole[at : at + n], at + n >= len(whole)))
+            at += n
+        joined = "".join(out)
+        assert not any(s in joined for s in surfaces) and machine.vault.restore(joined) == whole
+        assert "Zk9Zk9" not in joined and "555-1234" not in joined
