@@ -5,22 +5,25 @@ turns: (session, turn, raw, prepared, latency_ms); truth: (session, entity_type,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def ident_tokens(value: Column) -> Column:
-    """Identifying parts of a value: numbers of three digits or more, and words of four letters or more, in lower case."""
-    parts = F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.array_distinct(F.filter(parts, lambda p: p.rlike(r"^\p{N}{3,}$") | (~p.rlike(r"^\p{N}+$") & (F.length(p) >= 4))))
+    """Identifying parts of a value, as often as they occur: runs of word characters that are all digits (three or more) or all letters (four or more)."""
+    parts = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(parts, lambda p: p.rlike(r"^(?:\p{Nd}{3,}|\p{L}{4,})$"))
 
 
 def pairs(turns: DataFrame, truth: DataFrame) -> DataFrame:
-    """Each true value in each turn whose raw text holds it: whether it leaked, and its leaked parts."""
+    """Each true value in each turn whose raw text holds it whole: whether it leaked, and how many of its parts did.
+
+    A value leaks if any identifying part of it stays in the prepared text; one without such parts isn't scored.
+    """
+    truth = truth.withColumn("_parts", ident_tokens(F.col("value"))).filter(F.size("_parts") > 0)
     found = turns.join(truth, "session").filter(F.contains(F.col("raw"), F.col("value")))
-    tokens = ident_tokens(F.col("value"))
-    low = F.lower("prepared")
-    return found.select("session", "turn", "entity_type", "value", "latency_ms", F.contains(F.col("prepared"), F.col("value")).alias("leaked"), F.size(tokens).alias("tokens"), F.size(F.filter(tokens, lambda t: F.contains(low, t))).alias("leaked_tokens"), "prepared")
+    leaked = F.size(F.filter("_parts", lambda t: F.contains(F.col("prepared"), t)))
+    return found.select(*turns.columns, "entity_type", "value", (leaked > 0).alias("leaked"), F.size("_parts").alias("tokens"), leaked.alias("leaked_tokens")).drop("raw")
 
 
 def score(found: DataFrame, by: list[str]) -> DataFrame:
@@ -31,10 +34,49 @@ def score(found: DataFrame, by: list[str]) -> DataFrame:
 
 def rollup(found: DataFrame, domain: str, kind: str) -> DataFrame:
     """The score by domain, by type and over all, in one pass of grouping sets."""
-    found.createOrReplaceTempView("_leak_pairs")
-    sql = f"""SELECT {domain}, {kind}, count(*) AS pairs, count_if(leaked) AS leaked_pairs, sum(tokens) AS tokens, sum(leaked_tokens) AS leaked_tokens
-        FROM _leak_pairs GROUP BY GROUPING SETS (({domain}), ({kind}), ())"""
-    return found.sparkSession.sql(sql)
+    sums = (F.count("*").alias("pairs"), F.count_if("leaked").alias("leaked_pairs"), F.sum("tokens").alias("tokens"), F.sum("leaked_tokens").alias("leaked_tokens"))
+    return found.groupingSets([[domain], [kind], []], domain, kind).agg(*sums)
+
+
+def weighted_rate(scores: DataFrame, weight: str, rate: str):
+    """Mean of a rate over rows by their weight, null without weight: of sums, as those of sessions to those of all."""
+    return F.try_divide(F.sum(F.col(weight) * F.coalesce(rate, F.lit(0.0))), F.sum(F.when(F.col(rate).isNotNull(), F.col(weight))))
+
+
+def cross_sessions(found: DataFrame, alias: DataFrame, by: list[str]) -> DataFrame:
+    """Scores of groups of sessions, with the alias rate over all values that recur.
+
+    found: of `pairs`, with the columns `by`; alias: (by, session, multi, consistent), the number of values of a session seen
+    in two turns or more and how many of them always had one token.
+    """
+    rate = F.try_divide(F.col("consistent").cast("double"), F.col("multi"))
+    sums = alias.withColumn("_rate", rate).groupBy(*by).agg(F.sum("multi").alias("multi_turn_values"), weighted_rate(alias, "multi", "_rate").alias("alias_rate"))
+    return score(found, by).join(sums, by, "left")
+
+
+def domains(scores: DataFrame, latency: DataFrame, domain: str) -> DataFrame:
+    """One row over all domains: sums, rates and the worst 95th percentile. scores: of `cross_sessions`; latency: (domain, p95)."""
+    total = scores.join(latency, domain, "left").agg(
+        F.count("*").alias("domains"), F.sum("pairs").alias("pairs"), F.sum("leaked_pairs").alias("leaked_pairs"), F.sum("tokens").alias("tokens"), F.sum("leaked_tokens").alias("leaked_tokens"),
+        F.sum("multi_turn_values").alias("multi_turn_values"), weighted_rate(scores, "multi_turn_values", "alias_rate").alias("alias_rate"), F.max("p95").alias("worst_p95"),
+    )
+    return total.withColumn("pair_rate", F.try_divide(F.col("leaked_pairs").cast("double"), F.col("pairs"))).withColumn("token_rate", F.try_divide(F.col("leaked_tokens").cast("double"), F.col("tokens")))
+
+
+def carried(long_turns: DataFrame, later_turns: DataFrame, truth: DataFrame, protecting: DataFrame) -> DataFrame:
+    """Whether the token that protects a value of a long document is still in use in the turns after it.
+
+    long_turns, later_turns: (session, raw, prepared), one long turn a session; truth: (session, entity_type, value);
+    protecting: (session, value, placeholder). A row per value that the long turn and a later one name: (session,
+    entity_type, value, placeholder, in_long, in_later, carried).
+    """
+    named = truth.join(long_turns.select("session", F.col("raw").alias("_long"), F.col("prepared").alias("_kept")), "session").filter(F.contains("_long", F.col("value")))
+    known = named.join(protecting, ["session", "value"]).filter("placeholder is not null")
+    after = known.join(later_turns.select("session", F.col("raw").alias("_later"), F.col("prepared").alias("_out")), "session")
+    grouped = after.groupBy("session", "entity_type", "value", "placeholder")
+    tests = (F.contains("_later", F.col("value")), F.contains("_kept", F.col("placeholder")), F.contains("_out", F.col("placeholder")))
+    out = grouped.agg(*[F.bool_or(t).alias(n) for t, n in zip(tests, ("_again", "in_long", "in_later"), strict=True)])
+    return out.filter("_again").drop("_again").withColumn("carried", F.col("in_long") & F.col("in_later"))
 
 
 def consistency(found: DataFrame) -> DataFrame:
@@ -52,8 +94,6 @@ def percentile(values: Column, q: float) -> Column:
 def percentiles(rows: DataFrame, by: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Percentiles by index. Values are counted first, so that a group is as large as its different values."""
     counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*by).orderBy(value)
     ranked = counted.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     at = lambda q: F.min(F.when(F.col("_upto") > F.rint(F.lit(q) * (F.col("_all") - 1)), F.col(value))).alias(f"p{round(q * 100)}")
