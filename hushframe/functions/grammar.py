@@ -88,17 +88,38 @@ def alias_key(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(one), "string")(c)
 
 
-#: Reasoning blocks and control tokens that must not reach a reader (fixed values).
+# Reasoning blocks and control tokens that must not reach a reader, in the order in which they are taken out.
 THINK = (
     r"(?s)<think>.*?</think>",
+    r"(?sU)^\s*<think>.*$",
     r"(?s)<thought>.*?</thought>",
-    r"(?s)^\s*<think>.*$",
-    r"(?s)^\s*<thought>.*$",
-    r"</?(?:think|thought)>",
+    r"(?sU)^\s*<thought>.*$",
+    r"<think(?![A-Za-z0-9_\-:>/])",
+    r"<thought(?![A-Za-z0-9_\-:>/])",
+    r"(?U)^\s*</think>\s*",
+    r"(?U)\s*</think>\s*$",
+    r"(?U)^\s*</thought>\s*",
+    r"(?U)\s*</thought>\s*$",
+    r"(?U)^\s*<\|?channel\|?>\s*",
+    r"(?:</?(?:t|th|thi|thin|think|tho|thou|thoug|though|thought)>?|<\|?(?:c|ch|cha|chan|chann|channe|channel)(?:\|?>?)?)$",
+    r"(?U)^\s*<\|?$",
 )
 
 
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def strip_think(c: Column) -> Column:
+    """A text without reasoning blocks and what a model leaves of their marks at its ends; marks that prose mentions stay."""
     for pattern in THINK:
         c = F.regexp_replace(c, pattern, "")
-    return F.trim(c)
+    return strip(c)
+
+
+def extract_think(c: Column) -> Column:
+    """What closed reasoning blocks hold, joined by blank lines; null without any."""
+    blocks = lambda tag: F.transform(F.regexp_extract_all(c, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), strip)
+    parts = F.concat(blocks("think"), blocks("thought"))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))

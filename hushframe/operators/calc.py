@@ -7,9 +7,11 @@ snippet is ever executed as code.
 from __future__ import annotations
 
 import ast
+import math
 import operator
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,35 +19,63 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
 
-SNIPPET = r"(?s)<python_snippet_(\d+)>\s*(.*?)\s*</python_snippet_\1>"
-_SNIPPET_RE = re.compile(SNIPPET)
+# How an answer marks a snippet (in either case), and a result that was put in before.
+SNIPPET = r"(?is)<python_snippet_(\d+)>\s*(.*?)\s*</python_snippet_\1>"
+MARKER = (
+    r"(?i)\s*Local calculation result for python_snippet_(\d+):\s*(<<CALC_\d+>>)\.\s*"
+    r"Use CALC_\d+ as the numeric variable for this prior local calculation in future python snippets\."
+)
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 _CALLS = {"abs": abs, "round": round, "min": min, "max": max, "pow": pow}
 #: Bounds that keep powers from growing without end.
 MAX_EXPONENT, MAX_POWERS = 64, 1
+#: Deepest nesting of an expression, and its longest text.
+MAX_DEPTH, MAX_LENGTH = 60, 4000
 
 
 class Refused(ValueError):
     """The snippet isn't plain arithmetic over known values."""
 
 
-def expression(snippet: str) -> str:
-    """The one expression of a snippet: itself, or what it assigns to `result`."""
+@lru_cache(maxsize=4096)
+def _parsed(code: str, mode: str):
+    """The tree of a text, or the reason why there is none; answers repeat the same few snippets, so each is parsed once."""
+    if len(code) > MAX_LENGTH:
+        return Refused("too long")
+    try:
+        return ast.parse(code, mode=mode)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return Refused(f"not an expression: {type(e).__name__}")
+
+
+@lru_cache(maxsize=4096)
+def _expression(snippet: str) -> str | Refused:
     code = re.sub(r"\A```(?:python)?\s*|\s*```\Z", "", snippet.strip()).strip()
+    tree = _parsed(code, "exec")
+    if isinstance(tree, Refused):
+        return tree
+    body = tree.body
     try:
-        body = ast.parse(code).body
-    except SyntaxError as e:
-        raise Refused("not an expression") from e
-    if len(body) == 1 and isinstance(body[0], ast.Expr):
-        return ast.unparse(body[0].value)
-    if len(body) == 1 and isinstance(body[0], ast.Assign) and [getattr(t, "id", None) for t in body[0].targets] == ["result"]:
-        return ast.unparse(body[0].value)
-    raise Refused("one expression or an assignment to result is allowed")
+        if len(body) == 1 and isinstance(body[0], ast.Expr):
+            return ast.unparse(body[0].value)
+        if len(body) == 1 and isinstance(body[0], ast.Assign) and [getattr(t, "id", None) for t in body[0].targets] == ["result"]:
+            return ast.unparse(body[0].value)
+    except RecursionError:
+        return Refused("nested too deep")
+    return Refused("one expression or an assignment to result is allowed")
+
+
+def expression(snippet: str) -> str:
+    """The one expression of a snippet: itself, or what it assigns to `result`."""
+    found = _expression(snippet)
+    if isinstance(found, Refused):
+        raise Refused(str(found))
+    return found
 
 
 def evaluate(text: str, values: dict[str, float]) -> float:
-    """Value of an expression; Refused if it holds anything else than arithmetic."""
+    """Value of an expression; Refused if it holds anything else than arithmetic, or isn't a finite number."""
     powers = 0
 
     def power(a, b):
@@ -55,7 +85,9 @@ def evaluate(text: str, values: dict[str, float]) -> float:
             raise Refused("chained or large powers are not allowed")
         return a**b
 
-    def of(node):
+    def of(node, depth=0):
+        if depth > MAX_DEPTH:
+            raise Refused("nested too deep")
         match node:
             case ast.Constant(value=bool()):
                 raise Refused("not a number")
@@ -64,25 +96,31 @@ def evaluate(text: str, values: dict[str, float]) -> float:
             case ast.Name(id=name) if name in values:
                 return values[name]
             case ast.BinOp(left=a, op=ast.Pow(), right=b):
-                return power(of(a), of(b))
+                return power(of(a, depth + 1), of(b, depth + 1))
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
-                return _BINARY[type(op)](of(a), of(b))
+                return _BINARY[type(op)](of(a, depth + 1), of(b, depth + 1))
             case ast.UnaryOp(op=op, operand=a) if type(op) in _UNARY:
-                return _UNARY[type(op)](of(a))
+                return _UNARY[type(op)](of(a, depth + 1))
             case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
-                return power(*map(of, args)) if name == "pow" and len(args) == 2 else _CALLS[name](*map(of, args))
+                own = [of(a, depth + 1) for a in args]
+                return power(*own) if name == "pow" and len(own) == 2 else _CALLS[name](*own)
             case _:
                 raise Refused(f"unsupported: {type(node).__name__}")
 
+    tree = _parsed(text, "eval")
+    if isinstance(tree, Refused):
+        raise Refused(str(tree))
     try:
-        result = of(ast.parse(text, mode="eval").body)
-        return float(result)
-    except (ZeroDivisionError, OverflowError, TypeError, SyntaxError) as e:
-        raise Refused(str(e)) from e
+        result = float(of(tree.body))
+    except (ArithmeticError, TypeError, ValueError, RecursionError) as e:
+        raise Refused(str(e) or type(e).__name__) from e
+    if not math.isfinite(result):
+        raise Refused("not a finite number")
+    return result
 
 
 def shown(value: float) -> str:
-    """A result as text: whole numbers plain, others with ten digits."""
+    """A result as text: whole numbers plain, others with ten digits (a fixed format)."""
     return str(round(value)) if abs(value - round(value)) < 1e-12 else f"{value:.10g}"
 
 
@@ -91,8 +129,11 @@ def resolved(text: str, values: dict[str, float]) -> str:
     return re.sub(r"\b[A-Za-z_]\w*\b", lambda m: shown(values[m.group()]) if m.group() in values else m.group(), text)
 
 
-def snippets(text: str) -> list[tuple[int, str]]:
-    return [(int(m.group(1)), m.group(2).strip()) for m in _SNIPPET_RE.finditer(text or "") if m.group(2).strip()]
+def snippet_column(c):
+    """Snippets of an answer in order, as array<struct<number, code>>; a snippet without code is none."""
+    of = lambda group: F.regexp_extract_all(c, F.lit(SNIPPET), F.lit(group))
+    both = F.zip_with(of(1), of(2), lambda n, code: F.struct(n.cast("int").alias("number"), F.trim(code).alias("code")))
+    return F.filter(both, lambda s: s["code"] != "")
 
 
 def compute(answers: DataFrame, keys: list[str], text: str = "text", values: str = "values") -> DataFrame:
@@ -100,7 +141,8 @@ def compute(answers: DataFrame, keys: list[str], text: str = "text", values: str
 
     values: map of names (tokens without brackets, as PERSON_1) to numbers. A refused snippet has an error and no result.
     """
-    picked = answers.select(*keys, F.col(text).alias("_text"), F.map_entries(values).alias("_values"))
+    picked = answers.select(*keys, snippet_column(F.col(text)).alias("_snippets"), F.map_entries(values).alias("_values"))
+    picked = picked.filter(F.size("_snippets") > 0)
     types = [f.dataType for f in picked.schema.fields[: len(keys)]]
     schema = ", ".join(f"`{k}` {t.simpleString()}" for k, t in zip(keys, types, strict=True))
 
@@ -110,7 +152,7 @@ def compute(answers: DataFrame, keys: list[str], text: str = "text", values: str
             out = []
             for row in rows:
                 known = {e["key"]: e["value"] for e in row["_values"] or [] if e["value"] is not None}
-                for number, snippet in snippets(row["_text"]):
+                for number, snippet in ((s["number"], s["code"]) for s in row["_snippets"]):
                     own = [row[k] for k in keys]
                     try:
                         text_ = expression(snippet)
@@ -134,3 +176,70 @@ def numeric_names(c):
     """Names of numeric tokens in a text, without brackets, in order of first appearance."""
     inner = F.transform(grammar.tokens(c), lambda t: F.regexp_extract(t, r"<<(.*)>>", 1))
     return F.filter(inner, lambda n: n.rlike(r"^(FINANCE|PERCENTAGE|AMOUNT|METRIC|VALUE|CALC)_\d+$"))
+
+
+def _turn(text: str, values: dict[str, float], known: dict[str, tuple]) -> tuple[str, str, list[dict]]:
+    """One answer: as shown and as kept, and its calculations. known: expression -> (token, resolved, value, formatted) of the session."""
+    shown_parts, kept_parts, records, at = [], [], [], 0
+    for m in re.finditer(SNIPPET, text):
+        number, code = int(m.group(1)), m.group(2).strip()
+        if not code:
+            continue
+        shown_parts.append(text[at : m.start()])
+        kept_parts.append(text[at : m.start()])
+        mark = re.compile(MARKER).match(text, m.end())
+        mark = mark if mark and int(mark.group(1)) == number else None
+        at = mark.end() if mark else m.end()
+        try:
+            found = next((e for e, k in known.items() if mark and k[0] == mark.group(2)), None) or expression(code)
+            if found not in known:
+                value = evaluate(found, values)
+                known[found] = (f"<<CALC_{1 + len(known)}>>", resolved(found, values), value, shown(value))
+            token, told, value, text_of = known[found]
+        except Refused:
+            shown_parts.append(code)
+            kept_parts.append(code)
+            continue
+        values[token.strip("<>")] = value
+        shown_parts.append(text_of)
+        kept_parts.append(token)
+        if all(r["resolved"] != told for r in records):
+            records.append({"snippet": number, "expression": found, "resolved": told, "placeholder": token, "result": value, "formatted": text_of})
+    clean = lambda parts: re.sub(r"\n{3,}", "\n\n", "".join([*parts, text[at:]]).replace("\r\n", "\n")).strip()
+    return clean(shown_parts), clean(kept_parts), records
+
+
+def apply(answers: DataFrame, variables: DataFrame) -> DataFrame:
+    """answers(session, turn, text) with display, history and computations; variables: (session, values map<string, double>).
+
+    A snippet gives way to its result in what is shown and to a CALC token in what is kept. An expression that the session
+    has calculated before keeps its token and result; a later snippet may use a CALC name. Tokens depend on the turns
+    before, so the answers of a session that calculate, and only those, are walked in order by one task. A refused snippet
+    stays as its code.
+    """
+    record = "array<struct<snippet:int,expression:string,resolved:string,placeholder:string,result:double,formatted:string>>"
+    none = F.array().cast(record)
+    has = F.col("text").rlike(SNIPPET)
+    plain = answers.filter(~F.coalesce(has, F.lit(False))).select("session", "turn", F.col("text").alias("display"), F.col("text").alias("history"), none.alias("computations"))
+    # No snippet uses a value of another session, and a map of values is joined once to its session's answers.
+    rows = answers.filter(has).select("session", "turn", "text").join(variables.select(F.col("session").alias("_s"), F.map_entries("values").alias("_values")), F.col("session").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+    def walk(pdf):
+        import pandas as pd
+
+        values, known, out = None, {}, []
+        for row in pdf.sort_values("turn", kind="stable").itertuples(index=False):
+            if values is None:
+                values = {e["key"]: e["value"] for e in (row[3] if row[3] is not None else []) if e["value"] is not None}
+            out.append((row.session, row.turn, *_turn(row.text, values, known)))
+        return pd.DataFrame(out, columns=["session", "turn", "display", "history", "computations"])
+
+    kinds = dict(answers.dtypes)
+    walked = rows.groupBy("session").applyInPandas(walk, f"session {kinds['session']}, turn {kinds['turn']}, display string, history string, computations {record}")
+    return plain.unionByName(walked)
+
+
+def instruction(names, hint: str = "Compute with a python snippet over these names; do not calculate yourself."):
+    """What a model is told about the numeric names of a turn; empty without any."""
+    lines = F.array_join(F.transform(names, lambda n: F.concat(F.lit("- "), n)), "\n")
+    return F.when(F.size(names) > 0, F.concat(F.lit(hint + "\n"), lines)).otherwise(F.lit(""))

@@ -19,10 +19,31 @@ def check(summary: Column, allowed: Column) -> Column:
 
 
 def strip(text: Column, bad: Column) -> Column:
-    """A text without some tokens, runs of blanks on a line closed up."""
+    """A text without some tokens, white space of each line closed up."""
     gone = F.aggregate(bad, text, lambda acc, t: F.replace(acc, t, F.lit("")))
-    lines = F.transform(F.split(gone, "\n", -1), lambda x: F.trim(F.regexp_replace(x, "[ \t]{2,}", " ")))
-    return F.trim(F.array_join(lines, "\n"))
+    return F.array_join(F.transform(F.split(gone, "\n", -1), grammar.collapse), "\n")
+
+
+def verdict(summaries: DataFrame, vault: DataFrame) -> DataFrame:
+    """Whether each summary may replace its window: (session, window, accepted, reason, repaired, foreign, renumbered).
+
+    summaries: (session, window, summary, allowed array<string>), allowed the tokens of what was summed up; vault: (session,
+    placeholder). A token outside `allowed` that the vault knows was put in place of another: the summary is rejected.
+    One that it doesn't know is made up: it is taken out. No summary is accepted as it is.
+    """
+    told = summaries.select("session", "window", F.explode(F.array_except(grammar.tokens(F.col("summary")), F.col("allowed"))).alias("token"))
+    known = vault.select(F.col("session").alias("_s"), F.col("placeholder").alias("_p")).distinct()
+    judged = told.join(known, told["session"].eqNullSafe(F.col("_s")) & (F.col("token") == F.col("_p")), "left")
+    pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("token"))))
+    bad = judged.groupBy(F.col("session").alias("_s"), F.col("window").alias("_w")).agg(pick(F.col("_p").isNull()).alias("foreign"), pick(F.col("_p").isNotNull()).alias("renumbered"))
+    df = summaries.join(bad, summaries["session"].eqNullSafe(F.col("_s")) & (summaries["window"] == F.col("_w")), "left")
+    none = F.array().cast("array<string>")
+    df = df.withColumn("foreign", F.coalesce("foreign", none)).withColumn("renumbered", F.coalesce("renumbered", none))
+    empty = F.coalesce(F.col("summary") == "", F.lit(True))
+    reason = F.when(empty, F.lit("empty")).when(F.size("renumbered") > 0, F.lit("renumbered placeholder in summary")).when(F.size("foreign") > 0, F.lit("repaired")).otherwise(F.lit("clean"))
+    accepted = F.size("renumbered") == 0
+    repaired = F.when(~empty & accepted, F.when(F.size("foreign") > 0, strip(F.col("summary"), F.col("foreign"))).otherwise(F.col("summary"))).when(empty, F.col("summary"))
+    return df.select("session", "window", accepted.alias("accepted"), reason.alias("reason"), repaired.alias("repaired"), "foreign", "renumbered")
 
 
 def counters(vault: DataFrame, session: str, placeholder: str = "placeholder") -> DataFrame:

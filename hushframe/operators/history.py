@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
+from hushframe.sources.tables import keep
 
 
 def _by(key: str, order: str, desc: bool = False):
@@ -93,3 +94,17 @@ def next_run(kind: Column, at_ms: Column, every_ms: Column, now_ms: Column) -> C
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page of rows in order, a top-k by design."""
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def place(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in an order, which has to be total: adds `name`.
+
+    Rows are dealt to ranges of the order, numbered within them, and moved by the rows of the ranges before, so no task sees
+    all rows. Ranges are written, as a second sampling might draw other bounds.
+    """
+    ranged = keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.withColumn("_before", before).drop("_n"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(offsets, "_part").withColumn(name, own + F.col("_before")).drop("_part", "_before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import grammar, taxonomy
 
+_SOLID = re.compile(r"\S")
 REDACTED = "[redacted: localhost-only]"
 # Words that tell what a user asks for.
 INTENTS = (("math", r"(?i)\b(sum|total|add|average|percent|calculate|how much|difference)\b"), ("document", r"(?i)\b(document|file|pdf|attachment|summari[sz]e)\b"))
@@ -73,15 +75,17 @@ def annotate(texts: DataFrame, vault: DataFrame, keys: list[str], text: str = "t
     return ended.select(*keys, F.col("piece").alias("placeholder"), F.col("canonical").alias("value"), (F.col("end") - grammar.utf16_length(F.col("canonical"))).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def protecting(values: DataFrame, vault: DataFrame, value: str, token: Column, other: Column) -> DataFrame:
-    """The placeholder whose surface shares most parts with each value, then the longest surface, then the token's order.
+def protecting(values: DataFrame, vault: DataFrame, session: str, value: str, token: Column, other: Column) -> DataFrame:
+    """The placeholder whose surface shares most parts with each value of its session, then the longest surface, then the last in order.
 
-    values: (value, ...); vault: (placeholder, canonical); token and other: arrays of parts of a value and of a surface.
+    values: (session, value, ...); vault: (session, placeholder, canonical); token and other: arrays of parts of a value and
+    of a surface. Returns (session, value, placeholder, shared), a row per value that shares a part with any surface.
     """
-    left = values.select(value, F.explode(token).alias("part")).distinct()
-    right = vault.select("placeholder", "canonical", F.explode(other).alias("part")).distinct()
-    shared = left.join(right, "part").groupBy(value, "placeholder", "canonical").agg(F.count("*").alias("n"))
-    return shared.groupBy(value).agg(F.min_by("placeholder", F.struct(-F.col("n"), -F.length("canonical"), F.col("placeholder"))).alias("placeholder"), F.max("n").alias("shared"))
+    left = values.select(session, value, F.explode(token).alias("_part")).distinct()
+    right = vault.select(session, "placeholder", "canonical", F.explode(other).alias("_part")).distinct()
+    shared = left.join(right, [session, "_part"]).groupBy(session, value, "placeholder", "canonical").agg(F.count("*").alias("n"))
+    best = F.max(F.struct(F.col("n"), F.length("canonical").alias("length"), F.col("placeholder"))).alias("best")
+    return shared.groupBy(session, value).agg(best).select(session, value, F.col("best.placeholder").alias("placeholder"), F.col("best.n").alias("shared"))
 
 
 def backfill(calls: DataFrame, results: DataFrame, keys: list[str], note: str = "[missing result]") -> DataFrame:
@@ -126,17 +130,24 @@ def fill(template: Column, slots: dict[str, Column]) -> Column:
 
 
 def split_message(c: Column, limit: int = 2000) -> Column:
-    """Parts of a message of at most `limit` characters, cut at a newline where there is one, else at a space."""
+    """Parts of a message of at most `limit` characters, cut at the last newline there is in one, else at a blank, else hard.
 
-    def one(text):
-        out = []
-        while text and len(text) > limit:
-            at = max(text.rfind("\n", 0, limit + 1), 0) or max(text.rfind(" ", 0, limit + 1), 0) or limit
-            out.append(text[:at])
-            text = text[at:].lstrip()
-        return [*out, text] if text else out
+    A part ends before the newline or blank it is cut at; space at the start of the next one goes.
+    """
 
-    return F.pandas_udf(lambda s: pd.Series([one(t) for t in s]), "array<string>")(c)
+    def one(text: str | None) -> list[str]:
+        out, at = [], 0
+        while text and len(text) - at > limit:
+            stop = next((p for p in (text.rfind(x, at + 1, at + limit) for x in "\n ") if p > at), at + limit)
+            out.append(text[at:stop])
+            solid = _SOLID.search(text, stop)
+            at = solid.start() if solid else len(text)
+        return [*out, text[at:]] if text and at < len(text) else out
+
+    split = F.pandas_udf(lambda s: pd.Series([one(t) for t in s]), "array<string>")
+    whole = F.when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    # Only messages that need cutting go to Python.
+    return F.when(F.length(c) > limit, split(F.when(F.length(c) > limit, c))).otherwise(whole)
 
 
 def turn_report(entities: DataFrame, keys: list[str]) -> DataFrame:

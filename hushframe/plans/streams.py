@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.operators import vault
 from hushframe.plans.registry import query
-from hushframe.sources.tables import table
+from hushframe.sources.tables import keep_folder, table, work_folder
 from hushframe.streaming import chunks
 
 
@@ -27,8 +27,7 @@ def _one_file(spark: SparkSession, sf_dir: str, name: str) -> bool:
 def run_once(stream: DataFrame) -> DataFrame:
     """Run a stream over all there is and read what it wrote; files lie below the folder of spark.checkpoint.dir."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    at = f"{root}/streams/{uuid.uuid4()}"
+    at = keep_folder(spark, f"{work_folder(spark)}/streams/{uuid.uuid4()}")
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -42,6 +41,20 @@ def stream_sanitize(spark, sf_dir):
     return out.groupBy(F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("sanitized"))
 
 
+@query("stream_restore", """SELECT o_orderkey, 'Pay ' || c_name || ' of <<ORG_9>> to ' || c_mktsegment || '.' AS restored FROM orders JOIN customer ON c_custkey = o_custkey""")
+def stream_restore(spark, sf_dir):
+    """Answers that arrive in pieces of 7 characters, restored piece by piece with the vault of their session."""
+    orders, customer = read_stream(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("Pay <<PERSON_"), F.col("o_custkey").cast("string"), F.lit(">> of <<ORG_9>> to <<ORG_1"), F.col("o_custkey").cast("string"), F.lit(">>."))
+    cut = chunks.cut_chunks(orders.withColumn("text", text), "o_custkey", "o_orderkey", "text", 7)
+    token = lambda head: F.concat(F.lit(head), F.col("c_custkey").cast("string"), F.lit(">>"))
+    pair = lambda head, c: F.struct(token(head).alias("placeholder"), F.col(c).alias("canonical"))
+    known = customer.select(F.col("c_custkey").cast("string").alias("session"), F.inline(F.array(pair("<<PERSON_", "c_name"), pair("<<ORG_1", "c_mktsegment"))))
+    out = vault.restore(run_once(chunks.whole_tokens(cut)), known, "session", ["stream", "seq"], text="piece")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "restored")))
+    return out.groupBy(F.col("stream").alias("o_orderkey")).agg(F.array_join(F.transform(parts, lambda x: x["restored"]), "").alias("restored"))
+
+
 @query("stream_filter", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' AND value > 5")
 def stream_filter(spark, sf_dir):
     events = read_stream(spark, sf_dir, "events")

@@ -106,16 +106,17 @@ def partial_candidates(spark, sf_dir):
     return turns.partial_candidates(texts, entries, ["l_orderkey", "l_linenumber"], "text", least=6)
 
 
-@query("protecting_placeholder", """WITH v AS (SELECT '<<PERSON_' || c_custkey || '>>' AS placeholder, 'client ' || lower(c_mktsegment) || ' ' || c_custkey AS canonical, c_custkey FROM customer), x AS (SELECT DISTINCT 'client ' || lower(c_mktsegment) || ' ' || (c_custkey + 1) AS value FROM customer),
-l AS (SELECT value, unnest(string_split(value, ' ')) AS part FROM x), r AS (SELECT placeholder, canonical, unnest(string_split(canonical, ' ')) AS part FROM v),
-s AS (SELECT value, placeholder, canonical, count(*) AS n FROM (SELECT DISTINCT * FROM l) JOIN (SELECT DISTINCT * FROM r) USING (part) WHERE length(part) > 0 GROUP BY ALL)
-SELECT value, arg_min(placeholder, (-n, -length(canonical), placeholder)) AS placeholder, max(n) AS shared FROM s WHERE value LIKE '%0' GROUP BY value""")
+@query("protecting_placeholder", """WITH v AS (SELECT c_nationkey AS session, '<<PERSON_' || c_custkey || '>>' AS placeholder, 'client ' || lower(c_mktsegment) || ' ' || c_custkey AS canonical FROM customer),
+x AS (SELECT DISTINCT c_nationkey AS session, lower(c_mktsegment) || ' ' || (c_custkey + 25) AS value FROM customer),
+l AS (SELECT DISTINCT session, value, unnest(string_split(value, ' ')) AS part FROM x), r AS (SELECT DISTINCT session, placeholder, canonical, unnest(string_split(canonical, ' ')) AS part FROM v),
+s AS (SELECT session, value, placeholder, canonical, count(*) AS n FROM l JOIN r USING (session, part) GROUP BY ALL)
+SELECT session, value, arg_max(placeholder, (n, length(canonical), placeholder)) AS placeholder, max(n) AS shared FROM s GROUP BY session, value""")
 def protecting_placeholder(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer")
-    base = F.concat(F.lit("client "), F.lower("c_mktsegment"), F.lit(" "))
-    vault = customer.select(F.concat(F.lit("<<PERSON_"), F.col("c_custkey").cast("string"), F.lit(">>")).alias("placeholder"), F.concat(base, F.col("c_custkey").cast("string")).alias("canonical"))
-    values = customer.select(F.concat(base, (F.col("c_custkey") + 1).cast("string")).alias("value")).filter("value like '%0'").distinct()
-    return turns.protecting(values, vault, "value", F.split("value", " "), F.split("canonical", " "))
+    customer = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "session")
+    name = F.concat(F.lower("c_mktsegment"), F.lit(" "))
+    vault = customer.select("session", F.concat(F.lit("<<PERSON_"), F.col("c_custkey").cast("string"), F.lit(">>")).alias("placeholder"), F.concat(F.lit("client "), name, F.col("c_custkey").cast("string")).alias("canonical"))
+    values = customer.select("session", F.concat(name, (F.col("c_custkey") + 25).cast("string")).alias("value")).distinct()
+    return turns.protecting(values, vault, "session", "value", F.split("value", " "), F.split("canonical", " "))
 
 
 @query("backfill_results", """SELECT conv_id, turn, text AS content, false AS filled FROM conversations WHERE role = 'assistant' UNION ALL
@@ -137,6 +138,12 @@ def spilled_results(spark, sf_dir):
     return turns.spill(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 4000, 200)[0]
 
 
+@query("spilled_texts", "SELECT sha256(text) AS reference, doc_id, text FROM documents WHERE length(text) > 4000")
+def spilled_texts(spark, sf_dir):
+    """The side table of the large results."""
+    return turns.spill(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 4000, 200)[1]
+
+
 @query("fold_results", """SELECT l_orderkey, bool_or(l_quantity > 45) AS was_sanitized, bool_or(l_tax > 0.07) AS failed, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS parts FROM lineitem GROUP BY l_orderkey""")
 def fold_results(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("part"), (F.col("l_quantity") > 45).alias("was_sanitized"), (F.col("l_tax") > 0.07).alias("failed"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("parts"))
@@ -164,7 +171,10 @@ def template_fill(spark, sf_dir):
     return joined.select("o_orderkey", filled.alias("filled"))
 
 
-@query("split_messages")
+@query("split_messages", """WITH RECURSIVE s AS (SELECT doc_id, -1 AS part, '' AS message, text AS rest FROM documents WHERE length(text) > 0 UNION ALL
+    SELECT doc_id, part + 1, left(rest, p), CASE WHEN length(rest) <= 2000 THEN '' ELSE regexp_replace(substr(rest, p + 1), '^\\s+', '') END FROM (SELECT doc_id, part, rest, CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN contains(substr(rest, 2, 1999), chr(10)) THEN 2000 - strpos(reverse(left(rest, 2000)), chr(10))
+        WHEN contains(substr(rest, 2, 1999), ' ') THEN 2000 - strpos(reverse(left(rest, 2000)), ' ') ELSE 2000 END AS p FROM s WHERE length(rest) > 0))
+SELECT doc_id, part::INTEGER AS part, message FROM s WHERE part >= 0""")
 def split_messages(spark, sf_dir):
     """Messages in parts a channel accepts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(turns.split_message(F.col("text"))).alias("part", "message"))
@@ -210,10 +220,10 @@ def unprocessed_batch(spark, sf_dir):
     return history.page(table(spark, sf_dir, "events").filter("event_id > 100").select("event_id", F.left("props", F.lit(500)).alias("content")), ["event_id"], 0, 20)
 
 
-@query("ident_tokens", """SELECT o_orderkey, array_to_string(list_distinct(list_filter(regexp_extract_all(lower(o_orderpriority || ' ' || o_orderkey || ' Ünal'), '[\\p{L}\\p{N}_]+'), lambda p: regexp_matches(p, '^\\p{N}{3,}$') OR (NOT regexp_matches(p, '^\\p{N}+$') AND length(p) >= 4))).list_sort(), ',') AS parts FROM orders""")
+@query("ident_tokens", """SELECT o_orderkey, array_to_string(list_filter(regexp_extract_all(o_orderpriority || ' ' || o_orderkey || ' Ünal A8K3 foo_bar 12 URGENT', '[\\p{L}\\p{N}_]+'), lambda p: regexp_full_match(p, '\\p{Nd}{3,}') OR regexp_full_match(p, '\\p{L}{4,}')), ',') AS parts FROM orders""")
 def ident_tokens(spark, sf_dir):
-    value = F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" Ünal"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(leak.ident_tokens(value)), ",").alias("parts"))
+    value = F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" Ünal A8K3 foo_bar 12 URGENT"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(leak.ident_tokens(value), ",").alias("parts"))
 
 
 @query("long_document_rollup", """SELECT source, count(*) AS documents, count(*) FILTER (length(text) > 6000) AS chunked, max(ceil(length(text) / 6000.0))::BIGINT AS max_chunks, quantile_cont(ceil(length(text) / 6000.0), 0.5) AS median_chunks, sum(ceil(length(text) / 6000.0) - 1)::BIGINT AS seams FROM documents GROUP BY source""")
@@ -222,9 +232,7 @@ def long_document_rollup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.length("text") > 6000).alias("chunked"), F.max(chunks).alias("max_chunks"), F.percentile(chunks, 0.5).alias("median_chunks"), F.sum(chunks - 1).alias("seams"))
 
 
-@query("jobs_by_next_run", "SELECT user_id, next_run, row_number() OVER (ORDER BY next_run ASC NULLS LAST, user_id)::INTEGER AS place FROM (SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'view' AND value > 90), -1) AS next_run FROM events GROUP BY user_id)")
+@query("jobs_by_next_run", "SELECT user_id, next_run, row_number() OVER (ORDER BY next_run ASC NULLS LAST, user_id) AS place FROM (SELECT user_id, max(event_id) FILTER (event_type = 'view' AND value > 90) AS next_run FROM events GROUP BY user_id)")
 def jobs_by_next_run(spark, sf_dir):
-    from pyspark.sql import Window
-
-    jobs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.max(F.when((F.col("event_type") == "view") & (F.col("value") > 90), F.col("event_id"))), F.lit(-1)).alias("next_run"))
-    return jobs.withColumn("place", F.row_number().over(Window.orderBy(F.col("next_run").asc_nulls_last(), "user_id")))
+    jobs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when((F.col("event_type") == "view") & (F.col("value") > 90), F.col("event_id"))).alias("next_run"))
+    return history.place(jobs, [F.col("next_run").asc_nulls_last(), F.col("user_id")], "place")

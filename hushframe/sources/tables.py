@@ -1,13 +1,57 @@
-"""Reading the tables of a folder."""
+"""The test tables, and tables of the engine's own between two steps of a plan."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_own: list[str] = []
+_kept: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its timestamps without zone are read as instants of the session's zone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    naive = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
-    return df.withColumns(naive) if naive else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of this process only where all run in it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="work-"))
+        root = _own[0]
+    return root.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write a result that a plan reads more than once, and read it back; the table goes when the process ends."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/kept-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _kept[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def keep_folder(spark: SparkSession, path: str) -> str:
+    """Mark a folder to be deleted when the process ends."""
+    _kept[path] = spark
+    return path
+
+
+@atexit.register
+def _leave() -> None:
+    for path, spark in list(_kept.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            break
