@@ -108,3 +108,192 @@ def place(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = F.broadcast(sizes.withColumn("_before", before).drop("_n"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.join(offsets, "_part").withColumn(name, own + F.col("_before")).drop("_part", "_before")
+
+
+def legal_start(messages: Column) -> Column:
+    """How many messages at the front of an array have to go so that no tool result stands without the call that asked for it.
+
+    messages: array<struct<role, calls array<string>, call_id, ...>> in order; bounded, as of a window's last n.
+    """
+    none = F.array().cast("array<string>")
+    state = lambda declared, start, i: F.struct(declared.alias("declared"), start.cast("int").alias("start"), i.cast("int").alias("i"))
+
+    def step(s, m):
+        orphan = (m["role"] == "tool") & (m["call_id"] != "") & ~F.array_contains(s["declared"], m["call_id"])
+        after = s["i"] + 1
+        called = F.when(m["role"] == "assistant", F.concat(s["declared"], F.coalesce(m["calls"], none))).otherwise(s["declared"])
+        return F.when(F.coalesce(orphan, F.lit(False)), state(none, after, after)).otherwise(state(called, s["start"], after))
+
+    return F.aggregate(messages, state(none, F.lit(0), F.lit(0)), step, lambda s: s["start"])
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used: projections that are merged would repeat it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _from(messages: Column, skip: Column) -> Column:
+    """An array without its first `skip` elements."""
+    return F.slice(messages, skip + 1, F.greatest(F.size(messages) - skip, F.lit(0)))
+
+
+def _first_user(messages: Column) -> Column:
+    """Place from 0 of the first message of the user, null without any."""
+    at = F.array_position(F.transform(messages, lambda m: m["role"] == "user"), True)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def _gathered(rows: DataFrame, key: str) -> DataFrame:
+    """One array of messages a session, in order; rows hold at most a window's n of each."""
+    rest = [c for c in rows.columns if c not in (key, "idx")]
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("m"))
+
+
+def indexed(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """Messages with idx, their place in their session from 0."""
+    return messages.withColumn("idx", F.row_number().over(_by(key, order)) - 1)
+
+
+def replay(messages: DataFrame, key: str, n: int, max_tokens: int, consolidated: Column | None = None) -> DataFrame:
+    """What of each session is replayed: its last n messages from a user's on, legal at the front, within a token budget from the tail.
+
+    messages: (key, idx, role, tokens, calls, call_id, ...), idx from `indexed`; consolidated: how many of a session's first
+    messages are left aside. If the budget leaves no message of the user, the nearest one comes back with all after it.
+    Returns the messages kept. A session is gathered only after it was cut to n messages.
+    """
+    open_ = messages if consolidated is None else messages.filter(F.col("idx") >= consolidated)
+    last = open_.withColumn("_r", F.row_number().over(_by(key, "idx", desc=True))).filter(F.col("_r") <= n).drop("_r")
+    state = lambda used, kept, stop: F.struct(used.cast("long").alias("used"), kept.cast("int").alias("kept"), stop.alias("stop"))
+
+    def step(s, x):
+        stop = s["stop"] | ((s["kept"] > 0) & (s["used"] + x["tokens"] > max_tokens))
+        return state(F.when(stop, s["used"]).otherwise(s["used"] + x["tokens"]), F.when(stop, s["kept"]).otherwise(s["kept"] + 1), stop)
+
+    def within_budget(m):
+        kept = F.aggregate(F.reverse(m), state(F.lit(0), F.lit(0), F.lit(False)), step, lambda s: s["kept"])
+        return _let(_from(m, F.size(m) - kept), lambda tail: _let(_first_user(tail), lambda user: F.when(user.isNotNull(), _from(tail, user)).otherwise(recovered(m, tail))))
+
+    def recovered(m, tail):
+        return _let(_first_user(F.reverse(m)), lambda back: F.when(back.isNotNull(), _from(m, F.size(m) - back - 1)).otherwise(tail))
+
+    shown = _let(_let(_user_and_legal(F.col("m")), within_budget), lambda m: _from(m, legal_start(m)))
+    return _gathered(last, key).select(key, F.inline(shown))
+
+
+def _user_and_legal(messages: Column) -> Column:
+    """An array from its first message of the user on, if there is one, and legal at the front."""
+    aligned = _let(messages, lambda m: _from(m, F.coalesce(_first_user(m), F.lit(0))))
+    return _let(aligned, lambda m: _from(m, legal_start(m)))
+
+
+def legal_suffix(messages: DataFrame, key: str, n: int, consolidated: Column | None = None) -> DataFrame:
+    """Messages with retained: the last n of each session from a user's on; without one, n from the session's last user on; legal at the front.
+
+    Sessions within n messages keep all. Adds was_consolidated, whether the message lies in the session's first `consolidated`.
+    """
+    w, back = Window.partitionBy(key), _by(key, "idx", desc=True)
+    df = messages.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(back))
+    tail = F.col("_r") <= n
+    df = df.withColumn("_user", F.max(F.when(F.col("role") == "user", F.col("idx"))).over(w)).withColumn("_has", F.max((tail & (F.col("role") == "user")).cast("int")).over(w))
+    window = F.when((F.col("_has") == 1) | F.col("_user").isNull(), tail).otherwise((F.col("idx") >= F.col("_user")) & (F.col("idx") < F.col("_user") + n))
+    chosen = df.filter((F.col("_n") > n) & window).select(*messages.columns)
+    legal = F.transform(_user_and_legal(F.col("m")), lambda x: x["idx"])
+    kept = _gathered(chosen, key).select(key, F.explode(legal).alias("idx"), F.lit(True).alias("_kept"))
+    out = df.join(kept, [key, "idx"], "left").withColumn("retained", (F.col("_n") <= n) | F.coalesce("_kept", F.lit(False)))
+    early = F.col("idx") < consolidated if consolidated is not None else F.lit(False)
+    return out.withColumn("was_consolidated", early).select(*messages.columns, "retained", "was_consolidated")
+
+
+def suffix_report(judged: DataFrame, key: str) -> DataFrame:
+    """Per session of `legal_suffix`: kept, dropped, dropped that were consolidated, those left to archive, and the new count of consolidated ones."""
+    gone, early = ~F.col("retained"), F.col("was_consolidated")
+    counts = {"kept": F.col("retained"), "dropped": gone, "already": gone & early, "to_archive": gone & ~early, "consolidated": F.col("retained") & early}
+    return judged.groupBy(key).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+def consolidation(messages: DataFrame, key: str, consolidated: Column, to_remove: Column) -> DataFrame:
+    """(key, boundary, removed): where to cut each session, at the first user's message after its consolidated ones with enough tokens before it, else at the last.
+
+    removed: tokens between the consolidated messages and the cut. Sessions without such a message, or with nothing to remove, have no row.
+    """
+    rest = messages.withColumn("_c", consolidated).withColumn("_t", to_remove).filter((F.col("idx") >= F.col("_c")) & (F.col("_t") > 0))
+    before = F.coalesce(F.sum("tokens").over(_by(key, "idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    users = rest.withColumn("_b", before).filter((F.col("role") == "user") & (F.col("idx") > F.col("_c")))
+    enough = F.min(F.when(F.col("_b") >= F.col("_t"), F.struct("idx", F.col("_b").alias("b"))))
+    best = users.groupBy(key).agg(F.coalesce(enough, F.max(F.struct("idx", F.col("_b").alias("b")))).alias("x"))
+    return best.select(key, F.col("x.idx").alias("boundary"), F.col("x.b").alias("removed"))
+
+
+def consolidate(messages: DataFrame, key: str, budget: int, target: int, rounds: int = 5) -> DataFrame:
+    """(key, consolidated, tokens) after up to `rounds` cuts: while a session's open tokens exceed budget, enough of them are archived to come down to target."""
+    state = messages.groupBy(key).agg(F.lit(0).cast("long").alias("consolidated"), F.sum("tokens").alias("tokens"))
+    for _ in range(rounds):
+        joined = messages.join(state.withColumnRenamed("tokens", "_all").filter(F.col("_all") > budget), key)
+        cut = consolidation(joined, key, F.col("consolidated"), F.col("_all") - target)
+        state = keep(state.join(cut, key, "left").select(key, F.coalesce("boundary", "consolidated").cast("long").alias("consolidated"), (F.col("tokens") - F.coalesce("removed", F.lit(0))).alias("tokens")))
+    return state
+
+
+def replay_overflow(messages: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, boundary): for sessions of more than n messages, the first message that a replay of n would show, where some before it are hidden."""
+    shown = replay(messages, key, n, 2**62)
+    sizes = messages.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > n)
+    first = shown.groupBy(key).agg(F.min("idx").alias("_first"))
+    return sizes.join(first, key, "left").select(key, F.coalesce("_first", "_n").cast("int").alias("boundary")).filter("boundary > 0")
+
+
+def oldest(rows: DataFrame, keys: list[str], age: str, keep_n: int) -> DataFrame:
+    """Rows of each key beyond the keep_n latest by `age`: those to be pruned."""
+    latest_first = Window.partitionBy(*keys).orderBy(F.col(age).desc())
+    return rows.withColumn("_r", F.row_number().over(latest_first)).filter(F.col("_r") > keep_n).drop("_r")
+
+
+def merged_events(rows: DataFrame, key: list[str], rank: Column, order: str, fields: list[str]) -> DataFrame:
+    """One row of each key whose fields are each the latest known one, events of lower rank than one before them left aside.
+
+    A row counts if no earlier one has a higher rank; of the rows that count, later fields win where they aren't null.
+    """
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = rows.withColumn("_rank", rank).withColumn("_top", F.max("_rank").over(w)).filter(F.col("_top").isNull() | (F.col("_rank") >= F.col("_top")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    return df.groupBy(*key).agg(*[last(c) for c in fields])
+
+
+def usage(rows: DataFrame, keys: list[str], counts: str = "usage") -> DataFrame:
+    """(keys, name, total): sums of a map of counters, name by name; rows: (keys, usage map<string, bigint>)."""
+    return rows.select(*keys, F.explode(counts).alias("name", "n")).groupBy(*keys, "name").agg(F.sum("n").alias("total"))
+
+
+def line_diff(before: Column, after: Column) -> Column:
+    """Lines added and deleted between two texts, as struct<added, deleted>; null texts have none. The diff of a pair is a small task of its own."""
+    import difflib
+
+    import pandas as pd
+
+    def one(a, b):
+        if a is None or b is None:
+            return 0, 0
+        old, new = a.replace("\r\n", "\n").splitlines(), b.replace("\r\n", "\n").splitlines()
+        moves = [x for x in difflib.SequenceMatcher(a=old, b=new, autojunk=False).get_opcodes() if x[0] != "equal"]
+        return sum(j2 - j1 for _, _, _, j1, j2 in moves), sum(i2 - i1 for _, i1, i2, _, _ in moves)
+
+    return F.pandas_udf(lambda x, y: pd.DataFrame([one(a, b) for a, b in zip(x, y, strict=True)], columns=["added", "deleted"]), "added int, deleted int")(before, after)
+
+
+def paired(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of two lists paired by their place within a key, the left ones all kept: the columns of both. Names must differ but for keys and order."""
+    number = lambda df: df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return number(left).join(number(right).drop(order), [*keys, "_i"], "left").drop("_i")
+
+
+def timeline_payload(turns: DataFrame, events: DataFrame, counts: DataFrame, session: str, turn: str) -> DataFrame:
+    """A turn with its events in order and its session's counts, as one JSON text: (session, turn, payload).
+
+    turns: (session, turn, ...); events: (session, turn, sequence, ...); counts: (session, ...), a row a session.
+    """
+    rest = [c for c in events.columns if c not in (session, turn)]
+    per = events.groupBy(session, turn).agg(F.array_sort(F.collect_list(F.struct("sequence", *[c for c in rest if c != "sequence"]))).alias("events"))
+    own = [c for c in turns.columns if c not in (session, turn)]
+    held = counts.select(session, F.struct(*[c for c in counts.columns if c != session]).alias("snapshot"))
+    df = turns.join(per, [session, turn], "left").join(held, session, "left")
+    return df.select(session, turn, F.to_json(F.struct(F.struct(*own).alias("turn"), F.coalesce("events", F.array().cast(dict(per.dtypes)["events"])).alias("timeline"), "snapshot")).alias("payload"))

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from hushframe.plans import conversations, detection, evaluation, payloads, scalars, streams, turns, vaults  # noqa: F401  they register themselves
+    from hushframe.plans import conversations, detection, evaluation, files, histories, payloads, scalars, streams, turns, vaults, visuals  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

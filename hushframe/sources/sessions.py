@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hushframe.operators.history import place
+
 MESSAGE = "role string, content string, timestamp string, tool_call_id string, name string, tool_calls array<struct<id:string,name:string>>"
 #: What follows the content of a cut history entry.
 CUT = "\n... (truncated)"
@@ -39,11 +41,13 @@ def write_sessions(messages: DataFrame, path: str) -> None:
 
 
 def append_history(history: DataFrame, new: DataFrame, order: str, limit: int = 64_000) -> DataFrame:
-    """New entries(content, ...) with cursors after the history's last, contents cut to `limit`; cut ones end with CUT."""
-    last = history.agg(F.coalesce(F.max(F.col("cursor").try_cast("long")), F.lit(0)).alias("_last"))
-    number = F.row_number().over(Window.orderBy(order))
+    """New entries(content, ...) with cursors after the history's last, contents cut to `limit`; cut ones end with CUT.
+
+    order: a column without ties; entries are numbered by ranges of it, so no task sees all of them.
+    """
+    last = history.agg(F.coalesce(F.max(F.col("cursor").try_cast("long")), F.lit(0))).first()[0]
     content = F.when(F.length("content") > limit, F.concat(F.left("content", F.lit(limit)), F.lit(CUT))).otherwise(F.col("content"))
-    return new.join(F.broadcast(last)).withColumn("cursor", F.col("_last") + number).withColumn("content", content).drop("_last")
+    return place(new, [F.col(order)], "cursor").withColumn("cursor", F.col("cursor") + F.lit(last)).withColumn("content", content)
 
 
 def valid_entries(history: DataFrame) -> DataFrame:
