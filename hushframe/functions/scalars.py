@@ -254,3 +254,16 @@ def decoded(c: Column) -> Column:
 def tool_trace(name: Column, arguments: Column) -> Column:
     """A call as a line: name(arguments as JSON)."""
     return F.when(name != "", F.concat(name, F.lit("("), F.coalesce(arguments, F.lit("")), F.lit(")")))
+
+
+def model_json(c: Column) -> Column:
+    """What a model wrote as JSON, as a variant: a fence around it and text beside it go, and so do commas before a closing bracket; null if that doesn't help."""
+    bare = F.regexp_replace(c, r"(?s)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
+    inner = F.regexp_extract(bare, r"(?s)([{\[].*[}\]])", 1)
+    closed = F.regexp_replace(inner, r",(\s*[}\]])", "$1")
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(inner), F.try_parse_json(closed))
+
+
+def cast_parameters(c: Column, schema: str) -> Column:
+    """Arguments (JSON) as the types a tool declares; what doesn't fit is null, unknown names go."""
+    return F.from_json(c, schema, {"mode": "PERMISSIVE"})

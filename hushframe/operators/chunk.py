@@ -131,7 +131,7 @@ def markdown_chunks(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLA
     sections = [s for a, b in zip([0, *at], [*at, len(text)], strict=True) if (s := text[a:b].rstrip())] if at else [text]
     groups: list[list[str]] = []
     for section in sections:
-        open_ = groups and sum(len(re.findall(r"(?m)^\s*```", s)) for s in groups[-1]) % 2
+        open_ = groups and sum(len(re.findall(r"(?m)^```", s)) for s in groups[-1]) % 2
         if groups and (open_ or sum(len(s) + 1 for s in groups[-1]) + len(section) <= max_chars):
             groups[-1].append(section)
         else:
@@ -172,6 +172,14 @@ def flat_json(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, path string, leaf string")
 
 
+def chunk_traces(chunks: DataFrame, found: DataFrame, key: str, failed: Column) -> DataFrame:
+    """A row per chunk: (key, idx, entities, entity_types, failed). chunks: (key, idx, ...); found: of the chunks' detector; failed: over a chunk's row."""
+    per = found.groupBy(key, "idx").agg(F.count_distinct("entity_text").alias("entities"), F.array_sort(F.collect_set("entity_type")).alias("entity_types"))
+    none = F.array().cast("array<string>")
+    joined = chunks.select(key, "idx", failed.alias("failed")).join(per, [key, "idx"], "left")
+    return joined.select(key, "idx", F.coalesce("entities", F.lit(0)).cast("long").alias("entities"), F.coalesce("entity_types", none).alias("entity_types"), "failed")
+
+
 def coalesce_chunks(found: DataFrame, key: str) -> DataFrame:
     """Entities of all chunks of a document, each surface once, where it came first. found: (key, idx, detect_rank, entity_text, entity_type)."""
     first = F.min(F.struct("idx", "detect_rank", "entity_type")).alias("f")

@@ -55,6 +55,19 @@ def runs(rows: DataFrame, key: str, order: list[str], same: Column) -> DataFrame
     return df.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def joined_runs(rows: DataFrame, key: str, order: list[str], same: Column, text: str, ends: Column | None = None) -> DataFrame:
+    """Deltas put together: a row per run of equal `same`, its texts joined in order. ends: closes a run after the row it holds for.
+
+    Returns (key, run, text, parts). A run is what one receiver gets at once, so its texts are gathered.
+    """
+    numbered = rows.withColumn("_ends", F.coalesce(ends, F.lit(False)) if ends is not None else F.lit(False))
+    w = Window.partitionBy(key).orderBy(*order)
+    new = F.lag(same).over(w).eqNullSafe(same) & ~F.coalesce(F.lag("_ends").over(w), F.lit(True))
+    df = numbered.withColumn("_new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
+    return df.groupBy(key, "run").agg(F.array_join(F.transform(ordered, lambda x: x["_t"]), "").alias(text), F.count("*").alias("parts"))
+
+
 def suppress_repeats(rows: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
     """Whether a message repeats the one before it of the same key, space aside: adds fingerprint and suppressed."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -62,11 +75,14 @@ def suppress_repeats(rows: DataFrame, keys: list[str], order: list[str], text: s
     return df.withColumn("suppressed", F.coalesce(F.col("fingerprint") == F.lag("fingerprint").over(w), F.lit(False)))
 
 
-def microcompact(messages: DataFrame, key: str, order: str, compactable: Column, text: str, keep: int = 10, least: int = 500, stub: str = "[cleared]") -> DataFrame:
-    """Replace all but the last `keep` compactable messages of a session by a stub where they are long: adds compacted."""
+def microcompact(messages: DataFrame, key: str, order: str, compactable: Column, text: str, keep: int = 10, least: int = 500, stub: str | Column = "[cleared]") -> DataFrame:
+    """Replace all but the last `keep` compactable messages of a session by a stub where they are long: adds compacted.
+
+    stub: a text, or a column that names what was there, such as the tool.
+    """
     place = F.row_number().over(Window.partitionBy(key, compactable).orderBy(F.col(order).desc()))
     df = messages.withColumn("_place", place)
-    return df.withColumn("compacted", F.when(compactable & (F.col("_place") > keep) & (F.length(text) >= least), F.lit(stub)).otherwise(F.col(text))).drop("_place")
+    return df.withColumn("compacted", F.when(compactable & (F.col("_place") > keep) & (F.length(text) >= least), F.lit(stub) if isinstance(stub, str) else stub).otherwise(F.col(text))).drop("_place")
 
 
 def latest(rows: DataFrame, key: list[str], rank: Column, order: str, value: list[str]) -> DataFrame:

@@ -90,6 +90,14 @@ def coalesce_runs(spark, sf_dir):
     return found.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
+@query("joined_deltas", """WITH e AS (SELECT *, event_type || event_id % 10 AS piece, event_type = 'purchase' AS ends FROM events), m AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND NOT lag(ends) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, run::BIGINT AS run, string_agg(piece, '' ORDER BY event_id) AS piece, count(*) AS parts FROM r GROUP BY user_id, run""")
+def joined_deltas(spark, sf_dir):
+    """Deltas to one target joined, until another target comes or the stream ends."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.concat("event_type", (F.col("event_id") % 10).cast("string")).alias("piece"))
+    return history.joined_runs(rows, "user_id", ["event_id"], F.col("event_type"), "piece", F.col("event_type") == "purchase")
+
+
 @query("tool_batches", """WITH s AS (SELECT *, event_type IN ('view', 'click') AS safe FROM events), m AS (SELECT *, CASE WHEN safe AND lag(safe) OVER w THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS batch FROM m)
 SELECT user_id, batch::BIGINT AS batch, bool_and(safe) AS parallel, count(*) AS n FROM r GROUP BY user_id, batch""")

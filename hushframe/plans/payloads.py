@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushframe.functions import grammar
+from hushframe.functions import grammar, register
 from hushframe.operators import calc, chunk, compaction, detect, search
-from hushframe.plans.detection import _RULE, _quoted
+from hushframe.plans.detection import _found_sql, _quoted
 from hushframe.plans.registry import query
 from hushframe.sources.tables import table
 
@@ -43,15 +43,33 @@ def chunk_payloads(spark, sf_dir):
     return chunk.chunk(docs.unionByName(pages), "id")
 
 
-_EMAIL = _RULE["email"][0]
+_CHUNKS = f"""c AS (SELECT doc_id, s // 6000 AS idx, substr(text, s + 1, 6000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 6000)) AS s FROM documents WHERE length(text) > 0)),
+f AS ({_found_sql('c', 'doc_id, idx', 'chunk')})"""
 
 
-@query("chunk_coalesce", f"""WITH c AS (SELECT doc_id, s // 6000 AS idx, substr(text, s + 1, 6000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 6000)) AS s FROM documents WHERE length(text) > 0)),
-f AS (SELECT doc_id, idx, unnest(regexp_extract_all(chunk, {_quoted(_EMAIL)})) AS entity_text FROM c)
-SELECT doc_id, entity_text, 'email' AS entity_type, min(idx)::INTEGER AS first_idx, count(DISTINCT idx) AS chunks FROM f GROUP BY ALL""")
+@query("chunk_coalesce", f"""WITH {_CHUNKS} SELECT doc_id, entity_text, arg_min(entity_type, (idx, detect_rank)) AS entity_type, min(idx)::INTEGER AS first_idx, count(DISTINCT idx) AS chunks FROM f GROUP BY doc_id, entity_text""")
 def chunk_coalesce(spark, sf_dir):
     cut = chunk.hard_cut(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "idx", "chunk")
-    return chunk.coalesce_chunks(detect.detect(cut, text="chunk", types=("email",)), "doc_id")
+    return chunk.coalesce_chunks(detect.detect(cut, text="chunk"), "doc_id")
+
+
+@query("chunk_traces", f"""WITH {_CHUNKS}, t AS (SELECT doc_id, idx, count(DISTINCT entity_text) AS n, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types FROM f GROUP BY ALL)
+SELECT doc_id, idx::INTEGER AS idx, coalesce(n, 0)::BIGINT AS entities, coalesce(types, '') AS entity_types, length(chunk) % 50 = 0 AS failed FROM c LEFT JOIN t USING (doc_id, idx)""")
+def chunk_traces(spark, sf_dir):
+    """What each chunk's detection found, and whether it failed."""
+    cut = chunk.hard_cut(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "idx", "chunk")
+    out = chunk.chunk_traces(cut, detect.detect(cut, text="chunk"), "doc_id", F.length("chunk") % 50 == 0)
+    return out.withColumn("entity_types", F.array_join("entity_types", ","))
+
+
+@query("sql_chunks", """SELECT doc_id, (s // 6000)::INTEGER AS idx, substr(text, s + 1, 6000) AS chunk FROM (SELECT doc_id, replace(text, chr(10) || chr(10), chr(10)) AS text, unnest(range(0, length(replace(text, chr(10) || chr(10), chr(10))), 6000)) AS s FROM documents WHERE length(text) > 0)
+UNION ALL SELECT -1 - event_id, 0, '$.' || k || ': ' || json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_array_length(json_keys(props)::JSON) = 1""")
+def sql_chunks(spark, sf_dir):
+    """The chunkers as a table function of SQL, and functions by name."""
+    register.register(spark)
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0").select("doc_id", F.lit("text").alias("kind"), F.replace("text", F.lit("\n\n"), F.lit("\n")).alias("payload"))
+    props = table(spark, sf_dir, "events").filter("size(json_object_keys(props)) = 1").select((-1 - F.col("event_id")).alias("doc_id"), F.lit("json").alias("kind"), F.col("props").alias("payload"))
+    return spark.sql("SELECT p.doc_id, c.idx, c.chunk FROM {payloads} p, LATERAL chunk_payload(p.kind, p.payload, 6000) c", payloads=docs.unionByName(props))
 
 
 @query("html_meta", f"SELECT page_id, array_to_string(list_transform(list_zip(regexp_extract_all(html, {_quoted('(?i)' + chunk.META)}, 1), regexp_extract_all(html, {_quoted('(?i)' + chunk.META)}, 2)), lambda m: 'meta[' || m[1] || ']: ' || m[2]), chr(10)) AS metas FROM pages")

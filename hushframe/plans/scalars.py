@@ -237,3 +237,17 @@ def nested_gate(spark, sf_dir):
     gate = F.when(key % 5 > 2, policy.needs_gate(name, F.to_json(value), severe_local=True)).otherwise(policy.needs_gate(name, F.to_json(value)))
     return table(spark, sf_dir, "events").select("event_id", policy.holds_placeholder(value).alias("holds"), gate.alias("severe_gate"))
 
+
+
+_WRITTEN = ('```json\n{"a": 1, "b": ["x", "y",],}\n```', 'Sure: {"a": 2} hope it helps', '{"a": 3}', "no json", '{"a": "4", "c": 1')
+
+
+@query("model_json", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS a, p_partkey AS n, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS size FROM part")
+def model_json(spark, sf_dir):
+    """JSON as models write it, and arguments cast to what a tool declares."""
+    key = F.col("p_partkey")
+    value = scalars.model_json(_pick(key, _WRITTEN))
+    size = F.when(key % 2 == 0, F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"'))).otherwise(F.lit('"many"'))
+    arguments = F.concat(F.lit('{"n": '), key.cast("string"), F.lit(', "size": '), F.replace(size, F.lit('"'), F.when(key % 2 == 0, F.lit("")).otherwise(F.lit('"'))), F.lit(', "other": [1]}'))
+    cast = scalars.cast_parameters(arguments, "n long, size int")
+    return table(spark, sf_dir, "part").select("p_partkey", F.try_variant_get(value, "$.a", "int").alias("a"), cast["n"].alias("n"), cast["size"].alias("size"))
