@@ -74,9 +74,9 @@ def retained_suffix(spark, sf_dir):
     return history.suffix_report(history.legal_suffix(_messages(spark, sf_dir), "s", 8, F.lit(5)), "s")
 
 
-@query("consolidation_boundary", f"""WITH {_MESSAGES}, b AS (SELECT s, idx, role, coalesce(sum(tokens) OVER (PARTITION BY s ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM msgs WHERE idx >= 2)
+@query("open_consolidation", f"""WITH {_MESSAGES}, b AS (SELECT s, idx, role, coalesce(sum(tokens) OVER (PARTITION BY s ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM msgs WHERE idx >= 2)
 SELECT s, coalesce(min(idx) FILTER (b >= 30), max(idx)) AS boundary, coalesce(arg_min(b, idx) FILTER (b >= 30), arg_max(b, idx))::BIGINT AS removed FROM b WHERE role = 'user' AND idx > 2 GROUP BY s""")
-def consolidation_boundary(spark, sf_dir):
+def open_consolidation(spark, sf_dir):
     return history.consolidation(_messages(spark, sf_dir), "s", F.lit(2), F.lit(30))
 
 

@@ -10,6 +10,8 @@ def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under a name, with its DuckDB SQL."""
 
     def put(function):
+        if name in QUERIES:
+            raise ValueError(f"a query is called {name} already")
         QUERIES[name] = function
         if sql is not None:
             ORACLES[name] = sql
