@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import difflib
+from functools import lru_cache
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +113,78 @@ def next_run(kind: Column, at_ms: Column, every_ms: Column, now_ms: Column) -> C
     return F.when((kind == "at") & (at_ms > now_ms), at_ms).when((kind == "every") & (every_ms > 0), now_ms + every_ms)
 
 
+def _cron_sets(expr: str) -> list[set[int]] | None:
+    """Minutes, hours, days, months and weekdays that a schedule of five fields names; None if it doesn't make sense."""
+    bounds = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+    fields = (expr or "").split()
+    if len(fields) != 5:
+        return None
+    out = []
+    for field, (low, high) in zip(fields, bounds, strict=True):
+        own: set[int] = set()
+        for part in field.split(","):
+            span, _, step = part.partition("/")
+            first, _, last = span.partition("-")
+            try:
+                start = low if span == "*" else int(first)
+                stop = high if span == "*" or (step and not last) else int(last or first)
+                every = int(step or 1)
+            except ValueError:
+                return None
+            if every < 1 or not low <= start <= stop <= high:
+                return None
+            own |= set(range(start, stop + 1, every))
+        out.append(own)
+    out[4] = {d % 7 for d in out[4]}
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _cron_fields(text: str) -> list | None:
+    own = _cron_sets(text)
+    return own and [sorted(own[0]), sorted(own[1]), *own[2:], text.split()[2] != "*", text.split()[4] != "*"]
+
+
+def _cron_after(text: str | None, ms: int | None, name: str | None) -> int | None:
+    own = _cron_fields(text) if text and ms is not None else None
+    if not own:
+        return None
+    minutes, hours, days, months, weekdays, day_given, weekday_given = own
+    tz = ZoneInfo(name or "UTC")
+    now = dt.datetime.fromtimestamp(ms / 1000, dt.UTC).astimezone(tz)
+    for ahead in range(366 * 5):
+        day = now.date() + dt.timedelta(days=ahead)
+        by_day, by_week = day.day in days, (day.weekday() + 1) % 7 in weekdays
+        if day.month not in months or not (by_day or by_week if day_given and weekday_given else by_day and by_week):
+            continue
+        for hour in hours:
+            for minute in minutes:
+                at = dt.datetime(day.year, day.month, day.day, hour, minute, tzinfo=tz)
+                utc = at.astimezone(dt.UTC)
+                if utc.timestamp() * 1000 > ms and utc.astimezone(tz).replace(tzinfo=None) == at.replace(tzinfo=None):
+                    return int(utc.timestamp() * 1000)
+    return None
+
+
+def cron_next(expr: Column, now_ms: Column, zone: Column) -> Column:
+    """Next run of a cron schedule after now, in milliseconds: minute, hour, day, month, weekday (0 or 7 for Sunday) in a time zone; null for a wrong one.
+
+    Where both day and weekday are given, either will do. A time that a change of clocks leaves out is skipped, of one that
+    comes twice the first counts.
+    """
+    run = lambda e, n, z: pd.Series([_cron_after(x, None if pd.isna(v) else int(v), y) for x, v, y in zip(e, n, z, strict=True)], dtype="Int64")
+    return F.pandas_udf(run, "long")(expr, now_ms, zone)
+
+
+def advanced(jobs: DataFrame, now_ms: Column) -> DataFrame:
+    """jobs(id, kind, enabled, at_ms, every_ms, once, next_run) after the due ones ran: a run `at` a time is over (and gone, if once), others have their next run."""
+    due = F.coalesce(F.col("enabled") & (F.col("next_run") <= now_ms), F.lit(False))
+    over = due & (F.col("kind") == "at")
+    rest = jobs.filter(~(over & F.coalesce("once", F.lit(False))))
+    following = F.when(over, F.lit(None).cast("long")).when(due, next_run(F.col("kind"), F.col("at_ms"), F.col("every_ms"), now_ms)).otherwise(F.col("next_run"))
+    return rest.withColumns({"enabled": F.col("enabled") & ~over, "next_run": following})
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page of rows in order, a top-k by design."""
     return rows.orderBy(*order).offset(offset).limit(limit)
@@ -282,9 +360,6 @@ def usage(rows: DataFrame, keys: list[str], counts: str = "usage") -> DataFrame:
 
 def line_diff(before: Column, after: Column) -> Column:
     """Lines added and deleted between two texts, as struct<added, deleted>; null texts have none. The diff of a pair is a small task of its own."""
-    import difflib
-
-    import pandas as pd
 
     def one(a, b):
         if a is None or b is None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
-from hushframe.operators import calc, chunk, detect, vault, vault_table
+from hushframe.operators import calc, chunk, compaction, detect, vault, vault_table
 from hushframe.sources.tables import keep
 
 
@@ -157,3 +157,39 @@ def finalize(answers: DataFrame, entities: DataFrame) -> DataFrame:
     done = calc.apply(answers, vault_table.variables(entities))
     shown = vault.restore(done.withColumnRenamed("display", "text"), entities, "session", ["turn"])
     return shown.select("session", "turn", F.col("restored").alias("display_text"), F.col("history").alias("history_text"), "computations")
+
+
+def at_rest(goals: DataFrame, entities: DataFrame, failed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts that are stored for later (session, turn, text): sanitised, and withheld where detection failed; and the entities after them."""
+    done, after = sanitize(goals, entities)
+    return on_failure(done, F.lit(False) if failed is None else failed), after
+
+
+def documents(media: DataFrame, entities: DataFrame, chunk_chars: int = 6000, preview: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Documents that came with turns, sanitised: (session, turn, name, mime, original_sha256, char_count, sanitized_text, preview, chunks_total, was_sanitized, entity_types), and the entities after them.
+
+    media: (session, turn, name, mime, document), a text a row, as of `sessions.data_urls`; turns of a session are unique here.
+    """
+    rows = media.withColumn("text", F.col("document"))
+    found = keep(detect_turns(rows, chunk_chars=None))
+    done, after = sanitize(rows, entities, found)
+    types = found.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(F.array_sort(F.collect_set("entity_type")).alias("_types"))
+    joined = done.join(types, done["session"].eqNullSafe(F.col("_s")) & (done["turn"] == F.col("_t")), "left")
+    columns = ("session", "turn", "name", "mime", F.sha2("text", 256).alias("original_sha256"), F.length("text").alias("char_count"), F.col("sanitized").alias("sanitized_text"), F.left("sanitized", F.lit(preview)).alias("preview"))
+    none = F.array().cast("array<string>")
+    return joined.select(*columns, F.ceil(F.length("text") / F.lit(chunk_chars)).cast("long").alias("chunks_total"), F.col("modified").alias("was_sanitized"), F.coalesce("_types", none).alias("entity_types")), after
+
+
+def compacted(windows: DataFrame, summarize, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries of windows(session, turn, text) that may be kept: (session, turn, accepted, reason, summary), and the entities after them.
+
+    The window is sanitised before summarize(column) sees it; its tokens are those that a summary may hold. A summary is
+    judged, made-up tokens are taken out, and what it says in clear is sanitised again with numbers that only go on.
+    """
+    safe, after = sanitize(windows, entities)
+    told = keep(safe.select("session", F.col("turn").alias("window"), summarize(F.col("sanitized")).alias("summary"), grammar.tokens(F.col("sanitized")).alias("allowed")))
+    judged = keep(compaction.verdict(told, after))
+    again, last = sanitize(judged.filter("accepted and repaired is not null").select("session", F.col("window").alias("turn"), F.col("repaired").alias("text")), after)
+    clean = again.select(F.col("session").alias("_s"), F.col("turn").alias("_t"), F.col("sanitized").alias("_clean"))
+    joined = judged.join(clean, judged["session"].eqNullSafe(F.col("_s")) & (judged["window"] == F.col("_t")), "left")
+    return joined.select("session", F.col("window").alias("turn"), "accepted", "reason", F.when(F.col("accepted"), F.coalesce("_clean", "repaired")).alias("summary")), last

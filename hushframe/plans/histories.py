@@ -156,3 +156,30 @@ def token_probe(spark, sf_dir):
     """How many tokens the messages of a conversation hold."""
     text = F.concat("text", F.lit(" <<PERSON_"), F.col("turn").cast("string"), F.lit(">> <<X_1>> <<x_2>>"))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.regexp_count(text, F.lit(grammar.PLACEHOLDER))).alias("n"))
+
+
+_CRON = {
+    "30 9 * * *": "(d + INTERVAL 570 MINUTE) + CASE WHEN d + INTERVAL 570 MINUTE > t THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END",
+    "*/15 * * * *": "time_bucket(INTERVAL 15 MINUTE, t) + INTERVAL 15 MINUTE",
+    "0 0 1 * *": "date_trunc('month', t) + INTERVAL 1 MONTH",
+    "0 8 * * 1-5": "(SELECT min(x) FROM (SELECT d + INTERVAL 8 HOUR + to_days(i::INTEGER) AS x FROM range(0, 8) r(i)) WHERE x > t AND isodow(x) <= 5)",
+    "bad": "NULL",
+}
+
+
+@query("cron_runs", f"""WITH e AS (SELECT event_id, ts AS t, date_trunc('day', ts) AS d FROM events) SELECT event_id, CASE event_id % {len(_CRON)} {' '.join(f"WHEN {i} THEN epoch_ms(({sql})::TIMESTAMP)" for i, sql in enumerate(_CRON.values()))} END AS next_run FROM e""")
+def cron_runs(spark, sf_dir):
+    """Next runs of cron schedules."""
+    key = F.col("event_id")
+    expr = F.element_at(F.array(*map(F.lit, _CRON)), (key % len(_CRON)).cast("int") + 1)
+    return table(spark, sf_dir, "events").select("event_id", history.cron_next(expr, F.unix_millis(F.col("ts").cast("timestamp")), F.lit("UTC")).alias("next_run"))
+
+
+@query("advanced_jobs", """WITH j AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'at' ELSE 'every' END AS kind, event_id % 5 > 0 AS enabled, event_id AS at_ms, event_id % 50 AS every_ms, event_id % 3 = 0 AS once, event_id AS next_run FROM events), k AS (SELECT *, enabled AND next_run <= 500 AS due FROM j)
+SELECT id, enabled AND NOT (due AND kind = 'at') AS enabled, CASE WHEN due AND kind = 'at' THEN NULL WHEN due THEN CASE WHEN every_ms > 0 THEN 500 + every_ms END ELSE next_run END AS next_run FROM k WHERE NOT (due AND kind = 'at' AND once)""")
+def advanced_jobs(spark, sf_dir):
+    """Jobs after a tick of the timer."""
+    key = F.col("event_id")
+    kind = F.when(key % 2 == 0, F.lit("at")).otherwise(F.lit("every"))
+    jobs = table(spark, sf_dir, "events").select(key.alias("id"), kind.alias("kind"), (key % 5 > 0).alias("enabled"), key.alias("at_ms"), (key % 50).alias("every_ms"), (key % 3 == 0).alias("once"), key.alias("next_run"))
+    return history.advanced(jobs, F.lit(500).cast("long")).select("id", "enabled", "next_run")

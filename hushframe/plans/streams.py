@@ -41,6 +41,17 @@ def stream_sanitize(spark, sf_dir):
     return out.groupBy(F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("sanitized"))
 
 
+@query("stream_roundtrip", "SELECT doc_id, coalesce(text, '') AS restored FROM documents")
+def stream_roundtrip(spark, sf_dir):
+    """Documents sanitised as streams and restored with the tokens that each stream told at its end: the texts as they were."""
+    cut = chunks.cut_chunks(read_stream(spark, sf_dir, "documents"), "source", "doc_id", "text", 700)
+    out = run_once(chunks.sanitize_stream(cut))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
+    whole = out.groupBy(F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("text"), F.max("tokens").alias("_tokens"))
+    known = whole.select("doc_id", F.explode(F.from_json("_tokens", "map<string,string>")).alias("placeholder", "canonical"))
+    return vault.restore(whole.drop("_tokens"), known, "doc_id", []).select("doc_id", "restored")
+
+
 @query("stream_restore", """SELECT o_orderkey, 'Pay ' || c_name || ' of <<ORG_9>> to ' || c_mktsegment || '.' AS restored FROM orders JOIN customer ON c_custkey = o_custkey""")
 def stream_restore(spark, sf_dir):
     """Answers that arrive in pieces of 7 characters, restored piece by piece with the vault of their session."""

@@ -10,6 +10,7 @@ from hushframe.functions import grammar
 from hushframe.operators import calc, compaction, turn_pipeline, vault_table
 from hushframe.plans.detection import _TURNS_SQL, _turns
 from hushframe.plans.registry import query
+from hushframe.sources import sessions
 from hushframe.sources.tables import keep_folder, table, work_folder
 
 _SCHEMA = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
@@ -184,3 +185,40 @@ def math_instructions(spark, sf_dir):
     key = F.col("o_orderkey")
     text = F.when(key % 2 == 0, F.concat(F.lit("<<PERSON_1>> owes <<FINANCE_"), (key % 7).cast("string"), F.lit(">> and <<CALC_2>>"))).otherwise(F.lit("hello <<PERSON_1>>"))
     return table(spark, sf_dir, "orders").select("o_orderkey", calc.instruction(calc.numeric_names(text)).alias("told"))
+
+
+@query("turn_documents", f"""WITH {_TURNS_SQL} SELECT t.session, turn, 'note.txt' AS name, sha256(text) AS original_sha256, length(text)::INTEGER AS char_count, {_PREPARED} AS sanitized_text, left({_PREPARED}, 20) AS preview, 1::BIGINT AS chunks_total, true AS was_sanitized, 'financial,temporal' AS entity_types
+    FROM t JOIN n p ON p.session = t.session AND p.surface = price JOIN n d ON d.session = t.session AND d.surface = day""")
+def turn_documents(spark, sf_dir):
+    """Documents that came as data URLs, sanitised, with a record of each."""
+    url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary")))
+    media = sessions.data_urls(_turns(spark, sf_dir).select("session", "turn", F.lit("note.txt").alias("name"), url.alias("url")), "url")
+    records, _ = turn_pipeline.documents(media.select("session", "turn", "name", "mime", "document"), _people(spark, sf_dir), preview=20)
+    return records.drop("mime").withColumn("entity_types", F.array_join("entity_types", ","))
+
+
+@query("goals_at_rest", f"""WITH {_TURNS_SQL} SELECT t.session, turn, CASE WHEN turn % 9 = 0 THEN '[message withheld; privacy detection failed]' ELSE {_PREPARED} END AS stored
+    FROM t JOIN n p ON p.session = t.session AND p.surface = price JOIN n d ON d.session = t.session AND d.surface = day""")
+def goals_at_rest(spark, sf_dir):
+    """Goals as they are stored: sanitised, or withheld where detection failed."""
+    done, _ = turn_pipeline.at_rest(_turns(spark, sf_dir), _people(spark, sf_dir), F.col("turn") % 9 == 0)
+    return done.select("session", "turn", F.col("sanitized").alias("stored"))
+
+
+@query("compacted_windows", f"""WITH {_TURNS_SQL} SELECT t.session, turn, turn % 4 <> 1 AS accepted, CASE turn % 4 WHEN 1 THEN 'renumbered placeholder in summary' WHEN 2 THEN 'repaired' ELSE 'clean' END AS reason,
+    CASE turn % 4 WHEN 1 THEN NULL WHEN 2 THEN 'Sum: ' || replace({_PREPARED}, '<<PERSON_1>>', '<<PERSON_1>> or') ELSE 'Sum: ' || {_PREPARED} END AS summary
+    FROM t JOIN n p ON p.session = t.session AND p.surface = price JOIN n d ON d.session = t.session AND d.surface = day""")
+def compacted_windows(spark, sf_dir):
+    """Windows summed up under guard: one summary in four names another's token, one a made-up one, one says a name in clear."""
+    people = _people(spark, sf_dir)
+    other = people.withColumn("placeholder", F.lit("<<PERSON_2>>")).withColumn("canonical", F.concat(F.lit("not "), "canonical")).withColumn("aliases", F.array("canonical"))
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("session"), F.col("c_name").alias("who"))
+
+    def summarize(c):
+        kind = F.col("turn") % 4
+        told = F.when(kind == 1, F.replace(c, F.lit("<<PERSON_1>>"), F.lit("<<PERSON_2>>"))).when(kind == 2, F.replace(c, F.lit("<<PERSON_1>>"), F.lit("<<PERSON_1>> or <<ORG_7>>")))
+        return F.concat(F.lit("Sum: "), told.when(kind == 3, F.replace(c, F.lit("<<PERSON_1>>"), F.col("who"))).otherwise(c))
+
+    windows = _turns(spark, sf_dir).join(names, "session")
+    done, _ = turn_pipeline.compacted(windows, summarize, people.unionByName(other))
+    return done

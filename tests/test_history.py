@@ -139,3 +139,22 @@ def test_files(spark, tmp_path):
     assert got == {"u.txt": ("é", None), "l.txt": ("é", None), "z.txt": (None, "binary"), "p.exe": (None, "no extractor")}
     assert [r.entry for r in files.listing(read, str(tmp_path / "d"), limit=2).collect()] == ["l.txt", "p.exe"]
     assert spark.range(1).select(scalars.mime_of(F.lit("a.TXT"))).first()[0] == "text/plain"
+
+
+def test_cron(spark):
+    import datetime as dt
+
+    ms = lambda *a: int(dt.datetime(*a, tzinfo=dt.UTC).timestamp() * 1000)
+    cases = [
+        ("0 12 * * *", ms(2024, 1, 1, 12), "UTC", ms(2024, 1, 2, 12)),
+        ("0 12 * * 7", ms(2024, 1, 1, 0), "UTC", ms(2024, 1, 7, 12)),
+        ("0 0 13 * 5", ms(2024, 9, 1, 0), "UTC", ms(2024, 9, 6, 0)),
+        ("30 2 * * *", ms(2024, 3, 30, 12), "Europe/Berlin", ms(2024, 4, 1, 0, 30)),
+        ("30 2 * * *", ms(2024, 10, 26, 12), "Europe/Berlin", ms(2024, 10, 27, 0, 30)),
+        ("5-20/5,50 0 29 2 *", ms(2023, 1, 1), "UTC", ms(2024, 2, 29, 0, 5)),
+        ("61 * * * *", ms(2023, 1, 1), "UTC", None),
+        (None, ms(2023, 1, 1), "UTC", None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, e string, n long, z string, want long")
+    out = df.select("i", "want", history.cron_next(F.col("e"), F.col("n"), F.col("z")).alias("got")).orderBy("i").collect()
+    assert [r.got for r in out] == [r.want for r in out]
