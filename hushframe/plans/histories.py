@@ -172,7 +172,7 @@ def cron_runs(spark, sf_dir):
     """Next runs of cron schedules."""
     key = F.col("event_id")
     expr = F.element_at(F.array(*map(F.lit, _CRON)), (key % len(_CRON)).cast("int") + 1)
-    return table(spark, sf_dir, "events").select("event_id", history.cron_next(expr, F.unix_millis(F.col("ts").cast("timestamp")), F.lit("UTC")).alias("next_run"))
+    return table(spark, sf_dir, "events").select("event_id", history.cron_next(expr, F.unix_millis("ts"), F.lit("UTC")).alias("next_run"))
 
 
 @query("advanced_jobs", """WITH j AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'at' ELSE 'every' END AS kind, event_id % 5 > 0 AS enabled, event_id AS at_ms, event_id % 50 AS every_ms, event_id % 3 = 0 AS once, event_id AS next_run FROM events), k AS (SELECT *, enabled AND next_run <= 500 AS due FROM j)
