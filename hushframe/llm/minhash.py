@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -280,24 +281,40 @@ def _large(big: DataFrame, percent: int) -> DataFrame:
     right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("grp").alias("group"), F.col("part").alias("slot"), F.col("cid").alias("pivot"), F.col("members").alias("pivot_members"))
 
     def near_pivots(key, table: pa.Table, pivots: pa.Table) -> pa.Table:
-        ids, sets = table["cid"].to_numpy(), _members(table["members"])
+        sets = _members(table["members"])
         sizes = np.array([len(s) for s in sets], np.int64)
-        out = []
-        if len(ids):
+        hits: list[list[int]] = [[] for _ in sets]
+        if sets:
             flat, at = np.concatenate(sets), np.cumsum(sizes) - sizes
-            for pivot, own in zip(pivots["pivot"].to_pylist(), _members(pivots["pivot_members"]), strict=True):
+            for pivot, own in sorted(zip(pivots["pivot"].to_pylist(), _members(pivots["pivot_members"]), strict=True)):
                 same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
                 common = np.add.reduceat(same.astype(np.int64), at)
-                hits = ids[100 * common >= percent * (sizes + len(own) - common)]
-                out.extend((pivot, i) for i in hits.tolist() if i != pivot)
-        return _edges(out)
-
-    stars = checkpoint(left.groupBy("grp", "part").cogroup(right.groupBy("group", "slot")).applyInArrow(near_pivots, "a long, b long"))
-    # The largest connected part of each group is its core; what isn't in it is compared with all of its group.
-    named = components(stars).select(F.col("node").alias("cid"), F.col("component").alias("star"))
-    starred = checkpoint(big.select("cid", "grp").join(named, "cid", "left").withColumn("star", F.coalesce("star", "cid")))
-    cores = starred.groupBy("grp", "star").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("star", F.struct("n", "star")).alias("core"))
-    rest = checkpoint(starred.join(cores, "grp").filter("star <> core").select("cid"))
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(own) - common)).tolist():
+                    hits[i].append(pivot)
+        return pa.table([table["grp"], table["cid"], pa.array(hits, pa.list_(pa.int64()))], names=["grp", "cid", "hits"])
+
+    marked = left.groupBy("grp", "part").cogroup(right.groupBy("group", "slot")).applyInArrow(near_pivots, "grp long, cid long, hits array<long>")
+    marked = checkpoint(marked)
+
+    def core(table: pa.Table) -> pa.Table:
+        # Pivots that one class hangs on hang together; the part with most classes is the group's core.
+        patterns, counts = table["hits"].to_pylist(), table["n"].to_pylist()
+        ids = sorted({p for pattern in patterns for p in pattern})
+        part = {p: p for p in ids}
+        for pattern in patterns:
+            joined = {part[p] for p in pattern}
+            part = {p: min(joined) if q in joined else q for p, q in part.items()}
+        held = Counter()
+        for pattern, n in zip(patterns, counts, strict=True):
+            held[part[pattern[0]]] += n
+        best = max(held, key=lambda p: (held[p], -p))
+        return pa.table([table["grp"].slice(0, 1), pa.array([[p for p in ids if part[p] == best]], pa.list_(pa.int64()))], names=["grp", "core"])
+
+    # At most 2^PIVOTS different hits a group.
+    patterns = marked.filter(F.size("hits") > 0).groupBy("grp", "hits").agg(F.count("*").alias("n"))
+    cores = patterns.groupBy("grp").applyInArrow(core, "grp long, core array<long>")
+    rest = checkpoint(marked.join(cores, "grp").filter(~F.arrays_overlap("hits", "core")).select("cid"))
+    stars = marked.select(F.explode("hits").alias("a"), F.col("cid").alias("b")).filter("a <> b")
     if rest.isEmpty():
         return stars
     rows = big.join(rest, "cid", "left_semi")
