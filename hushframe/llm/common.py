@@ -59,6 +59,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below `shared_folder`, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = (spark, threading.get_ident())
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of `checkpoint` that nothing reads any more."""
     for df in tables:

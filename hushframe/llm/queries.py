@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import ann, langid, linededup, minhash, mixing, packing, quality, secrets, sharding, urlfilter
-from hushframe.llm.common import table
+from hushframe.llm import ann, exactdedup, langid, linededup, minhash, mixing, packing, periodicity, quality, secrets, sharding, urlfilter, whitening
+from hushframe.llm.common import own_folder, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text a shard of op6 may hold.
@@ -65,6 +65,29 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exactdedup.DigestIndex(spark, own_folder(spark, "digests"))
+    judged = exactdedup.judge(table(spark, sf_dir, "documents"), index, batch="documents", keep=("doc_id",))
+    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.periodic_runs(periodicity.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    found = found.withColumn("r", greatest)
+    period = -F.col("r.short")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("r.back")).alias("start"), F.col("r.length").alias("length"), period.alias("period"),
+        F.floor(1000 * F.col("r.length") / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 #: Shortest runs of whole lines with at least WORDS words that start, and that end, at each line; those that occurred before go.
 LINE_DEDUP_SQL = f"""
 WITH lines AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line FROM documents, unnest(range(0, len(string_split(text, chr(10))))) AS r(i) WHERE length(text) > 0),
@@ -108,6 +131,12 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+#: The largest doc_id of each text.
+EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 def quality_sql(source: str = "documents") -> str:
     """The counts and verdicts of op3 over a relation with doc_id (one row each) and text."""
     stops = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words}))
@@ -126,10 +155,10 @@ SELECT *, NOT base_failed AND {' AND '.join(r.sql() for r in quality.RULES)} AS
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_secrets, op3_quality, op4_minhash, op5_mixing, op6_sharding, op7_langid, op8_line_dedup, op9_url_filter, op10_ann)
+    found = (op1_packing, op2_secrets, op3_quality, op4_minhash, op5_mixing, op6_sharding, op7_langid, op8_line_dedup, op9_url_filter, op10_ann, op11_whitening, op12_exact_dedup, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the query; the others are tested against brute force in tests/llm."""
-    return {"op3_quality": quality_sql(), "op4_minhash": MINHASH_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_url_filter": urlfilter.oracle_sql(), "op10_ann": ANN_SQL}
+    return {"op3_quality": quality_sql(), "op4_minhash": MINHASH_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_url_filter": urlfilter.oracle_sql(), "op10_ann": ANN_SQL, "op12_exact_dedup": EXACT_DEDUP_SQL}
