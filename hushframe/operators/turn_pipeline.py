@@ -14,57 +14,75 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
 from hushframe.operators import calc, chunk, compaction, detect, vault, vault_table
-from hushframe.sources.tables import keep
+from hushframe.sources.tables import keep, release
+
+
+#: A turn may have several texts, told apart by this column where there is one.
+PART = "_part"
 
 
 def detect_turns(turns: DataFrame, detector=detect.detect, chunk_chars: int | None = None) -> DataFrame:
-    """Entities of turns(session, turn, text), each surface of a turn once; texts of tokens alone are left out.
+    """Entities of turns(session, turn, text), each surface of a text once; texts of tokens alone are left out.
 
     detector: rows with a text to rows with detect_rank, source_rank, entity_text and entity_type. chunk_chars: for detectors
     that read only so much at once, texts are cut to that, and entities of all chunks put together.
     """
-    rows = turns.select("session", "turn", "text").filter(~grammar.only_placeholders(F.col("text")))
+    keys = ["session", "turn", *(c for c in turns.columns if c == PART)]
+    rows = turns.select(*keys, "text").filter(~grammar.only_placeholders(F.col("text")))
     if chunk_chars is None:
-        return detect.by_priority(detector(rows), ["session", "turn"])
-    cut = chunk.hard_cut(rows, max_chars=chunk_chars).select("session", "turn", F.col("chunk").alias("text"), "idx")
+        return detect.by_priority(detector(rows), keys)
+    cut = chunk.hard_cut(rows, max_chars=chunk_chars).select(*keys, F.col("chunk").alias("text"), "idx")
     found = detector(cut).withColumn("detect_rank", F.col("idx").cast("long") * 1_000_000_000 + F.col("detect_rank")).drop("idx")
-    return detect.by_priority(found, ["session", "turn"])
+    return detect.by_priority(found, keys)
 
 
 def sanitize(turns: DataFrame, entities: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Turns with sanitized and modified, and the entities after them.
 
-    Surfaces that the session knows give way wherever they stand; found surfaces (by default of `detect_turns`) have the
-    token of an equal surface or alias key, else a new one. Longer surfaces come first, tokens stay whole.
+    Surfaces that the session knows give way wherever they stand, in whatever order turns arrive: a surface that a later
+    turn brought is no less private in an earlier one. Found surfaces (by default of `detect_turns`) have the
+    token of an equal surface or alias key, else a new one, with their number if they are one. Longer surfaces come first, tokens
+    stay whole. A null session is one session, a null turn one turn; a null text stays null. Texts of one turn may be told apart by a
+    column `_part`.
     """
-    found = keep(detect_turns(turns) if found is None else found)
+    parted = PART in turns.columns
+    rows = turns if parted else turns.withColumn(PART, F.lit(0))
+    found = keep(detect_turns(rows) if found is None else found if PART in found.columns else found.withColumn(PART, F.lit(0)))
     asked = found.select("session", F.col("entity_text").alias("surface")).distinct()
     told = keep(vault_table.lookup(asked, entities))
-    fresh = found.join(told.filter("placeholder is null").select(F.col("session").alias("_s"), F.col("surface").alias("_t")), found["session"].eqNullSafe(F.col("_s")) & (F.col("entity_text") == F.col("_t")), "left_semi")
+    mine = told.select(F.col("session").alias("_s"), F.col("surface").alias("_t"), "placeholder")
+    same = found["session"].eqNullSafe(F.col("_s")) & (F.col("entity_text") == F.col("_t"))
+    fresh = found.join(mine.filter("placeholder is null"), same, "left_semi")
     news = keep(vault_table.mint_into(fresh, entities))
-    again = found.join(told.filter("placeholder is not null").select(F.col("session").alias("_s"), F.col("surface").alias("_t"), "placeholder"), found["session"].eqNullSafe(F.col("_s")) & (F.col("entity_text") == F.col("_t")))
-    seen = again.select("session", "placeholder", F.col("entity_text").alias("surface"), F.col("turn"))
+    again = found.join(mine.filter("placeholder is not null"), same)
+    seen = again.select("session", "placeholder", F.col("entity_text").alias("surface"), "turn")
     after = keep(vault_table.register(entities, seen).unionByName(news.select(*entities.columns)))
-    known = vault_table.surfaces(after)
-    # A surface is the session's, so it is looked for in all of the session's turns, whatever was detected in them.
-    held = turns.select("session", "turn", "text").join(known.select(F.col("session").alias("_s"), "surface", "placeholder"), turns["session"].eqNullSafe(F.col("_s")) & F.contains("text", F.col("surface")))
-    # Tokens of a later turn are no news to an earlier one: there only what was found or known before counts.
-    born = after.select(F.col("session").alias("_s2"), F.col("placeholder").alias("_p"), "created_turn")
-    held = held.join(born, held["session"].eqNullSafe(F.col("_s2")) & (F.col("placeholder") == F.col("_p"))).filter(F.col("created_turn").isNull() | (F.col("created_turn") <= F.col("turn")))
-    minted = held.select("session", "turn", F.col("surface").alias("canonical"), "placeholder")
-    return _rewritten(turns, minted), after
+    release(told, news, found)
+    known = vault_table.surfaces(after).select(F.col("session").alias("_s"), F.col("surface").alias("canonical"), "placeholder")
+    # A surface is the session's, so it is looked for in all of the session's texts, whatever was detected in them.
+    within = rows["session"].eqNullSafe(F.col("_s")) & F.contains("text", F.col("canonical"))
+    pairs = rows.select("session", "turn", PART, "text").join(known, within).select("session", "turn", PART, "canonical", "placeholder")
+    done = _rewritten(rows, pairs)
+    return (done if parted else done.drop(PART)), after
 
 
-def _rewritten(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    per = pairs.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(F.collect_list(F.struct("canonical", "placeholder")).alias("_pairs"))
+def _rewritten(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    keys = {"session": "_s", "turn": "_t", PART: "_q"}
+    own = F.collect_set(F.struct("canonical", "placeholder")).alias("_pairs")
+    per = pairs.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(own)
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([None if ps is None else vault.replace_all(t, [(p["canonical"], p["placeholder"]) for p in ps]) for t, ps in zip(texts, own, strict=True)])
+        out = []
+        for text, pairs in zip(texts, own, strict=True):
+            out.append(None if pairs is None or text is None else vault.replace_all(text, [(p["canonical"], p["placeholder"]) for p in pairs]))
+        return pd.Series(out)
 
-    joined = turns.join(per, turns["session"].eqNullSafe(F.col("_s")) & turns["turn"].eqNullSafe(F.col("_t")), "left")
+    on = [rows[k].eqNullSafe(F.col(v)) for k, v in keys.items()]
+    joined = rows.join(per, on[0] & on[1] & on[2], "left")
     clean = F.coalesce(rewrite(F.when(F.col("_pairs").isNotNull(), F.col("text")), "_pairs"), F.col("text"))
-    return joined.withColumn("sanitized", clean).withColumn("modified", F.coalesce(F.col("sanitized") != F.col("text"), F.lit(False))).drop("_pairs", "_s", "_t")
+    modified = F.coalesce(F.col("sanitized") != F.col("text"), F.lit(False))
+    return joined.withColumn("sanitized", clean).withColumn("modified", modified).drop("_pairs", *keys.values())
 
 
 def on_failure(rows: DataFrame, failed: Column, tool: Column | None = None, fail_open: bool = False) -> DataFrame:
@@ -123,24 +141,27 @@ def refilled(c: Column, strings: Column) -> Column:
 def sanitize_nested(calls: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """calls(session, turn, arguments) with their JSON arguments' strings sanitised one by one, and the entities after them.
 
-    Strings become turns of their own, numbered within the call's turn, and go through `sanitize`; they are put back by number.
+    The strings are texts of the call's own turn, told apart by their number, and go through `sanitize`. Numbers, truth
+    values and keys stay as they are, as does a text that isn't JSON. Calls of a session have turns of their own.
     """
-    rows = calls.select("session", F.col("turn").alias("_call"), F.posexplode(leaves(F.col("arguments"))).alias("_i", "text"))
-    rows = rows.withColumn("turn", F.col("_call") * 10_000 + F.col("_i"))
+    rows = calls.select("session", "turn", F.posexplode(leaves(F.col("arguments"))).alias(PART, "text"))
     done, after = sanitize(rows, entities)
-    back = done.groupBy(F.col("session").alias("_s"), F.col("_call")).agg(F.array_sort(F.collect_list(F.struct("_i", "sanitized"))).alias("_new"), F.bool_or("modified").alias("modified"))
-    joined = calls.join(back, calls["session"].eqNullSafe(F.col("_s")) & (calls["turn"] == F.col("_call")), "left")
+    strings = F.array_sort(F.collect_list(F.struct(PART, "sanitized"))).alias("_new")
+    back = done.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(strings, F.bool_or("modified").alias("modified"))
+    joined = calls.join(back, calls["session"].eqNullSafe(F.col("_s")) & calls["turn"].eqNullSafe(F.col("_t")), "left")
     filled = refilled(F.col("arguments"), F.transform("_new", lambda x: x["sanitized"]))
-    return joined.withColumn("sanitized", filled).withColumn("modified", F.coalesce("modified", F.lit(False))).drop("_s", "_call", "_new"), after
+    done = joined.withColumn("sanitized", filled).withColumn("modified", F.coalesce("modified", F.lit(False)))
+    return done.drop("_s", "_t", "_new"), after
 
 
 def restore_nested(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """calls(session, turn, arguments) with restored: known tokens in their strings give way to canonical surfaces."""
     rows = calls.select("session", "turn", F.posexplode(leaves(F.col("arguments"))).alias("_i", "text"))
     back = vault.restore(rows, entities, "session", ["turn", "_i"])
-    strings = back.groupBy("session", "turn").agg(F.array_sort(F.collect_list(F.struct("_i", "restored"))).alias("_new"))
-    joined = calls.join(strings, ["session", "turn"], "left")
-    return joined.withColumn("restored", refilled(F.col("arguments"), F.transform("_new", lambda x: x["restored"]))).drop("_new")
+    strings = F.array_sort(F.collect_list(F.struct("_i", "restored"))).alias("_new")
+    back = back.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(strings)
+    joined = calls.join(back, calls["session"].eqNullSafe(F.col("_s")) & calls["turn"].eqNullSafe(F.col("_t")), "left")
+    return joined.withColumn("restored", refilled(F.col("arguments"), F.transform("_new", lambda x: x["restored"]))).drop("_s", "_t", "_new")
 
 
 def prepare(turns: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:

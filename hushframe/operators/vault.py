@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,13 +144,18 @@ def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], t
 
     keys tell the texts of a session apart.
     """
-    used = texts.select(*keys, session, F.explode(grammar.tokens(F.col(text))).alias("placeholder"))
-    pairs = used.join(vault.select(session, "placeholder", "canonical"), [session, "placeholder"]).groupBy(*keys, session).agg(F.map_from_entries(F.collect_set(F.struct("placeholder", "canonical"))).alias("_map"))
+    used = texts.select(*keys, F.col(session).alias("_of"), F.explode(grammar.tokens(F.col(text))).alias("placeholder"))
+    known = vault.select(F.col(session).alias("_s"), F.col("placeholder").alias("_p"), "canonical")
+    pairs = used.join(known, F.col("_of").eqNullSafe(F.col("_s")) & (F.col("placeholder") == F.col("_p")))
+    own = {k: f"_k{i}" for i, k in enumerate([*keys, session])}
+    entries = F.map_from_entries(F.collect_set(F.struct("placeholder", "canonical"))).alias("_map")
+    pairs = pairs.groupBy(*[F.col("_of" if k == session else k).alias(v) for k, v in own.items()]).agg(entries)
     # Pieces between tokens and the tokens themselves, in turn.
     pieces = F.split(F.regexp_replace(F.col(text), f"({grammar.PLACEHOLDER})", "\x00$1\x00"), "\x00", -1)
     back = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_map", p), p)), "")
-    joined = texts.join(pairs, [*keys, session], "left")
-    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).drop("_map")
+    on = reduce(lambda a, b: a & b, [texts[k].eqNullSafe(F.col(v)) for k, v in own.items()])
+    joined = texts.join(pairs, on, "left")
+    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).drop("_map", *own.values())
 
 
 def _parts(c, least: int = 1):
@@ -180,19 +187,27 @@ def resolve_aliases(asked: DataFrame, known: DataFrame, keys: list[str]) -> Data
 def sanitize_sessions(turns: DataFrame, strict: bool = True) -> DataFrame:
     """turns(session, turn, text) with sanitized, modified and restored, each session walked in the order of its turns.
 
-    A session's vault lives in one task, as every token depends on the turns before.
+    A session's vault lives in one task, as every token depends on the turns before. Turns without a session are one session,
+    turns without a number come last, and have together what is detected in any of them; a null text stays null.
     """
     numeric = detect.number_value(F.col("entity_text"), F.col("entity_type"))
-    found = detect.by_priority(detect.detect(turns), ["session", "turn"]).withColumn("value", numeric)
-    own = found.groupBy("session", "turn").agg(F.array_sort(F.collect_list(F.struct("detect_rank", "entity_text", "entity_type", "value"))).alias("entities"))
+    found = detect.by_priority(detect.detect(turns.select("session", "turn", "text")), ["session", "turn"]).withColumn("value", numeric)
+    entity = F.struct("detect_rank", "entity_text", "entity_type", "value")
+    own = found.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(F.array_sort(F.collect_list(entity)).alias("entities"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: pa.Table) -> pa.Table:
         vault, out = Vault(strict=strict), []
-        for row in pdf.sort_values("turn", kind="stable").itertuples(index=False):
-            entities = [(e["entity_text"], e["entity_type"], e["value"]) for e in (row.entities if row.entities is not None else [])]
-            clean = vault.sanitize(row.text, entities)
-            out.append((row.session, row.turn, row.text, clean, clean != row.text, vault.restore(clean)))
-        return pd.DataFrame(out, columns=["session", "turn", "text", "sanitized", "modified", "restored"])
-
-    joined = turns.select("session", "turn", "text").join(own, ["session", "turn"], "left")
-    return joined.groupBy("session").applyInPandas(walk, "session string, turn long, text string, sanitized string, modified boolean, restored string")
+        for row in sorted(rows.to_pylist(), key=lambda r: (r["turn"] is None, r["turn"] or 0)):
+            text, clean = row["text"], None
+            if text is not None:
+                clean = vault.sanitize(text, [(e["entity_text"], e["entity_type"], e["value"]) for e in row["entities"] or []])
+            restored = None if clean is None else vault.restore(clean)
+            out.append({"session": row["session"], "turn": row["turn"], "text": text, "sanitized": clean, "modified": clean != text, "restored": restored})
+        return pa.Table.from_pylist(out, schema=walked)
+
+    text, names = pa.string(), ("session", "turn", "text", "sanitized", "modified", "restored")
+    walked = pa.schema(list(zip(names, (text, pa.int64(), text, text, pa.bool_(), text), strict=True)))
+    rows = turns.select(F.col("session").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(own, F.col("session").eqNullSafe(F.col("_s").cast("string")) & F.col("turn").eqNullSafe(F.col("_t").cast("long")), "left").drop("_s", "_t")
+    schema = "session string, turn long, text string, sanitized string, modified boolean, restored string"
+    return joined.groupBy("session").applyInArrow(walk, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar, taxonomy
-from hushframe.operators import compaction
+from hushframe.operators import compaction, detect
 
 COLUMNS = ("session", "placeholder", "entity_type", "canonical", "aliases", "value", "created_turn", "last_seen_turn")
 #: Folders a stored vault is cut into by a hash of the session, so that a save rewrites only those it touches.
@@ -52,7 +52,8 @@ def lookup(asked: DataFrame, entities: DataFrame, surface: str = "surface") -> D
 def register(entities: DataFrame, seen: DataFrame) -> DataFrame:
     """Entities after surfaces were seen again: new aliases are added, first and last turn follow. seen: (session, placeholder, surface, turn)."""
     news = seen.groupBy("session", "placeholder").agg(F.array_sort(F.collect_set("surface")).alias("_new"), F.min("turn").alias("_first"), F.max("turn").alias("_last"))
-    df = entities.join(news, ["session", "placeholder"], "left")
+    news = news.withColumnsRenamed({"session": "_s", "placeholder": "_p"})
+    df = entities.join(news, entities["session"].eqNullSafe(F.col("_s")) & (entities["placeholder"] == F.col("_p")), "left")
     none = F.array().cast("array<string>")
     more = F.array_union(F.array_union(F.array("canonical"), F.coalesce("aliases", none)), F.coalesce("_new", none))
     df = df.withColumn("aliases", more).withColumn("created_turn", F.coalesce("created_turn", "_first")).withColumn("last_seen_turn", F.coalesce(F.greatest("last_seen_turn", "_last"), "last_seen_turn", "_last"))
@@ -74,17 +75,21 @@ def variables(entities: DataFrame) -> DataFrame:
 def mint_into(found: DataFrame, entities: DataFrame) -> DataFrame:
     """New entities for surfaces(session, turn, detect_rank, entity_text, entity_type) that no entity of the session has.
 
-    Numbers of a tag go on from the highest one of the session, in order of first appearance (turn, longer first, rank).
+    Numbers of a tag go on from the highest one of the session, in order of first appearance (turn, text of the turn by
+    `_part` where there is one, longer first, rank). A surface that is a number has its value.
     """
-    first = F.min(F.struct(F.col("turn").alias("turn"), (-F.length("entity_text")).alias("shorter"), F.col("detect_rank").alias("rank"), F.col("entity_type").alias("type"))).alias("first")
+    part = F.col("_part") if "_part" in found.columns else F.lit(0)
+    place = (F.col("turn").alias("turn"), part.alias("part"), (-F.length("entity_text")).alias("shorter"), F.col("detect_rank").alias("rank"))
+    first = F.min(F.struct(*place, F.col("entity_type").alias("type"))).alias("first")
     news = found.groupBy("session", "entity_text").agg(first, F.max("turn").alias("last_seen_turn")).withColumn("tag", taxonomy.tag_of(F.col("first.type")))
     counters = compaction.counters(entities, "session").select(F.col("session").alias("_s"), F.col("tag").alias("_t"), "counter")
     news = news.join(counters, news["session"].eqNullSafe(F.col("_s")) & (F.col("tag") == F.col("_t")), "left")
-    order = Window.partitionBy("session", "tag").orderBy("first.turn", "first.shorter", "first.rank", "entity_text")
+    order = Window.partitionBy("session", "tag").orderBy("first.turn", "first.part", "first.shorter", "first.rank", "entity_text")
     number = F.coalesce("counter", F.lit(0)) + F.row_number().over(order)
     token = F.concat(F.lit("<<"), "tag", F.lit("_"), number.cast("string"), F.lit(">>"))
     columns = ("session", token.alias("placeholder"), F.col("first.type").alias("entity_type"), F.col("entity_text").alias("canonical"), F.array("entity_text").alias("aliases"))
-    return news.select(*columns, F.lit(None).cast("double").alias("value"), F.col("first.turn").alias("created_turn"), "last_seen_turn")
+    value = detect.number_value(F.col("entity_text"), F.col("first.type"))
+    return news.select(*columns, value.alias("value"), F.col("first.turn").alias("created_turn"), "last_seen_turn")
 
 
 def save(entities: DataFrame, path: str) -> None:

@@ -101,6 +101,44 @@ def vault_after_turns(spark, sf_dir):
     return after.select("session", "placeholder", "canonical", "created_turn", "last_seen_turn")
 
 
+@query("turns_out_of_order", f"""WITH {_TURNS_SQL}, x AS (SELECT *, turn % 3 = 0 AS late FROM t),
+b AS (SELECT session, surface, tag, min(late) AS batch FROM (SELECT session, price AS surface, 'FINANCE' AS tag, CASE WHEN late THEN 2 ELSE 1 END AS late FROM x UNION ALL SELECT session, day, 'DATE', CASE WHEN late THEN 2 ELSE 1 END FROM x) GROUP BY ALL),
+f AS (SELECT b.*, min(turn) AS first FROM b JOIN (SELECT session, turn, price AS surface, late FROM x UNION ALL SELECT session, turn, day, late FROM x) USING (session, surface) WHERE (batch = 2) = late GROUP BY ALL),
+m AS (SELECT *, '<<' || tag || '_' || row_number() OVER (PARTITION BY session, tag ORDER BY batch, first) || '>>' AS token FROM f),
+texts AS (SELECT session, turn, 0 AS part, text, price, day FROM x UNION ALL SELECT session, turn, 1, 'again: ' || text || ' ' || price, price, day FROM x WHERE NOT late)
+SELECT t.session, t.turn, part, replace(replace(replace(text, c_name, '<<PERSON_1>>'), price, p.token), day, d.token) AS remote_text, p.first AS price_turn
+    FROM texts t JOIN m p ON p.session = t.session AND p.surface = price JOIN m d ON d.session = t.session AND d.surface = day JOIN customer ON t.session = 'c' || c_custkey""")
+def turns_out_of_order(spark, sf_dir):
+    """Two turns in three come first as arguments of tools, then as messages; the third, of earlier and later numbers, comes after them all.
+
+    Whatever came before, and in whichever order, nothing known goes out; a token keeps its first turn.
+    """
+    turns = _turns(spark, sf_dir)
+    early, late = turns.filter("turn % 3 <> 0"), turns.filter("turn % 3 = 0")
+    price = F.concat(F.lit("$"), F.regexp_extract("text", r"\$([0-9.]+) on", 1))
+    said = F.concat(F.lit("again: "), "text", F.lit(" "), price)
+    calls = early.select("session", "turn", F.to_json(F.struct(F.struct(F.col("text").alias("q"), F.array(said).alias("l")).alias("a"))).alias("arguments"))
+    nested, after = turn_pipeline.sanitize_nested(calls, _people(spark, sf_dir))
+    again, after = turn_pipeline.prepare(early, after)
+    last, after = turn_pipeline.prepare(late, after)
+    strings = nested.select("session", "turn", F.lit(1).alias("part"), F.get_json_object("sanitized", "$.a.l[0]").alias("remote_text"))
+    first = after.filter("entity_type = 'financial'").select("session", F.col("canonical").alias("price"), F.col("created_turn").alias("price_turn"))
+    texts = again.unionByName(last).select("session", "turn", F.lit(0).alias("part"), "remote_text").unionByName(strings)
+    prices = turns.select("session", "turn", price.alias("price")).join(first, ["session", "price"])
+    return texts.join(prices.drop("price"), ["session", "turn"])
+
+
+@query("computed_turns", f"""WITH {_TURNS_SQL}, p AS (SELECT t.session, turn, price, token, o_totalprice AS v FROM t JOIN n ON n.session = t.session AND surface = price JOIN orders ON o_orderkey = turn)
+SELECT session, turn, 'Half of ' || price || ' is ' || regexp_replace(round(v / 2, 4)::VARCHAR, '\\.0$', '') || '.' AS display_text FROM p""")
+def computed_turns(spark, sf_dir):
+    """Numbers that a turn brought are computed with in its answer: the vault holds their values from the start."""
+    turns = _turns(spark, sf_dir)
+    done, after = turn_pipeline.prepare(turns, _people(spark, sf_dir))
+    token = F.regexp_extract("remote_text", "<<(FINANCE_[0-9]+)>>", 1)
+    text = F.concat(F.lit("Half of <<"), token, F.lit(">> is <python_snippet_1>"), token, F.lit(" / 2</python_snippet_1>."))
+    return turn_pipeline.finalize(done.select("session", "turn", text.alias("text")), after).select("session", "turn", "display_text")
+
+
 _JSON = """'{"q": "' || t || '", "opts": {"n": 1, "list": ["' || p || '", "plain", null, true]}}'"""
 
 

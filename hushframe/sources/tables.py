@@ -33,12 +33,22 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a result that a plan reads more than once, and read it back; the table goes when the process ends."""
+    """Write a result that a plan reads more than once, and read it back; the table goes with `release`, or when the process ends."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/kept-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `keep` that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_table", None)
+        if path in _kept:
+            delete(_kept.pop(path), path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
