@@ -79,18 +79,21 @@ class Vault:
         fits = [t for t, keys in self.keys.items() if t.startswith(f"<<{tag}_") and any(stem(key, k) for k in keys)]
         return fits[0] if len(fits) == 1 else None
 
-    def token(self, surface: str, tag: str) -> str:
-        token = self.known(surface, tag)
-        if token is None:
-            self.counters[tag] = self.counters.get(tag, 0) + 1
-            token = f"<<{tag}_{self.counters[tag]}>>"
-            self.canonical[token] = surface
+    def hold(self, surface: str, token: str) -> None:
+        """Know a surface by its token; the first surface of a token is the canonical one."""
+        tag, number = token[2:-2].rsplit("_", 1)
+        self.counters[tag] = max(self.counters.get(tag, 0), int(number))
+        self.canonical.setdefault(token, surface)
         self.by_surface.setdefault(surface, token)
         key = alias_key(surface)
         if key and not (self.strict and taxonomy.SLUGS.get(tag) in taxonomy.COMPUTABLE):
             self.by_key.setdefault(key, token)
             if key not in self.keys.setdefault(token, []):
                 self.keys[token].append(key)
+
+    def token(self, surface: str, tag: str) -> str:
+        token = self.known(surface, tag) or f"<<{tag}_{self.counters.get(tag, 0) + 1}>>"
+        self.hold(surface, token)
         return token
 
     def sanitize(self, text: str, entities: list[tuple[str, str, float | None]]) -> str:

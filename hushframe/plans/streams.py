@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions import grammar
 from hushframe.operators import vault
+from hushframe.plans.detection import _SANITIZED
 from hushframe.plans.registry import query
 from hushframe.sources.tables import keep_folder, table, work_folder
 from hushframe.streaming import chunks
+from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,24 +35,57 @@ def run_once(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-@query("stream_sanitize")
-def stream_sanitize(spark, sf_dir):
-    """Documents sanitised as streams of chunks: what each stream emitted, joined in order."""
-    cut = chunks.cut_chunks(read_stream(spark, sf_dir, "documents"), "source", "doc_id", "text", 1000)
-    out = run_once(chunks.sanitize_stream(cut))
+def _documents_in_chunks(spark, sf_dir, size):
+    """Documents as streams of their source's session, a document an hour; one in seven is left open."""
+    docs = read_stream(spark, sf_dir, "documents")
+    cut = chunks.cut_chunks(docs, "source", "doc_id", "text", size)
+    at = F.timestamp_seconds((F.col("stream") + 1) * 3600)  # time 0 is late from the start
+    return cut.withColumn("ts", at).withColumn("last", F.col("last") & (F.col("stream") % 7 != 0))
+
+
+#: Open documents that a timer has closed: silent for 5.5 hours when the watermark, 10 hours behind, came to its end.
+_CLOSED = "(doc_id % 7 <> 0 OR doc_id + 5.5 <= (SELECT max(doc_id) FROM documents) - 10)"
+
+
+def _emitted(spark, sf_dir, size):
+    use_state_store(spark)
+    return run_once(sanitize_stream(_documents_in_chunks(spark, sf_dir, size), idle="5.5 hours", delay="10 hours"))
+
+
+def _joined(out, text):
     parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
-    return out.groupBy(F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("sanitized"))
+    whole = out.groupBy("session", F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias(text), F.max("closed").alias("closed"))
+    return whole.filter("closed is not null")
 
 
-@query("stream_roundtrip", "SELECT doc_id, coalesce(text, '') AS restored FROM documents")
+@query("stream_sanitize", f"""WITH RECURSIVE {_SANITIZED} SELECT doc_id, regexp_replace(arg_max(t, k), '<<([A-Z_]+)_[0-9]+>>', '<<\\1>>', 'g') AS sanitized, CASE WHEN doc_id % 7 = 0 THEN 'idle' ELSE 'last' END AS closed
+FROM step WHERE {_CLOSED} GROUP BY doc_id""")
+def stream_sanitize(spark, sf_dir):
+    """Documents sanitised as streams of chunks that share the vault of their source; streams without an end are closed by a timer."""
+    out = _joined(_emitted(spark, sf_dir, 1000), "sanitized")
+    # In which order streams arrive is open, so numbers of tokens are left out here; stream_tokens compares those.
+    return out.select("doc_id", F.regexp_replace("sanitized", "<<([A-Z_]+)_[0-9]+>>", "<<$1>>").alias("sanitized"), "closed")
+
+
+@query("stream_tokens", f"""WITH RECURSIVE {_SANITIZED}, last AS (SELECT doc_id, arg_max(t, k) AS t FROM step WHERE {_CLOSED} GROUP BY doc_id),
+used AS (SELECT source AS session, unnest(regexp_extract_all(t, '{grammar.PLACEHOLDER}')) AS token FROM last JOIN documents USING (doc_id))
+SELECT session, regexp_extract(token, '{grammar.PLACEHOLDER_TAG}', 1) AS tag, count(DISTINCT token) AS tokens, count(DISTINCT token) AS surfaces, 1::BIGINT AS most FROM used GROUP BY ALL""")
+def stream_tokens(spark, sf_dir):
+    """Over all streams of a session a surface has one token and a token one surface: as many as the batch vault puts into the same texts."""
+    out = _emitted(spark, sf_dir, 3000)
+    used = _joined(out, "text").select("session", F.explode(grammar.tokens(F.col("text"))).alias("placeholder")).distinct()
+    known = known_tokens(out)
+    most = known.groupBy("session", "surface").agg(F.count_distinct("placeholder").alias("n"), F.min("placeholder").alias("placeholder"))
+    rows = used.join(most, ["session", "placeholder"]).withColumn("tag", grammar.placeholder_tag(F.col("placeholder")))
+    return rows.groupBy("session", "tag").agg(F.count_distinct("placeholder").alias("tokens"), F.count("*").alias("surfaces"), F.max("n").alias("most"))
+
+
+@query("stream_roundtrip", f"SELECT doc_id, coalesce(text, '') AS restored FROM documents WHERE {_CLOSED}")
 def stream_roundtrip(spark, sf_dir):
-    """Documents sanitised as streams and restored with the tokens that each stream told at its end: the texts as they were."""
-    cut = chunks.cut_chunks(read_stream(spark, sf_dir, "documents"), "source", "doc_id", "text", 700)
-    out = run_once(chunks.sanitize_stream(cut))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
-    whole = out.groupBy(F.col("stream").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("text"), F.max("tokens").alias("_tokens"))
-    known = whole.select("doc_id", F.explode(F.from_json("_tokens", "map<string,string>")).alias("placeholder", "canonical"))
-    return vault.restore(whole.drop("_tokens"), known, "doc_id", []).select("doc_id", "restored")
+    """Documents sanitised as streams and restored with the tokens that their sessions' streams told: the texts as they were."""
+    out = _emitted(spark, sf_dir, 700)
+    whole = _joined(out, "text").select("session", "doc_id", "text")
+    return vault.restore(whole, canonical_tokens(out), "session", ["doc_id"]).select("doc_id", "restored")
 
 
 @query("stream_restore", """SELECT o_orderkey, 'Pay ' || c_name || ' of <<ORG_9>> to ' || c_mktsegment || '.' AS restored FROM orders JOIN customer ON c_custkey = o_custkey""")

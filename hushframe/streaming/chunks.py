@@ -1,8 +1,8 @@
-"""Keyed streams of text chunks: sanitise and restore while a text is still arriving.
+"""Texts that arrive in chunks: sanitising and restoring them while they grow.
 
-Chunks carry a sequence number and are taken in its order, whatever order they arrive in. State lives per (session,
-stream); it is dropped when the last chunk has been taken. What is emitted, joined, restores to the whole raw text, and no
-entity is ever emitted raw, however the text was cut.
+Chunks carry a sequence number and are taken in its order, whatever order they arrive in. What is emitted, joined, restores to the
+whole raw text, and no entity is ever emitted raw, however the text was cut. `sessions.sanitize_stream` does it for
+streams of chunks, with a vault a session.
 """
 
 from __future__ import annotations
@@ -123,43 +123,6 @@ def _token_cut(text: str) -> int:
     return m.start() if m and len(text) - m.start() <= TOKEN_HOLD else len(text)
 
 
-def _dump(vault: Vault) -> str:
-    return json.dumps([vault.by_surface, vault.by_key, vault.keys, vault.canonical, vault.counters])
-
-
-def _load(text: str) -> Vault:
-    a, b, c, d, e = json.loads(text)
-    return Vault(by_surface=a, by_key=b, keys=c, canonical=d, counters=e)
-
-
-def sanitize_stream(chunks: DataFrame) -> DataFrame:
-    """Streaming chunks(session, stream, seq, chunk, last) to (session, stream, seq, emitted, tokens): seq from 0 without holes.
-
-    tokens: the stream's canonical surfaces by token, as JSON, with the last chunk only.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, raw, vault, waiting = state.get if state.exists else (0, "", _dump(Vault()), "{}")
-        pending = {int(k): v for k, v in json.loads(waiting).items()}
-        for part in parts:
-            for row in part.itertuples(index=False):
-                pending.setdefault(int(row.seq), [row.chunk or "", bool(row.last)])
-        machine, out, ended = Sanitizer(raw, _load(vault)), [], False
-        while following in pending:
-            chunk, last = pending.pop(following)
-            shown = machine.feed(chunk, last)
-            out.append((*key, following, shown, json.dumps(machine.vault.canonical) if last else None))
-            following, ended = following + 1, ended or last
-        if ended:
-            state.remove()
-        else:
-            state.update((following, machine.raw, _dump(machine.vault), json.dumps(pending)))
-        yield pd.DataFrame(out, columns=["session", "stream", "seq", "emitted", "tokens"])
-
-    schema = "session string, stream long, seq long, emitted string, tokens string"
-    return chunks.groupBy("session", "stream").applyInPandasWithState(step, schema, "following long, raw string, vault string, waiting string", "append", GroupStateTimeout.NoTimeout)
-
-
 def whole_tokens(chunks: DataFrame) -> DataFrame:
     """Streaming chunks(session, stream, seq, chunk, last) to (session, stream, seq, piece): cut anew so that no token is split.
 

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from hushframe.operators import detect
 from hushframe.operators.vault import Vault, apply_minted, replace_all, resolve_aliases, restore
 from hushframe.plans.streams import run_once
-from hushframe.streaming.chunks import HOLD, Restorer, Sanitizer, entities, sanitize_stream
+from hushframe.streaming.chunks import HOLD, Restorer, Sanitizer, entities
+from hushframe.streaming.sessions import sanitize_stream, use_state_store
 
 
 def test_apply():
@@ -76,6 +77,7 @@ def test_sanitize_stream_takes_chunks_in_order(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps(dict(zip(("session", "stream", "seq", "chunk", "last"), p, strict=True))))
     stream = spark.readStream.schema("session string, stream long, seq long, chunk string, last boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     out = {}
+    use_state_store(spark)
     for r in run_once(sanitize_stream(stream)).orderBy("stream", "seq").collect():
         out[r.stream] = out.get(r.stream, "") + r.emitted
     assert out == {1: "write to <<EMAIL_1>> bye", 2: "nothing"}
