@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
-from hushframe.operators import calc, chunk, compaction, detect, vault, vault_table
+from hushframe.operators import annotations, calc, chunk, compaction, detect, vault, vault_table
 from hushframe.sources.tables import keep, release
 
 
@@ -180,6 +180,21 @@ def finalize(answers: DataFrame, entities: DataFrame) -> DataFrame:
     return shown.select("session", "turn", F.col("restored").alias("display_text"), F.col("history").alias("history_text"), "computations")
 
 
+def finalize_annotated(answers: DataFrame, entities: DataFrame, repeats: bool = False) -> DataFrame:
+    """`finalize` with annotations: (session, turn, display_text, history_text, computations, annotations).
+
+    The text shown is the one kept with each token as what it shows, CALC tokens as their results, so that spans fit it
+    exactly; annotations (see `annotations.annotations`) are in order of their place.
+    """
+    done = keep(calc.apply(answers, vault_table.variables(entities)))
+    texts = done.select("session", "turn", F.col("history").alias("text"), "computations")
+    results = annotations.known_results(done).select("session", F.col("token").alias("placeholder"), F.col("shown").alias("canonical"))
+    known = entities.select("session", "placeholder", "canonical").unionByName(results)
+    shown = vault.restore(texts, known, "session", ["turn"])
+    marked = annotations.of_text(shown, annotations.annotations(texts, entities, done, repeats))
+    return marked.select("session", "turn", F.col("restored").alias("display_text"), F.col("text").alias("history_text"), "computations", "annotations")
+
+
 def at_rest(goals: DataFrame, entities: DataFrame, failed: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts that are stored for later (session, turn, text): sanitised, and withheld where detection failed; and the entities after them."""
     done, after = sanitize(goals, entities)

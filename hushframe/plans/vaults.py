@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
-from hushframe.operators import calc, compaction, turn_pipeline, vault_table
+from hushframe.operators import annotations, calc, compaction, turn_pipeline, vault_table
 from hushframe.plans.detection import _TURNS_SQL, _turns
 from hushframe.plans.registry import query
 from hushframe.sources import sessions
@@ -198,6 +198,27 @@ def finalized_turns(spark, sf_dir):
     return turn_pipeline.finalize(answers, _people(spark, sf_dir).unionByName(money)).select("session", "turn", "display_text", "history_text")
 
 
+@query("annotated_answers", f"""WITH {_ANSWERS}, v AS (SELECT a.*, c_name AS who, {_NUM('b * 2')} AS twice, {_NUM('b + k')} AS more, regexp_replace(b::VARCHAR, '\\.0$', '') AS plain FROM a JOIN customer ON session = 'c' || c_custkey),
+p AS (SELECT *, 3 AS s1, 3 + length(who) + 2 AS s2, 3 + length(who) + 2 + length(twice) + 21 AS s3, 3 + length(who) + 2 + length(twice) + 21 + length(twice) + 2 AS s4, 3 + length(who) + 2 + length(twice) + 21 + length(twice) + 2 + length(more) + 2 AS s5 FROM v)
+SELECT session, turn, '<<PERSON_1>>' AS placeholder, 'entity' AS kind, 'high' AS severity, s1::BIGINT AS start, s1 + length(who) AS end, who AS cut, NULL AS formula FROM p
+UNION ALL SELECT session, turn, '<python_snippet_1>', 'local_computation', 'low', s2, s2 + length(twice), twice, plain || ' * 2' FROM p
+UNION ALL SELECT session, turn, '<python_snippet_3>', 'local_computation', 'low', s4, s4 + length(more), more, plain || ' + ' || k FROM p
+UNION ALL SELECT session, turn, '<<PERSON_1>>', 'entity', 'high', s5, s5 + length(who), who, NULL FROM p""")
+def annotated_answers(spark, sf_dir):
+    """Answers for the user with the places of all that was restored and calculated, a sign of two UTF-16 units before them."""
+    tail = F.concat(F.lit("<python_snippet_3>FINANCE_1 + "), (F.col("turn") % 3).cast("string"), F.lit("</python_snippet_3>, <<PERSON_1>>."))
+    text = F.concat(F.lit("\U0001f4b3 <<PERSON_1>>, <python_snippet_1>FINANCE_1 * 2</python_snippet_1> by <<ORG_9>>; again <python_snippet_2>FINANCE_1*2</python_snippet_2>, "), tail)
+    answers = _answers(spark, sf_dir).withColumn("text", text)
+    money = _balances(spark, sf_dir).select(
+        "session", F.lit("<<FINANCE_1>>").alias("placeholder"), F.lit("financial").alias("entity_type"), F.lit("$x").alias("canonical"), F.array(F.lit("$x")).alias("aliases"),
+        F.col("values")["FINANCE_1"].alias("value"), F.lit(1).cast("long").alias("created_turn"), F.lit(1).cast("long").alias("last_seen_turn"),
+    )
+    out = turn_pipeline.finalize_annotated(answers, _people(spark, sf_dir).unionByName(money))
+    rows = out.select("session", "turn", "display_text", F.inline("annotations"))
+    cut = annotations.cut(F.col("display_text"), F.col("start"), F.col("end"))
+    return rows.select("session", "turn", "placeholder", F.col("annotation_type").alias("kind"), "severity", "start", "end", cut.alias("cut"), "formula")
+
+
 _SUMMARY = "'Known  <<PERSON_' || (o_orderkey % 3) || '>> and <<ORG_' || (o_orderkey % 4) || '>>' || chr(10) || 'told  by <<EMAIL_1>>.'"
 
 
