@@ -200,7 +200,7 @@ def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_chars
 
     Rows with a null text or label teach nothing; repeated texts of a label teach once. A label's model takes 24 bytes an
     n-gram, at most some ten MB by the bound of its sample; the driver gathers the models, so their total grows with the
-    number of labels, not with the rows. Without any labelled row there is no model: ValueError.
+    number of labels, not with the rows. Without any labelled row (an empty table, null labels) the model knows no language.
     """
     rows = labelled_sample(docs, max_docs, max_chars, seed)
 
@@ -236,7 +236,8 @@ def fit(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, max_chars
     for r in sorted(trained.collect(), key=lambda r: r.lang):  # a row per label, bounded by its sample
         parts.append(Model([r.lang], order, [array(x, np.uint64) for x in r.hashes], column(r.logp), column(r.backoff), np.array([r.unseen])))
     if not parts:
-        raise ValueError("no labelled text to learn from")
+        release(rows, counted)
+        return Models([])
     model = Models(parts)
     judged = score_texts(rows.filter("calibrates").select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), model).filter(F.col("lang_pred") != UNKNOWN)
     pairs = [(r.entropy, r.margin, r.lang_pred == r.lang) for r in judged.select("entropy", "margin", "lang_pred", "lang").collect()]  # at most max_docs rows a label
@@ -275,7 +276,14 @@ def calibrate(model: Models, pairs: list[tuple[float, float, bool]]) -> Models:
 
 
 def score_texts(docs: DataFrame, model: Models) -> DataFrame:
-    """docs(doc_id, text, ...) without text, with lang_pred, score (0 to 1), entropy (nats a character), margin (to the second best) and rejected."""
+    """docs(doc_id, text, ...) without text, with lang_pred, score (0 to 1), entropy (nats a character), margin (to the second best) and rejected.
+
+    A model that knows no language calls every text `und`, with score 0, and rejects it.
+    """
+    if not model.parts:
+        zero = F.lit(0.0)
+        found = (F.lit(UNKNOWN).alias("lang_pred"), zero.alias("score"), zero.alias("entropy"), zero.alias("margin"), F.lit(True).alias("rejected"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *docs.columns[2:], *found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}

@@ -123,9 +123,17 @@ def end(model, word):
     return weight + model.unseen[0]
 
 
-def test_no_labels(spark):
-    with pytest.raises(ValueError):
-        langid.fit(spark.createDataFrame([("a", None)], "text string, lang string"))
+def test_no_labels(spark, tmp_path):
+    model = langid.fit(spark.createDataFrame([("a", None)], "text string, lang string"))
+    assert model.langs == []
+    docs = spark.createDataFrame([(1, "some text"), (None, None)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in langid.predict(docs, model).collect()), key=str) == [(1, "und", 0.0, 0.0, 0.0, True), (None, "und", 0.0, 0.0, 0.0, True)]
+    # the query over an empty table, and over one whose labels are all null
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20)
+    for name, rows in (("none", whole.limit(0)), ("null", whole.withColumn("lang", F.lit(None).cast("string")))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = queries.op7_langid(spark, f"{tmp_path}/{name}")
+        assert [r for r in out.collect() if (r.lang_pred, r.score) != ("und", 0.0)] == [] and out.count() == (0 if name == "none" else 20)
 
 
 def test_sample_is_bounded(spark):
