@@ -4,8 +4,9 @@ Every source gets a target number of words. A document of a source is taken floo
 and once more with the fractional rest as its inclusion probability. The flight phase moves the probabilities of three
 undecided documents at a time along the null space of the two balancing constraints (documents and words) until one of
 them is 0 or 1, so both totals stay as expected. It runs in blocks of one source; what at most two documents of each block
-leave undecided goes to the next, far smaller round, until each source has one block left, whose last two documents are
-landed on the choice nearest to the expected words.
+leave undecided goes to the next, far smaller round, until each source has one block left. A giant among small documents can't
+move without leaving the balance, so it is undecided to the end; the landing rounds what is left, and then trades documents of
+that last block, one or two at a time, until its words are as near to those expected as such trades can bring them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from hushframe.llm.common import BROADCAST_BYTES, checkpoint, free_name, marks,
 WORD = r"[^\x20\x09-\x0D]+"
 #: With at most so many sources (some MB), their table is broadcast; above, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: So many documents have few enough choices to look at all of them.
+FEW = 16
 
 
 def flight(sizes: list[int], chance: list[float], seed: str, landing: bool, eps: float = 1e-9) -> list[float]:
@@ -54,15 +57,53 @@ def flight(sizes: list[int], chance: list[float], seed: str, landing: bool, eps:
             out[k] = float(round(out[k]))
             left.remove(k)
         waiting = left
-    if landing and waiting:
-        want = sum(out[i] * sizes[i] for i in waiting)
+    if landing:
+        want = float(np.dot(sizes, chance))
         picks = [[(n >> k) & 1 for k in range(len(waiting))] for n in range(1 << len(waiting))]
-        best = min(picks, key=lambda pick: (abs(sum(x * sizes[i] for x, i in zip(pick, waiting, strict=True)) - want), abs(sum(pick) - sum(out[i] for i in waiting)), pick))
+        held = sum(x * n for i, (x, n) in enumerate(zip(out, sizes, strict=True)) if i not in waiting)
+        best = min(picks, key=lambda pick: (abs(held + sum(x * sizes[i] for x, i in zip(pick, waiting, strict=True)) - want), pick))
         for i, x in zip(waiting, best, strict=True):
             out[i] = float(x)
+        out = land(sizes, out, want)
     return out
 
 
+def land(sizes: list[int], taken: list[float], want: float, near: float = 1e-3) -> list[float]:
+    """Trade documents in and out, one or two at a time, each time those that bring the words taken nearest to `want`.
+
+    It ends within `near` of `want` (a part of it), or where no trade helps any more. Ties go to the first documents. If
+    trades of two leave more than that and there are FEW documents at most, the nearest of all choices is taken instead.
+    """
+    n, x = np.array(sizes, np.float64), np.array(taken)
+    traded = _trade(n, x.copy(), want, near)
+    if abs(want - float(n @ traded)) <= near * want or len(n) > FEW:
+        return traded.tolist()
+    sums = np.zeros(1)
+    for size in n:
+        sums = np.concatenate([sums, sums + size])  # document k is in the choices whose number has bit k
+    far = np.abs(sums - want)
+    nearest = np.flatnonzero(far <= far.min() + 1e-9)
+    own = sum(1 << k for k in range(len(n)) if x[k])
+    choice = min(nearest.tolist(), key=lambda c: ((c ^ own).bit_count(), c))
+    return [float(choice >> k & 1) for k in range(len(n))]
+
+
+def _trade(n: np.ndarray, x: np.ndarray, want: float, near: float) -> np.ndarray:
+    while True:
+        missing = want - float(n @ x)
+        change = np.where(x == 0, n, -n)
+        if abs(missing) <= near * want or not len(n):
+            return x
+        one = np.abs(missing - change)
+        two = np.abs(missing - change[:, None] - change[None, :])
+        np.fill_diagonal(two, one)  # a document traded with itself is one traded alone
+        i, j = divmod(int(two.argmin()), len(n))
+        if two[i, j] >= abs(missing) - 1e-6:
+            return x
+        for k in {i, j}:
+            x[k] = 1 - x[k]
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float, share: float) -> DataFrame:
     """Targets of sources from `sizes(source, source_size, ...)`: by weight, none above cap times its size, the excess reshared.
 

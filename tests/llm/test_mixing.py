@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from hushframe.llm import mixing, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +115,36 @@ def test_the_query_against_brute_force(spark):
         assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[source[r.doc_id]] += r.taken
     assert all(abs(taken[s] - want[s]) <= max(size[d] for d in size if source[d] == s) for s in sizes)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_every_source_comes_near_its_target(spark, folder):
+    found = {}
+    for r in queries.op5_mixing(spark, f"/root/testdata/{folder}").collect():
+        found.setdefault((r.source_size, r.target), []).append((r.size, r.taken))
+    for (size, target), rows in found.items():
+        taken = sum(t for _, t in rows)
+        # What a document may be taken: the whole part of the rate, or once more. So near comes the best choice of all, by exhaustive search over sums.
+        whole = int(target / size)
+        sums = 1
+        for n, _ in rows:
+            sums |= sums << n if target / size - whole > 1e-9 else 0
+        rest = round(target - whole * size)
+        best = next(d for d in range(sums.bit_length()) if (sums >> max(rest + d, 0)) & 1 or (rest >= d and (sums >> (rest - d)) & 1))
+        assert abs(taken - target) <= max(0.02 * target, best + 1), (size, target, taken, best)
+
+
+def test_landing_is_the_best_choice_or_near_it():
+    dice = random.Random(8)
+    for _ in range(200):
+        sizes = [dice.randint(1, 30) * dice.choice((1, 1, 1, 40)) for _ in range(dice.randint(1, 9))]
+        chance = dice.choice((0.2, 0.5, 0.7))
+        want = chance * sum(sizes)
+        got = mixing.flight(sizes, [chance] * len(sizes), "x", landing=True)
+        assert all(x in (0, 1) for x in got)
+        error = abs(sum(n * x for n, x in zip(sizes, got, strict=True)) - want)
+        # No trade of one or two documents comes nearer.
+        for i in range(len(sizes)):
+            for j in range(i, len(sizes)):
+                other = [1 - x if k in (i, j) else x for k, x in enumerate(got)]
+                assert abs(sum(n * x for n, x in zip(sizes, other, strict=True)) - want) >= min(error, 1e-3 * want) - 1e-6
