@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns find secrets by their surroundings or form. The models find the rest: long tokens whose character transitions
-are likelier under a model of random strings than under one of ordinary identifiers. Both models are order-2 chains,
+are likelier under a model of random strings than under one of ordinary identifiers; where a token as a whole isn't, parts of it
+may be, so a key is found behind a path or a name as well. Both models are order-2 chains,
 interpolated with the shorter contexts, trained from labelled samples; the default sample is made by a fixed rule (see `sample`), so no secret
 has to be stored here, and a table of labelled strings may be given instead.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What may be a random secret: any long token; the models decide.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What parts of a path, a name or an assignment stand between.
+SEPARATOR = re.compile(r"[/=_-]")
+#: Least characters of a secret; nats above the threshold that a part of a token must gain, and that its ends may lose to reach a separator.
+LEAST, GAIN, EDGE = 16, 8.0, 6.0
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: Parts of ordinary identifiers from which the default sample is made.
@@ -164,13 +170,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def stretches(gains: list[float]) -> list[tuple[int, int]]:
+    """All maximal stretches of positive sum, apart and in order: none can be lengthened or shortened to a larger sum, in linear time.
+
+    A stretch is kept with the sum before it, the sum at its end, and the number of the nearest stretch before it that begins lower.
+    """
+    kept: list[tuple[int, int, float, float, int]] = []
+    total = 0.0
+    for k, gain in enumerate(gains):
+        before, total = total, total + gain
+        if gain <= 0:
+            continue
+        start, low = k, before
+        while True:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][2] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
+                kept.append((start, k + 1, low, total, j))
+                break
+            start, low = kept[j][0], kept[j][2]
+            del kept[j:]
+    return [(s, e) for s, e, *_ in kept]
+
+
+def windows(token: str, models: Models, threshold: float, least: int = LEAST) -> list[tuple[int, int]]:
+    """Parts of a token, of `least` characters or more, that the models call random while the whole may be ordinary: (start, end).
+
+    A part is a stretch whose transitions exceed the threshold most, its ends moved to a separator before or behind if that
+    is likelier: a key after a path or a name, or between two of them.
+    """
+    c = CODES[np.frombuffer(token.encode("latin-1", "replace"), np.uint8)]
+    gains = models.ratio[c[:-2], c[1:-1], c[2:]] - threshold
+    upto = np.concatenate([[0.0], np.cumsum(gains)])
+    cuts = [-1, *(m.start() for m in SEPARATOR.finditer(token)), len(token)]
+    out: list[tuple[int, int]] = []
+    for first, last in stretches(gains.tolist()):
+        start, end = first, last + 2  # a transition spans three characters
+        if end - start < least // 2 or upto[last] - upto[first] < GAIN:
+            continue
+        i, j = bisect_left(cuts, start), bisect_left(cuts, end)
+        starts = {start, cuts[i - 1] + 1, min(cuts[i] + 1, end)}
+        ends = {end, cuts[min(j, len(cuts) - 1)], max(cuts[j - 1], start)}
+        fits = [(float(upto[e - 2] - upto[s]), s, e) for s in starts for e in ends if e - s >= least and upto[e - 2] > upto[s]]
+        if fits:
+            # Between like gains the longer part: what stands between separators is one thing.
+            best = max(fits)[0]
+            _, s, e = max((f for f in fits if f[0] >= best - EDGE), key=lambda f: (f[2] - f[1], f[0]))
+            if not out or s >= out[-1][1]:
+                out.append((s, e))
+    return out
+
+
 def model_spans(text: str, base: list[tuple[int, int, int]], models: Models, threshold: float) -> list[tuple[int, int, int]]:
-    """Tokens that the models call random and that touch no base span."""
+    """Tokens, or parts of them, that the models call random and that touch no base span."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if models.score(token) > threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
+        token, at = m.group(), m.start()
+        parts = [(0, len(token))] if models.score(token) > threshold else windows(token, models, threshold)
+        out += [(at + s, 3, at + e) for s, e in parts if not any(b < at + e and at + s < f for b, _, f in base)]
     return out
 
 

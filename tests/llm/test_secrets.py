@@ -83,3 +83,62 @@ def test_public_identifiers_are_no_secrets():
     tokens += [f"src/main/java/org/example/Module{i}/ServiceHandler" for i in range(100)] + [f"invoice-2023-{i:06d}-final" for i in range(100)]
     models = secrets.default_models()
     assert sum(models.score(t) > 0.5 for t in tokens) <= 0.01 * len(tokens)
+
+
+SURROUNDINGS = ("/static/user/profile/image/{}", "/var/lib/application/data/uploads/customers/documents/{}", "session_cookie_value={}", "/api/users/{}/profile/settings", "backup-key-{}", "static/{}/file/name/list")
+
+
+def test_keys_behind_paths_and_names_are_found():
+    import random
+    import string
+
+    dice, models = random.Random(12), secrets.default_models()
+    for letters in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_letters):
+        for around in SURROUNDINGS:
+            found = 0
+            for _ in range(200):
+                key = "".join(dice.choices(letters, k=20))
+                text = "see " + around.format(key) + " there"
+                at = text.index(key)
+                spans = secrets.model_spans(text, [], models, 0.5)
+                found += any(min(e, at + 20) - max(s, at) >= 16 for s, _, e in spans)
+                assert all(e - s >= 16 for s, _, e in spans)
+            assert found >= 190, (letters, around, found)
+
+
+def test_ordinary_tokens_have_no_random_parts():
+    import uuid
+
+    import numpy as np
+
+    dice, models = np.random.default_rng(5), secrets.default_models()
+    tokens = [around.format(uuid.UUID(bytes=dice.bytes(16))) for around in SURROUNDINGS for _ in range(100)]
+    tokens += [around.format(word) for around in SURROUNDINGS for word in ("internationalization", "2024-05-17T12-30-59", "customer_name_index_1984", "000123456789-000123")]
+    assert sum(bool(secrets.model_spans(t, [], models, 0.5)) for t in tokens) <= 0.02 * len(tokens)
+
+
+def test_stretches_are_those_of_the_definition():
+    import random
+
+    dice = random.Random(3)
+
+    def brute(gains):
+        # the stretch of largest sum (shortest of equal ones), then what lies left and right of it
+        best = max(((sum(gains[i:j]), i - j, -i, i, j) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = best[3:]
+        return brute(gains[:i]) + [(i, j)] + [(a + j, b + j) for a, b in brute(gains[j:])]
+
+    for _ in range(300):
+        gains = [dice.choice((-3.1, -1.7, -0.4, 0.9, 1.3, 2.6)) * dice.random() for _ in range(dice.randint(0, 14))]
+        assert secrets.stretches(gains) == brute(gains)
+
+
+def test_a_very_long_token_takes_time_in_proportion():
+    import time
+
+    models, text = secrets.default_models(), "the_quick_brown_fox/" * 30_000 + "q7Zk2XvB9tLw4RmN8sYd1HcJ" + "/and/more/words" * 1000
+    started = time.time()
+    spans = secrets.model_spans(text, [], models, 0.5)
+    assert time.time() - started < 10 and any("q7Zk2XvB9tLw4RmN8sYd" in text[s:e] for s, _, e in spans)
