@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
@@ -13,6 +13,7 @@ from hushframe.plans.detection import _SANITIZED
 from hushframe.plans.registry import query
 from hushframe.sources.tables import keep_folder, table, work_folder
 from hushframe.streaming import chunks
+from hushframe.streaming.dispatch import dispatch
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
 
 
@@ -106,3 +107,31 @@ def stream_restore(spark, sf_dir):
 def stream_filter(spark, sf_dir):
     events = read_stream(spark, sf_dir, "events")
     return run_once(events.filter("event_type = 'error' and value > 5").select("event_id", "user_id", "event_type"))
+
+
+@query("session_dispatch", """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'priority' WHEN 'signup' THEN 'command' ELSE 'message' END AS kind, event_id % 3 AS taken FROM events),
+s AS (SELECT user_id, -1::BIGINT AS seq, NULL::BIGINT AS turn, []::BIGINT[] AS injected, []::BIGINT[] AS waiting, '' AS told FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+SELECT e.user_id, e.seq,
+    CASE WHEN kind IN ('message', 'command') THEN coalesce(turn, e.seq) WHEN kind = 'done' AND turn IS NOT NULL THEN coalesce(waiting[1], injected[taken + 1]) ELSE turn END,
+    CASE WHEN kind = 'message' AND turn IS NOT NULL AND len(injected) < 2 THEN list_append(injected, e.seq) WHEN kind = 'done' AND turn IS NOT NULL THEN CASE WHEN len(waiting) > 0 THEN injected[taken + 1:] ELSE injected[taken + 2:] END ELSE injected END,
+    CASE WHEN kind = 'message' AND turn IS NOT NULL AND len(injected) >= 2 THEN list_append(waiting, e.seq) WHEN kind = 'done' AND turn IS NOT NULL THEN waiting[2:] ELSE waiting END,
+    CASE WHEN kind = 'priority' OR (kind = 'command' AND turn IS NOT NULL) THEN e.seq || ' inline ' || coalesce(turn::VARCHAR, '-')
+        WHEN kind IN ('message', 'command') AND turn IS NULL THEN e.seq || ' start ' || e.seq
+        WHEN kind = 'message' THEN e.seq || CASE WHEN len(injected) < 2 THEN ' inject ' ELSE ' wait ' END || turn
+        WHEN kind = 'done' AND turn IS NOT NULL THEN e.seq || ' end ' || turn || CASE WHEN coalesce(waiting[1], injected[taken + 1]) IS NULL THEN '' ELSE ', ' || coalesce(waiting[1], injected[taken + 1]) || ' start ' || coalesce(waiting[1], injected[taken + 1]) END
+            || coalesce(', ' || nullif(array_to_string(list_transform(CASE WHEN len(waiting) > 0 THEN injected[taken + 1:] ELSE injected[taken + 2:] END, lambda x: x || ' inject ' || coalesce(waiting[1], injected[taken + 1])), ', '), ''), '') ELSE '' END
+    FROM s JOIN e ON e.user_id = s.user_id AND e.seq = s.seq + 1)
+SELECT user_id::VARCHAR AS session, seq AS at, told AS actions FROM s WHERE told <> ''""")
+def session_dispatch(spark, sf_dir):
+    """The events of users as messages, commands and ends of turns: taken in order, though their files come in no order, one turn at a time."""
+    use_state_store(spark)
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "priority").when(F.col("event_type") == "signup", "command").otherwise("message")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), number.cast("long").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("taken"))
+    at = keep_folder(spark, f"{work_folder(spark)}/streams/{uuid.uuid4()}")
+    rows.repartition(3, F.xxhash64("session", "seq")).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    out = run_once(dispatch(stream, limit=2))
+    told = F.concat_ws(" ", F.col("seq").cast("string"), "action", F.coalesce(F.col("turn").cast("string"), F.lit("-")))
+    parts = F.array_sort(F.collect_list(F.struct("nth", told.alias("told"))))
+    return out.groupBy("session", "at").agg(F.array_join(F.transform(parts, lambda x: x["told"]), ", ").alias("actions"))

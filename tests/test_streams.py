@@ -5,6 +5,8 @@ import random
 import pytest
 
 from hushframe.operators.vault import restore
+from hushframe.plans.streams import run_once
+from hushframe.streaming.dispatch import Queue, dispatch, in_flight
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
 
 SCHEMA = "session string, stream long, seq long, chunk string, last boolean, ts timestamp"
@@ -97,3 +99,51 @@ def test_a_ttl_goes_by_the_clock(spark):
     stream = spark.readStream.format("rate").load().selectExpr("'s' AS session", "1L AS stream", "value AS seq", "'x' AS chunk", "false AS last", "timestamp AS ts")
     with pytest.raises(ValueError):
         sanitize_stream(stream, idle="1 minute", ttl="1 hour")
+
+
+def in_order(events, limit):
+    """The actions of events taken one by one, session by session."""
+    out = []
+    for session in {e[0] for e in events}:
+        queue = Queue(limit)
+        for _, seq, kind, taken in sorted({e for e in events if e[0] == session}, key=lambda e: e[1]):
+            out += [(session, seq, nth, *x) for nth, x in enumerate(queue.take(seq, kind, taken))]
+    return sorted(out, key=str)
+
+
+def test_a_queue_serves_one_turn_at_a_time():
+    queue = Queue(limit=2)
+    assert queue.take(0, "command") == [(0, "start", 0)] and queue.take(1, "message") == [(1, "inject", 0)]
+    assert queue.take(2, "command") == [(2, "inline", 0)] and queue.take(3, "priority") == [(3, "inline", 0)]
+    assert queue.take(4, "message") == [(4, "inject", 0)] and queue.take(5, "message") == [(5, "wait", 0)] and queue.take(6, "message") == [(6, "wait", 0)]
+    # What waited comes first; what the turn didn't take in goes to the next.
+    assert queue.take(7, "done", 1) == [(7, "end", 0), (5, "start", 5), (4, "inject", 5)]
+    assert queue.take(8, "done", None) == [(8, "end", 5), (6, "start", 6)] and queue.take(9, "done") == [(9, "end", 6)]
+    assert queue.take(10, "done") == [] and queue.take(11, "unheard of") == [] and queue.take(12, "priority") == [(12, "inline", None)]
+    assert queue.take(13, None) == []
+
+
+def test_sessions_are_taken_in_order_whatever_order_they_come_in(spark, tmp_path):
+    use_state_store(spark)
+    dice = random.Random(6)
+    events = [(s, seq, dice.choices(("message", "command", "priority", "done"), (6, 1, 1, 3))[0], dice.choice((None, 0, 1, 2))) for s in ("a", "b", "c", None) for seq in range(60)]
+    want = in_order(events, 3)
+    rows = [*events, *dice.sample(events, 20)]  # some come twice
+    dice.shuffle(rows)
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        file = tmp_path / "in" / f"{i}.json"
+        file.write_text("\n".join(json.dumps(dict(zip(("session", "seq", "kind", "taken"), r, strict=True))) for r in [*rows[i::5], (None, None, "done", None)]))
+        os.utime(file, (1_700_000_000 + i,) * 2)
+    stream = spark.readStream.schema("session string, seq long, kind string, taken long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = run_once(dispatch(stream, limit=3))
+    assert sorted(((r.session, r.at, r.nth, r.seq, r.action, r.turn) for r in out.collect()), key=str) == want
+    # No session ever has two turns in flight.
+    turns = {}
+    for session, _, _, _, action, turn in sorted(want, key=lambda r: (str(r[0]), r[1], r[2])):
+        if action == "start":
+            assert turns.get(session) is None
+            turns[session] = turn
+        elif action == "end":
+            assert turns.pop(session) == turn
+    assert {r.session: r.turn for r in in_flight(out).collect()} == turns
