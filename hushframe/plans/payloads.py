@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushframe.functions import grammar, register
+from hushframe.functions import grammar, register, schemas
 from hushframe.operators import calc, chunk, compaction, detect, search
 from hushframe.plans.detection import _found_sql, _quoted
 from hushframe.plans.registry import query
@@ -157,3 +157,55 @@ def math_snippets(spark, sf_dir):
     values = F.create_map(F.lit("FINANCE_1"), F.col("o_totalprice"), F.lit("VALUE_1"), F.col("o_custkey").cast("double"))
     answers = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), values.alias("values"))
     return calc.compute(answers, ["o_orderkey"]).select("o_orderkey", "snippet", "expression", "result")
+
+
+#: Arguments of an event as a tool would take them.
+_ARGUMENTS = {
+    "type": "object",
+    "properties": {
+        "kind": {"type": "string", "enum": ["click", "view", "purchase"], "maxLength": 6},
+        "value": {"type": "number", "minimum": 5, "maximum": 200},
+        "props": {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 80}}, "required": ["k", "z"]},
+        "marks": {"type": ["array", "null"], "items": {"type": "integer"}, "minItems": 2},
+        "note": {"type": "string"},
+    },
+    "required": ["kind", "note"],
+}
+
+
+def _arguments(spark, sf_dir):
+    """Events as arguments: value as a text in one of three, marks that hold a text or are too few or null."""
+    key = F.col("event_id")
+    value = F.when(key % 3 == 0, F.concat(F.lit('"'), F.col("value").cast("decimal(12,2)").cast("string"), F.lit('"'))).otherwise(F.col("value").cast("decimal(12,2)").cast("string"))
+    marks = F.when(key % 4 == 0, F.lit("null")).when(key % 4 == 1, F.lit("[7]")).when(key % 4 == 2, F.concat(F.lit("[1, "), key.cast("string"), F.lit(', "x", true]'))).otherwise(F.lit("[1, 2.0]"))
+    note = F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(', "note": '), F.when(key % 5 == 1, key.cast("string")).otherwise(F.lit('"n"'))))
+    text = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "value": '), value, F.lit(', "props": '), "props", F.lit(', "marks": '), marks, note, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("arguments"))
+
+
+_ARGUMENT_SQL = """a AS (SELECT event_id, event_type, value::DECIMAL(12,2) AS v, (props->>'$.k')::INTEGER AS k FROM events)"""
+
+
+def _violations_sql(cast: bool) -> str:
+    """Messages on the arguments, before or after they are cast."""
+    value = "v < 5" if cast else "event_id % 3 <> 0 AND v < 5"
+    above = "v > 200" if cast else "event_id % 3 <> 0 AND v > 200"
+    text = "[]" if cast else "CASE WHEN event_id % 3 = 0 THEN ['value should be number'] ELSE [] END"
+    note = "[]" if cast else "CASE WHEN event_id % 5 = 1 THEN ['note should be string'] ELSE [] END"
+    one = lambda test, said: f"CASE WHEN {test} THEN ['{said}'] ELSE [] END"
+    parts = [
+        one("event_id % 5 = 0", "missing required note"), one("event_type NOT IN (''click'', ''view'', ''purchase'')".replace("''", "'"), "kind must be one of [''click'', ''view'', ''purchase'']"),
+        one("length(event_type) > 6", "kind must be at most 6 chars"), text, one(value, "value must be >= 5"), one(above, "value must be <= 200"), one("true", "missing required props.z"),
+        one("k < 10", "props.k must be >= 10"), one("k > 80", "props.k must be <= 80"), one("event_id % 4 = 1", "marks must have at least 2 items"),
+        "CASE WHEN event_id % 4 = 2 THEN ['marks[2] should be integer', 'marks[3] should be integer'] ELSE [] END", note,
+    ]
+    return " || ".join(parts)
+
+
+@query("argument_checks", f"WITH {_ARGUMENT_SQL} SELECT event_id, array_to_string({_violations_sql(False)}, '; ') AS told, array_to_string({_violations_sql(True)}, '; ') AS told_after_cast FROM a")
+def argument_checks(spark, sf_dir):
+    """Arguments checked by the schema of their tool, as they are and after what can be cast safely is cast."""
+    rows = _arguments(spark, sf_dir)
+    told = lambda c: F.array_join(schemas.violations(c, _ARGUMENTS), "; ")
+    cast = schemas.cast(F.col("arguments"), _ARGUMENTS)
+    return rows.select("event_id", told(F.col("arguments")).alias("told"), cast.alias("_cast")).select("event_id", "told", told(F.col("_cast")).alias("told_after_cast"))
