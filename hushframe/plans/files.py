@@ -38,9 +38,8 @@ def turn_log(spark, sf_dir):
     files.append_log(rows.filter("turn % 3 = 1"), path)
     schema = "session string, turn long, payload string, bucket int"
     stored = files.read_log(spark, path, schema)
-    touched = stored.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit("u3")), F.lit(16)))
-    changed = F.when(F.col("session") == "u3", F.lit("replaced")).otherwise(F.col("payload"))
-    files.replace_log(keep(touched.withColumn("payload", changed).drop("bucket")), path)
+    changed = stored.filter("session = 'u3'").withColumn("payload", F.lit("replaced"))
+    files.replace_log(keep(changed.drop("bucket")), path)
     return files.read_log(spark, path, schema).drop("bucket")
 
 

@@ -159,6 +159,31 @@ def url_guard(spark, sf_dir):
     return calls.select("event_id", "url", scalars.url_refused(F.col("url")).alias("reason"))
 
 
+_FORMS = 7
+
+
+@query("url_addresses", f"""WITH a AS (SELECT event_id, event_id % {_FORMS} AS form, CASE WHEN event_id % 3 = 0 THEN 167772160 + event_id % 16777216 WHEN event_id % 3 = 1 THEN 2886729728 + event_id * 797 % 1200000 ELSE event_id * 2654435761 % 4294967296 END AS a FROM events)
+SELECT event_id, form, CASE WHEN a < 16777216 OR a BETWEEN 167772160 AND 184549375 OR a BETWEEN 1681915904 AND 1686110207 OR a BETWEEN 2130706432 AND 2147483647 OR a BETWEEN 2851995648 AND 2852061183 OR a BETWEEN 2886729728 AND 2887778303 OR a BETWEEN 3232235520 AND 3232301055 THEN 'private' END AS reason FROM a""")
+def url_addresses(spark, sf_dir):
+    """Addresses written in every form that resolvers take: dotted, as one number, hexadecimal, octal, short, and in IPv6."""
+    key = F.col("event_id")
+    a = F.when(key % 3 == 0, 167772160 + key % 16777216).when(key % 3 == 1, 2886729728 + key * 797 % 1200000).otherwise(key * 2654435761 % 4294967296)
+    rows = table(spark, sf_dir, "events").select("event_id", (key % _FORMS).alias("form"), a.cast("long").alias("a"))
+    byte = lambda i: F.floor(F.col("a") / 256**i) % 256
+    text = lambda c: c.cast("string")
+    dotted = F.concat_ws(".", *[text(byte(i)) for i in (3, 2, 1, 0)])
+    octal = F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(text(byte(i)), 10, 8)) for i in (3, 2, 1, 0)])
+    short = F.concat_ws(".", text(byte(3)), F.concat(F.lit("0X"), F.hex(F.col("a") % 16777216)))
+    groups = F.concat_ws(":", F.lower(F.hex(F.floor(F.col("a") / 65536))), F.hex(F.col("a") % 65536))
+    forms = (
+        dotted, text(F.col("a")), F.concat(F.lit("0x"), F.hex("a")), octal, short,
+        F.concat(F.lit("[::ffff:"), groups, F.lit("]")), F.concat(F.lit("[0:0:0:0:0:FFFF:"), dotted, F.lit("]")),
+    )
+    host = F.get(F.array(*forms), F.col("form").cast("int"))
+    url = F.concat(F.lit("http://user@"), host, F.when(F.col("form") % 2 == 0, F.lit(":80/x")).otherwise(F.lit("")))
+    return rows.select("event_id", "form", scalars.url_refused(url).alias("reason"))
+
+
 _ERRORS = (("Blocked: x resolves to private/internal address 10.0.0.1", "ssrf"), ("Path OUTSIDE working dir: /etc", "workspace"), ("exit code 1", None), ("path traversal detected; private address", "ssrf"), ("", None))
 
 
@@ -221,11 +246,13 @@ def detector_prompts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.untrusted(F.lit("grep"), F.lit("text"), F.col("c_name")).alias("wrapped"), scalars.candidate_prompt(F.col("c_name"), parts).alias("prompt"), scalars.with_path_note(ask).alias("noted"))
 
 
-@query("tool_traces", """SELECT user_id, list_sort(list(DISTINCT event_type || '(' || props || ')'))[1:5] AS lines FROM events GROUP BY user_id""")
+@query("tool_traces", """SELECT user_id, list(line ORDER BY first)[1:5] AS lines FROM (SELECT user_id, event_type || '(' || props || ')' AS line, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id""")
 def tool_traces(spark, sf_dir):
-    """Lines of tool calls, each different one once, five a user as shown."""
+    """Lines of tool calls, each different one once, where it came first; five a user as shown."""
     line = scalars.tool_trace(F.col("event_type"), F.col("props"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_set(line)), 1, 5).alias("lines"))
+    first = table(spark, sf_dir, "events").groupBy("user_id", line.alias("line")).agg(F.min("event_id").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "line")))
+    return first.groupBy("user_id").agg(F.slice(F.transform(ordered, lambda x: x["line"]), 1, 5).alias("lines"))
 
 
 @query("nested_gate", """SELECT event_id, event_id % 3 = 0 AS holds, event_id % 5 = 0 OR (event_id % 5 > 2 AND event_id % 3 = 0) AS severe_gate FROM events""")

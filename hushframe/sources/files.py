@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import scalars
+from hushframe.sources.tables import keep, release
 
 #: Largest transcript that is read, and document that is decoded, in bytes (fixed values).
 TRANSCRIPT_BYTES, DOCUMENT_BYTES = 8 << 20, 32 << 20
@@ -34,8 +37,8 @@ def append_log(rows: DataFrame, path: str, key: str = "session") -> None:
 
 
 def replace_log(rows: DataFrame, path: str, key: str = "session") -> None:
-    """Put rows in place of all that the log's folders of their keys hold; `rows` has to be all rows of those folders."""
-    _hashed(rows, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+    """Put rows in place of all that the log holds of their keys; other keys stay, also those that share a folder with them."""
+    _put(rows, path, "json", [key], key)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,6 +50,27 @@ def _hashed(rows: DataFrame, key: str, buckets: int = 16) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
+def _put(rows: DataFrame, path: str, kind: str, same: list[str], key: str) -> None:
+    """Write rows to the folders of their keys; stored rows that are `same` as one of them give way, all others stay.
+
+    Only folders that a row falls into are read and rewritten.
+    """
+    spark = rows.sparkSession
+    news = keep(_hashed(rows, key))
+    touched = [r.bucket for r in news.select("bucket").distinct().collect()]  # numbers of folders
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written, merged = news, None
+    if touched and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        stored = spark.read.schema(news.schema).format(kind).load(path).filter(F.col("bucket").isin(touched))
+        gone = news.select(*[F.col(c).alias(f"_{c}") for c in same]).distinct()
+        on = [stored[c].eqNullSafe(F.col(f"_{c}")) for c in same]
+        # Written down first: the folders that are read are the ones to be replaced.
+        written = merged = keep(stored.join(gone, reduce(lambda a, b: a & b, on), "left_anti").unionByName(news))
+    mode = written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mode.partitionBy("bucket").format(kind).save(path)
+    release(news, *([merged] if merged is not None else []))
+
+
 def last_entry(history: DataFrame, key: list[str]) -> DataFrame:
     """The entry of highest cursor of each key, entries without a whole number aside."""
     cursor = F.col("cursor").cast("string").try_cast("long")
@@ -56,10 +80,16 @@ def last_entry(history: DataFrame, key: list[str]) -> DataFrame:
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Artifacts(session, turn, call, name, payload binary) as a table, names made safe; the same artifact again takes the place of the one before."""
+    """Artifacts(session, turn, call, name, payload binary) as a table, names made safe; the same artifact again takes the place of the one before.
+
+    Of several under one name in one write, that of the largest hash stays.
+    """
     name = F.regexp_replace(F.regexp_extract("name", r"([^/\\]*)$", 1), r"[^a-zA-Z0-9_.-]", "_")
-    once = artifacts.withColumn("name", name).withColumn("sha256", F.sha2("payload", 256)).dropDuplicates(["session", "turn", "call", "name"])
-    _hashed(once, "session").write.mode("append").partitionBy("bucket").parquet(path)
+    same = ["session", "turn", "call", "name"]
+    named = artifacts.withColumn("name", name).withColumn("sha256", F.sha2("payload", 256))
+    rest = [c for c in named.columns if c not in same]
+    once = named.groupBy(*same).agg(F.max_by(F.struct(*rest), F.coalesce("sha256", F.lit(""))).alias("_a")).select(*same, "_a.*")
+    _put(once, path, "parquet", same, "session")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
