@@ -145,7 +145,8 @@ def _cron_fields(text: str) -> list | None:
     return own and [sorted(own[0]), sorted(own[1]), *own[2:], text.split()[2] != "*", text.split()[4] != "*"]
 
 
-def _cron_after(text: str | None, ms: int | None, name: str | None) -> int | None:
+def cron_after(text: str | None, ms: int | None, name: str | None) -> int | None:
+    """`cron_next` of one schedule."""
     own = _cron_fields(text) if text and ms is not None else None
     if not own:
         return None
@@ -172,7 +173,7 @@ def cron_next(expr: Column, now_ms: Column, zone: Column) -> Column:
     Where both day and weekday are given, either will do. A time that a change of clocks leaves out is skipped, of one that
     comes twice the first counts.
     """
-    run = lambda e, n, z: pd.Series([_cron_after(x, None if pd.isna(v) else int(v), y) for x, v, y in zip(e, n, z, strict=True)], dtype="Int64")
+    run = lambda e, n, z: pd.Series([cron_after(x, None if pd.isna(v) else int(v), y) for x, v, y in zip(e, n, z, strict=True)], dtype="Int64")
     return F.pandas_udf(run, "long")(expr, now_ms, zone)
 
 

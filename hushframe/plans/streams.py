@@ -14,6 +14,7 @@ from hushframe.plans.registry import query
 from hushframe.sources.tables import keep_folder, table, work_folder
 from hushframe.streaming import chunks
 from hushframe.streaming.dispatch import dispatch
+from hushframe.streaming.jobs import runs
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
 
 
@@ -135,3 +136,25 @@ def session_dispatch(spark, sf_dir):
     told = F.concat_ws(" ", F.col("seq").cast("string"), "action", F.coalesce(F.col("turn").cast("string"), F.lit("-")))
     parts = F.array_sort(F.collect_list(F.struct("nth", told.alias("told"))))
     return out.groupBy("session", "at").agg(F.array_join(F.transform(parts, lambda x: x["told"]), ", ").alias("actions"))
+
+
+@query("timer_runs", """WITH j AS (SELECT user_id, epoch_us(min(ts)) // 1000 AS first, epoch_us(max(ts)) // 1000 AS last FROM events GROUP BY user_id), w AS (SELECT epoch_us(max(ts)) // 1000 - 86400000 AS mark FROM events),
+u AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN least(last, greatest(mark, last)) ELSE greatest(mark, last) END AS until FROM j, w)
+SELECT user_id::VARCHAR AS job, CASE WHEN user_id % 2 = 0 THEN (until - first) // 7200000 ELSE CASE WHEN first + 86400000 <= until THEN 1 ELSE 0 END END::BIGINT AS runs,
+    CASE WHEN user_id % 2 = 0 THEN CASE WHEN until - first >= 7200000 THEN first + 7200000 * ((until - first) // 7200000) END WHEN first + 86400000 <= until THEN first + 86400000 END AS last_due FROM u""")
+def timer_runs(spark, sf_dir):
+    """Users' first events set jobs up, every two hours or once after a day, their last ones take one in three down: the runs that timers made."""
+    use_state_store(spark)
+    at = keep_folder(spark, f"{work_folder(spark)}/streams/{uuid.uuid4()}")
+    own = Window.partitionBy("user_id")
+    first, last = F.min("ts").over(own), F.max("ts").over(own)
+    action = F.when(F.col("ts") == first, "add").when((F.col("ts") == last) & (F.col("user_id") % 3 == 0), "remove").otherwise("seen")
+    kind = F.when(F.col("user_id") % 2 == 0, "every").otherwise("at")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job"), "ts", action.alias("action"), kind.alias("kind"), (F.unix_millis(first) + 86_400_000).alias("at_ms"),
+        F.lit(7_200_000).cast("long").alias("every_ms"), F.lit(None).cast("string").alias("expr"), F.lit(None).cast("string").alias("zone"), (F.col("user_id") % 5 == 0).alias("once"),
+    )
+    rows.repartition(3, "job").write.parquet(f"{at}/in")
+    out = run_once(runs(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), delay="1 day"))
+    per = out.groupBy("job").agg(F.count("*").alias("runs"), F.max("due_ms").alias("last_due"))
+    return rows.select("job").distinct().join(per, "job", "left").select("job", F.coalesce("runs", F.lit(0).cast("long")).alias("runs"), "last_due")

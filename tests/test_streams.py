@@ -7,6 +7,7 @@ import pytest
 from hushframe.operators.vault import restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming.dispatch import Queue, dispatch, in_flight
+from hushframe.streaming.jobs import Job, runs
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
 
 SCHEMA = "session string, stream long, seq long, chunk string, last boolean, ts timestamp"
@@ -147,3 +148,52 @@ def test_sessions_are_taken_in_order_whatever_order_they_come_in(spark, tmp_path
         elif action == "end":
             assert turns.pop(session) == turn
     assert {r.session: r.turn for r in in_flight(out).collect()} == turns
+
+
+HOUR = 3_600_000
+
+
+def test_a_job_by_itself():
+    job = Job()
+    assert job.act("enable", 0, {}) == [] and job.act("run", 0, {}) == [] and job.advance(10, True) == []
+    job.act("add", 5, {"kind": "every", "every_ms": 10})
+    assert job.advance(14, True) == [] and job.advance(36, True) == [(15, 1, "timer"), (25, 2, "timer"), (35, 3, "timer")]
+    job.act("disable", 40, {})
+    assert job.advance(100, True) == []
+    job.act("enable", 100, {})
+    assert job.next_run == 110 and job.advance(150, False) == [(110, 4, "timer")] and job.next_run == 160
+    assert job.act("run", 155, {}) == [(155, 5, "manual")] and job.next_run == 165
+    job.act("remove", 156, {})
+    assert job.advance(1000, True) == [] and job.gone
+    for once in (True, False):
+        job = Job()
+        job.act("add", 0, {"kind": "at", "at_ms": 7, "once": once})
+        assert job.advance(7, True) == [(7, 1, "timer")] and job.advance(99, True) == [] and job.gone == once and not job.enabled
+    job.act("add", 8, {"kind": "at", "at_ms": 7})
+    assert job.next_run is None
+    job.act("add", 0, {"kind": "cron", "expr": "30 * * * *", "zone": "UTC"})
+    assert [due for due, _, _ in job.advance(2 * HOUR, True)] == [HOUR // 2, HOUR + HOUR // 2]
+    job.act("add", 0, {"kind": "cron", "expr": "nonsense"})
+    assert job.next_run is None and job.act("unheard of", 0, {}) == []
+
+
+def test_jobs_run_once_each_over_batches(spark, tmp_path):
+    use_state_store(spark)
+    (tmp_path / "in").mkdir()
+    add = lambda job, minute, **more: {"job": job, "ts": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", "action": "add"} | more
+    batches = [
+        [add("a", 0, kind="every", every_ms=10 * 60_000), add("b", 1, kind="at", at_ms=1704067200000 + 30 * 60_000, once=True), add("c", 2, kind="every", every_ms=60_000, **{"action": "disable"})],
+        [add("a", 25, action="disable"), add("a", 28, action="enable"), add("d", 20, kind="at", at_ms=1704067200000 + 21 * 60_000)],
+        [add("a", 26, action="remove"), add("z", 60, action="seen"), {"job": None, "ts": None, "action": "add"}],
+        [add("z", 90, action="seen")],
+    ]
+    for i, rows in enumerate(batches):
+        file = tmp_path / "in" / f"{i}.json"
+        file.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(file, (1_700_000_000 + i,) * 2)
+    schema = "job string, ts timestamp, action string, kind string, at_ms long, every_ms long, expr string, zone string, once boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = run_once(runs(stream, delay="5 minutes"))
+    got = sorted((r.job, (r.due_ms - 1704067200000) // 60_000, r.run) for r in out.collect())
+    # a: every ten minutes up to its pause, then from its return on; the action that came too late does nothing
+    assert got == [("a", 10, 1), ("a", 20, 2), *[("a", 28 + 10 * k, 2 + k) for k in range(1, 6)], ("b", 30, 1), ("d", 21, 1)]
