@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from hushframe.plans import connectors, conversations, detection, evaluation, files, histories, payloads, scalars, streams, transcripts, turns, vaults, visuals  # noqa: F401  they register themselves
+    from hushframe.plans import connectors, conversations, detection, evaluation, files, histories, payloads, scalars, streams, transcripts, turns, values, vaults, visuals  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
