@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hushframe.operators import leak, visual
+from hushframe.operators import crossmodal, leak, visual
 from hushframe.plans.registry import query
 from hushframe.sources.tables import table
 
@@ -91,3 +91,30 @@ FROM (SELECT c_custkey, c_name || ', paid $' || c_custkey || '00.50 USD; ' || c_
 def needle_candidates(spark, sf_dir):
     text = F.concat("c_name", F.lit(", paid  $"), F.col("c_custkey").cast("string"), F.lit("00.50|USD; "), "c_mktsegment")
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_sort(visual.needle_candidates(text, F.lit("amount"))), "|").alias("needles"))
+
+
+@query("cross_modal", f"""WITH {_WORDS_SQL}, f AS (SELECT image, place, contains(text, '@') AS is_mail FROM words WHERE regexp_full_match(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') OR (regexp_full_match(text, '#?[A-Z0-9]+-[A-Z0-9-]+') AND length(token) > 10)
+    OR regexp_full_match(text, '\\d{{10,}}[A-Z0-9|_-]{{8,}}') OR regexp_full_match(text, '\\(?\\d{{2}}/\\d{{2}}/\\d{{4}}\\)?') OR regexp_full_match(text, '\\$[0-9][0-9,.]*'))
+SELECT image, CASE WHEN NOT bool_or(is_mail) THEN NULL WHEN (image // 100) % 2 = 0 THEN '<<EMAIL_7>>' ELSE '<<EMAIL_1>>' END AS mail, count(*) AS forms, count(*) AS covered, false AS in_clear FROM f GROUP BY image""")
+def cross_modal(spark, sf_dir):
+    """Messages as images of their words, some addresses known to their sessions: all that has a form is covered and gone from the text, under one token on both sides."""
+    words = _words(spark, sf_dir)
+    session = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("image"), session.alias("session"), "turn", F.concat("text", F.expr(_MORE)).alias("text"))
+    none = F.lit(None)
+    known = rows.filter("image div 100 % 2 = 0").select("session").distinct().select(
+        "session", F.lit("<<EMAIL_7>>").alias("placeholder"), F.lit("email").alias("entity_type"), F.lit("x@y.org").alias("canonical"), F.array(F.lit("x@y.org")).alias("aliases"),
+        none.cast("double").alias("value"), none.cast("long").alias("created_turn"), none.cast("long").alias("last_seen_turn"),
+    )
+    texts, boxes, _ = crossmodal.cover(rows, words, known)
+    seen = visual.word_forms(words, "image")
+    forms = seen.select("image", "place").distinct()
+    values = seen.groupBy("image").agg(F.collect_set("value").alias("values"))
+    at = boxes.select("image", "place", "placeholder")
+    hit = forms.join(at, ["image", "place"], "left").groupBy("image", "place").agg(F.bool_or(F.col("placeholder").isNotNull()).alias("hit"), F.max(F.when(F.col("placeholder").startswith("<<EMAIL"), F.col("placeholder"))).alias("mail"))
+    per = hit.groupBy("image").agg(F.max("mail").alias("mail"), F.count("*").alias("forms"), F.count_if("hit").alias("covered"))
+    both = per.join(texts.select("image", "sanitized"), "image").join(values, "image")
+    clear = F.exists("values", lambda v: F.contains(F.col("sanitized"), v))
+    # The token that covers the address is the one that stands in the text.
+    mail = F.when(F.contains("sanitized", F.col("mail")), F.col("mail"))
+    return both.select("image", mail.alias("mail"), "forms", "covered", clear.alias("in_clear"))
