@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from hushframe.operators import history
+from hushframe.operators import history, observe
 from hushframe.plans.registry import query
 from hushframe.plans.streams import read_stream, run_once
 from hushframe.sources import events, session_files, sessions
@@ -56,3 +56,27 @@ def event_fan_out(spark, sf_dir):
     stream = read_stream(spark, sf_dir, "events").select("event_id", "event_type")
     out = run_once(events.fan_out(stream, subscriptions))
     return out.groupBy("subscriber", "place", "event_type").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
+@query("observed_stages", """SELECT 'received' AS stage, count(*) AS rows, sum(value) AS value, max(event_id)::DOUBLE AS last FROM events UNION ALL SELECT 'errors', count(*), sum(value), max(event_id)::DOUBLE FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'users', count(*), sum(n)::DOUBLE, NULL FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id)""")
+def observed_stages(spark, sf_dir):
+    """Counts that hooks got while a stream and a job over its result ran: those of count queries."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    at = _folder(spark, "observed")
+    rows.repartition(2, "event_id").write.parquet(f"{at}/in")
+    heard = observe.StageListener()
+    spark.streams.addListener(heard)
+    metrics = {"value": F.sum("value"), "last": F.max("event_id")}
+    stream = observe.watch(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), "received", **metrics)
+    errors = observe.watch(stream.filter("event_type = 'error'"), "errors", **metrics)
+    started = errors.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    started.awaitTermination()
+    if not heard.wait(started.id):
+        raise TimeoutError("the end of the stream wasn't heard")
+    spark.streams.removeListener(heard)
+    stages = observe.Stages()
+    per = spark.read.schema(rows.schema).parquet(f"{at}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+    stages.watch(per, "users", value=F.sum("n")).write.format("noop").mode("overwrite").save()
+    every = heard.counts(spark, started.id).unionByName(stages.counts(spark)).filter("rows > 0")
+    return every.groupBy("stage").agg(F.sum("rows").alias("rows"), F.sum(F.col("metrics")["value"]).alias("value"), F.max(F.try_element_at("metrics", F.lit("last"))).alias("last"))
