@@ -78,21 +78,30 @@ def unescaped(c: Column) -> Column:
     return F.when(has, resolve(F.when(has, c))).otherwise(c)
 
 
+# What of mark-up goes, and what the rest becomes in markdown, one after the other.
+DROPPED = (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>")
+MARKUP = (
+    (r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
+    *((rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n") for level in range(1, 7)),
+    (r"(?is)<li[^>]*>(.*?)</li>", "\n- $1"),
+    (r"(?i)</(?:p|div|section|article)>", "\n\n"),
+    (r"(?i)<(?:br|hr)\s*/?>", "\n"),
+)
+SPACING = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
+
+
+def _replaced(c: Column, table) -> Column:
+    return reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), table, c)
+
+
 def without_tags(c: Column) -> Column:
     """Mark-up as text: scripts, styles and tags out, character references resolved."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?is)<script.*?</script>", ""), r"(?is)<style.*?</style>", "")
-    return grammar.strip(unescaped(F.regexp_replace(bare, r"<[^>]+>", "")))
+    return grammar.strip(unescaped(_replaced(c, [(pattern, "") for pattern in DROPPED])))
 
 
 def markdown(c: Column) -> Column:
     """Mark-up as markdown: links, headings, list items and breaks; inner tags go with all others at the end."""
-    text = F.regexp_replace(c, r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"[$2]($1)")
-    for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + r" $1\n".replace("\\n", "\n"))
-    text = F.regexp_replace(text, r"(?is)<li[^>]*>(.*?)</li>", "\n- $1")
-    text = F.regexp_replace(text, r"(?i)</(?:p|div|section|article)>", "\n\n")
-    text = without_tags(F.regexp_replace(text, r"(?i)<(?:br|hr)\s*/?>", "\n"))
-    return grammar.strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return grammar.strip(_replaced(without_tags(_replaced(c, MARKUP)), SPACING))
 
 
 def mime_of(name: Column) -> Column:
