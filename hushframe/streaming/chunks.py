@@ -35,7 +35,7 @@ _BLANK_INSIDE = [regex.compile(pattern) for _, pattern, _, _ in detect.RULES if
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 
 
-def _emails(text: str) -> Iterator[tuple[int, int]]:
+def emails(text: str) -> Iterator[tuple[int, int]]:
     """Places of the e-mail rule's matches, found from their @ signs: a long run without one costs nothing."""
     end, at = 0, text.find("@")
     while at >= 0:
@@ -52,7 +52,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(surface, type, start, end) of the rules' matches; of one surface the type of highest priority."""
     best: dict[str, tuple[str, str, int, int]] = {}
-    spans = [(text[a:b], "email", a, b) for a, b in _emails(text)]
+    spans = [(text[a:b], "email", a, b) for a, b in emails(text)]
     for slug, pattern, group in _RULES:
         for m in pattern.finditer(text):
             surface = m.group(group)
