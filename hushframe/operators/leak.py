@@ -107,3 +107,27 @@ def nearest_seam(spans: DataFrame, key: str, start: str, step: int, length: str)
     above = F.least(seams, below + 1)
     near = F.when(F.abs(F.col(start) - below * step) <= F.abs(F.col(start) - above * step), below).otherwise(above) * step
     return spans.withColumn("seam", near.cast("long")).withColumn("distance", F.abs(F.col(start) - near).cast("long"))
+
+
+def long_rollup(sessions: DataFrame, seams: DataFrame, carried_values: DataFrame, band: int) -> DataFrame:
+    """What long documents came to, over all sessions, as one row.
+
+    sessions: (session, chunks_total, chunks_failed), chunks_total null for a session without a long document; seams:
+    (session, distance), a row per leak with its distance to the nearest seam; carried_values: (session, carried), as of `carried`.
+    Chunks are counted by sessions that have any; the rate of carried tokens is null where none was checked. Counts of one
+    row a session are summed up; the median is that of all counts.
+    """
+    has = F.col("chunks_total").isNotNull()
+    per = sessions.agg(
+        F.count("*").alias("sessions"),
+        F.count_if(F.col("chunks_total") > 1).alias("chunker_activated"),
+        F.count_if(F.coalesce(F.col("chunks_failed"), F.lit(0)) > 0).alias("chunks_failed_sessions"),
+        F.median(F.when(has, F.col("chunks_total"))).alias("p50_chunks"),
+        F.max("chunks_total").alias("max_chunks"),
+    )
+    near = seams.agg(F.count("*").alias("seam_leaks"), F.count_if(F.col("distance") <= band).alias("seam_leaks_within_overlap"))
+    cross = carried_values.agg(F.count("*").alias("cross_path_checked"), F.count_if("carried").alias("cross_path_carried"))
+    cross = cross.withColumn("cross_path_rate", F.try_divide(F.col("cross_path_carried").cast("double"), F.col("cross_path_checked")))
+    # One row each, met on a key that all share.
+    key = F.lit(0).alias("_k")
+    return per.select(key, "*").join(near.select(key, "*"), "_k").join(cross.select(key, "*"), "_k").drop("_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar, taxonomy
@@ -23,6 +23,55 @@ def summarize_placeholders(texts: DataFrame, keys: list[str], text: str) -> Data
     return found.groupBy(*keys, "tag").agg(F.count("*").alias("n"), F.transform(ordered, lambda x: x["token"]).alias("tokens"))
 
 
+# How a turn's report reads.
+TITLE = "### \U0001f512 Privacy Report  "
+SENT, KEPT, NOTHING_SENT = "sanitized before remote LLM", "placeholder-preserving input", "├─ Input protection: _no placeholders sent to the remote LLM_  "
+RESTORED, NO_NEED, NOT_RESTORED = "└─ Status: _tokens restored for display_", "└─ Status: _no restoration needed_", "└─ Status: _nothing restored in final output_"
+
+
+def placeholders_line(c: Column) -> Column:
+    """Different tokens of a text by tag: `TAG` xN (`token`, ...), tags in order, tokens as they first appear; empty without any."""
+    found = grammar.tokens(F.coalesce(c, F.lit("")))
+    tag = lambda t: F.regexp_extract(t, grammar.PLACEHOLDER_TAG, 1)
+    quoted = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
+
+    def one(name: Column) -> Column:
+        own = F.filter(found, lambda t: tag(t) == name)
+        return F.concat(quoted(name), F.lit(" x"), F.size(own).cast("string"), F.lit(" ("), F.array_join(F.transform(own, quoted), ", "), F.lit(")"))
+
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(found, tag))), one), ", ")
+
+
+def entities_line(entities: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): entities of each turn by type and severity: `TYPE` (severity) xN, in order."""
+    counted = entities.groupBy(*keys, F.upper("entity_type").alias("_t"), taxonomy.severity_of(F.lower("entity_type")).alias("_s")).agg(F.count("*").alias("_n"))
+    item = lambda x: F.format_string("`%s` (%s) x%d", x["_t"], x["_s"], x["_n"])
+    return counted.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_s", "_n"))), item), ", ").alias(name))
+
+
+def privacy_reports(turns: DataFrame, detected: DataFrame, tool_detected: DataFrame) -> DataFrame:
+    """(session, turn, report): what a turn's privacy came to, as text for its user.
+
+    turns: (session, turn, intent, sanitized_input, was_sanitized, sanitized_output); detected, tool_detected: entities (session, turn,
+    entity_type) newly found in the input, and in the outputs of tools. Null keys are values like others, a null text holds no token.
+    """
+    rows = turns
+    for found, name in ((detected, "_detected"), (tool_detected, "_tools")):
+        lines = entities_line(found, ["session", "turn"], name).withColumnsRenamed({"session": "_s", "turn": "_t"})
+        rows = rows.join(lines, rows["session"].eqNullSafe(F.col("_s")) & rows["turn"].eqNullSafe(F.col("_t")), "left").drop("_s", "_t")
+    sent, back = placeholders_line(F.col("sanitized_input")), placeholders_line(F.col("sanitized_output"))
+    said = lambda head, c: F.concat(F.lit(head), c, F.lit("  "))
+    status = F.when(F.col("was_sanitized"), SENT).otherwise(KEPT)
+    lines = F.concat(
+        F.array(F.lit(TITLE), F.concat(F.lit("├─ Intent: `"), "intent", F.lit("`  "))),
+        F.when(sent != "", F.array(F.concat(F.lit("├─ Input protection: _"), status, F.lit("_  ")), said("│  > ", sent))).otherwise(F.array(F.lit(NOTHING_SENT))),
+        F.array(said("├─ Newly detected this turn: ", F.coalesce("_detected", F.lit("_none_")))),
+        F.array(said("├─ Tool-output detections: ", F.coalesce("_tools", F.lit("_none_")))),
+        F.when(back != "", F.array(said("├─ Restored in final output: ", back), F.lit(RESTORED))).otherwise(F.array(F.when(sent == "", NO_NEED).otherwise(NOT_RESTORED))),
+    )
+    return rows.select("session", "turn", F.array_join(lines, "\n").alias("report"))
+
+
 def session_snapshot(vault: DataFrame, session: str) -> DataFrame:
     """What a session's vault holds, by tag."""
     severe = F.count_if(taxonomy.severity_of(F.col("entity_type")) == "high")

@@ -232,6 +232,23 @@ def long_document_rollup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.length("text") > 6000).alias("chunked"), F.max(chunks).alias("max_chunks"), F.percentile(chunks, 0.5).alias("median_chunks"), F.sum(chunks - 1).alias("seams"))
 
 
+@query("long_session_rollup", """WITH d AS (SELECT doc_id, source, text, CASE WHEN length(text) > 2000 THEN ceil(length(text) / 2000.0)::BIGINT END AS chunks_total FROM documents),
+l AS (SELECT doc_id, strpos(text, '@') - 1 AS pos, length(text) AS n FROM documents WHERE contains(text, '@') AND length(text) > 2000),
+k AS (SELECT pos, greatest(1, ceil(n / 2000.0)::BIGINT - 1) AS seams, greatest(1, least(greatest(1, ceil(n / 2000.0)::BIGINT - 1), pos // 2000)) AS below FROM l), g AS (SELECT least(abs(pos - below * 2000), abs(pos - least(seams, below + 1) * 2000)) AS distance FROM k)
+SELECT count(*) AS sessions, count(*) FILTER (chunks_total > 1) AS chunker_activated, count(*) FILTER (chunks_total IS NOT NULL AND contains(text, '$')) AS chunks_failed_sessions, quantile_cont(chunks_total, 0.5) AS p50_chunks, max(chunks_total) AS max_chunks,
+    (SELECT count(*) FROM g) AS seam_leaks, (SELECT count(*) FROM g WHERE distance <= 300) AS seam_leaks_within_overlap, (SELECT count(*) FROM orders) AS cross_path_checked, (SELECT count(*) FROM orders WHERE o_orderkey % 5 > 0) AS cross_path_carried,
+    (SELECT count(*) FILTER (o_orderkey % 5 > 0)::DOUBLE / count(*) FROM orders) AS cross_path_rate FROM d""")
+def long_session_rollup(spark, sf_dir):
+    """What long documents came to over all sessions: chunks, failures, leaks near a seam, tokens carried to later turns."""
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text"))
+    total = F.when(F.col("n") > 2000, F.ceil(F.col("n") / 2000))
+    sessions = docs.select(F.col("doc_id").alias("session"), total.alias("chunks_total"), F.when(total.isNotNull(), F.contains("text", F.lit("$")).cast("int")).alias("chunks_failed"))
+    places = docs.filter(F.contains("text", F.lit("@")) & (F.col("n") > 2000)).select(F.col("doc_id").alias("session"), (F.instr("text", "@") - 1).alias("at"), "n")
+    seams = leak.nearest_seam(places, "session", "at", 2000, "n")
+    carried = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), (F.col("o_orderkey") % 5 > 0).alias("carried"))
+    return leak.long_rollup(sessions, seams, carried, band=300)
+
+
 @query("jobs_by_next_run", "SELECT user_id, next_run, row_number() OVER (ORDER BY next_run ASC NULLS LAST, user_id) AS place FROM (SELECT user_id, max(event_id) FILTER (event_type = 'view' AND value > 90) AS next_run FROM events GROUP BY user_id)")
 def jobs_by_next_run(spark, sf_dir):
     jobs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when((F.col("event_type") == "view") & (F.col("value") > 90), F.col("event_id"))).alias("next_run"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar
-from hushframe.operators import annotations, calc, compaction, turn_pipeline, vault_table
+from hushframe.operators import annotations, calc, compaction, detect, report, turn_pipeline, vault_table
 from hushframe.plans.detection import _TURNS_SQL, _turns
 from hushframe.plans.registry import query
 from hushframe.sources import sessions
@@ -128,6 +128,19 @@ def turns_out_of_order(spark, sf_dir):
     return texts.join(prices.drop("price"), ["session", "turn"])
 
 
+@query("privacy_reports", f"""WITH {_TURNS_SQL}, b AS (SELECT t.session, turn, '`DATE` x1 (`' || d.token || '`), `FINANCE` x1 (`' || p.token || '`), `PERSON` x1 (`<<PERSON_1>>`)' AS sent, p.token AS price FROM t JOIN n p ON p.session = t.session AND p.surface = price JOIN n d ON d.session = t.session AND d.surface = day)
+SELECT session, turn, array_to_string(['### \U0001f512 Privacy Report  ', '├─ Intent: `chat`  ', '├─ Input protection: _sanitized before remote LLM_  ', '│  > ' || sent || '  ', '├─ Newly detected this turn: `FINANCIAL` (high) x1, `TEMPORAL` (high) x1  ',
+    '├─ Tool-output detections: ' || CASE WHEN turn % 3 = 0 THEN '`EMAIL` (high) x2' ELSE '_none_' END || '  '] || CASE WHEN turn % 2 = 0 THEN ['├─ Restored in final output: `FINANCE` x1 (`' || price || '`)  ', '└─ Status: _tokens restored for display_'] ELSE ['└─ Status: _nothing restored in final output_'] END, chr(10)) AS report FROM b""")
+def privacy_reports(spark, sf_dir):
+    """What each turn's privacy came to, as text for its user: tokens sent, what was found, what came back."""
+    turns = _turns(spark, sf_dir)
+    done, _ = turn_pipeline.prepare(turns, _people(spark, sf_dir))
+    output = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Paid "), F.regexp_extract("remote_text", "<<FINANCE_[0-9]+>>", 0), F.lit(", yes "), F.regexp_extract("remote_text", "<<FINANCE_[0-9]+>>", 0))).otherwise(F.lit("Done."))
+    rows = done.select("session", "turn", F.lit("chat").alias("intent"), F.col("remote_text").alias("sanitized_input"), "was_sanitized", output.alias("sanitized_output"))
+    tools = detect.detect(turns.filter("turn % 3 = 0").select("session", "turn", F.lit("a@ex.org and b@ex.org").alias("text")))
+    return report.privacy_reports(rows, turn_pipeline.detect_turns(turns), tools)
+
+
 @query("computed_turns", f"""WITH {_TURNS_SQL}, p AS (SELECT t.session, turn, price, token, o_totalprice AS v FROM t JOIN n ON n.session = t.session AND surface = price JOIN orders ON o_orderkey = turn)
 SELECT session, turn, 'Half of ' || price || ' is ' || regexp_replace(round(v / 2, 4)::VARCHAR, '\\.0$', '') || '.' AS display_text FROM p""")
 def computed_turns(spark, sf_dir):
