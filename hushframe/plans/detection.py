@@ -236,15 +236,16 @@ def alias_resolve(spark, sf_dir):
     return vault.resolve_aliases(asked, known, ["s_suppkey"]).select("s_suppkey", "placeholder")
 
 
-@query("alias_resolve_names", """WITH known AS (SELECT c_nationkey AS session, '<<ORG_' || c_custkey || '>>' AS placeholder, lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' works inc' WHEN 1 THEN ' of nation ' || c_nationkey ELSE '' END AS alias FROM customer WHERE c_custkey % 40 = 1),
+@query("alias_resolve_names", """WITH known AS (SELECT c_nationkey AS session, '<<ORG_' || (ascii(c_mktsegment) * 10 + c_custkey % 3) || '>>' AS placeholder, lower(c_mktsegment) || CASE c_custkey % 3 WHEN 0 THEN ' works inc' WHEN 1 THEN ' of nation ' || c_nationkey ELSE ' trading' END AS alias FROM customer),
 asked AS (SELECT s_suppkey, s_nationkey AS session, CASE s_suppkey % 5 WHEN 0 THEN 'building works' WHEN 1 THEN 'machinery' WHEN 2 THEN 'furniture of nation ' || s_nationkey || ' limited' WHEN 3 THEN 'works inc' ELSE 'household' END AS q FROM supplier),
 fit AS (SELECT s_suppkey, placeholder FROM asked a JOIN known k ON a.session = k.session AND (alias = q OR CASE WHEN contains(q, ' ') THEN starts_with(alias, q) OR ends_with(alias, q) OR starts_with(q, alias) OR ends_with(q, alias) ELSE length(q) >= 2 AND list_contains(string_split(alias, ' '), q) END))
 SELECT s_suppkey, CASE WHEN count(DISTINCT placeholder) = 1 THEN min(placeholder) END AS placeholder FROM asked LEFT JOIN fit USING (s_suppkey) GROUP BY s_suppkey""")
 def alias_resolve_names(spark, sf_dir):
     """Names of several words: parts at either end of a known name, and names with more at either end."""
     key = F.col("c_custkey") % 3
-    alias = F.concat(F.lower("c_mktsegment"), F.when(key == 0, F.lit(" works inc")).when(key == 1, F.concat(F.lit(" of nation "), F.col("c_nationkey").cast("string"))).otherwise(F.lit("")))
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.col("c_nationkey").alias("session"), F.concat(F.lit("<<ORG_"), F.col("c_custkey").cast("string"), F.lit(">>")).alias("placeholder"), alias.alias("alias"))
+    alias = F.concat(F.lower("c_mktsegment"), F.when(key == 0, F.lit(" works inc")).when(key == 1, F.concat(F.lit(" of nation "), F.col("c_nationkey").cast("string"))).otherwise(F.lit(" trading")))
+    number = (F.ascii("c_mktsegment") * 10 + key).cast("string")
+    known = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("session"), F.concat(F.lit("<<ORG_"), number, F.lit(">>")).alias("placeholder"), alias.alias("alias"))
     kind = F.col("s_suppkey") % 5
     limited = F.concat(F.lit("furniture of nation "), F.col("s_nationkey").cast("string"), F.lit(" limited"))
     surface = F.when(kind == 0, F.lit("building works")).when(kind == 1, F.lit("machinery")).when(kind == 2, limited).when(kind == 3, F.lit("works inc")).otherwise(F.lit("household"))

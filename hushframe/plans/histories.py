@@ -131,14 +131,14 @@ def paired_artifacts(spark, sf_dir):
     return history.paired(left, right, ["l_orderkey"], "o")
 
 
-@query("timeline_payloads", """WITH t AS (SELECT user_id, event_type AS turn, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL), e AS (SELECT user_id, event_type AS turn, string_agg('{"sequence":' || event_id || ',"kind":"' || (event_id % 3) || '"}', ',' ORDER BY event_id) AS ev FROM events WHERE event_type <> 'view' AND event_id % 2 = 0 GROUP BY ALL),
+@query("timeline_payloads", """WITH t AS (SELECT user_id, event_type AS turn, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT user_id, event_type AS turn, string_agg('{"sequence":' || event_id || ',"kind":"' || (event_id % 3) || '"}', ',' ORDER BY event_id) AS ev FROM events GROUP BY ALL),
 s AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id)
 SELECT user_id, turn, '{"turn":{"n":' || n || '},"timeline":[' || coalesce(ev, '') || '],"snapshot":{"total":' || total || '}}' AS payload FROM t LEFT JOIN e USING (user_id, turn) JOIN s USING (user_id)""")
 def timeline_payloads(spark, sf_dir):
     """A turn, its events and its session's counts nested into one payload."""
     events = table(spark, sf_dir, "events")
-    some = events.filter("event_type <> 'view'").withColumnRenamed("event_type", "turn")
-    each = some.filter("event_id % 2 = 0").select("user_id", "turn", F.col("event_id").alias("sequence"), (F.col("event_id") % 3).cast("string").alias("kind"))
+    some = events.withColumnRenamed("event_type", "turn")
+    each = some.select("user_id", "turn", F.col("event_id").alias("sequence"), (F.col("event_id") % 3).cast("string").alias("kind"))
     counts = events.groupBy("user_id").agg(F.count("*").alias("total"))
     return history.timeline_payload(some.groupBy("user_id", "turn").agg(F.count("*").alias("n")), each, counts, "user_id", "turn")
 

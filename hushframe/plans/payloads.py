@@ -63,12 +63,12 @@ def chunk_traces(spark, sf_dir):
 
 
 @query("sql_chunks", """SELECT doc_id, (s // 6000)::INTEGER AS idx, substr(text, s + 1, 6000) AS chunk FROM (SELECT doc_id, replace(text, chr(10) || chr(10), chr(10)) AS text, unnest(range(0, length(replace(text, chr(10) || chr(10), chr(10))), 6000)) AS s FROM documents WHERE length(text) > 0)
-UNION ALL SELECT -1 - event_id, 0, '$.' || k || ': ' || json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_array_length(json_keys(props)::JSON) = 1""")
+UNION ALL SELECT -1 - event_id, 0, string_agg('$.' || k || ': ' || json_extract_string(props, '$.' || k), chr(10) ORDER BY i) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k, generate_subscripts(json_keys(props), 1) AS i FROM events) GROUP BY event_id""")
 def sql_chunks(spark, sf_dir):
     """The chunkers as a table function of SQL, and functions by name."""
     register.register(spark)
     docs = table(spark, sf_dir, "documents").filter("length(text) > 0").select("doc_id", F.lit("text").alias("kind"), F.replace("text", F.lit("\n\n"), F.lit("\n")).alias("payload"))
-    props = table(spark, sf_dir, "events").filter("size(json_object_keys(props)) = 1").select((-1 - F.col("event_id")).alias("doc_id"), F.lit("json").alias("kind"), F.col("props").alias("payload"))
+    props = table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("doc_id"), F.lit("json").alias("kind"), F.col("props").alias("payload"))
     return spark.sql("SELECT p.doc_id, c.idx, c.chunk FROM {payloads} p, LATERAL chunk_payload(p.kind, p.payload, 6000) c", payloads=docs.unionByName(props))
 
 

@@ -52,9 +52,9 @@ def vault_register(spark, sf_dir):
     return after.select("session", "placeholder", F.array_join("aliases", "|").alias("aliases"), "created_turn", "last_seen_turn", "value")
 
 
-@query("vault_variables", """SELECT 'n' || c_nationkey AS session, string_agg('PERSON_' || c_custkey, ',' ORDER BY 'PERSON_' || c_custkey) AS names, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_nationkey""")
+@query("vault_variables", """SELECT 'n' || c_nationkey AS session, string_agg('PERSON_' || c_custkey, ',' ORDER BY 'PERSON_' || c_custkey) AS names, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey""")
 def vault_variables(spark, sf_dir):
-    values = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("session"), F.concat(F.lit("<<PERSON_"), F.col("c_custkey").cast("string"), F.lit(">>")).alias("placeholder"), F.col("c_acctbal").alias("value"), F.col("c_custkey").alias("order"))
+    values = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("session"), F.concat(F.lit("<<PERSON_"), F.col("c_custkey").cast("string"), F.lit(">>")).alias("placeholder"), F.col("c_acctbal").alias("value"), F.col("c_custkey").alias("order"))
     named = vault_table.variables(vault_table.set_values(_known(spark, sf_dir), values))
     total = F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, b: a + b)
     return named.select("session", F.array_join(F.map_keys("values"), ",").alias("names"), F.round(total, 2).alias("total"))
