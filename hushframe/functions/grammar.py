@@ -33,6 +33,19 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({PLACEHOLDER})"), 1))
 
 
+def spans(c: Column) -> Column:
+    """Where tokens stand in a text, which nothing may replace: array<struct<start, end>> in characters, end exclusive, in order."""
+    found = F.regexp_extract_all(c, F.lit(f"({PLACEHOLDER})"), F.lit(1))
+    between = F.split(c, PLACEHOLDER, -1)
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def one(token: Column, i: Column) -> Column:
+        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"))
+
+    return F.transform(found, one)
+
+
 def tags(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(PLACEHOLDER_TAG), 1))
 

@@ -106,3 +106,31 @@ def timeline(events: DataFrame, keys: list[str], event_type: str, duration: str,
     stage = F.try_element_at(F.split(event_type, r"\."), F.lit(-2))
     staged = events.withColumn("stage", F.coalesce(stage, F.col(event_type)))
     return staged.groupBy(*keys, "stage").agg(F.max_by(duration, order).alias("duration"), F.count("*").alias("n"))
+
+
+def replay(events: DataFrame, scope: list[str]) -> DataFrame:
+    """Events of each scope (a session, a trace, or a session's turn) in the order of replay: adds place, from 1.
+
+    events: (..., sequence, timestamp); by sequence, then time, unnumbered ones first; events alike in both keep no order of their own.
+    """
+    order = Window.partitionBy(*scope).orderBy("sequence", "timestamp")
+    return events.withColumn("place", F.row_number().over(order))
+
+
+def turn_timelines(events: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per turn: (keys, trace_id, events, total_duration_ms, stage_durations_ms map<string, long>).
+
+    events: (keys, trace_id, event_type, sequence, timestamp, duration_ms). In the order of replay: the trace of the first event, the time from
+    the first to the last (0 at least), and of each stage, the last but one part of a dotted type, the last duration told.
+    """
+    rank = F.struct("sequence", "timestamp")
+    stage = F.coalesce(F.try_element_at(F.split("event_type", r"\."), F.lit(-2)), F.col("event_type"))
+    span = F.unix_millis(F.max_by("timestamp", rank)) - F.unix_millis(F.min_by("timestamp", rank))
+    whole = events.groupBy(*keys).agg(F.min_by("trace_id", rank).alias("trace_id"), F.count("*").alias("events"), F.greatest(F.lit(0), span).alias("total_duration_ms"))
+    told = events.filter("duration_ms is not null").groupBy(*keys, stage.alias("_stage")).agg(F.max_by("duration_ms", rank).alias("_ms"))
+    stages = told.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_stage", "_ms")))).alias("stage_durations_ms"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & whole[k].eqNullSafe(F.col(f"_{k}"))
+    joined = whole.join(stages, on, "left").drop(*[f"_{k}" for k in keys])
+    return joined.withColumn("stage_durations_ms", F.coalesce("stage_durations_ms", F.create_map().cast("map<string,bigint>")))

@@ -125,6 +125,49 @@ def event_sequence(spark, sf_dir):
     return report.sequence(_events(spark, sf_dir), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "sequence")
 
 
+_TRACED = """e AS (SELECT event_id, user_id AS session, event_id % 4 AS turn, 't' || user_id || '-' || event_id % 4 AS trace, 'turn.' || event_type || '.done' AS kind, event_id % 5 AS sequence, ts, CASE WHEN event_id % 3 > 0 THEN floor(value * 10)::BIGINT END AS ms FROM events)"""
+
+
+def _traced(spark, sf_dir):
+    """Events as those of turns, numbered anew out of the order of time."""
+    key = F.col("event_id")
+    turn = key % 4
+    trace = F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("-"), turn.cast("string"))
+    kind = F.concat(F.lit("turn."), "event_type", F.lit(".done"))
+    ms = F.when(key % 3 > 0, F.floor(F.col("value") * 10).cast("long"))
+    return _events(spark, sf_dir).select("event_id", F.col("user_id").alias("session"), turn.alias("turn"), trace.alias("trace_id"), kind.alias("event_type"), (key % 5).alias("sequence"), F.col("ts").alias("timestamp"), ms.alias("duration_ms"))
+
+
+@query("event_replay", f"""WITH {_TRACED} SELECT event_id, row_number() OVER (PARTITION BY session ORDER BY sequence, ts)::INTEGER AS of_session, row_number() OVER (PARTITION BY trace ORDER BY sequence, ts)::INTEGER AS of_trace, row_number() OVER (PARTITION BY session, turn ORDER BY sequence, ts)::INTEGER AS of_turn FROM e""")
+def event_replay(spark, sf_dir):
+    """The place of each event in the replay of its session, its trace and its turn."""
+    rows = _traced(spark, sf_dir)
+    for name, scope in (("of_session", ["session"]), ("of_trace", ["trace_id"]), ("of_turn", ["session", "turn"])):
+        rows = report.replay(rows, scope).withColumnRenamed("place", name)
+    return rows.select("event_id", "of_session", "of_trace", "of_turn")
+
+
+@query("turn_timelines", f"""WITH {_TRACED}, k AS (SELECT session, turn, kind, arg_max(ms, (sequence, ts)) AS ms FROM e WHERE ms IS NOT NULL GROUP BY ALL), s AS (SELECT session, turn, string_agg(string_split(kind, '.')[2] || '=' || ms, ',' ORDER BY kind) AS stages FROM k GROUP BY ALL),
+w AS (SELECT session, turn, min(trace) AS trace_id, count(*) AS events, greatest(0, (epoch_us(arg_max(ts, (sequence, ts))) // 1000) - (epoch_us(arg_min(ts, (sequence, ts))) // 1000)) AS total_duration_ms FROM e GROUP BY ALL)
+SELECT session, turn, trace_id, events, total_duration_ms, coalesce(stages, '') AS stages FROM w LEFT JOIN s USING (session, turn)""")
+def turn_timelines(spark, sf_dir):
+    """Turns as the replay of their events tells them: how long in all, and each stage."""
+    out = report.turn_timelines(_traced(spark, sf_dir), ["session", "turn"])
+    entries = F.array_sort(F.map_entries("stage_durations_ms"))
+    stages = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return out.select("session", "turn", "trace_id", "events", "total_duration_ms", stages.alias("stages"))
+
+
+@query("placeholder_spans", f"""WITH t AS (SELECT conv_id, turn, '<<PERSON_' || turn || '>>' || coalesce(text, '') || '<<A_B_12>> <<ORG_' || conv_id || '>>' AS text, length(coalesce(text, '')) AS n, length('<<PERSON_' || turn || '>>') AS a, length('<<ORG_' || conv_id || '>>') AS b FROM conversations)
+SELECT conv_id, turn, '0-' || a || ',' || (a + n) || '-' || (a + n + 10) || ',' || (a + n + 11) || '-' || (a + n + 11 + b) AS spans FROM t""")
+def placeholder_spans(spark, sf_dir):
+    """Where tokens stand in messages, at their ends and side by side."""
+    token = lambda tag, c: F.concat(F.lit(f"<<{tag}_"), F.col(c).cast("string"), F.lit(">>"))
+    text = F.concat(token("PERSON", "turn"), F.coalesce("text", F.lit("")), F.lit("<<A_B_12>> "), token("ORG", "conv_id"))
+    spans = F.transform(grammar.spans(text), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(spans, ",").alias("spans"))
+
+
 @query("event_durations", """WITH s AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN {'id': event_id, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM events)
 SELECT user_id, event_id AS end_id, st.id AS start_id, greatest(0, (epoch_us(ts) // 1000) - (epoch_us(st.ts) // 1000)) AS duration_ms FROM s WHERE event_type = 'purchase' AND st IS NOT NULL""")
 def event_durations(spark, sf_dir):

@@ -37,3 +37,23 @@ def test_rollup_of_long_documents(spark):
     }
     none = leak.long_rollup(sessions.limit(0), seams.limit(0), carried.limit(0), band=300).first()
     assert none.sessions == none.seam_leaks == none.cross_path_checked == 0 and none.p50_chunks is None and none.cross_path_rate is None
+
+
+def test_replay_and_timelines(spark):
+    rows = [("s", 1, "t1", "a.detect.done", 2, 5, 70), ("s", 1, "t1", "a.detect.done", 1, 9, 50), ("s", 1, "t0", "a.restore.done", 0, 2, None), ("s", 1, "t1", "plain", 3, 20, 1), (None, None, "t9", "x.y.z", 1, 1, None)]
+    df = spark.createDataFrame(rows, "session string, turn long, trace_id string, event_type string, sequence int, s int, duration_ms long").withColumn("timestamp", F.timestamp_seconds("s"))
+    got = {(r.session, r.turn): r for r in report.turn_timelines(df, ["session", "turn"]).collect()}
+    one = got["s", 1]
+    assert (one.trace_id, one.events, one.total_duration_ms, one.stage_durations_ms) == ("t0", 4, 18_000, {"detect": 70, "plain": 1})
+    assert (got[None, None].total_duration_ms, got[None, None].stage_durations_ms) == (0, {}) and len(got) == 2
+    placed = {(r.session, r.sequence): r.place for r in report.replay(df, ["session"]).collect()}
+    assert placed == {("s", 0): 1, ("s", 1): 2, ("s", 2): 3, ("s", 3): 4, (None, 1): 1}
+
+
+def test_spans_of_tokens(spark):
+    from hushframe.functions import grammar
+    from hushframe.operators.vault import protected
+
+    texts = ["<<A_1>><<B_2>> x <<C_D_33>>", "none", "", "\U0001f512 <<A_1>>", "<<a_1>> <<A_1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", grammar.spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [[tuple(x) for x in r.s] for r in rows[:-1]] == [protected(t) for t in texts] and rows[-1].s is None
