@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,49 @@ def test_groups_of_languages_score_like_one_model():
     parts = langid.Models([langid.kneser_ney({k: grams[k] for k in ks}, 3, characters=size) for ks in ("ab", "c")])
     some = ["the", "hat", "lesen", "xyz", "chund"]
     assert parts.langs == whole.langs and abs(parts.words(some) - whole.words(some)).max() < 1e-9
+
+
+def test_the_query_against_brute_force(spark):
+    """Every column of the query, from models worked out by definition over the sample's texts; slope and ceiling are those that `fit` calibrates."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in texts}
+    learned = docs.filter(~F.col("doc_id").isin([d for d in texts if held[d]])).select("text", "lang")
+    model = langid.fit(learned)
+    sample = langid.labelled_sample(learned, langid.MAX_DOCS, langid.MAX_CHARS, 3).filter("not calibrates").select("lang", "text").collect()
+    split = lambda t: langid.WORD.findall(t.lower())
+    words = {lang: [w.lower() for r in sample if r.lang == lang for w in langid.WORD.findall(r.text)] for lang in sorted({r.lang for r in sample})}
+    alphabet = {c for ws in words.values() for w in ws for c in w} | {"\x03"}
+    vocabulary = {w for t in texts.values() for w in split(t)}
+    scores = {}
+    for lang, ws in words.items():
+        raw = counts(ws, langid.ORDER)
+        before, nexts = {}, {}
+        for g in raw:
+            if len(g) > 1:
+                before.setdefault(g[1:], set()).add(g[0])
+        for g, n in raw.items():
+            if g != "\x02":
+                nexts.setdefault(g[:-1], {})[g[-1]] = n if len(g) == langid.ORDER or g[0] == "\x02" else max(1, len(before.get(g, ())))
+        total = {context: sum(own.values()) for context, own in nexts.items()}
+
+        def p(context, c, nexts=nexts, total=total):
+            lower = p(context[1:], c) if context else 1 / (len(alphabet) + 1)
+            own = nexts.get(context)
+            return lower if own is None else max(own.get(c, 0) - 0.75, 0) / total[context] + 0.75 * len(own) / total[context] * lower
+
+        marked = lambda w: f"\x02{w}\x03"
+        scores[lang] = {w: sum(math.log(p(t[max(0, i - langid.ORDER + 1) : i], t[i])) for t in [marked(w)] for i in range(1, len(t))) for w in vocabulary}
+    assert model.langs == list(scores) and len(scores) >= 4
+    out = queries.op7_langid(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        own = split(texts[r.doc_id])
+        assert r.held_out == held[r.doc_id]
+        if not own:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        entropy = {lang: -sum(s[w] for w in own) / sum(len(w) + 1 for w in own) for lang, s in scores.items()}
+        first, second = sorted(entropy.values())[:2]
+        assert entropy[r.lang_pred] - first < 1e-9 and abs(r.entropy - first) < 1e-9
+        assert abs(r.score - 1 / (1 + math.exp(-min(model.slope * (second - first), 50)))) < 1e-9 and r.rejected == (r.entropy > model.ceiling)
