@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hushframe.llm import packing
+from hushframe.llm import packing, queries
 
 TEXTS = ["a b c", "", None, "word " * 3000, "naïve café 😀 " * 40, "x" * 5000, "<|endoftext|> in a text", "a b c"]
 
@@ -64,8 +64,6 @@ def test_differencing_is_near_equal():
 
 
 def test_query_carries_the_checksum(spark):
-    from hushframe.llm import queries
-
     rows = queries.op1_packing(spark, "/root/testdata/sf0.001").filter("start = 0").limit(5).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in rows:
@@ -76,3 +74,27 @@ def test_query_carries_the_checksum(spark):
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|>b", "plain"])
 def test_special_strings_as_the_exact_library(text):
     assert [*packing.encoder(packing.default_tokenizer())(text), 0] == ids_of(text)
+
+
+def test_the_query_against_the_exact_tokenizer(spark):
+    """All of the query's rows: every id of every document in one piece, by the tokenizer itself; sequences gapless, full, and few."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(packing.default_tokenizer())
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids = {d: [*exact.encode(t, add_special_tokens=False).ids, 0] for d, t in docs.items()}
+    pieces, sequences = {}, {}
+    for r in queries.op1_packing(spark, "/root/testdata/sf0.001").collect():
+        own = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(own) == r.length > 0 and r.ids_crc32 == zlib.crc32(own.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for found, total in [(p, len(ids[d])) for d, p in pieces.items()] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, length in sorted(found):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 1024
+    tokens = sum(map(len, ids.values()))
+    assert len(sequences) <= 1.05 * tokens / 1024 + 8
