@@ -15,7 +15,7 @@ from hushframe.sources.tables import keep_folder, table, work_folder
 from hushframe.streaming import chunks
 from hushframe.streaming.dispatch import dispatch
 from hushframe.streaming.jobs import runs
-from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
+from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,27 @@ def stream_sanitize(spark, sf_dir):
     return out.select("doc_id", F.regexp_replace("sanitized", "<<([A-Z_]+)_[0-9]+>>", "<<$1>>").alias("sanitized"), "closed")
 
 
+@query("stream_poll_texts", f"""WITH RECURSIVE {_SANITIZED}, n AS (SELECT doc_id, greatest(1, ceil(length(coalesce(text, '')) / 1500.0))::BIGINT AS polls FROM documents)
+SELECT doc_id, regexp_replace(coalesce(arg_max(t, k), ''), '<<([A-Z_]+)_[0-9]+>>', '<<\\1>>', 'g') AS sanitized, any_value(polls) - 1 AS running, 1::BIGINT AS ended FROM step JOIN n USING (doc_id) GROUP BY doc_id""")
+def stream_poll_texts(spark, sf_dir):
+    """Documents as outputs of running sessions, told poll by poll with status lines: sanitised across polls, each status line where it was."""
+    use_state_store(spark)
+    cut = chunks.cut_chunks(read_stream(spark, sf_dir, "documents"), "source", "doc_id", "text", 1500)
+    name = F.concat(F.lit("d"), F.col("stream").cast("string"))
+    status = F.when(F.col("last"), F.lit("Exit code: 0")).otherwise(F.concat(F.lit("Process running. session_id: "), name))
+    none = F.lit(None).cast("string")
+    result = F.concat("chunk", F.lit("\n"), status)
+    results = cut.select("session", F.when(F.col("seq") == 0, "exec").otherwise("write_stdin").alias("tool"), none.alias("call_id"), name.alias("session_id"), none.alias("stream_id"), "seq", result.alias("result"))
+    out = run_once(sanitize_polls(results))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "emitted")))
+    is_running = F.col("shown").rlike(r"(^|\n)Process running\. session_id: d[0-9]+$")
+    per = out.groupBy("session", "stream").agg(
+        F.array_join(F.transform(parts, lambda x: x["emitted"]), "").alias("text"), F.count_if(is_running).alias("running"), F.count_if(F.col("shown").rlike(r"(^|\n)Exit code: 0$")).alias("ended"),
+    )
+    keys = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.concat(F.lit("exec_session:d"), F.col("doc_id").cast("string"))).alias("stream"))
+    return per.join(keys, "stream").select("doc_id", F.regexp_replace("text", "<<([A-Z_]+)_[0-9]+>>", "<<$1>>").alias("sanitized"), "running", "ended")
+
+
 @query("stream_tokens", f"""WITH RECURSIVE {_SANITIZED}, last AS (SELECT doc_id, arg_max(t, k) AS t FROM step WHERE {_CLOSED} GROUP BY doc_id),
 used AS (SELECT source AS session, unnest(regexp_extract_all(t, '{grammar.PLACEHOLDER}')) AS token FROM last JOIN documents USING (doc_id))
 SELECT session, regexp_extract(token, '{grammar.PLACEHOLDER_TAG}', 1) AS tag, count(DISTINCT token) AS tokens, count(DISTINCT token) AS surfaces, 1::BIGINT AS most FROM used GROUP BY ALL""")

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from hushframe.functions import scalars
 from hushframe.operators.vault import Vault
 from hushframe.streaming.chunks import Sanitizer
 
 #: Rows that a task gives back at a time.
 ROWS = 1000
-SCHEMA = "session string, stream long, seq long, emitted string, tokens string, closed string"
+SCHEMA = "session string, stream long, seq long, emitted string, tokens string, closed string, trailer string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,7 +50,7 @@ class SessionSanitizer(StatefulProcessor):
         self.handle = handle
         self.surfaces = handle.getMapState("surfaces", "surface string", "token string, place long", self.ttl_ms)
         self.streams = handle.getMapState("streams", "stream long", "following long, raw string, seen long")
-        self.waiting = handle.getMapState("waiting", "stream long, seq long", "chunk string, last boolean")
+        self.waiting = handle.getMapState("waiting", "stream long, seq long", "chunk string, last boolean, trailer string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
         place = len(list(self.surfaces.keys())) if self.surfaces.exists() else 0
@@ -66,14 +67,15 @@ class SessionSanitizer(StatefulProcessor):
                 opened[stream] = at
                 at.seen = max(at.seen, int(row.at))
                 chunk, last = row.chunk if isinstance(row.chunk, str) else "", bool(row.last)
+                trailer = row.trailer if isinstance(row.trailer, str) else None
                 if seq > at.following:
                     if not self.waiting.containsKey((stream, seq)):
-                        self.waiting.updateValue((stream, seq), (chunk, last))
+                        self.waiting.updateValue((stream, seq), (chunk, last, trailer))
                 while seq == at.following:
                     machine = Sanitizer(at.raw, vault)
                     shown = machine.feed(chunk, last)
                     at.raw, at.following = machine.raw, seq + 1
-                    out.append(self._row(key, row.stream, seq, shown, vault, held, "last" if last else None))
+                    out.append(self._row(key, row.stream, seq, shown, vault, held, "last" if last else None, trailer))
                     held = len(vault.by_surface)
                     if last:
                         self.streams.removeKey((stream,))
@@ -81,7 +83,7 @@ class SessionSanitizer(StatefulProcessor):
                         break
                     if self.waiting.containsKey((stream, seq + 1)):
                         seq += 1
-                        chunk, last = self.waiting.getValue((stream, seq))
+                        chunk, last, trailer = self.waiting.getValue((stream, seq))
                         self.waiting.removeKey((stream, seq))
                 if len(out) >= ROWS:
                     yield _frame(out)
@@ -99,7 +101,7 @@ class SessionSanitizer(StatefulProcessor):
         held = len(vault.by_surface)
         for stream, following, raw in sorted(silent):
             # Chunks whose forerunner never came follow in their order.
-            rest = sorted((seq, chunk) for (s, seq), (chunk, _) in self.waiting.iterator() if s == stream)
+            rest = sorted((seq, chunk) for (s, seq), (chunk, _, _) in self.waiting.iterator() if s == stream)
             shown = Sanitizer(raw, vault).feed("".join(chunk for _, chunk in rest), True)
             out.append(self._row(key, stream, max([following, *(seq + 1 for seq, _ in rest)]), shown, vault, held, "idle"))
             held = len(vault.by_surface)
@@ -118,23 +120,24 @@ class SessionSanitizer(StatefulProcessor):
     def _stream(self, stream: int) -> _Open:
         return _Open(*self.streams.getValue((stream,))) if self.streams.containsKey((stream,)) else _Open(0, "", 0)
 
-    def _row(self, key, stream: int, seq: int, shown: str, vault: Vault, held: int, closed: str | None) -> tuple:
+    def _row(self, key, stream: int, seq: int, shown: str, vault: Vault, held: int, closed: str | None, trailer: str | None = None) -> tuple:
         """A row of the result; surfaces that the vault holds beyond `held` are new and are written down."""
         news = list(islice(vault.by_surface.items(), held, None))
         for place, (surface, token) in enumerate(news, held):
             self.surfaces.updateValue((surface,), (token, place))
-        return (key[0], stream, seq, shown, json.dumps(dict(news), ensure_ascii=False) if news else None, closed)
+        return (key[0], stream, seq, shown, json.dumps(dict(news), ensure_ascii=False) if news else None, closed, trailer)
 
 
 def _frame(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["session", "stream", "seq", "emitted", "tokens", "closed"]).astype({"stream": "int64", "seq": "int64"})
+    return pd.DataFrame(out, columns=["session", "stream", "seq", "emitted", "tokens", "closed", "trailer"]).astype({"stream": "int64", "seq": "int64"})
 
 
 def sanitize_stream(chunks: DataFrame, idle: str | None = None, delay: str = "0 seconds", vault: DataFrame | None = None, ttl: str | None = None) -> DataFrame:
-    """Streaming chunks(session, stream, seq, chunk, last) to (session, stream, seq, emitted, tokens, closed): seq from 0 without holes.
+    """Streaming chunks(session, stream, seq, chunk, last) to (session, stream, seq, emitted, tokens, closed, trailer): seq from 0 without holes.
 
     emitted: what can be shown now that this chunk has come. tokens: surfaces met for the first time in the session, with
-    their tokens, as JSON, null without any. closed: 'last' with the last chunk, 'idle' in the row that a timer adds.
+    their tokens, as JSON, null without any. closed: 'last' with the last chunk, 'idle' in the row that a timer adds. trailer: that of
+    the chunk, as it came, where chunks have such a column; null else.
     idle: silence after which a stream without an end is closed, by the event time of a column `ts` whose watermark lags by `delay`, or by the
     clock if there is none; rows later than the watermark are dropped by the stream, so `delay` must cover the lag of the
     source. vault: entities(session, placeholder, canonical, aliases) that sessions know from the start, as of `vault_table`.
@@ -147,8 +150,9 @@ def sanitize_stream(chunks: DataFrame, idle: str | None = None, delay: str = "0
         raise ValueError("a ttl goes by the clock, so it can't stand beside event time")
     rows = chunks.withWatermark("ts", delay) if by_event else chunks
     at = F.unix_millis("ts") if by_event else F.unix_millis(F.current_timestamp())
+    trailer = F.col("trailer").cast("string") if "trailer" in chunks.columns else F.lit(None).cast("string")
     columns = [F.col("session").cast("string").alias("session"), F.coalesce(F.col("stream").cast("long"), F.lit(-1)).alias("stream"), F.col("seq").cast("long").alias("seq")]
-    rows = rows.select(*columns, F.col("chunk").cast("string").alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"), at.alias("at"), *(["ts"] if by_event else []))
+    rows = rows.select(*columns, F.col("chunk").cast("string").alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"), at.alias("at"), trailer.alias("trailer"), *(["ts"] if by_event else []))
     processor = SessionSanitizer(_millis(idle), _millis(ttl))
     initial = None if vault is None else _surfaces(vault).groupBy("session")
     return rows.groupBy("session").transformWithStateInPandas(processor, SCHEMA, "append", mode, initial)
@@ -179,3 +183,30 @@ def canonical_tokens(out: DataFrame) -> DataFrame:
     rows = out.select("session", "stream", "seq", F.posexplode(F.map_entries(F.from_json("tokens", "map<string,string>"))).alias("nth", "e"))
     rows = rows.select("session", "stream", "seq", "nth", F.col("e.key").alias("surface"), F.col("e.value").alias("placeholder"))
     return rows.groupBy("session", "placeholder").agg(first.alias("canonical"))
+
+
+#: Tools whose polls of a running session go on in the next, and what the key of such a stream begins with (fixed values).
+POLLED, RUNNING = ("exec", "write_stdin"), "exec_session:"
+
+
+def sanitize_polls(results: DataFrame, **how) -> DataFrame:
+    """Streaming results of tools that tell their output bit by bit to what a model may be shown: (session, stream, seq, shown, emitted, tokens, trailer).
+
+    results: (session, tool, call_id, session_id, stream_id, seq, result), seq from 0 without holes within each stream; a stream is
+    named as `scalars.stream_key` does. Status lines at the end of a result stand apart, so that they cut no entity, and are put back as
+    they were. Only a session that is still running holds its end back; any other result ends its stream, and one of no stream is one of
+    its own. A result that is null has no output. how: as of `sanitize_stream`.
+    """
+    result = F.coalesce("result", F.lit(""))
+    key = scalars.stream_key(F.col("tool"), F.col("call_id"), F.col("session_id"), F.col("stream_id"), result)
+    alone = F.xxhash64(F.lit("alone"), "session", "seq", result)
+    parts = scalars.output_and_trailer(result)
+    holds = F.col("tool").isin(*POLLED) & key.startswith(RUNNING) & scalars.stream_live(result)
+    held = F.coalesce(holds, F.lit(False))
+    rest = ["ts"] if "ts" in results.columns else []
+    columns = ("session", F.when(key.isNull(), alone).otherwise(F.xxhash64(key)).alias("stream"), F.when(key.isNull(), 0).otherwise(F.col("seq")).alias("seq"))
+    chunks = results.select(*columns, parts["output"].alias("chunk"), (~held).alias("last"), parts["trailer"].alias("trailer"), *rest)
+    out = sanitize_stream(chunks, **how)
+    both = (F.coalesce("trailer", F.lit("")) != "") & (F.col("emitted") != "")
+    shown = F.concat("emitted", F.when(both, "\n").otherwise(""), F.coalesce("trailer", F.lit("")))
+    return out.select("session", "stream", "seq", shown.alias("shown"), "emitted", "tokens", "trailer")

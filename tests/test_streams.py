@@ -8,7 +8,7 @@ from hushframe.operators.vault import restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming.dispatch import Queue, dispatch, in_flight
 from hushframe.streaming.jobs import Job, runs
-from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_stream, use_state_store
+from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
 
 SCHEMA = "session string, stream long, seq long, chunk string, last boolean, ts timestamp"
 
@@ -197,3 +197,30 @@ def test_jobs_run_once_each_over_batches(spark, tmp_path):
     got = sorted((r.job, (r.due_ms - 1704067200000) // 60_000, r.run) for r in out.collect())
     # a: every ten minutes up to its pause, then from its return on; the action that came too late does nothing
     assert got == [("a", 10, 1), ("a", 20, 2), *[("a", 28 + 10 * k, 2 + k) for k in range(1, 6)], ("b", 30, 1), ("d", 21, 1)]
+
+
+def test_polls_of_tools(spark, tmp_path):
+    use_state_store(spark)
+    (tmp_path / "in").mkdir()
+    poll = lambda seq, result, tool="write_stdin", session_id="7", **more: {"session": "s", "tool": tool, "session_id": session_id, "seq": seq, "result": result} | more
+    batches = [
+        [poll(0, "mail jo@\nProcess running. session_id: 7", "exec", None), poll(2, "bye\nExit code: 0"), poll(0, "ann@ex.org", "grep", None, call_id="c1"), poll(5, "jo@ex.org alone", "shell", None)],
+        [poll(1, "ex.org now\nProcess running. session_id: 7"), poll(0, None, "grep", None, call_id="c2"), poll(0, "Exit code: 1", "exec", "9")],
+    ]
+    for i, rows in enumerate(batches):
+        file = tmp_path / "in" / f"{i}.json"
+        file.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(file, (1_700_000_000 + i,) * 2)
+    schema = "session string, tool string, call_id string, session_id string, stream_id string, seq long, result string"
+    out = run_once(sanitize_polls(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))))
+    found = {}
+    for r in out.orderBy("stream", "seq").collect():
+        found.setdefault(r.stream, []).append(r.shown)
+    tokens = {r.surface: r.placeholder for r in known_tokens(out).collect()}
+    assert set(tokens) == {"ann@ex.org", "jo@ex.org"} and len(set(tokens.values())) == 2
+    jo, ann = tokens["jo@ex.org"], tokens["ann@ex.org"]
+    # A poll's end is held back while its session runs; what was cut between two polls is one address.
+    running = next(v for v in found.values() if len(v) == 3)
+    assert "".join(x.replace("Process running. session_id: 7", "").rstrip("\n") for x in running[:2]) + running[2] == f"mail {jo} nowbye\nExit code: 0"
+    assert all(x.endswith("Process running. session_id: 7") for x in running[:2]) and "@" not in "".join(running)
+    assert sorted(v[0] for v in found.values() if len(v) == 1) == sorted([ann, f"{jo} alone", "", "Exit code: 1"])
