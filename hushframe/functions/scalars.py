@@ -154,37 +154,49 @@ def matches_query(path: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(F.lower(path), F.lit(w)) for w in query.lower().split()], F.lit(True))
 
 
+def _once(c: Column, of) -> Column:
+    """of(c) with c worked out once a row, however often `of` names it: through an array of one."""
+    return F.transform(F.array(c), of)[0]
+
+
 def _ipv4(c: Column) -> Column:
     """The number of an IPv4 address as resolvers take it: one to four parts, decimal, octal (0...) or hexadecimal (0x...), the last filling what is left."""
-    parts = F.split(c, r"\.", -1)
-    n = F.size(parts)
     base = lambda p: F.when(p.rlike("^0x"), 16).when(p.rlike("^0."), 8).otherwise(10)
     digits = lambda p: F.regexp_replace(p, "^0x", "")
     as_number = lambda p: F.when(base(p) == 16, F.conv(digits(p), 16, 10)).when(base(p) == 8, F.conv(p, 8, 10)).otherwise(p).try_cast("long")
-    numbers = F.transform(parts, as_number)
-    whole = F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    last = F.element_at(numbers, -1)
-    room = F.pow(F.lit(256), 5 - n).cast("long")
-    short = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x) * room + last
-    good = c.rlike(r"^(?:(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9][0-9]{0,9})(?:\.|$)){1,4}$") & ~c.endswith(".") & (n <= 4)
-    fits = F.forall(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), lambda x: x < 256) & (last < room)
-    return F.when(good & F.coalesce(fits, F.lit(False)), F.when(n == 4, whole).otherwise(short))
+
+    def of(numbers: Column) -> Column:
+        n, last = F.size(numbers), F.element_at(numbers, -1)
+        room = F.pow(F.lit(256), 5 - n).cast("long")
+        front = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+        fits = F.forall(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), lambda x: x < 256) & (last < room)
+        return F.when(F.coalesce(fits, F.lit(False)), front * room + last)
+
+    good = c.rlike(r"^(?:(?:0x[0-9a-f]{1,8}|0[0-7]{0,11}|[1-9][0-9]{0,9})(?:\.|$)){1,4}$") & ~c.endswith(".") & (F.size(F.split(c, r"\.", -1)) <= 4)
+    return F.when(good, _once(F.transform(F.split(c, r"\.", -1), as_number), of))
 
 
 def _ipv6(c: Column) -> Column:
     """The eight groups of an IPv6 address, however it is abbreviated; null for any other text."""
-    dotted = F.regexp_extract(c, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
-    number = _ipv4(dotted)
-    two = F.concat(F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
-    plain = F.when(dotted == "", c).when(number.isNotNull(), F.concat(F.regexp_replace(c, r"[^:]+$", ""), two))
+    two = lambda number: F.concat(F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
     groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    sides = F.split(plain, "::", -1)
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    whole = F.when(F.size(sides) == 2, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
-    good = plain.rlike(r"^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,8}$") & ~plain.rlike(r"^:[^:]|[^:]:$|:::") & whole
-    return F.when(good, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    def undotted(dotted: Column) -> Column:
+        return F.when(dotted == "", c).otherwise(_once(_ipv4(dotted), lambda number: F.when(number.isNotNull(), F.concat(F.regexp_replace(c, r"[^:]+$", ""), two(number)))))
+
+    def of(plain: Column) -> Column:
+        sides = F.transform(F.split(plain, "::", -1), groups)
+        good = plain.rlike(r"^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,8}$") & ~plain.rlike(r"^:[^:]|[^:]:$|:::")
+        return F.when(good, _once(sides, full))
+
+    def full(sides: Column) -> Column:
+        left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        whole = F.when(F.size(sides) == 2, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
+        return F.when(whole, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return _once(_once(F.regexp_extract(c, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1), undotted), of)
 
 
 def _private_ipv4(address: Column) -> Column:
@@ -201,9 +213,11 @@ def private_host(host: Column) -> Column:
 
     IPv4 addresses count in IPv6 as well, mapped or compatible.
     """
-    low = F.regexp_replace(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), r"%.*$|\.$", "")
-    # Through arrays of one, so that an address is worked out once.
-    four = F.transform(F.array(_ipv4(low)), _private_ipv4)[0]
+    return _once(F.regexp_replace(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), r"%.*$|\.$", ""), _private_name)
+
+
+def _private_name(low: Column) -> Column:
+    four = _once(_ipv4(low), _private_ipv4)
 
     def inside(g: Column) -> Column:
         inner = g[6] * 65536 + g[7]
@@ -211,15 +225,20 @@ def private_host(host: Column) -> Column:
         mapped = (zeros(5) & (g[5] == 0xFFFF) | zeros(6)) & _private_ipv4(inner)
         return mapped | g[0].between(0xFC00, 0xFDFF) | g[0].between(0xFE80, 0xFEBF)
 
-    six = F.transform(F.array(F.when(F.contains(low, F.lit(":")), _ipv6(low))), lambda g: F.when(g.isNotNull(), inside(g)))[0]
+    six = _once(F.when(F.contains(low, F.lit(":")), _ipv6(low)), lambda g: F.when(g.isNotNull(), inside(g)))
     return F.coalesce(four, F.lit(False)) | F.coalesce(six, F.lit(False)) | low.isin("localhost", "localhost.localdomain")
 
 
 def url_refused(url: Column) -> Column:
     """Why a URL must not be fetched, as far as its text tells: scheme, missing host, private host; null if it may be."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.regexp_extract(F.regexp_replace(url, r"^[^:]*://(?:[^/?#@]*@)?", ""), r"^(\[[^\]]*\]|[^/?#:]*)", 1)
-    return F.when(~scheme.isin("http", "https"), F.lit("scheme")).when(~url.rlike(r"^[^:]*://") | (host == ""), F.lit("host")).when(private_host(host), F.lit("private"))
+
+    def of(url: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        host = F.regexp_extract(F.regexp_replace(url, r"^[^:]*://(?:[^/?#@]*@)?", ""), r"^(\[[^\]]*\]|[^/?#:]*)", 1)
+        refused = lambda h: F.when(~url.rlike(r"^[^:]*://") | (h == ""), F.lit("host")).when(private_host(h), F.lit("private"))
+        return F.when(~scheme.isin("http", "https"), F.lit("scheme")).otherwise(_once(host, refused))
+
+    return _once(url, of)
 
 
 def violation(c: Column) -> Column:

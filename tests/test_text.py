@@ -166,3 +166,11 @@ def test_scalars(spark):
     assert column(spark, ["x/src/c.md", "src/a/c.md"], lambda c: scalars.matches_glob(c, "src/*.md")) == [True, False]
     hosts = ["10.0.0.1", "172.31.255.255", "172.32.0.0", "8.8.8.8", "[::1]", "fe80::1", "::ffff:10.0.0.1", "localhost", "example.com"]
     assert column(spark, hosts, scalars.private_host) == [True, True, False, False, True, True, True, True, False]
+
+
+def test_an_address_is_worked_out_once_a_row(spark):
+    """However often a URL's parts are asked for, the URL itself stands in the plan a few times only."""
+    rows = spark.createDataFrame([("http://10.1.2.3/x",)], "u string").select(scalars.url_refused(F.concat("u", F.lit("#once"))).alias("r"))
+    assert rows.first().r == "private"
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("#once") == 1
