@@ -11,6 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,10 @@ from hushframe.functions import grammar, taxonomy
 from hushframe.operators import detect
 
 
+#: So many surfaces are looked for one by one.
+FEW = 32
+
+
 def alias_key(text: str) -> str:
     plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text or ""))
     low = " ".join("".join(c for c in plain if not unicodedata.combining(c)).split()).lower()
@@ -65,6 +70,12 @@ class Vault:
     counters: dict[str, int] = field(default_factory=dict)
     #: Numbers are told apart by their whole text, so that $1,200.50 and $120,050 stay two (False: by alias key).
     strict: bool = True
+    #: Lengths of surfaces by their first 1, 2, 4, 8, ... characters, and how many surfaces are among them.
+    heads: dict[int, dict[str, set[int]]] = field(default_factory=dict)
+    indexed: int = 0
+    #: Length of the longest surface with a blank inside, and how many surfaces were measured.
+    spaced: int = 0
+    measured: int = 0
 
     def known(self, surface: str, tag: str) -> str | None:
         if surface in self.by_surface:
@@ -97,9 +108,12 @@ class Vault:
         return token
 
     def sanitize(self, text: str, entities: list[tuple[str, str, float | None]]) -> str:
-        """Known surfaces first, then new entities (surface, type, value), longer ones first."""
-        text = replace_all(text, list(self.by_surface.items()))
-        for surface, slug, value in sorted(entities, key=lambda e: -len(e[0])):
+        """Known surfaces and new entities (surface, type, value), longer ones first: a known one never cuts a longer new one."""
+        known = [(s, None, None) for s in self.within(text)]
+        for surface, slug, value in sorted([*known, *entities], key=lambda e: -len(e[0])):
+            if slug is None:
+                text = replace_all(text, [(surface, self.by_surface[surface])])
+                continue
             if not surface or ("<<" in surface and ">>" in surface) or not free_positions(text, surface):
                 continue
             token = self.token(surface, taxonomy.TAGS.get(slug, "ENTITY"))
@@ -108,6 +122,28 @@ class Vault:
             text = replace_all(text, [(surface, token)])
         return text
 
+    def longest_spaced(self) -> int:
+        """Length of the longest known surface with a blank inside, 0 without any."""
+        self.spaced = max([self.spaced, *(len(s) for s in islice(self.by_surface, self.measured, None) if any(map(str.isspace, s)))])
+        self.measured = len(self.by_surface)
+        return self.spaced
+
+    def within(self, text: str) -> list[str]:
+        """Known surfaces that stand in a text. Of many, only those are looked at that begin as some place of the text does."""
+        if len(self.by_surface) <= FEW:
+            return [s for s in self.by_surface if s in text]
+        for s in islice(self.by_surface, self.indexed, None):
+            head = s[: 1 << (len(s).bit_length() - 1)] if s else ""
+            self.heads.setdefault(len(head), {}).setdefault(head, set()).add(len(s))
+        self.indexed = len(self.by_surface)
+        found = dict.fromkeys([""] if "" in self.by_surface else [])
+        for n, heads in self.heads.items():
+            for i in range(len(text) - n + 1) if n else ():
+                for size in heads.get(text[i : i + n], ()):
+                    if text[i : i + size] in self.by_surface:
+                        found[text[i : i + size]] = None
+        return list(found)
+
     def restore(self, text: str) -> str:
         return grammar.PLACEHOLDER_RE.sub(lambda m: self.canonical.get(m.group(), m.group()), text)
 

@@ -126,3 +126,20 @@ def test_no_cut_of_a_stream_shows_a_secret():
         joined = "".join(out)
         assert not any(s in joined for s in surfaces) and machine.vault.restore(joined) == whole
         assert "Zk9Zk9" not in joined and "555-1234" not in joined
+
+
+def test_a_known_surface_never_cuts_a_longer_new_one():
+    v = Vault()
+    assert v.sanitize("paid $1234.5", [("$1234.5", "financial", None)]) == "paid <<FINANCE_1>>"
+    assert v.sanitize("paid $1234.56, $1234.5", [("$1234.56", "financial", None)]) == "paid <<FINANCE_2>>, <<FINANCE_1>>"
+
+
+def test_many_known_surfaces_are_found_as_a_few_are():
+    rng = random.Random(5)
+    v = Vault()
+    for i in range(3000):
+        v.hold("".join(rng.choice("ab c") for _ in range(rng.randint(1, 40))), f"<<ORG_{i + 1}>>")
+    for _ in range(50):
+        text = "".join(rng.choice("ab c") for _ in range(200))
+        assert set(v.within(text)) == {s for s in v.by_surface if s in text}
+    assert v.longest_spaced() == max(len(s) for s in v.by_surface if " " in s)
