@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions import grammar
+from hushframe.functions import grammar, taxonomy
 from hushframe.operators import annotations, calc, chunk, compaction, detect, vault, vault_table
 from hushframe.sources.tables import keep, release
 
@@ -48,8 +48,9 @@ def sanitize(turns: DataFrame, entities: DataFrame, found: DataFrame | None = No
     parted = PART in turns.columns
     rows = turns if parted else turns.withColumn(PART, F.lit(0))
     found = keep(detect_turns(rows) if found is None else found if PART in found.columns else found.withColumn(PART, F.lit(0)))
-    asked = found.select("session", F.col("entity_text").alias("surface")).distinct()
-    told = keep(vault_table.lookup(asked, entities))
+    number = F.bool_or(F.col("entity_type").isin(*sorted(taxonomy.COMPUTABLE))).alias("_strict")
+    asked = found.groupBy("session", F.col("entity_text").alias("surface")).agg(number)
+    told = keep(vault_table.lookup(asked, entities, strict="_strict"))
     mine = told.select(F.col("session").alias("_s"), F.col("surface").alias("_t"), "placeholder")
     same = found["session"].eqNullSafe(F.col("_s")) & (F.col("entity_text") == F.col("_t"))
     fresh = found.join(mine.filter("placeholder is null"), same, "left_semi")

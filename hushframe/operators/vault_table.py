@@ -39,11 +39,17 @@ def surfaces(entities: DataFrame, key: Column | None = None) -> DataFrame:
     return rows.groupBy("session", "surface").agg(F.max_by("placeholder", F.struct("created_turn", number_of(F.col("placeholder")))).alias("placeholder"))
 
 
-def lookup(asked: DataFrame, entities: DataFrame, surface: str = "surface") -> DataFrame:
-    """asked(session, surface, ...) with placeholder: by the surface itself, else by its alias key, else null."""
+def lookup(asked: DataFrame, entities: DataFrame, surface: str = "surface", strict: str | None = None) -> DataFrame:
+    """asked(session, surface, ...) with placeholder: by the surface itself, else by its alias key, else null.
+
+    strict: a column that says of which surfaces the whole text counts, as it does of all numbers ($1,200.5 isn't $120.05); such
+    entities of the vault have no alias key then.
+    """
+    named = entities if strict is None else entities.filter(~F.col("entity_type").isin(*sorted(taxonomy.COMPUTABLE)))
     exact = surfaces(entities).select(F.col("session").alias("_s"), F.col("surface").alias("_exact"), F.col("placeholder").alias("_p1"))
-    loose = surfaces(entities, grammar.alias_key(F.col("surface"))).select(F.col("session").alias("_s2"), F.col("surface").alias("_loose"), F.col("placeholder").alias("_p2"))
-    df = asked.withColumn("_key", grammar.alias_key(F.col(surface)))
+    loose = surfaces(named, grammar.alias_key(F.col("surface"))).select(F.col("session").alias("_s2"), F.col("surface").alias("_loose"), F.col("placeholder").alias("_p2"))
+    key = grammar.alias_key(F.col(surface))
+    df = asked.withColumn("_key", key if strict is None else F.when(~F.col(strict), key))
     df = df.join(exact, df["session"].eqNullSafe(F.col("_s")) & (F.col(surface) == F.col("_exact")), "left")
     df = df.join(loose, df["session"].eqNullSafe(F.col("_s2")) & (F.col("_key") == F.col("_loose")), "left")
     return df.withColumn("placeholder", F.coalesce("_p1", "_p2")).drop("_s", "_exact", "_p1", "_key", "_s2", "_loose", "_p2")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from hushframe.operators import turn_pipeline, vault, vault_table
+from hushframe.operators import calc, turn_pipeline, vault, vault_table
 from hushframe.streaming.chunks import entities as surfaces_in
 
 VAULT = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
@@ -82,3 +82,11 @@ def test_tables_of_a_step_go_with_it(spark):
     turn_pipeline.sanitize(spark.createDataFrame([("s", 1, "a@ex.org")], TURNS), empty(spark))
     assert len(set(tables._kept) - before) == 1  # the vault afterwards
     assert vault_table.COLUMNS
+
+
+def test_numbers_with_the_same_digits_are_told_apart_turn_after_turn(spark):
+    """$1234.5 and $123.45 have one alias key, but are two numbers."""
+    _, after = turn_pipeline.sanitize(spark.createDataFrame([("s", 1, "paid $1234.5")], TURNS), empty(spark))
+    done, after = turn_pipeline.sanitize(spark.createDataFrame([("s", 2, "paid $123.45")], TURNS), after)
+    assert done.first().sanitized == "paid <<FINANCE_2>>"
+    assert {r.canonical: r.value for r in after.collect()} == {"$1234.5": 1234.5, "$123.45": 123.45}
