@@ -24,8 +24,10 @@ from hushframe.sources.tables import keep, release
 
 #: Seconds that a detector has for a chunk, and calls that a task has in flight (fixed values).
 SECONDS, AT_ONCE = 30.0, 4
+#: Characters on either side of a cut that a detector sees once more together, for what the cut goes through.
+SEAM = 1000
 _ENTITY = pa.list_(pa.struct([("entity_text", pa.string()), ("entity_type", pa.string())]))
-_FOUND = "entities array<struct<entity_text:string,entity_type:string>>, failed boolean, reason string"
+_FOUND = "entities array<struct<entity_text:string,entity_type:string>>, failed boolean, reason string, across array<struct<entity_text:string,entity_type:string>>, seam_failed boolean"
 
 
 def _answer(value) -> list[dict]:
@@ -70,30 +72,45 @@ def _calls(call: Callable, texts: list[str], seconds: float, at_once: int) -> li
     return results
 
 
+def _crosses(surface: str, text: str, at: int) -> bool:
+    """Whether a surface stands in a text across a place."""
+    return bool(surface) and 0 <= text.find(surface, max(0, at - len(surface) + 1), at + len(surface) - 1)
+
+
 def detect_chunks(texts: DataFrame, call: Callable[[str], list], keys: list[str], chunk_chars: int = chunk.MAX_CHARS, seconds: float = SECONDS, at_once: int = AT_ONCE) -> DataFrame:
-    """Chunks of texts(keys, text) with what a detector found in each: (keys, idx, chunk, entities, failed, reason).
+    """Chunks of texts(keys, text) with what a detector found in each: (keys, idx, chunk, after, entities, failed, reason, across, seam_failed).
 
     call runs in the tasks, on one chunk at a time, at_once of them side by side. reason: 'timeout', or the name of the
     exception (TypeError for an answer that is no list of pairs of texts). Null and empty texts have no chunks.
+    What a cut goes through is looked for in a call of its own, over the SEAM characters before it and after it: across are the
+    surfaces that stand there across the cut between this chunk and the next, seam_failed says that the call failed.
     """
-    cut = chunk.hard_cut(texts.select(*keys, "text"), max_chars=chunk_chars).select(F.struct(*keys).alias("k"), "idx", "chunk")
+    cut = chunk.hard_cut(texts.select(*keys, "text", F.col("text").alias("_whole")), max_chars=chunk_chars)
+    cut = cut.select(F.struct(*keys).alias("k"), "idx", "chunk", F.substring("_whole", F.col("span_end") + 1, F.lit(SEAM)).alias("after"))
     schema = StructType([*cut.schema.fields, *StructType.fromDDL(_FOUND).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _calls(call, batch.column("chunk").to_pylist(), seconds, at_once)
+            texts, after = batch.column("chunk").to_pylist(), batch.column("after").to_pylist()
+            found = _calls(call, texts, seconds, at_once)
             entities, failed, reason = ([x[i] for x in found] for i in range(3))
-            columns = [*batch.columns, pa.array(entities, _ENTITY), pa.array(failed, pa.bool_()), pa.array(reason, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "idx", "chunk", "entities", "failed", "reason"])
+            cuts = [i for i, a in enumerate(after) if a]
+            seams = [texts[i][-SEAM:] + after[i] for i in cuts]
+            across, seam_failed = [[] for _ in texts], [False] * len(texts)
+            for i, seam, (own, wrong, _) in zip(cuts, seams, _calls(call, seams, seconds, at_once), strict=True):
+                across[i] = [e for e in own if _crosses(e["entity_text"], seam, min(SEAM, len(texts[i])))]
+                seam_failed[i] = wrong
+            columns = [*batch.columns, pa.array(entities, _ENTITY), pa.array(failed, pa.bool_()), pa.array(reason, pa.string()), pa.array(across, _ENTITY), pa.array(seam_failed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "idx", "chunk", "after", "entities", "failed", "reason", "across", "seam_failed"])
 
     out = cut.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k.`{k}`").alias(k) for k in keys], "idx", "chunk", "entities", "failed", "reason")
+    return out.select(*[F.col(f"k.`{k}`").alias(k) for k in keys], "idx", "chunk", "after", "entities", "failed", "reason", "across", "seam_failed")
 
 
 def believed(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Entities of `detect_chunks` that stand in their chunk and have a known type, each surface of a text once: as a detector's rows."""
-    rows = chunks.select(*keys, "idx", "chunk", F.posexplode("entities").alias("nth", "e")).select(*keys, "idx", "nth", "chunk", "e.*")
-    own = forms.checked(rows, chunks.select(*keys, "idx", F.col("chunk").alias("text")), [*keys, "idx"])
+    """Entities of `detect_chunks` that stand in their chunk, or across its end, and have a known type, each surface of a text once: as a detector's rows."""
+    rows = chunks.select(*keys, "idx", "chunk", F.posexplode(F.concat("entities", "across")).alias("nth", "e")).select(*keys, "idx", "nth", "chunk", "e.*")
+    own = forms.checked(rows, chunks.select(*keys, "idx", F.concat("chunk", "after").alias("text")), [*keys, "idx"])
     rank = F.col("idx").cast("long") * 1_000_000_000 + F.col("nth")
     return detect.by_priority(own.select(*keys, F.lit(0).alias("source_rank"), rank.alias("detect_rank"), "entity_text", "entity_type"), keys)
 
@@ -107,7 +124,7 @@ def sanitize(turns: DataFrame, entities: DataFrame, call: Callable[[str], list],
     keys = ["session", "turn"]
     chunks = keep(detect_chunks(turns, call, keys, **how))
     done, after = turn_pipeline.sanitize(turns, entities, believed(chunks, keys))
-    flags = turn_pipeline.failed_texts(chunks, keys).select(F.col("session").alias("_s"), F.col("turn").alias("_t"), F.col("failed").alias("failed"))
+    flags = turn_pipeline.failed_texts(chunks.withColumn("failed", F.col("failed") | F.col("seam_failed")), keys).select(F.col("session").alias("_s"), F.col("turn").alias("_t"), F.col("failed").alias("failed"))
     joined = done.join(flags, done["session"].eqNullSafe(F.col("_s")) & done["turn"].eqNullSafe(F.col("_t")), "left").drop("_s", "_t")
     joined = joined.withColumn("failed", F.coalesce("failed", F.lit(False)))
     shown = joined if fail_open else turn_pipeline.on_failure(joined, F.col("failed"), tool)

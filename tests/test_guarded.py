@@ -71,3 +71,16 @@ def test_workers_share_the_vault(spark):
     assert {r.turn: r.remote_text for r in off.collect()}[2] == "hello jo@ex.org" and same is after
     answer = spark.createDataFrame([("s", 1, "<python_snippet_1>FINANCE_1 * 2</python_snippet_1> for <<EMAIL_1>>")], TURNS)
     assert workers["math"].finalize(answer, after).first().display_text == "10 for jo@ex.org"
+
+
+def test_what_a_cut_goes_through_is_found(spark):
+    """An address across the end of a chunk gives way as a whole, not its rest alone; the chunks stay as many."""
+    from hushframe.plans.values import _unsure
+
+    schema = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
+    text = "x" * 5985 + " write to longname@mail.example.org now"
+    turns = spark.createDataFrame([("s", 1, text), ("s", 2, "y" * 5999 + "$ " + "z" * 10)], "session string, turn long, text string")
+    done, _, traces = guarded.sanitize(turns, spark.createDataFrame([], schema), _unsure)
+    got = {r.turn: r for r in done.collect()}
+    assert got[1].sanitized.startswith("x" * 5985 + " write to <<EMAIL_") and got[1].sanitized.endswith(">> now")
+    assert not got[1].failed and got[2].failed and traces.filter("failed").count() == 1 and traces.count() == 4
