@@ -75,17 +75,38 @@ def annotate(texts: DataFrame, vault: DataFrame, keys: list[str], text: str = "t
     return ended.select(*keys, F.col("piece").alias("placeholder"), F.col("canonical").alias("value"), (F.col("end") - grammar.utf16_length(F.col("canonical"))).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+#: Of so many parts all sets are listed.
+FEW_PARTS = 6
+
+
 def protecting(values: DataFrame, vault: DataFrame, session: str, value: str, token: Column, other: Column) -> DataFrame:
     """The placeholder whose surface shares most parts with each value of its session, then the longest surface, then the last in order.
 
     values: (session, value, ...); vault: (session, placeholder, canonical); token and other: arrays of parts of a value and
     of a surface. Returns (session, value, placeholder, shared), a row per value that shares a part with any surface.
     """
-    left = values.select(session, value, F.explode(token).alias("_part")).distinct()
-    right = vault.select(session, "placeholder", "canonical", F.explode(other).alias("_part")).distinct()
-    shared = left.join(right, [session, "_part"]).groupBy(session, value, "placeholder", "canonical").agg(F.count("*").alias("n"))
-    best = F.max(F.struct(F.col("n"), F.length("canonical").alias("length"), F.col("placeholder"))).alias("best")
-    return shared.groupBy(session, value).agg(best).select(session, value, F.col("best.placeholder").alias("placeholder"), F.col("best.n").alias("shared"))
+    left = values.select(session, value, F.array_distinct(F.filter(token, lambda p: p.isNotNull())).alias("_all")).distinct()
+    right = vault.select(session, "placeholder", "canonical", F.array_distinct(F.filter(other, lambda p: p.isNotNull())).alias("_all")).distinct()
+    few = F.size("_all") <= FEW_PARTS
+    best = lambda n: F.max(F.struct(n, F.length("canonical").alias("length"), F.col("placeholder"))).alias("best")
+    # Of all surfaces that hold a set of parts only the best can win by sharing that set, so values meet sets, not surfaces: a part
+    # that is frequent on both sides costs a row each, not a row per pair.
+    held = right.filter(few).select(session, "placeholder", "canonical", F.explode(_subsets(F.col("_all"))).alias("_set"))
+    held = held.groupBy(session, "_set").agg(best(F.size("_set").cast("long").alias("n")))
+    said = left.filter(few).select(session, value, F.explode(_subsets(F.col("_all"))).alias("_set"))
+    found = said.join(held, [session, "_set"]).select(session, value, "best")
+    # Those of many parts have too many sets, and are compared one by one.
+    for mine, theirs in ((left.filter(~few), right), (left.filter(few), right.filter(~few))):
+        parts = mine.select(session, value, F.explode("_all").alias("_part")).join(theirs.select(session, "placeholder", "canonical", F.explode("_all").alias("_part")), [session, "_part"])
+        found = found.unionByName(parts.groupBy(session, value, "placeholder", "canonical").agg(F.count("*").alias("n")).groupBy(session, value).agg(best(F.col("n"))))
+    return found.groupBy(session, value).agg(F.max("best").alias("best")).select(session, value, F.col("best.placeholder").alias("placeholder"), F.col("best.n").alias("shared"))
+
+
+def _subsets(parts: Column) -> Column:
+    """All sets of parts but the empty one, each sorted."""
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(F.array_sort(parts.cast("array<string>")), none, lambda sets, p: F.concat(sets, F.transform(sets, lambda s: F.array_append(s, p))))
+    return F.filter(every, lambda s: F.size(s) > 0)
 
 
 def backfill(calls: DataFrame, results: DataFrame, keys: list[str], note: str = "[missing result]") -> DataFrame:

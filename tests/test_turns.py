@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from hushframe.operators import calc, turn_pipeline, vault, vault_table
+from hushframe.operators import calc, turn_pipeline, turns, vault, vault_table
 from hushframe.streaming.chunks import entities as surfaces_in
 
 VAULT = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
@@ -99,3 +101,21 @@ def test_balances_of_zero(spark):
     got = {r.turn: r for r in calc.apply(answers, values).collect()}
     assert [got[1].display, got[2].display, got[None].display] == ["-0", "1 1", "4"]
     assert [r.placeholder for r in got[2].computations] == ["<<CALC_2>>", "<<CALC_3>>"]
+
+
+def test_protecting_equals_the_comparison_of_all_pairs(spark):
+    """Parts that all surfaces share, parts that few share, nulls, and surfaces and values of many parts."""
+    rng = random.Random(3)
+    words = lambda: [rng.choice(["all", "a", "b", "c", "d", "e", "f", "g", "h", None]) for _ in range(rng.choice((1, 2, 3, 5, 9, 14)))]
+    known = [(f"<<ORG_{i}>>", "x" * rng.randint(1, 4) + str(i), words()) for i in range(60)]
+    values = [(f"v{i}", words()) for i in range(60)]
+    v = spark.createDataFrame([("s", *k) for k in known], "session string, placeholder string, canonical string, parts array<string>")
+    a = spark.createDataFrame([("s", *x) for x in values], "session string, value string, own array<string>")
+    got = {r.value: (r.shared, r.placeholder) for r in turns.protecting(a, v, "session", "value", F.col("own"), F.col("parts")).collect()}
+    expected = {}
+    for name, own in values:
+        fits = [(len(set(own) & set(parts) - {None}), len(canonical), token) for token, canonical, parts in known]
+        n, _, token = max(fits)
+        if n:
+            expected[name] = (n, token)
+    assert got == expected
