@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import islice
@@ -234,19 +235,24 @@ def sanitize_sessions(turns: DataFrame, strict: bool = True) -> DataFrame:
     entity = F.struct("detect_rank", "entity_text", "entity_type", "value")
     own = found.groupBy(F.col("session").alias("_s"), F.col("turn").alias("_t")).agg(F.array_sort(F.collect_list(entity)).alias("entities"))
 
-    def walk(rows: pa.Table) -> pa.Table:
-        vault, out = Vault(strict=strict), []
-        for row in sorted(rows.to_pylist(), key=lambda r: (r["turn"] is None, r["turn"] or 0)):
-            text, clean = row["text"], None
-            if text is not None:
-                clean = vault.sanitize(text, [(e["entity_text"], e["entity_type"], e["value"]) for e in row["entities"] or []])
-            restored = None if clean is None else vault.restore(clean)
-            out.append({"session": row["session"], "turn": row["turn"], "text": text, "sanitized": clean, "modified": clean != text, "restored": restored})
-        return pa.Table.from_pylist(out, schema=walked)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, vault = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if at != (row["session"],):
+                    at, vault = (row["session"],), Vault(strict=strict)
+                text, clean = row["text"], None
+                if text is not None:
+                    clean = vault.sanitize(text, [(e["entity_text"], e["entity_type"], e["value"]) for e in row["entities"] or []])
+                restored = None if clean is None else vault.restore(clean)
+                out.append({"session": row["session"], "turn": row["turn"], "text": text, "sanitized": clean, "modified": clean != text, "restored": restored})
+            yield pa.RecordBatch.from_pylist(out, schema=walked)
 
     text, names = pa.string(), ("session", "turn", "text", "sanitized", "modified", "restored")
     walked = pa.schema(list(zip(names, (text, pa.int64(), text, text, pa.bool_(), text), strict=True)))
     rows = turns.select(F.col("session").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
     joined = rows.join(own, F.col("session").eqNullSafe(F.col("_s").cast("string")) & F.col("turn").eqNullSafe(F.col("_t").cast("long")), "left").drop("_s", "_t")
     schema = "session string, turn long, text string, sanitized string, modified boolean, restored string"
-    return joined.groupBy("session").applyInArrow(walk, schema)
+    # Sessions one after the other in a partition: a task holds one session's vault, never its texts.
+    return joined.repartition("session").sortWithinPartitions("session", F.col("turn").asc_nulls_last()).mapInArrow(walk, schema)
