@@ -89,16 +89,16 @@ class Sanitizer:
 
     def _cut(self, found: list[tuple[str, str, int, int]]) -> int:
         """The last place before which everything is final: after a blank, in no match, in no rule that may still be completed, in no known surface."""
-        spaced = [s for s in self.vault.by_surface if any(map(str.isspace, s))]
+        reach = self.vault.longest_spaced()
         cut = max(0, len(self.raw) - HOLD)
         while cut:
             at = cut
             cut = next((i for i in range(cut, 0, -1) if self.raw[i - 1].isspace()), 0)
             cut = min([a for _, _, a, b in found if a < cut < b], default=cut)
             cut = min(cut, _open_rule(self.raw[max(0, cut - OPEN) : cut]) + max(0, cut - OPEN))
-            for s in spaced:
+            for s in self.vault.within(self.raw[max(0, cut - reach) : cut + reach]) if reach else ():
                 held = self.raw.find(s, max(0, cut - len(s) + 1), cut + len(s) - 1)
-                cut = held if 0 <= held < cut else cut
+                cut = held if 0 <= held < cut and any(map(str.isspace, s)) else cut
             if cut == at:
                 break
         return cut

@@ -60,17 +60,21 @@ class SessionSanitizer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         vault, opened, out = self._vault(), {}, []
         held = len(vault.by_surface)
+        # What the state holds is asked once a batch: a question a chunk would cost more than its work.
+        stored = {stream for (stream,) in list(self.streams.keys())} if self.streams.exists() else set()
+        ahead = {(int(s), int(n)) for s, n in list(self.waiting.keys())} if self.waiting.exists() else set()
         for part in rows:
             for row in part.sort_values(["stream", "seq"], kind="stable").itertuples(index=False):
                 stream, seq = int(row.stream), int(row.seq)
-                at = opened.get(stream) or self._stream(stream)
+                at = opened.get(stream) or (self._stream(stream) if stream in stored else _Open(0, "", 0))
                 opened[stream] = at
                 at.seen = max(at.seen, int(row.at))
                 chunk, last = row.chunk if isinstance(row.chunk, str) else "", bool(row.last)
                 trailer = row.trailer if isinstance(row.trailer, str) else None
                 if seq > at.following:
-                    if not self.waiting.containsKey((stream, seq)):
+                    if (stream, seq) not in ahead:
                         self.waiting.updateValue((stream, seq), (chunk, last, trailer))
+                        ahead.add((stream, seq))
                 while seq == at.following:
                     machine = Sanitizer(at.raw, vault)
                     shown = machine.feed(chunk, last)
@@ -78,11 +82,14 @@ class SessionSanitizer(StatefulProcessor):
                     out.append(self._row(key, row.stream, seq, shown, vault, held, "last" if last else None, trailer))
                     held = len(vault.by_surface)
                     if last:
-                        self.streams.removeKey((stream,))
+                        if stream in stored:
+                            self.streams.removeKey((stream,))
+                            stored.discard(stream)
                         del opened[stream]
                         break
-                    if self.waiting.containsKey((stream, seq + 1)):
+                    if (stream, seq + 1) in ahead:
                         seq += 1
+                        ahead.discard((stream, seq))
                         chunk, last, trailer = self.waiting.getValue((stream, seq))
                         self.waiting.removeKey((stream, seq))
                 if len(out) >= ROWS:
@@ -118,7 +125,7 @@ class SessionSanitizer(StatefulProcessor):
         return vault
 
     def _stream(self, stream: int) -> _Open:
-        return _Open(*self.streams.getValue((stream,))) if self.streams.containsKey((stream,)) else _Open(0, "", 0)
+        return _Open(*self.streams.getValue((stream,)))
 
     def _row(self, key, stream: int, seq: int, shown: str, vault: Vault, held: int, closed: str | None, trailer: str | None = None) -> tuple:
         """A row of the result; surfaces that the vault holds beyond `held` are new and are written down."""
