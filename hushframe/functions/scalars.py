@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,10 +73,22 @@ def prompt_tokens(contents: Column) -> Column:
     return F.aggregate(contents, F.lit(0).cast("long"), lambda n, c: n + F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4).cast("long") + 4)
 
 
-def unescaped(c: Column) -> Column:
-    """Character references of a text resolved: all named ones of HTML, decimal and hexadecimal ones. Texts without one stay in the JVM."""
-    has = c.rlike("&[#A-Za-z]")
-    resolve = F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")
+#: A character reference with its semicolon.
+REFERENCE = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _closed(text: str) -> str:
+    return re.sub(REFERENCE, lambda m: html.unescape(m.group()) if m.group()[1] == "#" else html5.get(m.group()[1:], m.group()), text)
+
+
+def unescaped(c: Column, closed: bool = False) -> Column:
+    """Character references of a text resolved: all named ones of HTML, decimal and hexadecimal ones. Texts without one stay in the JVM.
+
+    closed: only those that end with a semicolon; what a cut has left of one stays.
+    """
+    has = c.rlike(REFERENCE if closed else "&[#A-Za-z]")
+    one = _closed if closed else html.unescape
+    resolve = F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "string")
     return F.when(has, resolve(F.when(has, c))).otherwise(c)
 
 
@@ -94,14 +108,14 @@ def _replaced(c: Column, table) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), table, c)
 
 
-def without_tags(c: Column) -> Column:
-    """Mark-up as text: scripts, styles and tags out, character references resolved."""
-    return grammar.strip(unescaped(_replaced(c, [(pattern, "") for pattern in DROPPED])))
+def without_tags(c: Column, closed: bool = False) -> Column:
+    """Mark-up as text: scripts, styles and tags out, character references (see `unescaped`) resolved."""
+    return grammar.strip(unescaped(_replaced(c, [(pattern, "") for pattern in DROPPED]), closed))
 
 
-def markdown(c: Column) -> Column:
+def markdown(c: Column, closed: bool = False) -> Column:
     """Mark-up as markdown: links, headings, list items and breaks; inner tags go with all others at the end."""
-    return grammar.strip(_replaced(without_tags(_replaced(c, MARKUP)), SPACING))
+    return grammar.strip(_replaced(without_tags(_replaced(c, MARKUP), closed), SPACING))
 
 
 def mime_of(name: Column) -> Column:

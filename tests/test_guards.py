@@ -66,6 +66,12 @@ def test_all_references_of_html(spark):
     assert column(spark, ["<p>caf&eacute; <b>&rarr;</b></p>"], scalars.without_tags) == ["café →"]
 
 
+def test_references_that_a_cut_left_open_stay(spark):
+    texts = ["<h1>a&amp;&amp</h1>b &lt;&#39;&#x27;&#39 &notit; &amp;lt;", None]
+    assert column(spark, texts, lambda c: scalars.without_tags(c, closed=True)) == ["a&&ampb <''&#39 &notit; &lt;", None]
+    assert column(spark, texts, lambda c: scalars.markdown(c, closed=True)) == ["# a&&amp\nb <''&#39 &notit; &lt;", None]
+
+
 def test_an_artifact_written_again_takes_the_place_of_the_one_before(spark, tmp_path):
     table = lambda *rows: spark.createDataFrame([(s, t, "c", n, p.encode()) for s, t, n, p in rows], "session string, turn long, call string, name string, payload binary")
     path = str(tmp_path / "artifacts")
