@@ -9,6 +9,7 @@ detector's output (a model's, for one) to what a text really says.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +61,26 @@ TYPES = {"card": "identifier", "account": "financial"}
 _HINTS = {"percentage": r"%|ercent|er cent|rozent|our cent|or ciento", "credential": r"[:=]"}
 
 
+def _once(value: Column, use: Callable) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def number(text: Column) -> Column:
     """The value of a number with separators, null for other texts.
 
     Of a point and a comma the later one is the decimal sign; a sign that comes twice separates thousands, and so does one
     that stands before just three digits with one to three digits, not beginning with 0, before it. Blanks and apostrophes separate thousands.
     """
-    bare = F.regexp_replace(text, r"['\x{00A0}\x{202F} ]", "")
-    point, comma = F.regexp_count(bare, F.lit(r"\.")), F.regexp_count(bare, F.lit(","))
+    return _once(F.regexp_replace(text, r"['\x{00A0}\x{202F} ]", ""), _number)
+
+
+def _number(bare: Column) -> Column:
+    count = lambda sign: F.length(bare) - F.length(F.replace(bare, F.lit(sign), F.lit("")))
+    point, comma = count("."), count(",")
     last_comma = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")  # counted from the end
     grouped = bare.rlike(r"^[1-9][0-9]{0,2}(?:[.,][0-9]{3})+$")
-    only = lambda sign: F.regexp_replace(bare, f"[{sign}]", "")
+    only = lambda signs: F.translate(bare, signs, "")
     plain = (
         F.when((point > 0) & (comma > 0), F.when(last_comma, F.replace(only("."), F.lit(","), F.lit("."))).otherwise(only(",")))
         .when((point + comma > 1) | grouped, only(".,"))
@@ -80,7 +90,7 @@ def number(text: Column) -> Column:
 
 
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return _once(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))  # nullif would look twice
 
 
 def _named(text: Column, table: dict, value: Callable = F.lit) -> Column:
@@ -94,37 +104,36 @@ def _named(text: Column, table: dict, value: Callable = F.lit) -> Column:
 def amount(text: Column) -> Column:
     """An amount as struct<value double, unit string>: its number, times its magnitude, and its currency."""
     told = F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?:{_NUMBER})", ""), r" de ", " "))
-    large = _first(F.concat(F.lit(" "), told, F.lit(" ")), rf"[ €$£¥]({_any(_LARGE)}) ", 1)
-    sign = F.coalesce(_first(told, _any([*CURRENCIES, *(w for own in CURRENCIES.values() for w in own)])), told)
-    value = number(_first(text, rf"(?:{_NUMBER})")) * F.coalesce(_named(large, MAGNITUDES).cast("double"), F.lit(1.0))
-    return F.struct(value.alias("value"), _named(sign, {k: (k, *own) for k, own in CURRENCIES.items()}).cast("string").alias("unit"))
+    large = lambda t: _first(F.concat(F.lit(" "), t, F.lit(" ")), rf"[ €$£¥]({_any(_LARGE)}) ", 1)
+    times = lambda t: _once(large(t), lambda x: F.coalesce(_named(x, MAGNITUDES).cast("double"), F.lit(1.0)))
+    sign = lambda t: F.coalesce(_first(t, _any([*CURRENCIES, *(w for own in CURRENCIES.values() for w in own)])), t)
+    unit = lambda t: _once(sign(t), lambda x: _named(x, {k: (k, *own) for k, own in CURRENCIES.items()}).cast("string"))
+    value = number(_first(text, rf"(?:{_NUMBER})"))
+    return _once(told, lambda t: F.struct((value * times(t)).alias("value"), unit(t).alias("unit")))
 
 
 def date(text: Column, day_first: bool = False) -> Column:
     """The day that a date names, null where there is none such. day_first: how 03/04/2024 reads; with points the day comes first."""
-    month = F.lower(_first(text, rf"(?i:{_MONTH})"))
-    named = F.lit(None).cast("string")
-    for i, own in enumerate(MONTHS, 1):
-        starts = F.lit(False)
-        for m in own:
-            starts = starts | month.startswith(m)
-        named = F.when(starts, F.lit(f"{i:02d}")).otherwise(named)
     # juin and juillet begin alike in no other month; mar is March though mai is May
+    starts = [(m, f"{i:02d}") for i, own in enumerate(MONTHS, 1) for m in own]
+    named = lambda month: reduce(lambda rest, s: F.when(month.startswith(s[0]), F.lit(s[1])).otherwise(rest), starts, F.lit(None).cast("string"))
     year, first, second = _first(text, r"([0-9]{4})", 1), _first(text, r"^([0-9]{1,2})[./]", 1), _first(text, r"^[0-9]{1,2}[./]([0-9]{1,2})[./]", 1)
     day = _first(F.regexp_replace(text, r"[0-9]{4}", ""), r"([0-9]{1,2})", 1)
-    days_lead = text.rlike(r"^[0-9]{1,2}\.") | (first.cast("int") > 12) | F.lit(day_first)
-    parts = (
-        F.when(text.rlike(r"^[0-9]{4}-"), text)
-        .when(second.isNotNull() & days_lead, F.concat_ws("-", year, F.lpad(second, 2, "0"), F.lpad(first, 2, "0")))
-        .when(second.isNotNull(), F.concat_ws("-", year, F.lpad(first, 2, "0"), F.lpad(second, 2, "0")))
-        .when(named.isNotNull(), F.concat_ws("-", year, named, F.lpad(day, 2, "0")))
-    )
+    numbered = lambda p: F.when(
+        text.rlike(r"^[0-9]{1,2}\.") | (p["first"].cast("int") > 12) | F.lit(day_first), F.concat_ws("-", year, F.lpad(p["second"], 2, "0"), F.lpad(p["first"], 2, "0"))
+    ).otherwise(F.concat_ws("-", year, F.lpad(p["first"], 2, "0"), F.lpad(p["second"], 2, "0")))
+    month = _once(F.lower(_first(text, rf"(?i:{_MONTH})")), named)
+    words = _once(month, lambda m: F.when(m.isNotNull(), F.concat_ws("-", year, m, F.lpad(day, 2, "0"))))
+    parts = F.when(text.rlike(r"^[0-9]{4}-"), text).otherwise(_once(F.struct(first.alias("first"), second.alias("second")), lambda p: F.when(p["second"].isNotNull(), numbered(p)).otherwise(words)))
     return F.try_to_date(parts, "yyyy-MM-dd")
 
 
 def luhn(text: Column) -> Column:
     """Whether the digits of a text (13 to 19, not all alike) pass the check of card numbers."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
+    return _once(F.regexp_replace(text, "[^0-9]", ""), _luhn)
+
+
+def _luhn(digits: Column) -> Column:
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
     total = F.aggregate(each, F.lit(0), lambda a, x: a + x)
     return F.length(digits).between(13, 19) & ~digits.rlike(r"^(.)\1+$") & (total % 10 == 0)
@@ -142,32 +151,28 @@ def iban(text: Column) -> Column:
 def _values(kind: str, surface: Column) -> Column:
     """A match as struct<text, type, value, unit, day, good>."""
     none = F.lit(None)
-    value, unit, day, good = none.cast("double"), none.cast("string"), none.cast("date"), F.lit(True)
+
+    def of(value=none.cast("double"), unit=none.cast("string"), day=none.cast("date"), good=F.lit(True)) -> Column:
+        fields = {"entity_text": surface, "entity_type": F.lit(TYPES.get(kind, kind)), "value": value, "unit": unit, "day": day, "good": F.coalesce(good, F.lit(False))}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
     if kind == "financial":
-        told = amount(surface)
-        value, unit, good = told["value"], told["unit"], told["value"].isNotNull()
-    elif kind == "percentage":
-        value = number(_first(surface, rf"(?:{_NUMBER})")) / 100
-    elif kind == "measurement":
-        value, unit = number(_first(surface, rf"(?:{_NUMBER})")), _first(surface, rf"{_any(UNITS)}$")
-    elif kind == "temporal":
-        day = date(surface)
-        good = day.isNotNull()
-    elif kind == "card":
-        good = luhn(surface)
-    elif kind == "account":
-        good = iban(surface)
-    elif kind == "phone":
-        good = F.length(F.regexp_replace(surface, "[^0-9]", "")).between(8, 17)
-    fields = {"entity_text": surface, "entity_type": F.lit(TYPES.get(kind, kind)), "value": value, "unit": unit, "day": day, "good": F.coalesce(good, F.lit(False))}
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
+        return _once(amount(surface), lambda a: of(value=a["value"], unit=a["unit"], good=a["value"].isNotNull()))
+    if kind == "percentage":
+        return of(value=number(_first(surface, rf"(?:{_NUMBER})")) / 100)
+    if kind == "measurement":
+        return of(value=number(_first(surface, rf"(?:{_NUMBER})")), unit=_first(surface, rf"{_any(UNITS)}$"))
+    if kind == "temporal":
+        return _once(date(surface), lambda day: of(day=day, good=day.isNotNull()))
+    checks = {"card": luhn, "account": iban, "phone": lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")).between(8, 17)}
+    return of(good=checks[kind](surface) if kind in checks else F.lit(True))
 
 
 def matches(text: Column, kind: str) -> Column:
     """All matches of a kind in a text that read well, in order: array<struct<entity_text, entity_type, value, unit, day>>."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     held = text.rlike(_HINTS.get(kind, "[0-9]"))
-    every = F.transform(found, lambda s: _values(kind, F.trim(s)))
+    every = F.transform(F.transform(found, lambda s: F.trim(s)), lambda s: _values(kind, s))
     kept = F.transform(F.filter(every, lambda e: e["good"]), lambda e: F.struct(*[e[c].alias(c) for c in ("entity_text", "entity_type", "value", "unit", "day")]))
     return F.when(held, kept)
 

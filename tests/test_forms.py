@@ -80,3 +80,10 @@ def test_turns_with_forms(spark):
     done, _ = turn_pipeline.sanitize(turns, empty, turn_pipeline.detect_turns(turns, detector=forms.detector))
     got = {r.turn: r.sanitized for r in done.collect()}
     assert got == {1: "Pay <<FINANCE_2>> to <<FINANCE_1>> by <<DATE_1>>", 2: "the <<FINANCE_2>> again, card <<ID_1>>"}
+
+
+def test_a_value_is_worked_out_once_a_match(spark):
+    text = spark.createDataFrame([("Paid $1,200.50 on May 3, 2024.",)], "text string")
+    for kind, most in (("financial", 24), ("temporal", 30)):
+        plan = text.select(forms.matches(F.col("text"), kind))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_") + plan.count("RLIKE") <= most, kind
