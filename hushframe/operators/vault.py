@@ -16,7 +16,7 @@ from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import grammar, taxonomy
@@ -179,23 +179,64 @@ def apply_minted(docs: DataFrame, found: DataFrame, minted: DataFrame, session:
     return joined.withColumn("modified", F.coalesce(F.col("sanitized") != F.col(text), F.lit(False))).drop("_pairs", s, t)
 
 
+#: So many surfaces or tokens of a session at most go along with each of its texts as one array; those of larger sessions are joined one by one.
+MOST = 256
+#: A sign for each of them that stands in a text for its token while others are still looked for.
+_SIGNS = "".join(chr(0xE000 + i) for i in range(MOST))
+
+
+def by_session(rows: DataFrame, session: str, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(_s, _own array<struct<columns>>) of sessions with up to MOST rows, and (_s) of the others, None where there are none."""
+    big = rows.groupBy(F.col(session).alias("_s")).agg(F.count("*").alias("_n")).filter(F.col("_n") > MOST).select("_s")
+    own = F.collect_set(F.struct(*columns)).alias("_own")
+    if big.isEmpty():
+        return rows.groupBy(F.col(session).alias("_s")).agg(own), None
+    return rows.join(big, rows[session].eqNullSafe(F.col("_s")), "left_anti").groupBy(F.col(session).alias("_s")).agg(own), big
+
+
+def replaced(text: Column, pairs: Column) -> Column:
+    """`replace_all` in the JVM: pairs(array<struct<surface, placeholder>>), no more than MOST; null where a text holds what could be or touch a token."""
+    first = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["surface"])).alias("shorter"), p["surface"].alias("surface"), p["placeholder"].alias("placeholder"))))
+    signed = F.transform(first, lambda p, i: F.struct(p["surface"].alias("surface"), F.substr(F.lit(_SIGNS), i + 1, F.lit(1)).alias("sign"), p["placeholder"].alias("placeholder")))
+    # Longer ones first; a sign is part of no surface, so what has given way is safe from those that follow.
+    out = F.aggregate(signed, text, lambda a, p: F.replace(a, p["surface"], p["sign"]))
+    out = F.aggregate(signed, out, lambda a, p: F.replace(a, p["sign"], p["placeholder"]))
+    return F.when(~text.rlike("[<>\ue000-\uf8ff]"), out)
+
+
 def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], text: str = "text") -> DataFrame:
     """Put canonical surfaces back for known tokens; unknown ones stay: adds restored. vault: (session, placeholder, canonical).
 
-    keys tell the texts of a session apart.
+    keys tell the texts of a session apart. Texts meet their session's tokens once, as one array; only those of sessions
+    with very many tokens are taken apart to meet them one by one.
     """
-    used = texts.select(*keys, F.col(session).alias("_of"), F.explode(grammar.tokens(F.col(text))).alias("placeholder"))
-    known = vault.select(F.col(session).alias("_s"), F.col("placeholder").alias("_p"), "canonical")
-    pairs = used.join(known, F.col("_of").eqNullSafe(F.col("_s")) & (F.col("placeholder") == F.col("_p")))
-    own = {k: f"_k{i}" for i, k in enumerate([*keys, session])}
-    entries = F.map_from_entries(F.collect_set(F.struct("placeholder", "canonical"))).alias("_map")
-    pairs = pairs.groupBy(*[F.col("_of" if k == session else k).alias(v) for k, v in own.items()]).agg(entries)
+    known = vault.select(F.col(session).alias("_of"), "placeholder", "canonical")
+    few, big = by_session(known, "_of", ["placeholder", "canonical"])
+    rest = texts if big is None else texts.join(big, texts[session].eqNullSafe(F.col("_s")), "left_anti")
+    joined = rest.join(few, rest[session].eqNullSafe(F.col("_s")), "left")
+    used = F.map_from_entries(F.filter("_own", lambda x: F.contains(F.col(text), x["placeholder"])))
+    out = joined.withColumn("_map", F.when(F.contains(F.col(text), F.lit("<<")) & F.col("_own").isNotNull(), used))
+    out = out.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(_put_back(text))).drop("_s", "_own", "_map")
+    if big is None:
+        return out
+    return out.unionByName(_restore_each(texts.join(big, texts[session].eqNullSafe(F.col("_s")), "left_semi"), known, session, keys, text))
+
+
+def _put_back(text: str) -> Column:
     # Pieces between tokens and the tokens themselves, in turn.
     pieces = F.split(F.regexp_replace(F.col(text), f"({grammar.PLACEHOLDER})", "\x00$1\x00"), "\x00", -1)
-    back = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_map", p), p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_map", p), p)), "")
+
+
+def _restore_each(texts: DataFrame, known: DataFrame, session: str, keys: list[str], text: str) -> DataFrame:
+    used = texts.select(*keys, F.col(session).alias("_mine"), F.explode(grammar.tokens(F.col(text))).alias("_token"))
+    pairs = used.join(known, F.col("_mine").eqNullSafe(F.col("_of")) & (F.col("_token") == F.col("placeholder")))
+    own = {k: f"_k{i}" for i, k in enumerate([*keys, session])}
+    entries = F.map_from_entries(F.collect_set(F.struct("placeholder", "canonical"))).alias("_map")
+    pairs = pairs.groupBy(*[F.col("_mine" if k == session else k).alias(v) for k, v in own.items()]).agg(entries)
     on = reduce(lambda a, b: a & b, [texts[k].eqNullSafe(F.col(v)) for k, v in own.items()])
     joined = texts.join(pairs, on, "left")
-    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(back)).drop("_map", *own.values())
+    return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(_put_back(text))).drop("_map", *own.values())
 
 
 def _parts(c, least: int = 1):

@@ -28,6 +28,8 @@ HOLD = 256
 OPEN = 64
 #: Characters of an unfinished token held back by the restorer.
 TOKEN_HOLD = 128
+#: Groups that streams are dealt to by a hash; a group's state holds those of its streams that haven't ended.
+GROUPS = 4096
 _PARTIAL = re.compile(r"<(?:<[A-Z0-9_]*>?)?\Z")
 _RULES = [(slug, re.compile(pattern), group) for slug, pattern, group, _ in detect.RULES if slug != "email"]
 #: Rules with a blank inside: a cut at a blank may lie within one that isn't complete yet.
@@ -131,26 +133,37 @@ def whole_tokens(chunks: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, held, waiting = state.get if state.exists else (0, "", "{}")
-        pending = {int(k): v for k, v in json.loads(waiting).items()}
+        # Streams of a hash come as one group: a call and a state of its own cost each stream more than its text.
+        live = {(session, stream): [following, held, {n: rest for n, *rest in waiting}] for session, stream, following, held, waiting in json.loads(state.get[0] if state.exists else "[]")}
+        ended = set()  # in this batch: what comes again of them is a repetition
         for part in parts:
-            for row in part.itertuples(index=False):
-                pending.setdefault(int(row.seq), [row.chunk or "", bool(row.last)])
-        out, ended = [], False
-        while following in pending:
-            chunk, last = pending.pop(following)
-            text = held + chunk
-            cut = len(text) if last else _token_cut(text)
-            out.append((*key, following, text[:cut]))
-            held, following, ended = text[cut:], following + 1, ended or last
-        if ended:
+            out = []
+            for session, stream, seq, chunk, last in zip(*(part[c].tolist() for c in ("session", "stream", "seq", "chunk", "last")), strict=True):
+                own = (session, stream)
+                if own in ended:
+                    continue
+                of = live.setdefault(own, [0, "", {}])
+                if seq >= of[0]:
+                    of[2].setdefault(seq, [chunk or "", bool(last)])
+                while of[0] in of[2]:
+                    text, done = of[2].pop(of[0])
+                    text = of[1] + text
+                    cut = len(text) if done else _token_cut(text)
+                    out.append((session, stream, of[0], text[:cut]))
+                    of[0], of[1] = of[0] + 1, text[cut:]
+                    if done:
+                        ended.add(own)
+                        del live[own]
+                        break
+            yield pd.DataFrame(out, columns=["session", "stream", "seq", "piece"])
+        if live:
+            state.update((json.dumps([[*own, following, held, [[n, *rest] for n, rest in waiting.items()]] for own, (following, held, waiting) in live.items()]),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((following, held, json.dumps(pending)))
-        yield pd.DataFrame(out, columns=["session", "stream", "seq", "piece"])
 
     schema = "session string, stream long, seq long, piece string"
-    return chunks.groupBy("session", "stream").applyInPandasWithState(step, schema, "following long, held string, waiting string", "append", GroupStateTimeout.NoTimeout)
+    group = F.pmod(F.xxhash64("session", "stream"), F.lit(GROUPS))
+    return chunks.withColumn("_group", group).groupBy("_group").applyInPandasWithState(step, schema, "live string", "append", GroupStateTimeout.NoTimeout)
 
 
 def restore_stream(chunks: DataFrame, vault: DataFrame, write) -> DataStreamWriter:

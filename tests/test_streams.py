@@ -6,6 +6,7 @@ import pytest
 
 from hushframe.operators.vault import restore
 from hushframe.plans.streams import run_once
+from hushframe.streaming import chunks
 from hushframe.streaming.dispatch import Queue, dispatch, in_flight
 from hushframe.streaming.jobs import Job, runs
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
@@ -224,3 +225,18 @@ def test_polls_of_tools(spark, tmp_path):
     assert "".join(x.replace("Process running. session_id: 7", "").rstrip("\n") for x in running[:2]) + running[2] == f"mail {jo} nowbye\nExit code: 0"
     assert all(x.endswith("Process running. session_id: 7") for x in running[:2]) and "@" not in "".join(running)
     assert sorted(v[0] for v in found.values() if len(v) == 1) == sorted([ann, f"{jo} alone", "", "Exit code: 1"])
+
+
+def test_streams_of_a_group_are_cut_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "GROUPS", 1)  # all streams, over two batches, share one group's state
+    schema = "session string, stream long, seq long, chunk string, last boolean"
+    first = [("a", 1, 1, "SON_1>> x <", False), ("a", 1, 0, "to <<PER", False), ("b", 1, 0, "no <<", False), (None, 2, 0, "one", True), (None, 2, 0, "one", True)]
+    then = [("a", 1, 2, "<ORG_2>>", True), ("b", 1, 1, "A_7>> end", True), ("b", 1, 0, "no <<", False)]
+    for i, rows in enumerate((first, then)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    chunks.whole_tokens(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: r.seq):
+        got.setdefault((r.session, r.stream), []).append(r.piece)
+    assert got == {("a", 1): ["to ", "<<PERSON_1>> x ", "<<ORG_2>>"], ("b", 1): ["no ", "<<A_7>> end"], (None, 2): ["one"]}
