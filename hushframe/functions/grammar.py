@@ -88,7 +88,7 @@ def alias_key_ascii(c: Column) -> Column:
 
 
 def alias_key(c: Column) -> Column:
-    """Alias key of any text: compatibility forms unified and marks dropped, then as `alias_key_ascii`."""
+    """Alias key of any text: compatibility forms unified and marks dropped, then as `alias_key_ascii`. Printable ASCII stays in the JVM."""
     import unicodedata
 
     def one(text):
@@ -98,7 +98,8 @@ def alias_key(c: Column) -> Column:
         low = " ".join("".join(x for x in plain if not unicodedata.combining(x)).split()).lower()
         return re.sub(r"[^\w\s]", "", low) or low
 
-    return F.pandas_udf(lambda s: s.map(one), "string")(c)
+    plain = F.coalesce(c.rlike(r"\A[\x20-\x7E]*\z"), F.lit(False))
+    return F.when(plain, alias_key_ascii(c)).otherwise(F.pandas_udf(lambda s: s.map(one), "string")(F.when(~plain, c)))
 
 
 # Reasoning blocks and control tokens that must not reach a reader, in the order in which they are taken out.

@@ -59,31 +59,45 @@ def sanitize(turns: DataFrame, entities: DataFrame, found: DataFrame | None = No
     seen = again.select("session", "placeholder", F.col("entity_text").alias("surface"), "turn")
     after = keep(vault_table.register(entities, seen).unionByName(news.select(*entities.columns)))
     release(told, news, found)
-    known = vault_table.surfaces(after).select(F.col("session").alias("_s"), F.col("surface").alias("canonical"), "placeholder")
-    # A surface is the session's, so it is looked for in all of the session's texts, whatever was detected in them.
-    within = rows["session"].eqNullSafe(F.col("_s")) & F.contains("text", F.col("canonical"))
-    pairs = rows.select("session", "turn", PART, "text").join(known, within).select("session", "turn", PART, "canonical", "placeholder")
-    done = _rewritten(rows, pairs)
+    known = vault_table.surfaces(after)
+    done = _rewritten(rows, known)
     return (done if parted else done.drop(PART)), after
 
 
-def _rewritten(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    keys = {"session": "_s", "turn": "_t", PART: "_q"}
-    own = F.collect_set(F.struct("canonical", "placeholder")).alias("_pairs")
-    per = pairs.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(own)
+def _rewrite(texts: pd.Series, own: pd.Series) -> pd.Series:
+    return pd.Series([None if pairs is None or text is None else vault.replace_all(text, [(p["surface"], p["placeholder"]) for p in pairs]) for text, pairs in zip(texts, own, strict=True)])
+
+
+def _rewritten(rows: DataFrame, known: DataFrame) -> DataFrame:
+    # A surface is the session's, so it is looked for in all of the session's texts, whatever was detected in them. A text meets
+    # its session's surfaces once, as one array; only those of very large sessions meet them one by one.
+    few, big = vault.by_session(known, "session", ["surface", "placeholder"])
+    rest = rows if big is None else rows.join(big, rows["session"].eqNullSafe(F.col("_s")), "left_anti")
+    held = F.filter("_own", lambda p: F.contains(F.col("text"), p["surface"]))
+    out = _put_in(rest.join(few, rest["session"].eqNullSafe(F.col("_s")), "left").withColumn("_pairs", held).drop("_s", "_own"))
+    if big is None:
+        return out
+    return out.unionByName(_put_in(_with_pairs(rows.join(big, rows["session"].eqNullSafe(F.col("_s")), "left_semi"), known)))
 
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for text, pairs in zip(texts, own, strict=True):
-            out.append(None if pairs is None or text is None else vault.replace_all(text, [(p["canonical"], p["placeholder"]) for p in pairs]))
-        return pd.Series(out)
 
+def _with_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
+    theirs = known.select(F.col("session").alias("_of"), "surface", "placeholder")
+    within = rows["session"].eqNullSafe(F.col("_of")) & F.contains("text", F.col("surface"))
+    pairs = rows.select("session", "turn", PART, "text").join(theirs, within)
+    keys = {"session": "_s", "turn": "_t", PART: "_q"}
+    per = pairs.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.collect_set(F.struct("surface", "placeholder")).alias("_pairs"))
     on = [rows[k].eqNullSafe(F.col(v)) for k, v in keys.items()]
-    joined = rows.join(per, on[0] & on[1] & on[2], "left")
-    clean = F.coalesce(rewrite(F.when(F.col("_pairs").isNotNull(), F.col("text")), "_pairs"), F.col("text"))
+    return rows.join(per, on[0] & on[1] & on[2], "left").drop(*keys.values())
+
+
+def _put_in(rows: DataFrame) -> DataFrame:
+    any_ = F.size("_pairs") > 0
+    rows = rows.withColumn("_plain", F.when(any_ & (F.size("_pairs") <= vault.MOST), vault.replaced(F.col("text"), F.col("_pairs"))))
+    # To Python go only texts that hold what could be a token, or very many surfaces.
+    left = any_ & F.col("_plain").isNull()
+    clean = F.coalesce("_plain", F.pandas_udf(_rewrite, "string")(F.when(left, F.col("text")), F.when(left, F.col("_pairs"))), F.col("text"))
     modified = F.coalesce(F.col("sanitized") != F.col("text"), F.lit(False))
-    return joined.withColumn("sanitized", clean).withColumn("modified", modified).drop("_pairs", *keys.values())
+    return rows.withColumn("sanitized", clean).withColumn("modified", modified).drop("_pairs", "_plain")
 
 
 def on_failure(rows: DataFrame, failed: Column, tool: Column | None = None, fail_open: bool = False) -> DataFrame:
@@ -176,7 +190,8 @@ def finalize(answers: DataFrame, entities: DataFrame) -> DataFrame:
 
     Calculations are carried out, first, then tokens give way to surfaces; the history keeps tokens.
     """
-    done = calc.apply(answers, vault_table.variables(entities))
+    # Read once for those that calculate, once for the rest.
+    done = calc.apply(keep(answers.select("session", "turn", "text")), vault_table.variables(entities))
     shown = vault.restore(done.withColumnRenamed("display", "text"), entities, "session", ["turn"])
     return shown.select("session", "turn", F.col("restored").alias("display_text"), F.col("history").alias("history_text"), "computations")
 

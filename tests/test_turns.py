@@ -119,3 +119,21 @@ def test_protecting_equals_the_comparison_of_all_pairs(spark):
         if n:
             expected[name] = (n, token)
     assert got == expected
+
+
+def test_texts_meet_their_sessions_surfaces_once(spark, monkeypatch):
+    turns = spark.createDataFrame([("s", 1, "Ann Lee, Ann, a$5 and $5.50 on 2024-01-02"), ("s", 2, "<b>Ann</b> $5 <<PERSON_1>> Ann"), (None, None, "Ann $7 $7"), ("t", 3, None), ("t", 4, "1 PERSON $1")], "session string, turn long, text string")
+    people = [(s, f"<<PERSON_{i}>>", "person", n, [n], None, None, None) for s in ("s", None) for i, n in enumerate(("Ann", "Ann Lee"), 1)] + [("t", "<<PERSON_1>>", "person", "1", ["1"], None, None, None)]
+    schema = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
+    want = [
+        (None, None, "<<PERSON_1>> <<FINANCE_1>> <<FINANCE_1>>"), ("s", 1, "<<PERSON_2>>, <<PERSON_1>>, a<<FINANCE_2>> and <<FINANCE_1>> on <<DATE_1>>"),
+        ("s", 2, "<b><<PERSON_1>></b> <<FINANCE_2>> <<PERSON_1>> <<PERSON_1>>"), ("t", 3, None), ("t", 4, "<<PERSON_1>> PERSON <<FINANCE_1>>"),
+    ]
+    for most in (vault.MOST, 2):  # the larger sessions take the other way
+        monkeypatch.setattr(vault, "MOST", most)
+        done, after = turn_pipeline.sanitize(turns, spark.createDataFrame(people, schema))
+        assert sorted(((r.session, r.turn, r.sanitized) for r in done.collect()), key=lambda r: (r[0] or "", r[1] or 0)) == want
+        back = vault.restore(done.select("session", "turn", "sanitized"), after, "session", ["turn"], text="sanitized")
+        assert {(r.session, r.turn): r.restored for r in back.collect()}[("s", 1)] == "Ann Lee, Ann, a$5 and $5.50 on 2024-01-02"
+        joins = [x for x in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert most == 2 or not any("Contains" in x or "contains" in x for x in joins)
