@@ -151,8 +151,10 @@ def session_dispatch(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "priority").when(F.col("event_type") == "signup", "command").otherwise("message")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), number.cast("long").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("taken"))
     at = keep_folder(spark, f"{work_folder(spark)}/streams/{uuid.uuid4()}")
-    rows.repartition(3, F.xxhash64("session", "seq")).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    # Three batches, each of as many files as there are cores.
+    each = spark.sparkContext.defaultParallelism
+    rows.repartition(3 * each, F.xxhash64("session", "seq")).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{at}/in")
     out = run_once(dispatch(stream, limit=2))
     told = F.concat_ws(" ", F.col("seq").cast("string"), "action", F.coalesce(F.col("turn").cast("string"), F.lit("-")))
     parts = F.array_sort(F.collect_list(F.struct("nth", told.alias("told"))))

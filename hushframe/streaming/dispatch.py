@@ -8,15 +8,18 @@ a limit; beyond it they wait for the turn after. When a turn ends, what it hasn'
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Messages that a running turn may be given (a fixed value).
 LIMIT = 20
-SCHEMA = "session string, at long, nth int, seq long, action string, turn long"
+#: Numbers of early events that lie in one value of the state, and rows of a session that a task holds at a time.
+BLOCK, ROWS = 256, 10_000
+_BLOCK = "seqs array<long>, kinds array<string>, takens array<long>"
+_TOLD, _NONE = Row("session", "at", "nth", "seq", "action", "turn"), object()
 
 
 class Queue:
@@ -60,40 +63,89 @@ class Queue:
 
 
 class Dispatcher(StatefulProcessor):
-    """A session's queue; state: the turn and the number that follows, two lists, and events that came too early."""
+    """A session's queue; state: events that came too early, in blocks of their numbers, and the number that follows with the queue and its own block, read and written once a batch."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "following long, turn long")
-        self.injected = handle.getListState("injected", "seq long")
-        self.waiting = handle.getListState("waiting", "seq long")
-        self.early = handle.getMapState("early", "seq long", "kind string, taken long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following, turn = self.head.get() if self.head.exists() else (0, None)
-        queue = Queue(self.limit, turn, [x[0] for x in self.injected.get()], [x[0] for x in self.waiting.get()])
-        for part in rows:
-            out = []
-            for row in part.sort_values("seq", kind="stable").itertuples(index=False):
-                seq, kind, taken = int(row.seq), row.kind, None if pd.isna(row.taken) else int(row.taken)
-                if seq > following and not self.early.containsKey((seq,)):
-                    self.early.updateValue((seq,), (kind, taken))
-                while seq == following:
-                    out += [(key[0], seq, nth, *x) for nth, x in enumerate(queue.take(seq, kind, taken))]
-                    following = seq + 1
-                    if self.early.containsKey((following,)):
-                        seq = following
-                        kind, taken = self.early.getValue((seq,))
-                        self.early.removeKey((seq,))
-            frame = pd.DataFrame(out, columns=["session", "at", "nth", "seq", "action", "turn"])
-            yield frame.astype({"at": "int64", "nth": "int32", "seq": "int64", "turn": "Int64"})
-        self.head.update((following, queue.turn))
-        for state, own in ((self.injected, queue.injected), (self.waiting, queue.waiting)):
-            state.clear()
-            if own:
-                state.put([(x,) for x in own])
+        self.head = handle.getValueState("head", f"following long, turn long, injected array<long>, waiting array<long>, {_BLOCK}")
+        self.early = handle.getMapState("early", "block long", _BLOCK)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        head = self.head.get()
+        following, turn, injected, waiting, *near = head if head is not None else (0, None, [], [], [], [], [])
+        queue, out = Queue(self.limit, turn, list(injected), list(waiting)), []
+        early = _Early(self.early, following // BLOCK, near)
+        while part := sorted(islice(rows, ROWS), key=lambda r: r.seq):
+            for _, seq, kind, taken in part:
+                if seq > following:
+                    early.add(seq, kind, taken)
+                elif seq == following:
+                    while kind is not _NONE:
+                        out += [(following, nth, *x) for nth, x in enumerate(queue.take(following, kind, taken))]
+                        following += 1
+                        kind, taken = early.pop(following)
+            near = early.store(following // BLOCK)
+            if out:
+                # A row for many actions: each row that leaves Python costs as much as taking an event does.
+                yield _TOLD(key[0], *map(list, zip(*out, strict=True)))
+                out = []
+        self.head.update((following, queue.turn, queue.injected, queue.waiting, *near))
+
+
+class _Early:
+    """Events of one session that came too early; of their state it reads and writes whole blocks, each once, and none that isn't asked for."""
+
+    def __init__(self, state, number: int, near: list):
+        self.state, self.blocks, self.changed, self.number = state, {number: _opened(near)}, set(), number
+
+    def _block(self, seq: int) -> dict[int, tuple]:
+        number = seq // BLOCK
+        if number not in self.blocks:
+            held = self.state.getValue((number,))
+            self.blocks[number] = {} if held is None else _opened(held)
+        return self.blocks[number]
+
+    def add(self, seq: int, kind: str | None, taken: int | None) -> None:
+        block = self._block(seq)
+        if seq not in block:
+            block[seq] = (kind, taken)
+            self.changed.add(seq // BLOCK)
+
+    def pop(self, seq: int) -> tuple:
+        """Kind and taken of an event, which goes; (_NONE, None) if it hasn't come."""
+        block = self._block(seq)
+        if seq not in block:
+            return _NONE, None
+        self.changed.add(seq // BLOCK)
+        return block.pop(seq)
+
+    def store(self, near: int) -> list:
+        """Write what has changed but for the block `near`, and give that back; other blocks are let go."""
+        if near != self.number:
+            own = self._block(near)
+            # It moves out of the map, the one before has been walked through.
+            self.changed.add(near)
+            self.blocks[near] = {}
+        else:
+            own = self.blocks[near]
+            self.changed.discard(near)
+        for number in self.changed - {self.number}:
+            if block := self.blocks[number]:
+                self.state.updateValue((number,), _closed(block))
+            else:
+                self.state.removeKey((number,))
+        self.blocks, self.changed, self.number = {near: own}, set(), near
+        return list(_closed(own))
+
+
+def _opened(held) -> dict[int, tuple]:
+    return {s: (kind, taken) for s, kind, taken in zip(*held, strict=True)}
+
+
+def _closed(block: dict[int, tuple]) -> tuple[list, list, list]:
+    return list(block), [x[0] for x in block.values()], [x[1] for x in block.values()]
 
 
 def dispatch(events: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -104,7 +156,9 @@ def dispatch(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     sessions are one session; an event without a number is left out, one without a kind does nothing.
     """
     rows = events.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), "kind", F.col("taken").cast("long").alias("taken"))
-    return rows.filter("seq is not null").groupBy("session").transformWithStateInPandas(Dispatcher(limit), SCHEMA, "append", "None")
+    told = "session string, at array<long>, nth array<int>, seq array<long>, action array<string>, turn array<long>"
+    out = rows.filter("seq is not null").groupBy("session").transformWithState(Dispatcher(limit), told, "append", "None")
+    return out.select("session", F.inline(F.arrays_zip("at", "nth", "seq", "action", "turn")))
 
 
 def in_flight(actions: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from hushframe.operators.vault import restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming import chunks
-from hushframe.streaming.dispatch import Queue, dispatch, in_flight
+from hushframe.streaming.dispatch import BLOCK, Dispatcher, Queue, dispatch, in_flight
 from hushframe.streaming.jobs import Job, runs
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
 
@@ -125,6 +126,49 @@ def test_a_queue_serves_one_turn_at_a_time():
     assert queue.take(13, None) == []
 
 
+class Counted(dict):
+    """Value and map state of one session that counts how often it is asked."""
+
+    asked = 0
+
+    def __call__(self, *_):
+        return self
+
+    getValueState = getMapState = __call__  # noqa: N815
+
+    def get(self, key=None):
+        self.asked += 1
+        return super().get(key)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.asked += 1
+        self.pop(key, None)
+
+    getValue = get  # noqa: N815
+
+
+def test_early_events_ask_their_state_by_the_block():
+    state, event, out = Counted(), Row("session", "seq", "kind", "taken"), []
+    dispatcher = Dispatcher(2)
+    dispatcher.init(state)
+    dice = random.Random(5)
+    events = [event("a", seq, dice.choice(("message", "done", "priority", None)), dice.choice((None, 0, 1))) for seq in range(6 * BLOCK)]
+    order = [*events[1:], events[0], *events[:3]]
+    for batch in (order[::2], order[1::2]):
+        for row in dispatcher.handleInputRows(("a",), iter(batch), None):
+            out += zip([row.session] * len(row.at), row.at, row.nth, row.seq, row.action, row.turn, strict=True)
+    assert sorted(out, key=str) == in_order([tuple(e) for e in events], 2)
+    # Two batches over six blocks; an event at a time it would be thousands of calls.
+    assert state.asked <= 40 and list(state) == [None]
+
+
 def test_sessions_are_taken_in_order_whatever_order_they_come_in(spark, tmp_path):
     use_state_store(spark)
     dice = random.Random(6)
