@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from hushframe.plans.registry import query
 from hushframe.sources import files, sessions
-from hushframe.sources.tables import keep, keep_folder, table, work_folder
+from hushframe.sources.storage import write_files
+from hushframe.sources.tables import keep, keep_folder, table, tasks, work_folder
 
 
 def _folder(spark) -> str:
@@ -21,10 +22,14 @@ def transcript_lines(spark, sf_dir):
     path, turn = _folder(spark), F.col("turn")
     good = F.to_json(F.struct("role", F.col("text").alias("content"), "turn"))
     pad = F.when(F.col("conv_id") % 5 == 0, F.repeat(F.lit(" "), F.lit(200_000))).otherwise(F.lit(""))
-    lines = F.concat(good, F.lit('\n{"role": "user", "cut\n[1, 2]\n\n7'), pad)
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, lines.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
-    rows.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("name"), "value").repartition("name").write.partitionBy("name").text(path)
-    told = files.read_transcripts(spark, path, 100_000, F.regexp_extract("file", "name=([^/]+)", 1))
+    line = F.concat(good, F.lit('\n{"role": "user", "cut\n[1, 2]\n\n7'))
+    file = F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file")
+    rows = table(spark, sf_dir, "conversations").select(file, "conv_id", "turn", line.alias("line"))
+    # As many tasks as there are for any shuffle, however few bytes: what counts is the number of files. Padding comes last, so
+    # nothing moves or sorts it.
+    ordered = rows.repartition(tasks(spark), "file").sortWithinPartitions("file", "turn", "line")
+    write_files(ordered.select("file", F.concat("line", pad).alias("line")), path)
+    told = files.read_transcripts(spark, path, 100_000)
     role = F.try_variant_get("object", "$.role", "string")
     return told.groupBy("session").agg(F.count("*").alias("n"), F.count_if(role == "user").alias("users"))
 

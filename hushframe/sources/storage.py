@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def storage(path: str) -> tuple[fs.FileSystem, str]:
@@ -39,3 +43,43 @@ def put_json(path: str, name: str, value) -> None:
     with files.open_output_stream(passing) as stream:
         stream.write(json.dumps(value).encode())
     files.move(passing, f"{inner}/{name}")
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Files of rows(file, line), in the folder `path`: a row's text and a line end after the one before of its file.
+
+    Rows of a file have to lie together, in order, in one partition. file: a path within the folder, made into a file name by
+    the caller. Tasks write each file aside and move it into place, so one that runs again replaces its files. Null lines are left out.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, inner = storage(path)
+        at = stream = passing = None
+        folders, n = set(), 0
+
+        def done() -> None:
+            if stream is not None:
+                stream.close()
+                files.move(passing, f"{inner}/{at}")
+
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if file != at:
+                    done()
+                    at, n = file, n + 1
+                    folder, name = posixpath.split(f"{inner}/{file}")
+                    if len(folders) > 10_000:
+                        folders.clear()
+                    if folder not in folders:
+                        files.create_dir(folder, recursive=True)
+                        folders.add(folder)
+                    passing = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    stream = files.open_output_stream(passing, compression=None)
+                if line.is_valid:
+                    stream.write(line.as_buffer())
+                    stream.write(b"\n")
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    storage(path)[0].create_dir(storage(path)[1], recursive=True)
+    rows.select("file", "line").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks small rows go whose work isn't their bytes; adaptive execution would put them into a few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; one of this process only where all run in it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
