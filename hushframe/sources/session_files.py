@@ -18,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 
 from hushframe.sources.storage import files_below, read_text, storage
 
-#: Bytes of files that a task reads; a larger file is one task's.
-TASK_BYTES = 64 << 20
+#: Bytes of files that a task reads, each file counted with so many besides for its opening; a larger file is one task's.
+TASK_BYTES, OPEN_BYTES = 64 << 20, 128 << 10
 #: Rows of a batch that a task gives back.
 ROWS = 5000
 SCHEMA = (
@@ -105,7 +105,7 @@ class SessionReader(DataSourceReader):
                     found.setdefault(session, []).append((path, size))
         tasks, held = [], self.task_bytes
         for session in sorted(found):
-            size = sum(n for _, n in found[session])
+            size = sum(n + OPEN_BYTES for _, n in found[session])
             if held + size > self.task_bytes:
                 tasks.append(Files([]))
                 held = 0

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.operators.history import place
+from hushframe.sources.storage import write_files
+from hushframe.sources.tables import keep_folder, replace, tasks
 
 MESSAGE = "role string, content string, timestamp string, tool_call_id string, name string, tool_calls array<struct<id:string,name:string>>"
+_ESCAPED = r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
 #: What follows the content of a cut history entry.
 CUT = "\n... (truncated)"
 METADATA = "created_at string, updated_at string, last_consolidated long"
@@ -36,8 +41,17 @@ def broken_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sessions(messages: DataFrame, path: str) -> None:
-    """A folder per session, its messages in order; a job's files appear together when it commits."""
-    messages.repartition("session").sortWithinPartitions("session", "idx").write.mode("overwrite").partitionBy("session").json(path)
+    """A folder per session, its messages in order; all files appear together, by a renaming of their folder, in place of what is there."""
+    spark = messages.sparkSession
+    columns = [c for c in messages.columns if c != "session"]
+    # Names of folders as Spark writes and reads them.
+    name = F.coalesce(F.nullif(F.col("session").cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    escaped = F.array_join(F.transform(F.split(name, ""), lambda c: F.when(c.rlike(_ESCAPED), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    file = F.concat(F.lit("session="), F.when(name.rlike(_ESCAPED), escaped).otherwise(name), F.lit("/part-0.json"))
+    ordered = messages.repartition(tasks(spark), "session").sortWithinPartitions("session", "idx")
+    passing = keep_folder(spark, f"{path.rstrip('/')}-{uuid.uuid4().hex}")
+    write_files(ordered.select(file.alias("file"), F.to_json(F.struct(*columns)).alias("line")), passing)
+    replace(spark, passing, path)
 
 
 def append_history(history: DataFrame, new: DataFrame, order: str, limit: int = 64_000) -> DataFrame:

@@ -61,6 +61,16 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put a folder in the place of another, by renaming it."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{new} couldn't be renamed to {path}")
+    _kept.pop(new, None)
+
+
 def keep_folder(spark: SparkSession, path: str) -> str:
     """Mark a folder to be deleted when the process ends."""
     _kept[path] = spark

@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from hushframe.plans import registry
-from hushframe.sources import storage, tables
+from hushframe.sources import session_files, sessions, storage, tables
 
 
 def test_rows_of_a_file_go_to_it_in_order(spark, tmp_path):
@@ -32,3 +32,19 @@ def test_transcripts_are_written_by_as_many_tasks_as_a_shuffle_has(spark, monkey
     assert seen[0][0] > tables.tasks(spark) // 2
     written = list(Path(seen[0][1].removeprefix("file://")).glob("s*.jsonl"))
     assert max(p.stat().st_size for p in written) > 200_000 and len(written) >= 100
+
+
+def test_sessions_of_any_name_are_read_again(spark, tmp_path):
+    names = ["a/b", "ü:%2F?{x}", "plain", "a b.c\\", "[^]'\"#*=\x7f\n"]
+    rows = spark.createDataFrame([(s, i, "user", f"{s}{i}") for s in names for i in range(3)], "session string, idx long, role string, content string")
+    for _ in range(2):  # in place of what is there
+        sessions.write_sessions(rows, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in session_files.read(spark, str(tmp_path / "out")).select(*rows.columns).collect()) == sorted(tuple(r) for r in rows.collect())
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and spark.read.json(str(tmp_path / "out")).filter(F.col("content") == F.concat("session", "idx")).count() == 15
+
+
+def test_a_task_opens_some_hundred_files_however_small(tmp_path):
+    for i in range(1100):
+        (tmp_path / f"s{i}.jsonl").write_text("{}\n")
+    sizes = [len(p.files) for p in session_files.SessionReader(str(tmp_path), session_files.TASK_BYTES).partitions()]
+    assert sum(sizes) == 1100 and len(sizes) == 3 and max(sizes) <= 512
