@@ -8,7 +8,7 @@ from hushframe.functions import grammar, register, schemas
 from hushframe.operators import calc, chunk, compaction, detect, search
 from hushframe.plans.detection import _found_sql, _quoted
 from hushframe.plans.registry import query
-from hushframe.sources.tables import table
+from hushframe.sources.tables import table, tasks
 
 
 def _lits(values) -> str:
@@ -155,7 +155,9 @@ SELECT o_orderkey, 2 AS snippet, 'max(FINANCE_1, VALUE_1) + 1' AS expression, gr
 def math_snippets(spark, sf_dir):
     text = F.lit("So: <python_snippet_1>result = FINANCE_1 * 2 - VALUE_1 / 4</python_snippet_1> and <python_snippet_2>max(FINANCE_1, VALUE_1) + 1</python_snippet_2>.")
     values = F.create_map(F.lit("FINANCE_1"), F.col("o_totalprice"), F.lit("VALUE_1"), F.col("o_custkey").cast("double"))
-    answers = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), values.alias("values"))
+    # The work of a row is far more than its bytes, by which files are dealt to tasks.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey").repartition(tasks(spark))
+    answers = orders.select("o_orderkey", text.alias("text"), values.alias("values"))
     return calc.compute(answers, ["o_orderkey"]).select("o_orderkey", "snippet", "expression", "result")
 
 
@@ -180,7 +182,9 @@ def _arguments(spark, sf_dir):
     marks = F.when(key % 4 == 0, F.lit("null")).when(key % 4 == 1, F.lit("[7]")).when(key % 4 == 2, F.concat(F.lit("[1, "), key.cast("string"), F.lit(', "x", true]'))).otherwise(F.lit("[1, 2.0]"))
     note = F.when(key % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(', "note": '), F.when(key % 5 == 1, key.cast("string")).otherwise(F.lit('"n"'))))
     text = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "value": '), value, F.lit(', "props": '), "props", F.lit(', "marks": '), marks, note, F.lit("}"))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("arguments"))
+    # The work of a row is far more than its bytes, by which files are dealt to tasks.
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props").repartition(tasks(spark))
+    return events.select("event_id", text.alias("arguments"))
 
 
 _ARGUMENT_SQL = """a AS (SELECT event_id, event_type, value::DECIMAL(12,2) AS v, (props->>'$.k')::INTEGER AS k FROM events)"""
