@@ -9,6 +9,7 @@ items, minItems, maxItems. A number without a fraction is an integer, however it
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def type_of(schema: dict) -> tuple[str | None, bool]:
     """The type that a schema asks for, if any, and whether null will do as well."""
     raw = schema.get("type")
@@ -48,8 +54,9 @@ def _fits(value: Column, kind: str) -> Column:
         "number": told.rlike(_NUMBER),
         "string": told == "STRING",
         "boolean": told == "BOOLEAN",
-        "array": told.startswith("ARRAY"),
-        "object": told.startswith("OBJECT"),
+        # By a view of their parts: their schema would be that of all that they hold, as a text.
+        "array": F.try_variant_get(value, "$", "array<variant>").isNotNull(),
+        "object": F.try_variant_get(value, "$", "map<string,variant>").isNotNull(),
     }
     return tests.get(kind, F.lit(True))
 
@@ -130,11 +137,14 @@ def violations(text: Column, schema: dict) -> Column:
     """
     if schema.get("type", "object") != "object":
         raise ValueError(f"the schema of arguments is of type object, not {schema.get('type')!r}")
-    value = F.try_parse_json(text)
     whole = {**schema, "type": "object"}
-    told = F.schema_of_variant(value)
-    kind = F.coalesce(F.when(told.startswith("ARRAY"), "list").when(told == "STRING", "str").when(told == "BOOLEAN", "bool").when(told == "VOID", "NoneType").when(told == "DOUBLE", "float").when(told.rlike(_INTEGER), "int").when(told.rlike(_NUMBER), "float"), F.lit("no JSON"))
-    return F.when(_fits(value, "object"), _check(value, "$", whole, None, "")).otherwise(F.array(F.concat(F.lit("parameters must be an object, got "), kind)))
+
+    def of(value: Column) -> Column:
+        told = F.schema_of_variant(value)
+        kind = F.coalesce(F.when(told.startswith("ARRAY"), "list").when(told == "STRING", "str").when(told == "BOOLEAN", "bool").when(told == "VOID", "NoneType").when(told == "DOUBLE", "float").when(told.rlike(_INTEGER), "int").when(told.rlike(_NUMBER), "float"), F.lit("no JSON"))
+        return F.when(_fits(value, "object"), _check(value, "$", whole, None, "")).otherwise(F.array(F.concat(F.lit("parameters must be an object, got "), kind)))
+
+    return _once(F.try_parse_json(text), of)
 
 
 def _cast(root: Column, path: str, schema: dict) -> Column:
@@ -184,4 +194,4 @@ def cast(text: Column, schema: dict) -> Column:
     """
     if schema.get("type", "object") != "object":
         return text
-    return F.coalesce(_cast(F.try_parse_json(text), "$", {**schema, "type": "object"}), text)
+    return F.coalesce(_once(F.try_parse_json(text), lambda value: _cast(value, "$", {**schema, "type": "object"})), text)
