@@ -271,6 +271,11 @@ def ocr_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, r"\r\n|\n|\r", -1), grammar.collapse), lambda x: x != ""), "\n")
 
 
+def filtered(c: Column) -> Column:
+    """A value that a filter reads next and the plan goes on with, worked out once: as a plain column it would be in both places."""
+    return F.explode(F.array(c))
+
+
 def ocr_token(c: Column) -> Column:
     """A word as it is matched: bars as space, then letters and digits alone, lower-cased."""
     return F.regexp_replace(F.lower(F.replace(c, F.lit("|"), F.lit(" "))), "[^a-z0-9]+", "")

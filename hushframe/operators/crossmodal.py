@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import scalars, taxonomy
 from hushframe.operators import turn_pipeline, vault_table, visual
-from hushframe.sources.tables import keep, release
+from hushframe.sources.tables import keep, once, release
 
 
 def _tag(label: Column) -> Column:
@@ -39,6 +39,7 @@ def cover(images: DataFrame, words: DataFrame, entities: DataFrame, items: DataF
     text, label) that a detector saw, none by default; found: entities found in the texts (with image as `_part`), by default those of `detect_turns`.
     A box stands for one place of one needle, as `visual.regions` takes them. Images without words, and words without an image, give no boxes.
     """
+    words = once(words)
     rows = images.select("session", "turn", F.col("image").alias(turn_pipeline.PART), "text")
     first, known = turn_pipeline.sanitize(rows, entities, found)
     seen = visual.word_forms(words, "image").select("image", F.col("value").alias("text"), "label", F.col("place").cast("long").alias("place"))
@@ -72,6 +73,6 @@ def _needles(images: DataFrame, value: DataFrame, entities: DataFrame) -> DataFr
     told = vault_table.lookup(value.select("image", "session", F.col("text").alias("surface"), "label"), entities)
     parts = F.explode(F.array_union(F.array("surface"), visual.needle_candidates(F.col("surface"), F.col("label"))))
     shown = told.select("image", parts.alias("text"), "label", "placeholder")
-    every = said.unionByName(shown).filter(F.col("placeholder").isNotNull()).withColumn("tokens", scalars.ocr_tokens(F.col("text")))
+    every = said.unionByName(shown).filter(F.col("placeholder").isNotNull()).withColumn("tokens", scalars.filtered(scalars.ocr_tokens(F.col("text"))))
     every = every.filter(F.size("tokens") > 0).groupBy("image", "placeholder", "tokens").agg(F.min("label").alias("label"))
     return every.select("image", F.concat_ws(" ", "placeholder", F.array_join("tokens", " ")).alias("needle"), "tokens", "label", "placeholder")

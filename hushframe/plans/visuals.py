@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import crossmodal, leak, visual
 from hushframe.plans.registry import query
-from hushframe.sources.tables import table
+from hushframe.sources.tables import keep, table
 
 #: Words of messages as an engine would report them: ten a line, some without extent or letter; and amounts, numbers and addresses among them.
 _MORE = "' | $1,200.50 USD #INV-2024-' || (1000000 + turn) || ' (01/02/2024) x@y.org 12345678901ABC-99_X $5 ' || role || '.'"
@@ -98,7 +98,7 @@ def needle_candidates(spark, sf_dir):
 SELECT image, CASE WHEN NOT bool_or(is_mail) THEN NULL WHEN (image // 100) % 2 = 0 THEN '<<EMAIL_7>>' ELSE '<<EMAIL_1>>' END AS mail, count(*) AS forms, count(*) AS covered, false AS in_clear FROM f GROUP BY image""")
 def cross_modal(spark, sf_dir):
     """Messages as images of their words, some addresses known to their sessions: all that has a form is covered and gone from the text, under one token on both sides."""
-    words = _words(spark, sf_dir)
+    words = keep(_words(spark, sf_dir))
     session = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("image"), session.alias("session"), "turn", F.concat("text", F.expr(_MORE)).alias("text"))
     none = F.lit(None)
@@ -107,13 +107,10 @@ def cross_modal(spark, sf_dir):
         none.cast("double").alias("value"), none.cast("long").alias("created_turn"), none.cast("long").alias("last_seen_turn"),
     )
     texts, boxes, _ = crossmodal.cover(rows, words, known)
-    seen = visual.word_forms(words, "image")
-    forms = seen.select("image", "place").distinct()
-    values = seen.groupBy("image").agg(F.collect_set("value").alias("values"))
-    at = boxes.select("image", "place", "placeholder")
-    hit = forms.join(at, ["image", "place"], "left").groupBy("image", "place").agg(F.bool_or(F.col("placeholder").isNotNull()).alias("hit"), F.max(F.when(F.col("placeholder").startswith("<<EMAIL"), F.col("placeholder"))).alias("mail"))
-    per = hit.groupBy("image").agg(F.max("mail").alias("mail"), F.count("*").alias("forms"), F.count_if("hit").alias("covered"))
-    both = per.join(texts.select("image", "sanitized"), "image").join(values, "image")
+    seen = visual.word_forms(words, "image").groupBy("image", "place").agg(F.collect_set("value").alias("values"))
+    at = boxes.groupBy("image", "place").agg(F.lit(True).alias("hit"), F.max(F.when(F.col("placeholder").startswith("<<EMAIL"), F.col("placeholder"))).alias("mail"))
+    per = seen.join(at, ["image", "place"], "left").groupBy("image").agg(F.max("mail").alias("mail"), F.count("*").alias("forms"), F.count_if("hit").alias("covered"), F.flatten(F.collect_list("values")).alias("values"))
+    both = per.join(texts.select("image", "sanitized"), "image")
     clear = F.exists("values", lambda v: F.contains(F.col("sanitized"), v))
     # The token that covers the address is the one that stands in the text.
     mail = F.when(F.contains("sanitized", F.col("mail")), F.col("mail"))

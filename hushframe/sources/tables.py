@@ -48,6 +48,11 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def once(df: DataFrame) -> DataFrame:
+    """What a step reads several times, computed once: a table of `keep` as it is, anything else kept."""
+    return df if getattr(df, "_table", None) in _kept else keep(df)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of `keep` that nothing reads any more; other tables are left alone."""
     for df in tables:

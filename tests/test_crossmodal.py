@@ -41,3 +41,24 @@ def test_without_images(spark):
     images, words = pages(spark, [("s", 1, "x y")])
     texts, boxes, after = crossmodal.cover(images.filter(F.lit(False)), words.filter(F.lit(False)), spark.createDataFrame([], VAULT))
     assert texts.count() == boxes.count() == after.count() == 0
+
+
+def test_words_are_worked_out_once(spark):
+    images, words = pages(spark, [("s", 1, "Pay DMIT Inc jo@ex.org $1,200.50 USD"), ("s", 2, "DMIT Inc again and 01/02/2024")])
+    entities = spark.createDataFrame([("s", "<<ORG_3>>", "org", "DMIT Inc", ["DMIT Inc"], None, 1, 1)], VAULT)
+    told = spark.sparkContext.accumulator(0)
+
+    def same(token):
+        told.add(1)
+        return token
+
+    counted = words.withColumn("token", F.udf(same, "string").asNondeterministic()("token"))
+    _, boxes, _ = crossmodal.cover(images, counted, entities)
+    assert sorted({(r.image, r.place) for r in boxes.collect()}) == [(0, 1), (0, 3), (0, 4), (1, 0), (1, 4)]
+    assert told.value == words.count() == 11
+
+
+def test_only_a_usd_right_behind_an_amount_goes_with_it(spark):
+    _, words = pages(spark, [("s", 1, "$5 and USD $7 USD $9"), ("s", 2, "USD $8")])
+    got = sorted((r.image, r.place, r.value, r.left, r.right) for r in visual.word_forms(words, "image").collect())
+    assert got == [(0, 0, "$5", 0, 50), (0, 3, "$7 USD", 180, 290), (0, 5, "$9", 300, 350), (1, 1, "$8", 60, 110)]
