@@ -177,7 +177,7 @@ def timer_runs(spark, sf_dir):
         F.col("user_id").cast("string").alias("job"), "ts", action.alias("action"), kind.alias("kind"), (F.unix_millis(first) + 86_400_000).alias("at_ms"),
         F.lit(7_200_000).cast("long").alias("every_ms"), F.lit(None).cast("string").alias("expr"), F.lit(None).cast("string").alias("zone"), (F.col("user_id") % 5 == 0).alias("once"),
     )
-    rows.repartition(3, "job").write.parquet(f"{at}/in")
+    rows.repartition(spark.sparkContext.defaultParallelism, "job").write.parquet(f"{at}/in")
     out = run_once(runs(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), delay="1 day"))
     per = out.groupBy("job").agg(F.count("*").alias("runs"), F.max("due_ms").alias("last_due"))
     return rows.select("job").distinct().join(per, "job", "left").select("job", F.coalesce("runs", F.lit(0).cast("long")).alias("runs"), "last_due")

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hushframe.operators.history import cron_after
 
-SCHEMA = "job string, due_ms long, run long, cause string"
+#: What an action may do; rows of others only tell that time has gone on.
+ACTIONS = ("add", "remove", "enable", "disable", "run")
+SCHEDULE = ("kind", "at_ms", "every_ms", "expr", "zone", "once")
+_RAN = Row("job", "due_ms", "run", "cause")
 _STATE = "kind string, at_ms long, every_ms long, expr string, zone string, once boolean, enabled boolean, next_run long, runs long, changed long, gone boolean"
 
 
@@ -90,52 +92,63 @@ class Scheduler(StatefulProcessor):
         self.state = handle.getValueState("job", _STATE)
 
     def _load(self) -> Job:
-        return Job(*self.state.get()) if self.state.exists() else Job()
+        held = self.state.get()
+        return Job() if held is None else Job(*held)
 
     def _store(self, job: Job) -> None:
         self.state.update(astuple(job))
         if not job.gone and job.enabled and job.next_run is not None:
             self.handle.registerTimer(job.next_run)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        job, out = self._load(), []
-        number = lambda x: None if pd.isna(x) else int(x)
-        text = lambda x: x if isinstance(x, str) else None
-        for row in pd.concat(list(rows)).sort_values(["ms", "action"], kind="stable").itertuples(index=False):
-            now = int(row.ms) if self.catch_up else timerValues.getCurrentProcessingTimeInMs()
-            if int(row.ms) < job.changed:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        job, out, taken, latest = self._load(), [], [], None
+        for row in rows:
+            latest = row.ms if latest is None else max(latest, row.ms)
+            if row.what is not None:
+                taken.append((row.ms, row.what))
+        clock = lambda ms: ms if self.catch_up else timerValues.getCurrentProcessingTimeInMs()
+        for ms, what in sorted(taken, key=lambda x: (x[0], x[1]["action"])):
+            if ms < job.changed:
                 continue  # later actions have been taken already
+            now = clock(ms)
             out += job.advance(now, self.catch_up)
-            schedule = {"kind": text(row.kind), "at_ms": number(row.at_ms), "every_ms": number(row.every_ms), "expr": text(row.expr), "zone": text(row.zone), "once": bool(row.once)}
-            out += job.act(row.action, now, schedule)
-            job.changed = int(row.ms)
+            out += job.act(what["action"], now, {c: what[c] for c in SCHEDULE})
+            job.changed = ms
+        if latest is not None and latest > job.changed:
+            # What is due between actions is due before the next one as well, so the last of the other rows stands for all.
+            out += job.advance(clock(latest), self.catch_up)
+            job.changed = latest
         self._store(job)
-        yield _frame(key, out)
+        yield from _told(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         job = self._load()
         now = timerValues.getCurrentWatermarkInMs() if self.catch_up else timerValues.getCurrentProcessingTimeInMs()
         out = job.advance(now, self.catch_up)  # none, if the timer is one of a schedule before
         if out:
             self._store(job)
-        yield _frame(key, out)
+        yield from _told(key, out)
 
 
-def _frame(key: tuple, out: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame([(key[0], *x) for x in out], columns=["job", "due_ms", "run", "cause"])
-    return frame.astype({"due_ms": "int64", "run": "int64"})
+def _told(key: tuple, out: list[tuple]) -> Iterator[Row]:
+    """A row for all runs of a job: each row that leaves Python costs as much as many runs do."""
+    if out:
+        yield _RAN(key[0], *map(list, zip(*out, strict=True)))
 
 
 def runs(actions: DataFrame, delay: str | None = "0 seconds") -> DataFrame:
     """Streaming actions(job, ts, action, kind, at_ms, every_ms, expr, zone, once) to runs (job, due_ms, run, cause).
 
     delay: by how much the watermark of `ts` lags, actions older than it are dropped by the stream; None: time is the
-    clock's, and `ts` orders a job's actions only. Actions of a job in one batch are taken by time (a few: they are held together);
+    clock's, and `ts` orders a job's actions only. Actions of a job in one batch are taken by time (a few: they are held together, rows that do nothing aren't);
     those that come after a later one of their job was taken do nothing. run counts a job's runs. Rows without a job or time are left out.
     """
     by_event = delay is not None
     rows = actions.filter("job is not null and ts is not null")
     rows = rows.withWatermark("ts", delay) if by_event else rows
-    columns = [F.col("job").cast("string").alias("job"), F.unix_millis("ts").alias("ms"), "action", "kind", "at_ms", "every_ms", "expr", "zone", F.coalesce("once", F.lit(False)).alias("once")]
-    keyed = rows.select(*columns, *(["ts"] if by_event else [])).groupBy("job")
-    return keyed.transformWithStateInPandas(Scheduler(by_event), SCHEMA, "append", "EventTime" if by_event else "ProcessingTime")
+    # A cell that goes to Python costs more than what is done with it, so an action is one, and null in rows that do nothing.
+    what = F.when(F.col("action").isin(*ACTIONS), F.struct("action", *SCHEDULE[:-1], F.coalesce("once", F.lit(False)).alias("once"))).alias("what")
+    keyed = rows.select(F.col("job").cast("string").alias("job"), F.unix_millis("ts").alias("ms"), what, *(["ts"] if by_event else [])).groupBy("job")
+    told = "job string, due_ms array<long>, run array<long>, cause array<string>"
+    out = keyed.transformWithState(Scheduler(by_event), told, "append", "EventTime" if by_event else "ProcessingTime")
+    return out.select("job", F.inline(F.arrays_zip("due_ms", "run", "cause")))

@@ -9,7 +9,7 @@ from hushframe.operators.vault import restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming import chunks
 from hushframe.streaming.dispatch import BLOCK, Dispatcher, Queue, dispatch, in_flight
-from hushframe.streaming.jobs import Job, runs
+from hushframe.streaming.jobs import Job, Scheduler, runs
 from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
 
 SCHEMA = "session string, stream long, seq long, chunk string, last boolean, ts timestamp"
@@ -284,3 +284,30 @@ def test_streams_of_a_group_are_cut_apart(spark, tmp_path, monkeypatch):
     for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: r.seq):
         got.setdefault((r.session, r.stream), []).append(r.piece)
     assert got == {("a", 1): ["to ", "<<PERSON_1>> x ", "<<ORG_2>>"], ("b", 1): ["no ", "<<A_7>> end"], (None, 2): ["one"]}
+
+
+class _Held:
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_rows_that_do_nothing_only_tell_the_time():
+    held, scheduler = _Held(), Scheduler(True)
+    scheduler.state = scheduler.handle = held
+    what = {"action": "add", "kind": "every", "at_ms": None, "every_ms": 10, "expr": None, "zone": None, "once": False}
+    row = Row("job", "ms", "what")
+    take = lambda *rows: [tuple(r) for r in scheduler.handleInputRows(("j",), iter([row("j", *x) for x in rows]), None)]
+    # All runs of a batch leave as one row; those that come late or tell of no time that has passed give none.
+    assert take((35, None), (5, what), (7, None), (26, None)) == [("j", [15, 25, 35], [1, 2, 3], ["timer"] * 3)] and held.timers == [45]
+    assert take((20, None), (30, what | {"action": "remove"})) == [] and take((44, None)) == []
+    assert take((50, what | {"action": "run"}), (50, None), (61, None)) == [("j", [45, 50, 60], [4, 5, 6], ["timer", "manual", "timer"])]
+    assert take((62, what | {"action": "remove"}), (99, None)) == [] and held.timers == [45, 45, 45, 70]
