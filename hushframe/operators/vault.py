@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,10 @@ from hushframe.operators import detect
 
 #: So many surfaces are looked for one by one.
 FEW = 32
+#: Signs that few words hold and most surfaces do, those of all rules among them: a text without any can't hold such a surface.
+RARE = re.compile(r"""[0-9@$%+=/\\]""")
+#: Bits of a hash by which beginnings of surfaces are marked, its base, and what spreads it.
+BITS, _BASE, _SPREAD, _WORD = 20, 0x01000193, 0x9E3779B1, 0xFFFFFFFF
 
 
 def alias_key(text: str) -> str:
@@ -59,11 +64,32 @@ def replace_all(text: str, pairs: list[tuple[str, str]]) -> str:
     return text
 
 
+def _mark(head: str) -> int:
+    """Where a surface's beginning is marked: as `_marks` has it of each place of a text."""
+    value = 0
+    for c in head:
+        value = (value * _BASE + ord(c)) & _WORD
+    return (value * _SPREAD & _WORD) >> 32 - BITS
+
+
+def _marks(text: str, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, marks of the n characters from each place of a text) for those of the sizes, powers of two, that fit in."""
+    values, n, base = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 1, _BASE
+    most = min(len(text), max(sizes, default=0))
+    while n <= most:
+        if n in sizes:
+            yield n, values * np.uint32(_SPREAD) >> np.uint32(32 - BITS)
+        values = values[:-n] * np.uint32(base) + values[n:]
+        n, base = 2 * n, base * base & _WORD
+
+
 @dataclass
 class Vault:
     """What one session knows: tokens by surface and by alias key, canonical surfaces, values and counters."""
 
     by_surface: dict[str, str] = field(default_factory=dict)
+    #: The surfaces as they came, so that the new ones are found without walking through all.
+    order: list[str] = field(default_factory=list)
     by_key: dict[str, str] = field(default_factory=dict)
     keys: dict[str, list[str]] = field(default_factory=dict)
     canonical: dict[str, str] = field(default_factory=dict)
@@ -73,9 +99,13 @@ class Vault:
     strict: bool = True
     #: Lengths of surfaces by their first 1, 2, 4, 8, ... characters, and how many surfaces are among them.
     heads: dict[int, dict[str, set[int]]] = field(default_factory=dict)
+    marked: dict[int, np.ndarray] = field(default_factory=dict)
     indexed: int = 0
-    #: Length of the longest surface with a blank inside, and how many surfaces were measured.
+    #: How many of these hold no rare sign.
+    bare: int = 0
+    #: Length of the longest surface with a blank inside, pairs of neighbours in such surfaces, and how many surfaces were measured.
     spaced: int = 0
+    joints: set[str] = field(default_factory=set)
     measured: int = 0
 
     def known(self, surface: str, tag: str) -> str | None:
@@ -96,7 +126,9 @@ class Vault:
         tag, number = token[2:-2].rsplit("_", 1)
         self.counters[tag] = max(self.counters.get(tag, 0), int(number))
         self.canonical.setdefault(token, surface)
-        self.by_surface.setdefault(surface, token)
+        if surface not in self.by_surface:
+            self.by_surface[surface] = token
+            self.order.append(surface)
         key = alias_key(surface)
         if key and not (self.strict and taxonomy.SLUGS.get(tag) in taxonomy.COMPUTABLE):
             self.by_key.setdefault(key, token)
@@ -125,22 +157,34 @@ class Vault:
 
     def longest_spaced(self) -> int:
         """Length of the longest known surface with a blank inside, 0 without any."""
-        self.spaced = max([self.spaced, *(len(s) for s in islice(self.by_surface, self.measured, None) if any(map(str.isspace, s)))])
-        self.measured = len(self.by_surface)
+        for s in self.order[self.measured :]:
+            if any(map(str.isspace, s)):
+                self.spaced = max(self.spaced, len(s))
+                self.joints.update(map("".join, pairwise(s)))
+        self.measured = len(self.order)
         return self.spaced
 
     def within(self, text: str) -> list[str]:
-        """Known surfaces that stand in a text. Of many, only those are looked at that begin as some place of the text does."""
+        """Known surfaces that stand in a text. Of many, only those are looked at that begin as some place of the text does.
+
+        Which places those may be is told by hashes of all places at once: looking at each would cost a long text more than all else.
+        """
         if len(self.by_surface) <= FEW:
             return [s for s in self.by_surface if s in text]
-        for s in islice(self.by_surface, self.indexed, None):
+        for s in self.order[self.indexed :]:
+            self.bare += RARE.search(s) is None
             head = s[: 1 << (len(s).bit_length() - 1)] if s else ""
             self.heads.setdefault(len(head), {}).setdefault(head, set()).add(len(s))
-        self.indexed = len(self.by_surface)
+            if len(head) not in self.marked:
+                self.marked[len(head)] = np.zeros(1 << BITS, bool)
+            self.marked[len(head)][_mark(head)] = True
+        self.indexed = len(self.order)
+        if not self.bare and RARE.search(text) is None:
+            return []
         found = dict.fromkeys([""] if "" in self.by_surface else [])
-        for n, heads in self.heads.items():
-            for i in range(len(text) - n + 1) if n else ():
-                for size in heads.get(text[i : i + n], ()):
+        for n, marks in _marks(text, self.heads.keys()):
+            for i in self.marked[n][marks].nonzero()[0].tolist():
+                for size in self.heads[n].get(text[i : i + n], ()):
                     if text[i : i + size] in self.by_surface:
                         found[text[i : i + size]] = None
         return list(found)

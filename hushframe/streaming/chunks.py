@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.functions import taxonomy
 from hushframe.operators import detect
-from hushframe.operators.vault import Vault, restore
+from hushframe.operators.vault import RARE, Vault, restore
 
 #: Characters held back while a stream is live, so that what follows a match is seen before it is taken as final.
 HOLD = 256
@@ -34,6 +34,11 @@ _PARTIAL = re.compile(r"<(?:<[A-Z0-9_]*>?)?\Z")
 _RULES = [(slug, re.compile(pattern), group) for slug, pattern, group, _ in detect.RULES if slug != "email"]
 #: Rules with a blank inside: a cut at a blank may lie within one that isn't complete yet.
 _BLANK_INSIDE = [regex.compile(pattern) for _, pattern, _, _ in detect.RULES if " " in pattern]
+#: What stands before the first blank inside these rules, or with it: a text that ends with a blank and holds none of them leaves no rule open.
+_BEFORE_BLANK = ("+", "token ", "password ", "secret ", "api_key ")
+#: What a text must hold for a rule to match at all, as `detect.NEEDLES`; the other rules want a digit, and all of them a rare sign.
+_NEEDLES = {slug: (needle,) for slug, needle in detect.NEEDLES.items()} | {"local_path": ("/", "\\")}
+_DIGIT = re.compile("[0-9]")
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 
 
@@ -53,10 +58,13 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(surface, type, start, end) of the rules' matches; of one surface the type of highest priority."""
+    if RARE.search(text) is None:
+        return []
     best: dict[str, tuple[str, str, int, int]] = {}
     spans = [(text[a:b], "email", a, b) for a, b in emails(text)]
+    digits = _DIGIT.search(text) is not None
     for slug, pattern, group in _RULES:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if (any(n in text for n in _NEEDLES[slug]) if slug in _NEEDLES else digits) else ():
             surface = m.group(group)
             if slug == "local_path":
                 surface = surface.rstrip(detect.PATH_TRAILING)
@@ -72,6 +80,8 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
 def _open_rule(text: str) -> int:
     """Where a rule begins that the end of `text` leaves incomplete, or len(text)."""
     tail = text[-OPEN:]
+    if tail[-1:].isspace() and not any(word in tail for word in _BEFORE_BLANK):
+        return len(text)
     starts = [m.start() for rule in _BLANK_INSIDE for m in rule.finditer(tail, partial=True) if m.partial and m.end() > m.start()]
     return len(text) - len(tail) + min(starts, default=len(tail))
 
@@ -98,7 +108,8 @@ class Sanitizer:
             cut = next((i for i in range(cut, 0, -1) if self.raw[i - 1].isspace()), 0)
             cut = min([a for _, _, a, b in found if a < cut < b], default=cut)
             cut = min(cut, _open_rule(self.raw[max(0, cut - OPEN) : cut]) + max(0, cut - OPEN))
-            for s in self.vault.within(self.raw[max(0, cut - reach) : cut + reach]) if reach else ():
+            # A surface that reaches over the cut holds the characters on either side of it.
+            for s in self.vault.within(self.raw[max(0, cut - reach) : cut + reach]) if reach and self.raw[max(0, cut - 1) : cut + 1] in self.vault.joints else ():
                 held = self.raw.find(s, max(0, cut - len(s) + 1), cut + len(s) - 1)
                 cut = held if 0 <= held < cut and any(map(str.isspace, s)) else cut
             if cut == at:

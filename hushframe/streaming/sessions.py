@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +40,10 @@ class _Open:
 
 
 class SessionSanitizer(StatefulProcessor):
-    """A session's streams; idle_ms: silence after which a stream is closed (None: never), ttl_ms: how long a vault is kept unused."""
+    """A session's streams; idle_ms: silence after which a stream is closed (None: never), by event time or by the clock; ttl_ms: how long a vault is kept unused."""
 
-    def __init__(self, idle_ms: int | None, ttl_ms: int | None):
-        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
+    def __init__(self, idle_ms: int | None, ttl_ms: int | None, by_event: bool = False):
+        self.idle_ms, self.ttl_ms, self.by_event = idle_ms, ttl_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -59,18 +58,18 @@ class SessionSanitizer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         vault, opened, out = self._vault(), {}, []
-        held = len(vault.by_surface)
+        held = len(vault.order)
         # What the state holds is asked once a batch: a question a chunk would cost more than its work.
         stored = {stream for (stream,) in list(self.streams.keys())} if self.streams.exists() else set()
         ahead = {(int(s), int(n)) for s, n in list(self.waiting.keys())} if self.waiting.exists() else set()
         for part in rows:
-            for row in part.sort_values(["stream", "seq"], kind="stable").itertuples(index=False):
-                stream, seq = int(row.stream), int(row.seq)
+            ordered = part.sort_values(["stream", "seq"], kind="stable")
+            for stream, seq, chunk, last, heard, trailer in zip(*(ordered[c].tolist() for c in ("stream", "seq", "chunk", "last", "at", "trailer")), strict=True):
+                stream, seq, last = int(stream), int(seq), bool(last)
                 at = opened.get(stream) or (self._stream(stream) if stream in stored else _Open(0, "", 0))
                 opened[stream] = at
-                at.seen = max(at.seen, int(row.at))
-                chunk, last = row.chunk if isinstance(row.chunk, str) else "", bool(row.last)
-                trailer = row.trailer if isinstance(row.trailer, str) else None
+                at.seen = max(at.seen, int(heard))
+                chunk, trailer = chunk if isinstance(chunk, str) else "", trailer if isinstance(trailer, str) else None
                 if seq > at.following:
                     if (stream, seq) not in ahead:
                         self.waiting.updateValue((stream, seq), (chunk, last, trailer))
@@ -79,8 +78,8 @@ class SessionSanitizer(StatefulProcessor):
                     machine = Sanitizer(at.raw, vault)
                     shown = machine.feed(chunk, last)
                     at.raw, at.following = machine.raw, seq + 1
-                    out.append(self._row(key, row.stream, seq, shown, vault, held, "last" if last else None, trailer))
-                    held = len(vault.by_surface)
+                    out.append(self._row(key, stream, seq, shown, vault, held, "last" if last else None, trailer))
+                    held = len(vault.order)
                     if last:
                         if stream in stored:
                             self.streams.removeKey((stream,))
@@ -97,24 +96,42 @@ class SessionSanitizer(StatefulProcessor):
                     out = []
         for stream, at in opened.items():
             self.streams.updateValue((stream,), (at.following, at.raw, at.seen))
-            if self.idle_ms is not None:
-                self.handle.registerTimer(at.seen + self.idle_ms)
+        if self.idle_ms is not None and opened:
+            # One timer, for the first that falls silent; it sets the next. One a stream would read the vault and all streams for each.
+            self.handle.registerTimer(min(at.seen for at in opened.values()) + self.idle_ms)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        silent = [(s, f, raw) for (s,), (f, raw, seen) in self.streams.iterator() if seen + self.idle_ms <= due]
+        clock = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), clock) - self.idle_ms
+        silent, later = [], None
+        for (stream,), (following, raw, seen) in self.streams.iterator() if self.streams.exists() else ():
+            if seen <= due:
+                silent.append((seen, stream, following, raw))
+            else:
+                later = seen if later is None else min(seen, later)
+        if later is not None:
+            self.handle.registerTimer(later + self.idle_ms)
+        if not silent:
+            return
+        # Chunks whose forerunner never came follow in their order.
+        gone, rest = {stream for _, stream, _, _ in silent}, {}
+        for (stream, seq), (chunk, _, _) in self.waiting.iterator() if self.waiting.exists() else ():
+            if stream in gone:
+                rest.setdefault(stream, []).append((seq, chunk))
         vault, out = self._vault(), []
-        held = len(vault.by_surface)
-        for stream, following, raw in sorted(silent):
-            # Chunks whose forerunner never came follow in their order.
-            rest = sorted((seq, chunk) for (s, seq), (chunk, _, _) in self.waiting.iterator() if s == stream)
-            shown = Sanitizer(raw, vault).feed("".join(chunk for _, chunk in rest), True)
-            out.append(self._row(key, stream, max([following, *(seq + 1 for seq, _ in rest)]), shown, vault, held, "idle"))
-            held = len(vault.by_surface)
+        held = len(vault.order)
+        for _, stream, following, raw in sorted(silent):
+            waited = sorted(rest.get(stream, ()))
+            shown = Sanitizer(raw, vault).feed("".join(chunk for _, chunk in waited), True)
+            out.append(self._row(key, stream, max([following, *(seq + 1 for seq, _ in waited)]), shown, vault, held, "idle"))
+            held = len(vault.order)
             self.streams.removeKey((stream,))
-            for seq, _ in rest:
+            for seq, _ in waited:
                 self.waiting.removeKey((stream, seq))
+            if len(out) >= ROWS:
+                yield _frame(out)
+                out = []
         yield _frame(out)
 
     def _vault(self) -> Vault:
@@ -128,8 +145,8 @@ class SessionSanitizer(StatefulProcessor):
         return _Open(*self.streams.getValue((stream,)))
 
     def _row(self, key, stream: int, seq: int, shown: str, vault: Vault, held: int, closed: str | None, trailer: str | None = None) -> tuple:
-        """A row of the result; surfaces that the vault holds beyond `held` are new and are written down."""
-        news = list(islice(vault.by_surface.items(), held, None))
+        """A row of the result; surfaces that the vault holds beyond the first `held` are new and are written down."""
+        news = [(surface, vault.by_surface[surface]) for surface in vault.order[held:]]
         for place, (surface, token) in enumerate(news, held):
             self.surfaces.updateValue((surface,), (token, place))
         return (key[0], stream, seq, shown, json.dumps(dict(news), ensure_ascii=False) if news else None, closed, trailer)
@@ -160,7 +177,7 @@ def sanitize_stream(chunks: DataFrame, idle: str | None = None, delay: str = "0
     trailer = F.col("trailer").cast("string") if "trailer" in chunks.columns else F.lit(None).cast("string")
     columns = [F.col("session").cast("string").alias("session"), F.coalesce(F.col("stream").cast("long"), F.lit(-1)).alias("stream"), F.col("seq").cast("long").alias("seq")]
     rows = rows.select(*columns, F.col("chunk").cast("string").alias("chunk"), F.coalesce("last", F.lit(False)).alias("last"), at.alias("at"), trailer.alias("trailer"), *(["ts"] if by_event else []))
-    processor = SessionSanitizer(_millis(idle), _millis(ttl))
+    processor = SessionSanitizer(_millis(idle), _millis(ttl), by_event)
     initial = None if vault is None else _surfaces(vault).groupBy("session")
     return rows.groupBy("session").transformWithStateInPandas(processor, SCHEMA, "append", mode, initial)
 

@@ -2,15 +2,16 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
-from hushframe.operators.vault import restore
+from hushframe.operators.vault import Vault, restore
 from hushframe.plans.streams import run_once
 from hushframe.streaming import chunks
 from hushframe.streaming.dispatch import BLOCK, Dispatcher, Queue, dispatch, in_flight
 from hushframe.streaming.jobs import Job, Scheduler, runs
-from hushframe.streaming.sessions import canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
+from hushframe.streaming.sessions import SessionSanitizer, canonical_tokens, known_tokens, sanitize_polls, sanitize_stream, use_state_store
 
 SCHEMA = "session string, stream long, seq long, chunk string, last boolean, ts timestamp"
 
@@ -311,3 +312,70 @@ def test_rows_that_do_nothing_only_tell_the_time():
     assert take((20, None), (30, what | {"action": "remove"})) == [] and take((44, None)) == []
     assert take((50, what | {"action": "run"}), (50, None), (61, None)) == [("j", [45, 50, 60], [4, 5, 6], ["timer", "manual", "timer"])]
     assert take((62, what | {"action": "remove"}), (99, None)) == [] and held.timers == [45, 45, 45, 70]
+
+
+class _State:
+    """Maps and timers of one session that count how often all of a map is read."""
+
+    def __init__(self):
+        self.maps, self.timers, self.read = {}, [], 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.maps.setdefault(name, _Map(self))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class _Map(Counted):
+    def __init__(self, of):
+        self.of = of
+
+    def exists(self):
+        return bool(self)
+
+    def iterator(self):
+        self.of.read += 1
+        return iter(list(self.items()))
+
+
+class _Time:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.mark
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs  # noqa: N815
+
+
+def test_one_timer_closes_all_streams_of_a_session_that_are_silent():
+    state, sanitizer = _State(), SessionSanitizer(10, None, by_event=True)
+    sanitizer.init(state)
+    rows = [(7, 2, "never came", 1000), *((n, 0, f"jo@ex.org and {n}", 1000 + n) for n in range(300))]
+    part = pd.DataFrame([(n, seq, text, False, at, None) for n, seq, text, at in rows], columns=["stream", "seq", "chunk", "last", "at", "trailer"])
+    list(sanitizer.handleInputRows(("s",), iter([part[part["stream"] != 7]]), None))
+    list(sanitizer.handleInputRows(("s",), iter([part[part["stream"] == 7].drop(index=0), part[:1].assign(seq=2)]), None))
+    assert len(state.timers) == 2 and len(state.maps["streams"]) == 300
+    state.read = 0
+    closed = pd.concat(sanitizer.handleExpiredTimer(("s",), _Time(1209), _Time(1010)))
+    # 200 streams at once, in the order in which they fell silent; what waited behind a gap follows; the others have one timer more.
+    assert closed["stream"].tolist() == list(range(200)) and set(closed["closed"]) == {"idle"}
+    assert closed["emitted"].tolist() == [f"<<EMAIL_1>> and {n}" + ("never came" if n == 7 else "") for n in range(200)]
+    assert state.timers[2:] == [1210] and len(state.maps["streams"]) == 100 and not state.maps["waiting"] and state.read <= 3
+    # A timer that comes for nothing doesn't read the vault.
+    assert list(sanitizer.handleExpiredTimer(("s",), _Time(1209), _Time(1017))) == [] and state.read <= 4
+
+
+def test_known_surfaces_are_found_as_by_looking_for_each():
+    dice = random.Random(9)
+    parts = ["jo@", "ex.org", "+1 (555) ", "123-4567", "$5", "0", "Ann", " Lee", "\U0001f4b3", "\ud83d", "/usr", "e", "http://x", " "]
+    word = lambda most: "".join(dice.choices(parts, k=dice.randint(1, most)))
+    for bare in (False, True):
+        vault = Vault()
+        for i in range(150):
+            surface = word(5) if bare else word(3) + "$5" + word(2)
+            vault.hold(surface, f"<<ENTITY_{i}>>")
+        for _ in range(200):
+            text = word(12) if dice.random() < 0.7 else dice.choice(["", "e", "plain words", " Lee"])
+            assert sorted(vault.within(text)) == sorted(s for s in vault.by_surface if s in text)
