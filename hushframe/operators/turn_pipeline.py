@@ -47,20 +47,19 @@ def sanitize(turns: DataFrame, entities: DataFrame, found: DataFrame | None = No
     """
     parted = PART in turns.columns
     rows = turns if parted else turns.withColumn(PART, F.lit(0))
-    found = keep(detect_turns(rows) if found is None else found if PART in found.columns else found.withColumn(PART, F.lit(0)))
-    number = F.bool_or(F.col("entity_type").isin(*sorted(taxonomy.COMPUTABLE))).alias("_strict")
-    asked = found.groupBy("session", F.col("entity_text").alias("surface")).agg(number)
-    told = keep(vault_table.lookup(asked, entities, strict="_strict"))
-    mine = told.select(F.col("session").alias("_s"), F.col("surface").alias("_t"), "placeholder")
-    same = found["session"].eqNullSafe(F.col("_s")) & (F.col("entity_text") == F.col("_t"))
-    fresh = found.join(mine.filter("placeholder is null"), same, "left_semi")
-    news = keep(vault_table.mint_into(fresh, entities))
-    again = found.join(mine.filter("placeholder is not null"), same)
-    seen = again.select("session", "placeholder", F.col("entity_text").alias("surface"), "turn")
-    after = keep(vault_table.register(entities, seen).unionByName(news.select(*entities.columns)))
-    release(told, news, found)
-    known = vault_table.surfaces(after)
-    done = _rewritten(rows, known)
+    found = detect_turns(rows) if found is None else found if PART in found.columns else found.withColumn(PART, F.lit(0))
+    # A surface of a session is one row from here on: nothing later needs its occurrences, and tables and shuffles of them would fill the disk.
+    if entities.isEmpty():
+        # Nothing to look up, so one shuffle by session serves surfaces and numbers.
+        news = vault_table.numbered(vault_table.met(found.repartition("session")), None)
+        after = keep(entities.limit(0).unionByName(news.select(*entities.columns)))
+    else:
+        told = keep(vault_table.lookup(vault_table.met(found), entities, strict="strict"))
+        news = vault_table.numbered(told.filter("placeholder is null").drop("placeholder"), entities)
+        seen = told.filter("placeholder is not null").select("session", "placeholder", "surface", F.explode(F.array("first_turn", "last_seen_turn")).alias("turn"))
+        after = keep(vault_table.register(entities, seen).unionByName(news.select(*entities.columns)))
+        release(told)
+    done = _rewritten(rows, after)
     return (done if parted else done.drop(PART)), after
 
 
@@ -68,16 +67,21 @@ def _rewrite(texts: pd.Series, own: pd.Series) -> pd.Series:
     return pd.Series([None if pairs is None or text is None else vault.replace_all(text, [(p["surface"], p["placeholder"]) for p in pairs]) for text, pairs in zip(texts, own, strict=True)])
 
 
-def _rewritten(rows: DataFrame, known: DataFrame) -> DataFrame:
+def _rewritten(rows: DataFrame, entities: DataFrame) -> DataFrame:
     # A surface is the session's, so it is looked for in all of the session's texts, whatever was detected in them. A text meets
     # its session's surfaces once, as one array; only those of very large sessions meet them one by one.
-    few, big = vault.by_session(known, "session", ["surface", "placeholder"])
+    # No session has more surfaces than these; counting equal ones once would shuffle all of them.
+    big = vault.large(entities.select("session", (F.coalesce(F.size("aliases"), F.lit(0)) + 1).alias("_n")))
+    small = entities if big is None else entities.join(big, entities["session"].eqNullSafe(F.col("_s")), "left_anti")
+    # One shuffle, by the key of the join, serves the surfaces, the arrays and the join.
+    keyed = small.withColumn("session", F.struct(F.col("session").alias("session"))).repartition("session")
+    few = vault_table.surfaces(keyed).groupBy(F.col("session").alias("_k")).agg(F.collect_set(F.struct("surface", "placeholder")).alias("_own"))
     rest = rows if big is None else rows.join(big, rows["session"].eqNullSafe(F.col("_s")), "left_anti")
     held = F.filter("_own", lambda p: F.contains(F.col("text"), p["surface"]))
-    out = _put_in(rest.join(few, rest["session"].eqNullSafe(F.col("_s")), "left").withColumn("_pairs", held).drop("_s", "_own"))
+    out = _put_in(rest.join(few, F.struct(rest["session"].alias("session")) == F.col("_k"), "left").withColumn("_pairs", held).drop("_k", "_own"))
     if big is None:
         return out
-    return out.unionByName(_put_in(_with_pairs(rows.join(big, rows["session"].eqNullSafe(F.col("_s")), "left_semi"), known)))
+    return out.unionByName(_put_in(_with_pairs(rows.join(big, rows["session"].eqNullSafe(F.col("_s")), "left_semi"), vault_table.surfaces(entities))))
 
 
 def _with_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:

@@ -229,13 +229,21 @@ MOST = 256
 _SIGNS = "".join(chr(0xE000 + i) for i in range(MOST))
 
 
+def large(counted: DataFrame) -> DataFrame | None:
+    """(_s) of the sessions in counted(session, n) whose sum is more than MOST, None where there are none."""
+    session, n = counted.columns
+    big = counted.groupBy(F.col(session).alias("_s")).agg(F.sum(n).alias("_n")).filter(F.col("_n") > MOST).select("_s")
+    return None if big.isEmpty() else big
+
+
 def by_session(rows: DataFrame, session: str, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(_s, _own array<struct<columns>>) of sessions with up to MOST rows, and (_s) of the others, None where there are none."""
-    big = rows.groupBy(F.col(session).alias("_s")).agg(F.count("*").alias("_n")).filter(F.col("_n") > MOST).select("_s")
-    own = F.collect_set(F.struct(*columns)).alias("_own")
-    if big.isEmpty():
-        return rows.groupBy(F.col(session).alias("_s")).agg(own), None
-    return rows.join(big, rows[session].eqNullSafe(F.col("_s")), "left_anti").groupBy(F.col(session).alias("_s")).agg(own), big
+    """(_k struct<session>, _own array<struct<columns>>) of sessions with up to MOST rows, and (_s) of the others, None where there are none.
+
+    A struct is equal to another that holds a null too, so a join on _k needs no shuffle of the arrays beyond that of their grouping.
+    """
+    big = large(rows.select(session, F.lit(1).alias("_n")))
+    rest = rows if big is None else rows.join(big, rows[session].eqNullSafe(F.col("_s")), "left_anti")
+    return rest.groupBy(F.struct(F.col(session).alias("session")).alias("_k")).agg(F.collect_set(F.struct(*columns)).alias("_own")), big
 
 
 def replaced(text: Column, pairs: Column) -> Column:
@@ -257,10 +265,10 @@ def restore(texts: DataFrame, vault: DataFrame, session: str, keys: list[str], t
     known = vault.select(F.col(session).alias("_of"), "placeholder", "canonical")
     few, big = by_session(known, "_of", ["placeholder", "canonical"])
     rest = texts if big is None else texts.join(big, texts[session].eqNullSafe(F.col("_s")), "left_anti")
-    joined = rest.join(few, rest[session].eqNullSafe(F.col("_s")), "left")
+    joined = rest.join(few, F.struct(rest[session].alias("session")) == F.col("_k"), "left")
     used = F.map_from_entries(F.filter("_own", lambda x: F.contains(F.col(text), x["placeholder"])))
     out = joined.withColumn("_map", F.when(F.contains(F.col(text), F.lit("<<")) & F.col("_own").isNotNull(), used))
-    out = out.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(_put_back(text))).drop("_s", "_own", "_map")
+    out = out.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text)).otherwise(_put_back(text))).drop("_k", "_own", "_map")
     if big is None:
         return out
     return out.unionByName(_restore_each(texts.join(big, texts[session].eqNullSafe(F.col("_s")), "left_semi"), known, session, keys, text))

@@ -84,17 +84,31 @@ def mint_into(found: DataFrame, entities: DataFrame) -> DataFrame:
     Numbers of a tag go on from the highest one of the session, in order of first appearance (turn, text of the turn by
     `_part` where there is one, longer first, rank). A surface that is a number has its value.
     """
+    return numbered(met(found), entities)
+
+
+def met(found: DataFrame) -> DataFrame:
+    """(session, surface, first, last_seen_turn, first_turn, strict): each surface of found(session, turn, detect_rank, entity_text, entity_type) once, with where it came first."""
     part = F.col("_part") if "_part" in found.columns else F.lit(0)
     place = (F.col("turn").alias("turn"), part.alias("part"), (-F.length("entity_text")).alias("shorter"), F.col("detect_rank").alias("rank"))
     first = F.min(F.struct(*place, F.col("entity_type").alias("type"))).alias("first")
-    news = found.groupBy("session", "entity_text").agg(first, F.max("turn").alias("last_seen_turn")).withColumn("tag", taxonomy.tag_of(F.col("first.type")))
-    counters = compaction.counters(entities, "session").select(F.col("session").alias("_s"), F.col("tag").alias("_t"), "counter")
-    news = news.join(counters, news["session"].eqNullSafe(F.col("_s")) & (F.col("tag") == F.col("_t")), "left")
-    order = Window.partitionBy("session", "tag").orderBy("first.turn", "first.part", "first.shorter", "first.rank", "entity_text")
+    strict = F.bool_or(F.col("entity_type").isin(*sorted(taxonomy.COMPUTABLE))).alias("strict")
+    return found.groupBy("session", F.col("entity_text").alias("surface")).agg(first, F.max("turn").alias("last_seen_turn"), F.min("turn").alias("first_turn"), strict)
+
+
+def numbered(fresh: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """Entities of surfaces as of `met`, numbered as `mint_into` does; entities: None where there are none yet."""
+    news = fresh.withColumn("tag", taxonomy.tag_of(F.col("first.type")))
+    if entities is None:
+        news = news.withColumn("counter", F.lit(0).cast("long"))
+    else:
+        counters = compaction.counters(entities, "session").select(F.col("session").alias("_s"), F.col("tag").alias("_t"), "counter")
+        news = news.join(counters, news["session"].eqNullSafe(F.col("_s")) & (F.col("tag") == F.col("_t")), "left")
+    order = Window.partitionBy("session", "tag").orderBy("first.turn", "first.part", "first.shorter", "first.rank", "surface")
     number = F.coalesce("counter", F.lit(0)) + F.row_number().over(order)
     token = F.concat(F.lit("<<"), "tag", F.lit("_"), number.cast("string"), F.lit(">>"))
-    columns = ("session", token.alias("placeholder"), F.col("first.type").alias("entity_type"), F.col("entity_text").alias("canonical"), F.array("entity_text").alias("aliases"))
-    value = detect.number_value(F.col("entity_text"), F.col("first.type"))
+    columns = ("session", token.alias("placeholder"), F.col("first.type").alias("entity_type"), F.col("surface").alias("canonical"), F.array("surface").alias("aliases"))
+    value = detect.number_value(F.col("surface"), F.col("first.type"))
     return news.select(*columns, value.alias("value"), F.col("first.turn").alias("created_turn"), "last_seen_turn")
 
 

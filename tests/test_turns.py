@@ -137,3 +137,21 @@ def test_texts_meet_their_sessions_surfaces_once(spark, monkeypatch):
         assert {(r.session, r.turn): r.restored for r in back.collect()}[("s", 1)] == "Ann Lee, Ann, a$5 and $5.50 on 2024-01-02"
         joins = [x for x in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
         assert most == 2 or not any("Contains" in x or "contains" in x for x in joins)
+
+
+def test_a_surface_that_comes_often_is_one_row_of_what_is_kept(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    keep = turn_pipeline.keep
+    monkeypatch.setattr(turn_pipeline, "keep", counted)
+    turns = spark.createDataFrame([(s, i, "jo@ex.org paid $5") for s in ("s", None) for i in range(50)], TURNS)
+    done, after = turn_pipeline.sanitize(turns, empty(spark))
+    again, last = turn_pipeline.sanitize(turns, after)
+    # 100 texts with two surfaces each: what is kept is a row a surface of a session.
+    assert written and max(written) == 4 and after.count() == last.count() == 4
+    assert {r.sanitized for r in done.unionByName(again).collect()} == {"<<EMAIL_1>> paid <<FINANCE_1>>"}
