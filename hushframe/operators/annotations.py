@@ -48,14 +48,23 @@ def spans(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     start and end count UTF-16 units, as viewers do, from 0, end exclusive. Tokens that nothing is known of show themselves. Texts of
     a session have turns of their own; null sessions and turns are values like others.
     """
+    return _spans(texts, known, text).drop("_k")
+
+
+def _text_key() -> Column:
+    """A text's session and turn as one value that is never null, by which all that a text needs comes together in one shuffle."""
+    return F.struct(F.col("session").alias("session"), F.col("turn").alias("turn")).alias("_k")
+
+
+def _spans(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     found = F.regexp_extract_all(F.col(text), F.lit(f"({grammar.PLACEHOLDER})"), F.lit(1))
     before = F.transform(F.split(F.col(text), grammar.PLACEHOLDER, -1), grammar.utf16_length)
     tokens = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda t, n: F.struct(t.alias("token"), n.alias("gap")))
-    rows = texts.select("session", "turn", F.posexplode(tokens).alias("nth", "t")).select("session", "turn", "nth", "t.token", "t.gap")
+    rows = texts.select("session", "turn", F.posexplode(tokens).alias("nth", "t")).select("session", "turn", _text_key(), "nth", "t.token", "t.gap")
     told = known.withColumnsRenamed({"session": "_s", "token": "_t"})
     joined = rows.join(told, rows["session"].eqNullSafe(F.col("_s")) & (rows["token"] == F.col("_t")), "left").drop("_s", "_t")
     long = grammar.utf16_length(F.coalesce("shown", "token"))
-    order = Window.partitionBy("session", "turn").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_k").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + long).over(order)
     return joined.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - long).drop("gap")
 
@@ -68,13 +77,14 @@ def annotations(texts: DataFrame, entities: DataFrame, done: DataFrame, repeats:
     other tokens are entities, results of other answers among them. Tokens without a meaning are not marked.
     """
     known = known_tokens(entities).unionByName(known_results(done))
-    rows = spans(texts, known).filter(F.col("shown").isNotNull() & (F.col("shown") != F.col("token")))
-    mine = own_results(done).withColumnsRenamed({"session": "_s", "turn": "_u", "token": "_t"})
-    same = rows["session"].eqNullSafe(F.col("_s")) & rows["turn"].eqNullSafe(F.col("_u")) & (rows["token"] == F.col("_t"))
-    rows = rows.join(mine, same, "left").drop("_s", "_u", "_t")
+    rows = _spans(texts, known).filter(F.col("shown").isNotNull() & (F.col("shown") != F.col("token")))
+    # What an answer calculated comes as one array, by the key that its tokens lie by already.
+    mine = own_results(done).groupBy(_text_key()).agg(F.collect_list(F.struct("token", "snippet", "formula")).alias("_mine"))
+    rows = rows.join(mine, "_k", "left").withColumn("_own", F.get(F.filter("_mine", lambda m: m["token"] == F.col("token")), 0))
+    rows = rows.select("*", "_own.snippet", "_own.formula").drop("_mine", "_own")
     own = F.col("snippet").isNotNull()
     if not repeats:
-        nth = F.row_number().over(Window.partitionBy("session", "turn", "token").orderBy("nth"))
+        nth = F.row_number().over(Window.partitionBy("_k", "token").orderBy("nth"))
         rows = rows.withColumn("_nth", nth).filter(~own | (F.col("_nth") == 1))
     local = lambda mine, other: F.when(own, mine).otherwise(other)
     kind, severity = F.col("entity_type"), taxonomy.severity_of(F.col("entity_type"))
@@ -87,7 +97,7 @@ def annotations(texts: DataFrame, entities: DataFrame, done: DataFrame, repeats:
         "formula": local(F.col("formula"), F.lit(None)),
     }
     one = F.struct(*[values.get(f, F.col(f)).alias(f) for f in FIELDS])
-    return rows.groupBy("session", "turn").agg(F.array_sort(F.collect_list(one)).alias("annotations"))
+    return rows.groupBy("_k").agg(F.array_sort(F.collect_list(one)).alias("annotations")).select("_k.session", "_k.turn", "annotations")
 
 
 def of_text(texts: DataFrame, marks: DataFrame) -> DataFrame:

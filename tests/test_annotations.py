@@ -49,3 +49,17 @@ def test_results_are_marked_with_their_formula(spark):
 def test_cut(spark):
     df = spark.createDataFrame([("a\U0001f4b3bc", 0, 1, "a"), ("a\U0001f4b3bc", 1, 3, "\U0001f4b3"), ("a\U0001f4b3bc", 3, 5, "bc"), (None, 0, 1, None)], "t string, s long, e long, want string")
     assert all(r.got == r.want for r in df.withColumn("got", annotations.cut(df["t"], df["s"], df["e"])).collect())
+
+
+def test_tokens_of_a_text_are_shuffled_once(spark):
+    """Spans, calculations, first places and the array of a text come together by one key."""
+    schema = "session string, placeholder string, entity_type string, canonical string, aliases array<string>, value double, created_turn long, last_seen_turn long"
+    vault = spark.createDataFrame([("s", "<<EMAIL_1>>", "email", "jo@ex.org", None, None, 1, 1)], schema)
+    texts = spark.createDataFrame([("s", 1, "to <<EMAIL_1>>"), (None, None, "<<EMAIL_1>>")], "session string, turn long, text string")
+    record = "array<struct<placeholder string, formatted string, result double, snippet int, resolved string>>"
+    done = spark.createDataFrame([("s", 1, None)], f"session string, turn long, computations {record}")
+    marks = annotations.annotations(texts, vault, done)
+    plan = marks._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("hashpartitioning(_k") <= 2  # the tokens, and what was calculated
+    assert plan.count("hashpartitioning(session") + plan.count("hashpartitioning(coalesce(session") <= 4
+    assert [(r.session, r.turn, len(r.annotations)) for r in marks.collect()] == [("s", 1, 1)]
